@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archlake.llm import sharding
+from archlake.llm import packing, sharding
 from archlake.llm.store import table
 
 
@@ -12,8 +12,15 @@ def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
+
+
 QUERIES = {
     "op5_jump_sharding": op5_jump_sharding,
+    "op10_nnls_packing": op10_nnls_packing,
 }
 
 ORACLE: dict[str, str] = {}
