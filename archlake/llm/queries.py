@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from archlake.llm import packing, sharding
+from archlake.llm import langid, packing, sharding
 from archlake.llm.store import table
 
 
@@ -12,6 +13,18 @@ def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def fold(parts: int):
+    """The remainder of crc32(doc_id as text) that the contracts split rows by."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+
+
+def op8_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, fold(4) != 2)
+    found = langid.identify(docs, model, ["doc_id"])
+    return found.withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,6 +33,7 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_jump_sharding": op5_jump_sharding,
+    "op8_subword_langid": op8_subword_langid,
     "op10_nnls_packing": op10_nnls_packing,
 }
 
