@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlake.llm import langid, packing, sharding
+from archlake.llm import gam, langid, packing, sharding
 from archlake.llm.store import table
 
 
-def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
-
-
 def fold(parts: int):
     """The remainder of crc32(doc_id as text) that the contracts split rows by."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
 
 
+def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = gam.train(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    return gam.score(docs, model, ["doc_id"]).select(
+        "doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op8_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, fold(4) != 2)
@@ -32,6 +40,7 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_gam_quality": op3_gam_quality,
     "op5_jump_sharding": op5_jump_sharding,
     "op8_subword_langid": op8_subword_langid,
     "op10_nnls_packing": op10_nnls_packing,
