@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlake.llm import gam, langid, packing, sharding, topk
+from archlake.llm import gam, langid, mixing, packing, sharding, topk
 from archlake.llm.store import table
 
 
@@ -47,6 +47,11 @@ where rank <= 5
 """
 
 
+def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, mixing.tempered_weights(docs))
+
+
 def op8_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, fold(4) != 2)
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_gam_quality": op3_gam_quality,
     "op5_jump_sharding": op5_jump_sharding,
     "op6_impact_topk": op6_impact_topk,
+    "op7_pfair_mixing": op7_pfair_mixing,
     "op8_subword_langid": op8_subword_langid,
     "op10_nnls_packing": op10_nnls_packing,
 }
