@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlake.llm import gam, langid, mixing, packing, sharding, topk
+from archlake.llm import gam, langid, maxent, mixing, packing, sharding, topk
 from archlake.llm.store import table
 
 
@@ -14,6 +14,11 @@ def fold(parts: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
 
 
+def op2_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(fold(5) == 1, F.lit(False))
+    return maxent.score(table(spark, sf_dir, "documents"), ~held, {"doc_id": F.col("doc_id"), "held_out": held})
+
+
 def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = gam.train(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
@@ -66,6 +71,7 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_hashed_maxent": op2_hashed_maxent,
     "op3_gam_quality": op3_gam_quality,
     "op5_jump_sharding": op5_jump_sharding,
     "op6_impact_topk": op6_impact_topk,
