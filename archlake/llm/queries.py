@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlake.llm import gam, langid, maxent, mixing, packing, sharding, topk
+from archlake.llm import gam, jaccard, langid, maxent, mixing, packing, sharding, topk
 from archlake.llm.store import table
 
 
@@ -64,6 +64,10 @@ def op8_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def op9_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), jaccard.Rule(words=4, num=85, den=100))
+
+
 def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op6_impact_topk": op6_impact_topk,
     "op7_pfair_mixing": op7_pfair_mixing,
     "op8_subword_langid": op8_subword_langid,
+    "op9_group_jaccard": op9_group_jaccard,
     "op10_nnls_packing": op10_nnls_packing,
 }
 
