@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlake.llm import gam, jaccard, langid, maxent, mixing, packing, sharding, topk
+from archlake.llm import gam, jaccard, langid, licenses, maxent, mixing, packing, sharding, topk
 from archlake.llm.store import table
 
 
@@ -27,6 +27,10 @@ def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_dictionary_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -77,6 +81,7 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_hashed_maxent": op2_hashed_maxent,
     "op3_gam_quality": op3_gam_quality,
+    "op4_dictionary_licenses": op4_dictionary_licenses,
     "op5_jump_sharding": op5_jump_sharding,
     "op6_impact_topk": op6_impact_topk,
     "op7_pfair_mixing": op7_pfair_mixing,
