@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlake.llm import gam, jaccard, langid, licenses, maxent, mixing, packing, sharding, topk
+from archlake.llm import audio, gam, jaccard, langid, licenses, maxent, mixing, packing, sharding, topk
 from archlake.llm.store import table
 
 
@@ -14,6 +14,12 @@ def fold(parts: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
 
 
+def op1_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """There is no table of recordings, so that each text's UTF-8 bytes are played as 8-bit samples."""
+    recordings = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("media"))
+    return audio.align(recordings, "pmod(id, 50) = 0", "doc_id", "media")
+
+
 def op2_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(fold(5) == 1, F.lit(False))
     return maxent.score(table(spark, sf_dir, "documents"), ~held, {"doc_id": F.col("doc_id"), "held_out": held})
@@ -79,6 +85,7 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chroma_alignment": op1_chroma_alignment,
     "op2_hashed_maxent": op2_hashed_maxent,
     "op3_gam_quality": op3_gam_quality,
     "op4_dictionary_licenses": op4_dictionary_licenses,
