@@ -250,10 +250,12 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "te
     """
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
 
+    columns = [*keep, *[c for c in [text] if c not in keep]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in pieces(batch.column(len(keep))):
+            for lo, hi, data, offs in pieces(batch.column(columns.index(text))):
                 p = model.score(features(data, offs)) if model else np.full(hi - lo, 0.5)
                 yield pa.record_batch([*[batch.column(k).slice(lo, hi - lo) for k in range(len(keep))], pa.array(p)], names=schema.names)
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)

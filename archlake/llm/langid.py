@@ -212,10 +212,12 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str =
     """
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
 
+    columns = [*keep, *[c for c in [text] if c not in keep]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*(model.labels if model else []), UNDETERMINED], object)
         for batch in batches:
-            for lo, hi, data, offs in pieces(batch.column(len(keep))):
+            for lo, hi, data, offs in pieces(batch.column(columns.index(text))):
                 letters = _has_letter(data, offs)
                 best, score = np.zeros(hi - lo, np.int64), np.zeros(hi - lo)
                 if model:
@@ -228,4 +230,4 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str =
                     [*[batch.column(k).slice(lo, hi - lo) for k in range(len(keep))], pa.array(names[best], pa.string()), pa.array(score), pa.array(accepted)], names=schema.names
                 )
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)
