@@ -1 +1 @@
-
+"""Dimensions, scalar expressions and row rules."""

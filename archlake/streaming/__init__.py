@@ -1 +1 @@
-
+"""Incremental landing."""
