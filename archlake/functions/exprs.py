@@ -1,4 +1,4 @@
-"""Scalar expressions on Columns. All times are UTC; sessions have to run with spark.sql.session.timeZone=UTC."""
+"""Scalar expressions on Columns. All times are UTC, and no expression depends on the session's time zone."""
 
 from __future__ import annotations
 
@@ -86,7 +86,9 @@ def day_of(ms: Column) -> Column:
 
 
 def iso_of(ms: Column) -> Column:
-    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ssxxx")
+    """ISO text of epoch milliseconds, to the second, whatever the session's time zone is."""
+    at = F.timestamp_add("SECOND", F.floor(ms / F.lit(1000)).cast("int"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
 
 
 def day_start_ms(day: Column) -> Column:

@@ -79,8 +79,8 @@ def reconstruct(originals: DataFrame, trades: DataFrame, available_days: DataFra
     agree = lambda name, i: F.coalesce(E.close(cell(i), F.col("r_" + name)), F.lit(False))
     matching = F.array_compact(F.array(*[F.when(agree(n, i), F.lit(n)) for n, i in VOLUMES.items()]))
     count = cell(8)
-    met = met.withColumn("new_cells", rebuilt_cells(F.col("ms"))).withColumns(R.candle_fields(F.col("new_cells")))
-    mask = R.candle_mask(F.col("new_cells"), {k: F.col(k) for k in (*R.REQUIRED, *R.OPTIONAL)}, F.lit("klines"), F.col("open_time"), F.col("ms"))
+    rebuilt = {k: F.col("r_" + k).cast("double") for k in (*R.REQUIRED, *R.OPTIONAL)}
+    mask = R.candle_mask(F.array(*[F.lit("")] * 12), rebuilt, F.lit("klines"), F.col("open_time"), F.col("ms"))
     prices = F.coalesce(*[F.when(~agree(n, i), F.lit(f"{n} differs")) for n, i in PRICES.items()])
     verdict = (
         F.when(F.col("_there").isNull(), "evidence unavailable")
@@ -95,7 +95,7 @@ def reconstruct(originals: DataFrame, trades: DataFrame, available_days: DataFra
         .when(mask != 0, "candle rules")
         .otherwise("verified")
     )
-    done = met.select(*_TARGET, "day", "codes", "cells", "new_cells", matching.alias("matching"), verdict.alias("verdict"))
+    done = met.select(*_TARGET, "day", "codes", "cells", rebuilt_cells(F.col("ms")).alias("new_cells"), matching.alias("matching"), verdict.alias("verdict"))
     return done.withColumn("new_cells", F.when(F.col("verdict") == "verified", F.col("new_cells")))
 
 
