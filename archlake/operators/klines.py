@@ -15,6 +15,7 @@ from archlake.functions import dims
 from archlake.functions import exprs as E
 from archlake.functions import rules as R
 from archlake.plans.planning import archive_order
+from archlake.sources.shared import cut
 
 #: Bits of the order key that hold the row's ordinal in its archive; the archive's rank stands above them.
 _ORDINAL_BITS = 40
@@ -141,6 +142,7 @@ def scan_klines(raw: DataFrame, requests: DataFrame, archives: DataFrame, status
     merged = merge(rows)
     if overlay is not None:
         merged = with_overlay(merged, overlay, requests)
+    merged = cut(merged)  # three numbers a candle, read by four of the tables
     days = by_day(merged, requests)
     taking = archive_order(requests, archives).select("request_id", "path")
     stats = archive_stats(rows, status)

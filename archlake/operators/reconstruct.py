@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from archlake.functions import exprs as E
 from archlake.functions import rules as R
 from archlake.operators.klines import interval_length
+from archlake.sources.shared import cut
 
 #: Name of the method in the records that this library writes.
 METHOD = "AGGREGATE_TRADES_RECONSTRUCTION"
@@ -70,9 +71,9 @@ def reconstruct(originals: DataFrame, trades: DataFrame, available_days: DataFra
     step: evidence unavailable, source row unavailable, invalid evidence row, schema incomplete, ids not contiguous, trade
     count (unavailable or different), a price, more than one volume, candle rules.
     """
-    targets = originals.withColumns({"day": E.day_of(F.col("open_time")), "ms": interval_length(F.col("interval"))})
+    targets = cut(originals.withColumns({"day": E.day_of(F.col("open_time")), "ms": interval_length(F.col("interval"))}))  # few rows, used three times
     there = available_days.select("symbol", "day").distinct().withColumn("_there", F.lit(True))
-    made = rebuild(trades_of(targets, trades))
+    made = cut(rebuild(trades_of(targets, trades)))
     made = made.select(*_TARGET, *[F.col(c).alias("r_" + c) for c in made.columns if c not in _TARGET])
     met = targets.join(there, ["symbol", "day"], "left").join(made, list(_TARGET), "left")
     cell = lambda i: E.decimal(F.get("cells", F.lit(i)))

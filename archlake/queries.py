@@ -17,6 +17,7 @@ from archlake.functions import rules as R
 from archlake.operators import estimate, klines, reconstruct, report, throughput, trades
 from archlake.plans import planning
 from archlake.sources import landing, tables
+from archlake.sources.shared import cut
 
 HOUR = 3_600_000
 
@@ -88,7 +89,7 @@ def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     """(merged candles, rows in requests, requests)."""
     raw, requests = candle_archives(spark, sf_dir), scan_requests(spark, sf_dir)
     rows = klines.rows_in_requests(klines.candle_rows(raw), requests, archives_of(raw))
-    return klines.merge(rows), rows, requests
+    return cut(klines.merge(rows)), rows, requests
 
 
 def trade_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +266,7 @@ def bad_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all candles that trades may mend; trades of hours that 3 divides have lost their first one."""
     merged, rows, requests = _merged(spark, sf_dir)
-    details = klines.bad_candles(merged, rows, None).where(R.repairable(F.col("mask")))
+    details = klines.bad_candles(merged.where(R.repairable(F.col("mask"))), rows, None)
     originals = details.join(requests.select("request_id", "symbol", "interval"), "request_id").select("symbol", "interval", "open_time", "codes", "cells")
     return reconstruct.reconstruct(originals, _evidence(spark, sf_dir), _evidence_days(spark, sf_dir))
 
