@@ -243,12 +243,12 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc
     return fit(x, y, s)
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
-    """keep and score, 0 to 1: the likelihood of label 1. Null and empty texts have the score of zero features.
+def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """keep and the score (a column called `name`), 0 to 1: the likelihood of label 1. Null and empty texts have the score of zero features.
 
     Without a model (nothing to learn from) every score is 0.5. Each row is scored by itself, repeated ones too.
     """
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(name, T.DoubleType())])
 
     columns = [*keep, *[c for c in [text] if c not in keep]]
 

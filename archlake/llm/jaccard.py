@@ -1,15 +1,16 @@
 """Near-duplicate groups by an exact Jaccard join of word shingles, with a token-group matrix.
 
 1. Documents with equal shingle sets are one: their smallest id stands for them.
-2. Similar sets are put into groups: sets whose most frequent shingle is the same are held against one of them, the one
-   with the largest share of frequent shingles, and those that link to it are its group. Any other set is a group of its own.
+2. Similar sets are put into groups: sets whose most frequent shingle is the same, at most about PACK in a group. Any other
+   set is a group of its own. Of all sets with one most frequent shingle, the one with the largest share of frequent shingles
+   is compared with the others first, so that most of a family of near copies is connected early.
 3. The token-group matrix has a row for each group and each token of its members' signatures. A signature is so many of a
-   set's rarest shingles that two sets can only reach the threshold with `BOUND` of them in common. Groups that share
+   set's rarest shingles that two sets can only reach the threshold with `BOUND` of them in common. Pairs of groups that share
    fewer tokens, or whose sizes are too far apart, are never opened.
-4. Of a qualifying pair of groups, first the sets that the groups are named after are compared, then, where that doesn't
-   join the groups, all their members. Parity sketches (a bound from below on the symmetric difference) come first, an
-   exact comparison of the whole texts' shingle sets decides.
-5. Groups are the connected components of all links found. Pairs whose sets are already connected need no comparison.
+4. In a pair of groups that is opened, all members that aren't connected yet are held against each other: sizes and parity
+   sketches (a bound from below on the symmetric difference) first; of those left the whole texts' sets are compared.
+5. Groups of near copies are the connected components of all links found. Pairs of sets that are connected already need no
+   comparison.
 
 The order of shingles by frequency steers the cost only; any order gives the same links.
 """
@@ -33,6 +34,9 @@ from archlake.llm.store import cut
 #: Shared signature tokens without which a pair of groups isn't opened.
 BOUND = 2
 
+#: Members of a group, about; ids that are sent to all tasks, at most; the label of a group whose members have several.
+PACK, BROADCAST_IDS, NO_LABEL = 64, 200_000, -(1 << 63)
+
 #: Frequent shingles that every task knows, at most; and how often one must occur among the rows of an Arrow batch.
 FREQUENT, FREQUENT_IN_BATCH = 1 << 17, 3
 
@@ -108,6 +112,19 @@ def _differ(a: bytes, b: bytes) -> int:
     return int((np.unpackbits(x) ^ y).sum())
 
 
+def _differ_all(a: bytes, others: list[bytes]) -> np.ndarray:
+    """_differ of one sketch and many."""
+    out = np.zeros(len(others), np.int64)
+    equal = [k for k, b in enumerate(others) if len(b) == len(a)]
+    if equal:
+        rows = np.frombuffer(b"".join(others[k] for k in equal), np.uint8).reshape(len(equal), len(a))
+        out[equal] = np.bitwise_count(rows ^ np.frombuffer(a, np.uint8)).sum(1)
+    for k, b in enumerate(others):
+        if len(b) != len(a):
+            out[k] = _differ(a, b)
+    return out
+
+
 def describe(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray], key: str, text: str) -> DataFrame:
     """id, n, d1, d2 (a digest of the set), common (the most frequent shingle or null), share (of frequent ones), sketch."""
     keys, counts = frequent
@@ -151,9 +168,20 @@ def possible(pairs: DataFrame, about: DataFrame, rule: Rule) -> DataFrame:
     return sized.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """_id and _text of the documents in ids (one bigint column id, without repeats, already stored).
+
+    Up to BROADCAST_IDS of them are sent to all tasks so that other texts aren't shuffled; more are joined by a shuffle.
+    """
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return texts.join(wanted, F.col("_id") == F.col("id"), "left_semi")
+
+
 def linked(pairs: DataFrame, docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
     """Those of the pairs (a, b) whose whole texts link, as edges (u, v)."""
-    texts = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    pairs = cut(pairs)
+    texts = texts_of(docs, cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), key, text)
     first = pairs.join(texts, F.col("b") == F.col("_id")).select("a", "b", F.col("_text").alias("t_b"))
     both = first.join(texts, F.col("a") == F.col("_id")).select("a", "b", F.col("_text").alias("t_a"), "t_b")
 
@@ -171,49 +199,61 @@ def linked(pairs: DataFrame, docs: DataFrame, rule: Rule, key: str, text: str) -
     return both.mapInArrow(run, "u long, v long")
 
 
-def matrix(docs: DataFrame, groups: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray], key: str, text: str) -> DataFrame:
-    """The token-group matrix: token, grp, the least and greatest size of the members with it, tiny (a set that links with less than BOUND)."""
+def matrix(docs: DataFrame, moved: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray], key: str, text: str) -> DataFrame:
+    """The token-group matrix: token, grp, label (of all members if it is one, else null), the least and greatest size of
+    members with the token, and tiny (a set that links with less than BOUND).
+
+    moved: id, grp, label for sets that aren't alone in their group, with a null grp for copies that another set stands for.
+    """
     keys, counts = frequent
-    met = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(groups.select("id", "grp"), F.col("_id") == F.col("id"))
+    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
+    other = F.broadcast(moved) if moved.count() <= BROADCAST_IDS else moved
+    met = rows.join(other.select("id", "grp", "label", F.lit(True).alias("hit")), F.col("_id") == F.col("id"), "left").where(F.col("hit").isNull() | F.col("grp").isNotNull())
+    alone = F.col("hit").isNull()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grp, out, rows = batch.column(0).to_numpy(), [], []
-            for lo, _, data, offs in pieces(batch.column(1)):
+            grp, label, out, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [], []
+            for lo, _, data, offs in pieces(batch.column(2)):
                 for i, s in enumerate(sets_of(data, offs, rule.words), lo):
                     n = len(s)
                     take = min(n, n - int(rule.least(np.int64(n))) + BOUND)
                     c = _counts(s, keys, counts)
                     out.append(s[np.argsort(c, kind="stable")[:take]] if c.any() else s[:take])
-                    rows.append((grp[i], n, take))
+                    rows.append((grp[i], label[i], n, take))
             if not rows:
                 continue
-            g, n, take = (np.array(v, np.int64) for v in zip(*rows, strict=True))
-            token, g, n = np.concatenate(out).view(np.int64), np.repeat(g, take), np.repeat(n, take)
+            g, label, n, take = (np.array(v, np.int64) for v in zip(*rows, strict=True))
+            token, g, label, n = np.concatenate(out).view(np.int64), np.repeat(g, take), np.repeat(label, take), np.repeat(n, take)
             order = np.lexsort((n, g, token))  # one row for a token and group
-            token, g, n = token[order], g[order], n[order]
+            token, g, label, n = token[order], g[order], label[order], n[order]
             new = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (g[1:] != g[:-1])))) if len(token) else np.empty(0, np.int64)
             last = np.append(new[1:], len(token)) - 1
-            yield pa.record_batch([pa.array(token[new]), pa.array(g[new]), pa.array(n[new]), pa.array(n[last]), pa.array(rule.least(n[new]) < BOUND)], names=["token", "grp", "low", "high", "tiny"])
+            yield pa.record_batch(
+                [pa.array(v[new]) for v in (token, g, label, n)] + [pa.array(n[last]), pa.array(rule.least(n[new]) < BOUND)], names=["token", "grp", "label", "low", "high", "tiny"]
+            )
 
-    return met.select("grp", "_text").mapInArrow(run, "token long, grp long, low long, high long, tiny boolean")
+    bare = met.select(F.when(alone, F.col("_id")).otherwise(F.col("grp")).alias("grp"), F.when(alone, F.col("_id")).otherwise(F.col("label")).alias("label"), "_text")
+    return bare.mapInArrow(run, "token long, grp long, label long, low long, high long, tiny boolean")
 
 
 def qualifying(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of groups, a < b, that share BOUND tokens of the matrix and have sizes that can link."""
+    """Pairs (a, b) of groups, a < b, that share BOUND tokens of the matrix and have sizes that can link.
+
+    Groups whose members are all connected with each other (the same label, not NO_LABEL) don't meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(5)] for b in batches]
+        got = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(6)] for b in batches]
         if not got:
             return
-        token, g, low, high, tiny = (np.concatenate(v) for v in zip(*got, strict=True))
+        token, g, label, low, high, tiny = (np.concatenate(v) for v in zip(*got, strict=True))
         order = np.lexsort((g, token))
-        token, g, low, high, tiny = (v[order] for v in (token, g, low, high, tiny))
-        start = np.flatnonzero(token[1:] == token[:-1])  # rows with a next one of the same token
-        step = 1
+        token, g, label, low, high, tiny = (v[order] for v in (token, g, label, low, high, tiny))
+        start, step = np.flatnonzero(token[1:] == token[:-1]), 1  # rows with a next one of the same token
         while len(start):
             i, j = start, start + step
-            able = (g[i] != g[j]) & (high[i] * rule.den >= low[j] * rule.num) & (high[j] * rule.den >= low[i] * rule.num)
+            able = (g[i] != g[j]) & (high[i] * rule.den >= low[j] * rule.num) & (high[j] * rule.den >= low[i] * rule.num) & ((label[i] != label[j]) | (label[i] == NO_LABEL))
             i, j = i[able], j[able]
             for k in range(0, len(i), 1 << 16):
                 x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
@@ -226,6 +266,39 @@ def qualifying(rows: DataFrame, rule: Rule) -> DataFrame:
     return dealt.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= BOUND).select("a", "b")
 
 
+def open_groups(opened: DataFrame, member: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of members of opened pairs of groups, and of one group, that sizes and sketches don't rule out.
+
+    member: id, n, sketch, grp, label. A group's members, about PACK of them, are one row; pairs that are ruled out, and those
+    that are connected already, never become rows.
+    """
+    needed = opened.select(F.col("a").alias("grp")).union(opened.select("b")).distinct()
+    large = member.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
+    packed = member.join(needed.union(large).distinct(), "grp").groupBy("grp").agg(F.collect_list(F.struct("id", "n", "label", "sketch")).alias("rows"))
+    packed = cut(packed)
+    left, right = packed.select(F.col("grp").alias("a"), F.col("rows").alias("rows_a")), packed.select(F.col("grp").alias("b"), F.col("rows").alias("rows_b"))
+    itself = packed.join(large, "grp").select(F.col("rows").alias("rows_a"), F.col("rows").alias("rows_b"))
+    met = opened.join(left, "a").join(right, "b").select("rows_a", "rows_b").unionByName(itself)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_a, out_b = [], []
+            for i in range(batch.num_rows):
+                one, two = batch.column(0)[i].values, batch.column(1)[i].values
+                ids, n, label = (two.field(c).to_numpy() for c in ("id", "n", "label"))
+                sketches = two.field("sketch").to_pylist()
+                for q, size, mark, sketch in zip(*(one.field(c).to_pylist() for c in ("id", "n", "label", "sketch")), strict=True):
+                    on = np.flatnonzero((label != mark) & (ids != q) & (n * rule.den >= size * rule.num) & (n * rule.num <= size * rule.den))
+                    if len(on):
+                        on = on[_differ_all(sketch, [sketches[k] for k in on.tolist()]) <= rule.apart(n[on], np.int64(size))]
+                        out_a.extend([q] * len(on))
+                        out_b.extend(ids[on].tolist())
+            a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles (size of the set) and component_id (the smallest key reachable by links, or the own key).
 
@@ -239,39 +312,33 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", t
     about = cut(describe(docs, rule, frequent, key, text))
     sets = about.where(F.col("id").isNotNull() & (F.col("n") > 0))
     digest = ["n", "d1", "d2"]
-    firsts = sets.groupBy(*digest).agg(F.min("id").alias("first"))
-    same = cut(sets.select("id", *digest).join(firsts, digest).select("id", "first"))
+    firsts = sets.groupBy(*digest).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    same = cut(sets.select("id", *digest).join(firsts, digest, "left").select("id", F.coalesce("first", "id").alias("first")))
     equal = same.where(F.col("id") != F.col("first")).select(F.col("first").alias("u"), F.col("id").alias("v"))
     single = same.where(F.col("id") == F.col("first")).select("id").distinct()
-    chosen = cut(sets.join(single, "id").dropDuplicates(["id", *digest]))
+    chosen = cut(sets.join(single, "id").dropDuplicates(["id"]))
 
-    # groups: frequent shingle -> the set with the largest share of frequent ones, and those that link to it
-    heads = chosen.where(F.col("common").isNotNull()).groupBy(F.col("common").alias("c")).agg(F.max(F.struct("share", (-F.col("id")).alias("m"))).alias("h"), F.count(F.lit(1)).alias("k"))
-    star = chosen.join(heads.where(F.col("k") > 1), F.col("common") == F.col("c")).select((-F.col("h.m")).alias("a"), F.col("id").alias("b")).where(F.col("a") != F.col("b"))
+    # of all sets with one most frequent shingle, the one with the largest share of frequent ones meets the others
+    heads = chosen.where(F.col("common").isNotNull()).groupBy(F.col("common").alias("c")).agg(F.max(F.struct("share", (-F.col("id")).alias("m"))).alias("h"), F.count(F.lit(1)).alias("k"), F.min("id").alias("least"))
+    several = chosen.select("id", "n", "sketch", "common").join(heads.where(F.col("k") > 1), F.col("common") == F.col("c"))
+    star = several.select((-F.col("h.m")).alias("a"), F.col("id").alias("b")).where(F.col("a") != F.col("b"))
     first_links = cut(linked(possible(star, chosen, rule), named, rule, key, text))
-    joined = first_links.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("head"))
-    groups = cut(chosen.select("id", "n").join(joined, "id", "left").select("id", "n", F.coalesce("head", "id").alias("grp")))
-
-    opened = cut(qualifying(matrix(named, groups, rule, frequent, key, text), rule))
-    second_links = cut(linked(possible(opened, chosen, rule), named, rule, key, text))
-    found = first_links.unionByName(second_links)
-
-    # members of groups that are still apart
-    label = components(found)
-    large = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("grp")
-    for end in ("a", "b"):
-        opened = opened.join(label.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")), end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
-    apart = opened.where(F.col("c_a") != F.col("c_b"))
-    apart = apart.join(large.select(F.col("grp").alias("a"), F.lit(1).alias("l_a")), "a", "left").join(large.select(F.col("grp").alias("b"), F.lit(1).alias("l_b")), "b", "left")
-    apart = apart.where(F.col("l_a").isNotNull() | F.col("l_b").isNotNull()).select(F.col("a").alias("g_a"), F.col("b").alias("g_b"))
-    member = groups.select("grp", "id")
-    pairs = (
-        apart.join(member.select(F.col("grp").alias("g_a"), F.col("id").alias("a")), "g_a")
-        .join(member.select(F.col("grp").alias("g_b"), F.col("id").alias("b")), "g_b")
-        .where((F.col("a") != F.col("g_a")) | (F.col("b") != F.col("g_b")))
-    )
-    third_links = cut(linked(possible(pairs, chosen, rule), named, rule, key, text))
-    all_links = reduce(DataFrame.unionByName, [found, third_links, equal])
+
+    # groups of about PACK sets; their names are the ids of their first members
+    heard = first_links.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("head"))
+    dealt = several.join(heard, "id", "left").select("id", "n", "sketch", "c", F.coalesce("head", "id").alias("label"), F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / PACK)).alias("chunk"))
+    names = dealt.groupBy("c", "chunk").agg(F.min("id").alias("grp"), F.min("label").alias("low"), F.max("label").alias("high"))
+    grouped = cut(dealt.join(names, ["c", "chunk"]).select("id", "n", "sketch", "grp", "label", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(NO_LABEL)).alias("all_label")))
+    copies = same.where(F.col("id") != F.col("first")).select("id").distinct().join(chosen.select("id"), "id", "left_anti")
+    empty = about.where("id is not null and n = 0").select("id").distinct().join(chosen.select("id"), "id", "left_anti")
+    none = F.lit(None).cast("long")
+    moved = cut(grouped.select("id", "grp", F.col("all_label").alias("label")).union(copies.union(empty).distinct().select("id", none, none)))
+
+    opened = cut(qualifying(matrix(named, moved, rule, frequent, key, text), rule))
+    alone = chosen.select("id", "n", "sketch").join(grouped.select("id"), "id", "left_anti").select("id", "n", "sketch", F.col("id").alias("grp"), F.col("id").alias("label"))
+    member = grouped.select("id", "n", "sketch", "grp", "label").unionByName(alone)
+    second_links = cut(linked(open_groups(opened, member, rule), named, rule, key, text))
+    all_links = reduce(DataFrame.unionByName, [first_links, second_links, equal])
     final = components(all_links)
-    sizes = about.select(F.col("id").alias(key), F.col("n").alias("n_shingles"))
-    return sizes.join(final, F.col(key) == F.col("node"), "left").select(key, "n_shingles", F.coalesce("component", key).alias("component_id"))
+    counts = about.select(F.col("id").alias(key), F.col("n").alias("n_shingles"))
+    return counts.join(final, F.col(key) == F.col("node"), "left").select(key, "n_shingles", F.coalesce("component", key).alias("component_id"))

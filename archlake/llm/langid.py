@@ -161,7 +161,7 @@ def train(docs: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "
     The sample is bounded by settings.sample_rows; each of its texts goes to the driver as at most settings.buckets counts.
     """
     s = settings
-    few = docs.where(may_learn & F.col(label).isNotNull() & F.col(text).isNotNull()).withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.lit(s.seed)))
+    few = docs.where(may_learn & F.col(label).isNotNull() & F.col(text).isNotNull()).select(key, text, label).withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.lit(s.seed)))
     chosen = few.select(key, label, "_h").orderBy("_h", key).limit(s.sample_rows).select(F.col("_h").alias("_c")).distinct()
     got = bags(few.join(F.broadcast(chosen), F.col("_h") == F.col("_c")), [label, "_h"], text, s.buckets).where(F.size("buckets") > 0)
     table = got.limit(2 * s.sample_rows).toArrow()  # a hash that many rows share can't make it larger
@@ -204,13 +204,13 @@ def _calibrate(z: np.ndarray, y: np.ndarray, s: Settings) -> tuple[float, float]
     return t, min(s.threshold_limit, threshold * 0.5)
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
-    """keep, lang_pred, score (0 to 1: the calibrated probability of lang_pred) and accepted.
+def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:
+    """keep, lang_pred, score (0 to 1: the calibrated probability of lang_pred) and accepted, with `prefix` before these names.
 
     'und' with score 0 for a null text and one without a letter, and for every text if there is no model; these and
     texts whose score is under the model's threshold are not accepted. Of tied languages the first by name is taken.
     """
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(prefix + "lang_pred", T.StringType()), T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "accepted", T.BooleanType())])
 
     columns = [*keep, *[c for c in [text] if c not in keep]]
 

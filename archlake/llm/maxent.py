@@ -86,6 +86,9 @@ class Lexicon:
     def of(counts: DataFrame) -> Lexicon:
         top = counts.orderBy(F.desc("c"), "h").limit(HEAD_WORDS).toArrow()
         keys, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
+        if len(keys) and END_KEY not in keys:  # texts so long that their ends are rare
+            ends = counts.where(F.col("h") == int(END_KEY.view(np.int64))).first()["c"]
+            keys, c = np.append(keys, END_KEY), np.append(c, ends)
         sums = {r["k"]: (r["t"], r["w"]) for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(SUFFIXES - 1)).alias("k")).agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("w")).collect()}
         tokens = np.array([sums.get(k, (0, 0))[0] for k in range(SUFFIXES)], np.int64)
         words = np.array([sums.get(k, (0, 0))[1] for k in range(SUFFIXES)], np.int64)
