@@ -76,13 +76,14 @@ def reconstruct(originals: DataFrame, trades: DataFrame, available_days: DataFra
     made = cut(rebuild(trades_of(targets, trades)))
     made = made.select(*_TARGET, *[F.col(c).alias("r_" + c) for c in made.columns if c not in _TARGET])
     met = targets.join(there, ["symbol", "day"], "left").join(made, list(_TARGET), "left")
-    cell = lambda i: E.decimal(F.get("cells", F.lit(i)))
-    agree = lambda name, i: F.coalesce(E.close(cell(i), F.col("r_" + name)), F.lit(False))
-    matching = F.array_compact(F.array(*[F.when(agree(n, i), F.lit(n)) for n, i in VOLUMES.items()]))
-    count = cell(8)
+    # step by step, so that no expression holds another one several times
+    met = met.withColumns({f"o_{n}": E.decimal(F.get("cells", F.lit(i))) for n, i in (PRICES | VOLUMES | {"trade_count": 8}).items()})
+    met = met.withColumns({f"a_{n}": F.coalesce(E.close(F.col("o_" + n), F.col("r_" + n)), F.lit(False)) for n in PRICES | VOLUMES})
+    met = met.withColumn("matching", F.array_compact(F.array(*[F.when(F.col("a_" + n), F.lit(n)) for n in VOLUMES])))
+    count = F.col("o_trade_count")
     rebuilt = {k: F.col("r_" + k).cast("double") for k in (*R.REQUIRED, *R.OPTIONAL)}
     mask = R.candle_mask(F.array(*[F.lit("")] * 12), rebuilt, F.lit("klines"), F.col("open_time"), F.col("ms"))
-    prices = F.coalesce(*[F.when(~agree(n, i), F.lit(f"{n} differs")) for n, i in PRICES.items()])
+    met = met.withColumns({"rules": mask, "price": F.coalesce(*[F.when(~F.col("a_" + n), F.lit(f"{n} differs")) for n in PRICES])})
     verdict = (
         F.when(F.col("_there").isNull(), "evidence unavailable")
         .when(F.col("cells").isNull(), "source row unavailable")
@@ -91,12 +92,12 @@ def reconstruct(originals: DataFrame, trades: DataFrame, available_days: DataFra
         .when(~F.col("r_contiguous"), "trade ids not contiguous")
         .when(count.isNull(), "trade count unavailable")
         .when(count != F.col("r_trade_count"), "trade count differs")
-        .when(prices.isNotNull(), prices)
-        .when(F.size(matching) < 3, "volumes differ")
-        .when(mask != 0, "candle rules")
+        .when(F.col("price").isNotNull(), F.col("price"))
+        .when(F.size("matching") < 3, "volumes differ")
+        .when(F.col("rules") != 0, "candle rules")
         .otherwise("verified")
     )
-    done = met.select(*_TARGET, "day", "codes", "cells", rebuilt_cells(F.col("ms")).alias("new_cells"), matching.alias("matching"), verdict.alias("verdict"))
+    done = met.select(*_TARGET, "day", "codes", "cells", rebuilt_cells(F.col("ms")).alias("new_cells"), "matching", verdict.alias("verdict"))
     return done.withColumn("new_cells", F.when(F.col("verdict") == "verified", F.col("new_cells")))
 
 

@@ -12,6 +12,7 @@ from archlake.functions import rules as R
 from archlake.operators import klines, reconstruct, throughput, trades
 from archlake.plans import planning
 from archlake.sources import landing, tables
+from archlake.sources.shared import cut
 
 D = dt.date
 REQ = "symbol string, datasets array<string>, intervals array<string>, start date, end date, today date"
@@ -112,31 +113,22 @@ def test_scan_counts_gaps_and_broken_archives(spark, tmp_path):
     assert again.exceptAll(out["merged"]).isEmpty()
 
 
-def test_reconstruct_and_overlay(spark, tmp_path):
-    root = str(tmp_path)
+def test_reconstruct_and_overlay(spark):
     ms = int(DAY.timestamp() * 1000) + 755 * 60000
-
-    def wrong(row):
-        return [row[0], 1, 1, 1, 1, 10, row[6], 20, 2, 12, 12, 0]
-
-    put(root, MONTH, candles(wrong))
-    rows = [f"1,1,12,100,100,{ms + 1000},false", f"2,1,8,101,101,{ms + 2000},true"]
-    base = scan(spark, root)
-    originals = base["details"].join(requests(spark).select("request_id", "symbol", "interval"), "request_id").select("symbol", "interval", "open_time", "codes", "cells")
-    days = spark.createDataFrame([("BTCUSDT", D(2023, 11, 30))], "symbol string, day date")
-
-    def verdict(lines):
-        raw = spark.createDataFrame([("BTCUSDT", line.split(",")) for line in lines], "symbol string, cells array<string>")
-        return reconstruct.reconstruct(originals, reconstruct.evidence(raw), days)
-
-    good = verdict(rows).first()
-    assert good.verdict == "verified" and len(good.matching) == 3
-    after = scan(spark, root, reconstruct.overlay_rows(verdict(rows)))["summary"].first()
-    assert (after.invalid, after.missing, after.complete) == (0, 0, True)
-    assert verdict([f"1,1,20,100,100,{ms + 1000},false"]).first().verdict == "trade count differs"
-    assert verdict([rows[0], f"2,1,8,105,105,{ms + 2000},true"]).first().verdict == "trade ids not contiguous"
-    none = reconstruct.reconstruct(originals, reconstruct.evidence(spark.createDataFrame([], "symbol string, cells array<string>")), days.limit(0))
-    assert none.first().verdict == "evidence unavailable"
+    bad = [str(x) for x in (ms, 1, 1, 1, 1, 10, ms + 59999, 20, 2, 12, 12, 0)]
+    shape = "symbol string, interval string, open_time long, codes array<string>, cells array<string>"
+    originals = spark.createDataFrame([(f"S{k}", "1m", ms, ["TAKER_VOLUME_EXCEEDS_TOTAL"], bad) for k in range(4)], shape)
+    days = spark.createDataFrame([(f"S{k}", D(2023, 11, 30)) for k in range(3)], "symbol string, day date")
+    good = [f"1,1,12,100,100,{ms + 1000},false", f"2,1,8,101,101,{ms + 2000},true"]
+    lines = [("S0", x) for x in good] + [("S1", f"1,1,20,100,100,{ms + 1000},false")] + [("S2", good[0]), ("S2", f"2,1,8,105,105,{ms + 2000},true")]
+    raw = spark.createDataFrame([(k, x.split(",")) for k, x in lines], "symbol string, cells array<string>")
+    found = cut(reconstruct.reconstruct(originals, reconstruct.evidence(raw), days))
+    got = {r.symbol: r for r in found.collect()}
+    assert {k: r.verdict for k, r in got.items()} == {"S0": "verified", "S1": "trade count differs", "S2": "trade ids not contiguous", "S3": "evidence unavailable"}
+    assert len(got["S0"].matching) == 3 and float(got["S0"].new_cells[5]) == 20
+    merged = spark.createDataFrame([("r", ms, 1 << 21, 5)], "request_id string, open_time long, mask long, order_key long")
+    asked = requests(spark).withColumn("symbol", F.lit("S0"))
+    assert klines.with_overlay(merged, reconstruct.overlay_rows(found), asked).first().mask == 0
 
 
 def trade_scan(spark, root, lines_by_path):
