@@ -12,7 +12,8 @@
 5. Groups of near copies are the connected components of all links found. Pairs of sets that are connected already need no
    comparison.
 
-The order of shingles by frequency steers the cost only; any order gives the same links.
+The order of shingles by frequency (known of frequent shingles, else by their words) steers the cost only; any order that all
+documents share gives the same links.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archlake.llm.blocks import mix, pieces, shingle_keys, word_keys
+from archlake.llm.blocks import mix, pieces, shingle_keys, utf8, word_keys
 from archlake.llm.components import components
 from archlake.llm.store import cut
 
@@ -37,9 +38,15 @@ BOUND = 2
 #: Members of a group, about; ids that are sent to all tasks, at most; the label of a group whose members have several.
 PACK, BROADCAST_IDS, NO_LABEL = 64, 200_000, -(1 << 63)
 
-#: Frequent shingles that every task knows, at most; and how often one must occur among the rows of an Arrow batch.
+#: Frequent shingles, and frequent words, that every task knows, at most; and how often one must occur among the rows of an Arrow batch.
 FREQUENT, FREQUENT_IN_BATCH = 1 << 17, 3
 
+#: Pairs of groups that a task holds before it adds them up.
+HELD_PAIRS = 1 << 20
+
+#: Steps of a word's cost in a bit.
+COST_SCALE = 64
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -65,33 +72,78 @@ def sets_of(data: np.ndarray, offs: np.ndarray, words: int) -> list[np.ndarray]:
     return [np.unique(shingles[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def frequent_shingles(docs: DataFrame, rule: Rule, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (ascending) and counts of the most frequent shingles; a batch counts equal sets once."""
+@dataclass(frozen=True)
+class Frequency:
+    """What is known of the corpus: keys (ascending) and counts of frequent shingles, keys and costs of frequent words.
+
+    A word's cost is COST_SCALE times the binary logarithm of one over its share of all words.
+    """
+
+    shingles: np.ndarray
+    counts: np.ndarray
+    words: np.ndarray
+    costs: np.ndarray
+
+    def ranks(self, data: np.ndarray, offs: np.ndarray, n: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """For each row its distinct shingles, ascending, their ranks (rarer ones are smaller) and their counts.
+
+        A shingle's rank depends on its words alone, so it is the same in every row: frequent shingles come last, by their
+        count, the others by the product of their words' shares. Costs are integers, so that sums are exact.
+        """
+        _, _, first, keys = word_keys(data, offs)
+        shingles, at = shingle_keys(keys, first, n)
+        unknown = int(self.costs.max()) + COST_SCALE if len(self.costs) else 1
+        cost = np.concatenate(([0], np.cumsum(_found(keys, self.words, self.costs, unknown))))
+        have = np.diff(first)
+        start = np.repeat(first[:-1] - at[:-1], np.diff(at)) + np.arange(len(shingles))
+        paid = cost[start + np.minimum(np.repeat(have, np.diff(at)), n)] - cost[start]
+        counts = _found(shingles, self.shingles, self.counts, 0)
+        rank = np.where(counts > 0, counts, -paid - 1)
+        out: tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]] = ([], [], [])
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            s, one = np.unique(shingles[lo:hi], return_index=True)
+            for to, part in zip(out, (s, rank[lo:hi][one], counts[lo:hi][one]), strict=True):
+                to.append(part)
+        return out
+
+
+def _found(x: np.ndarray, keys: np.ndarray, values: np.ndarray, other: int) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(x), other, np.int64)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[at] == x, values[at], other)
+
+
+def frequencies(docs: DataFrame, rule: Rule, text: str) -> Frequency:
+    """The most frequent shingles (a batch counts equal sets once) and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, seen = [np.empty(0, np.uint64)], set()
+            found, seen, total = [np.empty(0, np.uint64)], set(), [np.empty(0, np.uint64)]
             for _, _, data, offs in pieces(batch.column(0)):
-                for s in sets_of(data, offs, rule.words):
+                _, _, first, words = word_keys(data, offs)
+                total.append(words)
+                shingles, at = shingle_keys(words, first, rule.words)
+                for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    s = np.unique(shingles[lo:hi])
                     mark = (len(s), int(s.sum()) if len(s) else 0)
                     if mark not in seen:
                         seen.add(mark)
                         found.append(s)
-            keys, n = np.unique(np.concatenate(found), return_counts=True)
-            on = n >= FREQUENT_IN_BATCH
-            yield pa.record_batch([pa.array(keys[on].view(np.int64)), pa.array(n[on].astype(np.int64))], names=["h", "n"])
-
-    top = docs.select(text).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    keys, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
-
-
-def _counts(s: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(s), np.int64)
-    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-    return np.where(keys[at] == s, n[at], 0)
+            for word, all_keys in ((False, found), (True, total)):
+                keys, n = np.unique(np.concatenate(all_keys), return_counts=True)
+                on = n >= FREQUENT_IN_BATCH
+                yield pa.record_batch([pa.array(np.full(int(on.sum()), word)), pa.array(keys[on].view(np.int64)), pa.array(n[on].astype(np.int64))], names=["word", "h", "n"])
+
+    counted = cut(docs.select(text).mapInArrow(run, "word boolean, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n")))
+    tops = []
+    for word in (False, True):
+        top = counted.where(F.col("word") == word).orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+        keys, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
+        order = np.argsort(keys)
+        tops += [keys[order], n[order]]
+    shares = tops[3] / max(1, tops[3].sum())
+    return Frequency(tops[0], tops[1], tops[2], np.rint(-COST_SCALE * np.log2(shares)).astype(np.int64))
 
 
 def _sketch(s: np.ndarray) -> bytes:
@@ -125,29 +177,33 @@ def _differ_all(a: bytes, others: list[bytes]) -> np.ndarray:
     return out
 
 
-def describe(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray], key: str, text: str) -> DataFrame:
-    """id, n, d1, d2 (a digest of the set), common (the most frequent shingle or null), share (of frequent ones), sketch."""
-    keys, counts = frequent
+def describe(docs: DataFrame, rule: Rule, known: Frequency, key: str, text: str) -> DataFrame:
+    """id, n, d1, d2 (a digest of the set), common (the most frequent shingle or null), share (of frequent ones), sketch, tokens
+    (the signature: the set's rarest shingles, as 64-bit integers).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in pieces(batch.column(1)):
                 out = []
-                for s in sets_of(data, offs, rule.words):
-                    c = _counts(s, keys, counts)
-                    best = int(s[c == c.max()][0].view(np.int64)) if len(s) and c.max() else None
-                    d1 = int(s.sum().view(np.int64)) if len(s) else 0
-                    d2 = int(np.bitwise_xor.reduce(mix(s + np.uint64(9))).view(np.int64)) if len(s) else 0
-                    out.append((len(s), d1, d2, best, float((c > 0).mean()) if len(s) else 0.0, _sketch(s)))
+                for s, rank, c in zip(*known.ranks(data, offs, rule.words), strict=True):
+                    n = len(s)
+                    if not n:
+                        out.append((0, 0, 0, None, 0.0, _sketch(s), b""))
+                        continue
+                    best = int(s[c.argmax()].view(np.int64)) if c.max() else None
+                    d1, d2 = int(s.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(9))).view(np.int64))
+                    rarest = s[np.argsort(rank, kind="stable")[: n - int(rule.least(np.int64(n))) + BOUND]]
+                    out.append((n, d1, d2, best, float((c > 0).mean()), _sketch(s), rarest.tobytes()))
                 cols = list(zip(*out, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary())
                 yield pa.record_batch(
                     [batch.column(0).slice(lo, hi - lo), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
-                    names=["id", "n", "d1", "d2", "common", "share", "sketch"],
+                    names=["id", "n", "d1", "d2", "common", "share", "sketch", "tokens"],
                 )
 
     bare = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return bare.mapInArrow(run, "id long, n long, d1 long, d2 long, common long, share double, sketch binary")
+    return bare.mapInArrow(run, "id long, n long, d1 long, d2 long, common long, share double, sketch binary, tokens binary")
 
 
 def possible(pairs: DataFrame, about: DataFrame, rule: Rule) -> DataFrame:
@@ -199,68 +255,78 @@ def linked(pairs: DataFrame, docs: DataFrame, rule: Rule, key: str, text: str) -
     return both.mapInArrow(run, "u long, v long")
 
 
-def matrix(docs: DataFrame, moved: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray], key: str, text: str) -> DataFrame:
-    """The token-group matrix: token, grp, label (of all members if it is one, else null), the least and greatest size of
-    members with the token, and tiny (a set that links with less than BOUND).
+def matrix(sets: DataFrame, moved: DataFrame, rule: Rule) -> DataFrame:
+    """The token-group matrix: token, grp, label (of all members if it is one, else NO_LABEL), and the least and greatest size
+    of members with the token.
 
-    moved: id, grp, label for sets that aren't alone in their group, with a null grp for copies that another set stands for.
+    sets: id, n, tokens. moved: id, grp, label for sets that aren't alone in their group, with a null grp for copies that
+    another set stands for.
     """
-    keys, counts = frequent
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    other = F.broadcast(moved) if moved.count() <= BROADCAST_IDS else moved
-    met = rows.join(other.select("id", "grp", "label", F.lit(True).alias("hit")), F.col("_id") == F.col("id"), "left").where(F.col("hit").isNull() | F.col("grp").isNotNull())
-    alone = F.col("hit").isNull()
+    met = sets.select("id", "n", "tokens").join(moved.select("id", "grp", "label", F.lit(True).alias("hit")), "id", "left").where("hit is null or grp is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grp, label, out, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [], []
-            for lo, _, data, offs in pieces(batch.column(2)):
-                for i, s in enumerate(sets_of(data, offs, rule.words), lo):
-                    n = len(s)
-                    take = min(n, n - int(rule.least(np.int64(n))) + BOUND)
-                    c = _counts(s, keys, counts)
-                    out.append(s[np.argsort(c, kind="stable")[:take]] if c.any() else s[:take])
-                    rows.append((grp[i], label[i], n, take))
-            if not rows:
+            g, label, n = (batch.column(k).to_numpy() for k in range(3))
+            data, offs = utf8(batch.column(3))
+            take = np.diff(offs) // 8
+            token, g, label, n = np.frombuffer(data.tobytes(), np.int64), np.repeat(g, take), np.repeat(label, take), np.repeat(n, take)
+            if not len(token):
                 continue
-            g, label, n, take = (np.array(v, np.int64) for v in zip(*rows, strict=True))
-            token, g, label, n = np.concatenate(out).view(np.int64), np.repeat(g, take), np.repeat(label, take), np.repeat(n, take)
             order = np.lexsort((n, g, token))  # one row for a token and group
             token, g, label, n = token[order], g[order], label[order], n[order]
-            new = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (g[1:] != g[:-1])))) if len(token) else np.empty(0, np.int64)
+            new = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (g[1:] != g[:-1]))))
             last = np.append(new[1:], len(token)) - 1
-            yield pa.record_batch(
-                [pa.array(v[new]) for v in (token, g, label, n)] + [pa.array(n[last]), pa.array(rule.least(n[new]) < BOUND)], names=["token", "grp", "label", "low", "high", "tiny"]
-            )
+            sizes = (n[new].astype(np.int32), n[last].astype(np.int32))
+            yield pa.record_batch([pa.array(v) for v in (token[new], g[new], label[new], *sizes)], names=["token", "grp", "label", "low", "high"])
 
-    bare = met.select(F.when(alone, F.col("_id")).otherwise(F.col("grp")).alias("grp"), F.when(alone, F.col("_id")).otherwise(F.col("label")).alias("label"), "_text")
-    return bare.mapInArrow(run, "token long, grp long, label long, low long, high long, tiny boolean")
+    bare = met.select(F.when(F.col("hit").isNull(), F.col("id")).otherwise(F.col("grp")).alias("grp"), F.when(F.col("hit").isNull(), F.col("id")).otherwise(F.col("label")).alias("label"), "n", "tokens")
+    return bare.mapInArrow(run, "token long, grp long, label long, low int, high int")
 
 
 def qualifying(rows: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of groups, a < b, that share BOUND tokens of the matrix and have sizes that can link.
 
-    Groups whose members are all connected with each other (the same label, not NO_LABEL) don't meet.
+    Groups whose members are all connected with each other (the same label, not NO_LABEL) don't meet. A task adds up what
+    its tokens say of a pair before it gives the pair out.
     """
 
+    def added(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((b, a))
+        a, b, n = a[order], b[order], n[order]
+        new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        return a[new], b[new], np.minimum(np.add.reduceat(n, new), BOUND)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(6)] for b in batches]
+        got = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(5)] for b in batches]
         if not got:
             return
-        token, g, label, low, high, tiny = (np.concatenate(v) for v in zip(*got, strict=True))
+        token, g, label, low, high = (np.concatenate(v) for v in zip(*got, strict=True))
+        low, high = low.astype(np.int64), high.astype(np.int64)
         order = np.lexsort((g, token))
-        token, g, label, low, high, tiny = (v[order] for v in (token, g, label, low, high, tiny))
+        token, g, label, low, high = (v[order] for v in (token, g, label, low, high))
+        tiny = rule.least(low) < BOUND  # such a set links with fewer shared tokens than BOUND
         start, step = np.flatnonzero(token[1:] == token[:-1]), 1  # rows with a next one of the same token
+        held, rows_held = [], 0
         while len(start):
-            i, j = start, start + step
-            able = (g[i] != g[j]) & (high[i] * rule.den >= low[j] * rule.num) & (high[j] * rule.den >= low[i] * rule.num) & ((label[i] != label[j]) | (label[i] == NO_LABEL))
-            i, j = i[able], j[able]
-            for k in range(0, len(i), 1 << 16):
-                x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                yield pa.record_batch([pa.array(g[x]), pa.array(g[y]), pa.array(np.where(tiny[x] & tiny[y], BOUND, 1))], names=["a", "b", "n"])
+            for k in range(0, len(start), HELD_PAIRS):
+                i = start[k : k + HELD_PAIRS]
+                j = i + step
+                able = (g[i] != g[j]) & (high[i] * rule.den >= low[j] * rule.num) & (high[j] * rule.den >= low[i] * rule.num) & ((label[i] != label[j]) | (label[i] == NO_LABEL))
+                i, j = i[able], j[able]
+                if len(i):
+                    held.append((g[i], g[j], np.where(tiny[i] & tiny[j], BOUND, 1)))
+                    rows_held += len(i)
+                if rows_held >= HELD_PAIRS:
+                    held = [added(*(np.concatenate(v) for v in zip(*held, strict=True)))]
+                    rows_held = len(held[0][0])
+                    if rows_held >= HELD_PAIRS // 2:
+                        yield pa.record_batch([pa.array(v) for v in held[0]], names=["a", "b", "n"])
+                        held, rows_held = [], 0
             step += 1
             start = start[start + step < len(token)]
             start = start[token[start] == token[start + step]]
+        if held:
+            yield pa.record_batch([pa.array(v) for v in added(*(np.concatenate(v) for v in zip(*held, strict=True)))], names=["a", "b", "n"])
 
     dealt = rows.repartition("token").mapInArrow(run, "a long, b long, n long")
     return dealt.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= BOUND).select("a", "b")
@@ -308,15 +374,14 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", t
     """
     docs = docs.select(key, text)
     named = docs.where(F.col(key).isNotNull())
-    frequent = frequent_shingles(named, rule, text)
-    about = cut(describe(docs, rule, frequent, key, text))
+    about = cut(describe(docs, rule, frequencies(named, rule, text), key, text))
     sets = about.where(F.col("id").isNotNull() & (F.col("n") > 0))
     digest = ["n", "d1", "d2"]
     firsts = sets.groupBy(*digest).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
     same = cut(sets.select("id", *digest).join(firsts, digest, "left").select("id", F.coalesce("first", "id").alias("first")))
     equal = same.where(F.col("id") != F.col("first")).select(F.col("first").alias("u"), F.col("id").alias("v"))
     single = same.where(F.col("id") == F.col("first")).select("id").distinct()
-    chosen = cut(sets.join(single, "id").dropDuplicates(["id"]))
+    chosen = cut(sets.drop("tokens").join(single, "id").dropDuplicates(["id"]))
 
     # of all sets with one most frequent shingle, the one with the largest share of frequent ones meets the others
     heads = chosen.where(F.col("common").isNotNull()).groupBy(F.col("common").alias("c")).agg(F.max(F.struct("share", (-F.col("id")).alias("m"))).alias("h"), F.count(F.lit(1)).alias("k"), F.min("id").alias("least"))
@@ -324,17 +389,18 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", t
     star = several.select((-F.col("h.m")).alias("a"), F.col("id").alias("b")).where(F.col("a") != F.col("b"))
     first_links = cut(linked(possible(star, chosen, rule), named, rule, key, text))
 
-    # groups of about PACK sets; their names are the ids of their first members
+    # groups of about PACK sets, those connected by now apart from the others; their names are the ids of their first members
     heard = first_links.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("head"))
-    dealt = several.join(heard, "id", "left").select("id", "n", "sketch", "c", F.coalesce("head", "id").alias("label"), F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / PACK)).alias("chunk"))
-    names = dealt.groupBy("c", "chunk").agg(F.min("id").alias("grp"), F.min("label").alias("low"), F.max("label").alias("high"))
-    grouped = cut(dealt.join(names, ["c", "chunk"]).select("id", "n", "sketch", "grp", "label", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(NO_LABEL)).alias("all_label")))
+    near = (F.col("head").isNotNull() | (F.col("id") == -F.col("h.m"))).alias("near")
+    dealt = several.join(heard, "id", "left").select("id", "n", "sketch", "c", near, F.coalesce("head", "id").alias("label"), F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / PACK)).alias("chunk"))
+    names = dealt.groupBy("c", "near", "chunk").agg(F.min("id").alias("grp"), F.min("label").alias("low"), F.max("label").alias("high"))
+    grouped = cut(dealt.join(names, ["c", "near", "chunk"]).select("id", "n", "sketch", "grp", "label", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(NO_LABEL)).alias("all_label")))
     copies = same.where(F.col("id") != F.col("first")).select("id").distinct().join(chosen.select("id"), "id", "left_anti")
     empty = about.where("id is not null and n = 0").select("id").distinct().join(chosen.select("id"), "id", "left_anti")
     none = F.lit(None).cast("long")
     moved = cut(grouped.select("id", "grp", F.col("all_label").alias("label")).union(copies.union(empty).distinct().select("id", none, none)))
 
-    opened = cut(qualifying(matrix(named, moved, rule, frequent, key, text), rule))
+    opened = cut(qualifying(matrix(sets, moved, rule), rule))
     alone = chosen.select("id", "n", "sketch").join(grouped.select("id"), "id", "left_anti").select("id", "n", "sketch", F.col("id").alias("grp"), F.col("id").alias("label"))
     member = grouped.select("id", "n", "sketch", "grp", "label").unionByName(alone)
     second_links = cut(linked(open_groups(opened, member, rule), named, rule, key, text))
