@@ -1,8 +1,8 @@
 """Near-duplicate groups by an exact Jaccard join of word shingles, with a token-group matrix.
 
 1. Documents with equal shingle sets are one: their smallest id stands for them.
-2. Similar sets are put into groups: sets whose most frequent shingle is the same, at most about PACK in a group. Any other
-   set is a group of its own. Of all sets with one most frequent shingle, the one with the largest share of frequent shingles
+2. Similar sets are put into groups: sets whose most frequent shingle is the same and whose sizes are about the same, at most
+   about PACK in a group. Any other set is a group of its own. Of all sets with one most frequent shingle, the one with the largest share of frequent shingles
    is compared with the others first, so that most of a family of near copies is connected early.
 3. The token-group matrix has a row for each group and each token of its members' signatures. A signature is so many of a
    set's rarest shingles that two sets can only reach the threshold with `BOUND` of them in common. Pairs of groups that share
@@ -41,6 +41,9 @@ PACK, BROADCAST_IDS, NO_LABEL = 64, 200_000, -(1 << 63)
 #: Frequent shingles, and frequent words, that every task knows, at most; and how often one must occur among the rows of an Arrow batch.
 FREQUENT, FREQUENT_IN_BATCH = 1 << 17, 3
 
+#: The sizes in a group differ by a factor of at most e ** (1 / SIZE_STEPS).
+SIZE_STEPS = 20
+
 #: Pairs of groups that a task holds before it adds them up.
 HELD_PAIRS = 1 << 20
 
@@ -392,9 +395,12 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", t
     # groups of about PACK sets, those connected by now apart from the others; their names are the ids of their first members
     heard = first_links.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("head"))
     near = (F.col("head").isNotNull() | (F.col("id") == -F.col("h.m"))).alias("near")
-    dealt = several.join(heard, "id", "left").select("id", "n", "sketch", "c", near, F.coalesce("head", "id").alias("label"), F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / PACK)).alias("chunk"))
-    names = dealt.groupBy("c", "near", "chunk").agg(F.min("id").alias("grp"), F.min("label").alias("low"), F.max("label").alias("high"))
-    grouped = cut(dealt.join(names, ["c", "near", "chunk"]).select("id", "n", "sketch", "grp", "label", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(NO_LABEL)).alias("all_label")))
+    sized = several.withColumn("step", F.floor(F.log("n") * SIZE_STEPS))
+    crowds = sized.groupBy("c", "step").agg(F.count(F.lit(1)).alias("crowd"))
+    met = sized.join(crowds, ["c", "step"]).join(heard, "id", "left")
+    dealt = met.select("id", "n", "sketch", "c", "step", near, F.coalesce("head", "id").alias("label"), F.pmod(F.xxhash64("id"), F.ceil(F.col("crowd") / PACK)).alias("chunk"))
+    names = dealt.groupBy("c", "step", "near", "chunk").agg(F.min("id").alias("grp"), F.min("label").alias("low"), F.max("label").alias("high"))
+    grouped = cut(dealt.join(names, ["c", "step", "near", "chunk"]).select("id", "n", "sketch", "grp", "label", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(NO_LABEL)).alias("all_label")))
     copies = same.where(F.col("id") != F.col("first")).select("id").distinct().join(chosen.select("id"), "id", "left_anti")
     empty = about.where("id is not null and n = 0").select("id").distinct().join(chosen.select("id"), "id", "left_anti")
     none = F.lit(None).cast("long")
