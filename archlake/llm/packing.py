@@ -34,9 +34,12 @@ TRIPLE_STEP = 16
 FIT_STEPS = 400
 
 
-def encode_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, start, length, ids_crc32, doc_tokens: each text's ids and the end id, cut at multiples of the window."""
-    schema = T.StructType([docs.schema[key], *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]])
+def encode_pieces(
+    docs: DataFrame, tokenizer: str, window: int, end_id: int, key: str = "doc_id", text: str = "text", order: tuple[str, ...] = ()
+) -> DataFrame:
+    """key, start, length, ids_crc32, doc_tokens and the columns in order: each text's ids and the end id, cut at multiples of the window."""
+    longs = [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]
+    schema = T.StructType([docs.schema[key], *longs, *[docs.schema[c] for c in order]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe.load(tokenizer)
@@ -52,10 +55,10 @@ def encode_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, key
                 whole = np.insert(ids, at[1:], end_id).astype("<u4")  # one end id after each text
                 begin = at[:-1][rows] + rows + start
                 crc = [zlib.crc32(whole[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
-                taken = keys.slice(lo, hi - lo).take(pa.array(rows))
-                yield pa.record_batch([taken, *[pa.array(x, pa.int64()) for x in (start, length, crc, counts[rows])]], names=schema.names)
+                taken, *more = (c.slice(lo, hi - lo).take(pa.array(rows)) for c in (keys, *batch.columns[2:]))
+                yield pa.record_batch([taken, *[pa.array(x, pa.int64()) for x in (start, length, crc, counts[rows])], *more], names=schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text, *order).mapInArrow(run, schema)
 
 
 def combinations(window: int) -> list[np.ndarray]:
@@ -158,7 +161,7 @@ def _slots(planned: list[tuple[tuple[int, ...], int]], window: int) -> tuple[np.
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", groups: int = 256
+    docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", groups: int = 256, order: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and padded_length.
 
@@ -166,10 +169,13 @@ def pack(
     columns are left out; an empty table gives no rows. padded_length is the window, or the sequence's own length where
     that is a power of two. `groups` splits the pieces of one length when they are ranked, so that a common length
     (copies) is not one task.
+
+    order: columns of docs that are different for any two rows; the first one is a number, never null, that isn't the same
+    for many rows. With them the pieces of one length are ranked in this order instead of by key, and sequences are numbered
+    by their first piece in this order.
     """
-    found = cut(encode_pieces(docs, tokenizer, window, end_id, key, text)).withColumn(
-        "_group", F.pmod(F.xxhash64(key, "start"), F.lit(groups)).cast("int")
-    )
+    group = F.col(order[0]) if order else F.pmod(F.xxhash64(key, "start"), F.lit(groups)).cast("int")
+    found = cut(encode_pieces(docs, tokenizer, window, end_id, key, text, order)).withColumn("_group", group)
     histogram = np.zeros(window + 1, np.int64)
     for r in found.groupBy("length").count().collect():  # at most `window` rows
         histogram[r["length"]] = r["count"]
@@ -183,11 +189,12 @@ def pack(
         .agg(F.count(F.lit(1)).alias("_n"))
         .selectExpr("length as _l", "_group as _g", "coalesce(sum(_n) over (partition by length order by _group rows between unbounded preceding and 1 preceding), 0) as _before")
     )
-    ranked = found.selectExpr("*", f"row_number() over (partition by length, _group order by `{key}`, start, ids_crc32) - 1 as _rank").join(
+    ranked = found.selectExpr("*", f"row_number() over (partition by length, _group order by {', '.join(f'`{c}`' for c in order or (key,))}, start, ids_crc32) - 1 as _rank").join(
         before, (F.col("length") == F.col("_l")) & (F.col("_group") == F.col("_g"))
     )
-    bare = ranked.select(key, "start", "length", "ids_crc32", "doc_tokens", (F.col("_before") + F.col("_rank")).alias("_rank"))
-    schema = T.StructType([*bare.schema.fields[:5], *[T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "padded_length")]])
+    bare = ranked.select(key, "start", "length", "ids_crc32", "doc_tokens", (F.col("_before") + F.col("_rank")).alias("_rank"), *order)
+    made = [T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "padded_length")]
+    schema = T.StructType([*bare.schema.fields[:5], *made, *bare.schema.fields[6:]])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, first, offset = slots
@@ -198,7 +205,22 @@ def pack(
             fill = fills[np.searchsorted(ends, sequence, "right")]
             padded = np.where(fill & (fill - 1), window, fill)
             yield pa.record_batch(
-                [*batch.columns[:5], *[pa.array(x, pa.int64()) for x in (sequence, offset[run], padded)]], names=schema.names
+                [*batch.columns[:5], *[pa.array(x, pa.int64()) for x in (sequence, offset[run], padded)], *batch.columns[6:]], names=schema.names
             )
 
-    return bare.mapInArrow(place, schema)
+    placed = bare.mapInArrow(place, schema)
+    return _in_order(cut(placed), order) if order else placed
+
+
+def _in_order(placed: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Numbers the sequences by their first piece in this order; a range of the first column's values is ranked in one task."""
+    heads = cut(placed.groupBy("sequence_id").agg(F.min(F.struct(*order, "start")).alias("_first")).withColumn("_group", F.col("_first")[order[0]]))
+    before = (
+        heads.groupBy("_group")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .selectExpr("_group as _g", "coalesce(sum(_n) over (order by _group rows between unbounded preceding and 1 preceding), 0) as _before")
+    )
+    ranked = heads.selectExpr("sequence_id", "_group", "row_number() over (partition by _group order by _first) - 1 as _rank")
+    numbers = ranked.join(F.broadcast(before), F.col("_group") == F.col("_g")).select("sequence_id", (F.col("_before") + F.col("_rank")).cast("long").alias("_number"))
+    names = [c for c in placed.columns if c not in order]
+    return placed.join(numbers, "sequence_id").select(*[F.col("_number").alias(c) if c == "sequence_id" else c for c in names])

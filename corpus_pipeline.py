@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,9 +68,31 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*docs.columns)
 
 
+def placed(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """docs with the place of each row in its table, and the names of these columns: number of the part file, file, row in it.
+
+    Spark numbers part files by partition, so that this is the order in which the stage before wrote its rows.
+    """
+
+    def named(table: DataFrame) -> DataFrame:
+        at = table.metadataColumn("_metadata")
+        part = F.coalesce(F.expr(f"try_cast(regexp_extract({OWN}file, '^part-([0-9]+)', 1) as bigint)"), F.lit(0).cast("long"))
+        return table.select("*", at["file_name"].alias(OWN + "file"), at["row_index"].alias(OWN + "row")).withColumn(OWN + "part", part)
+
+    try:
+        found = named(docs)
+    except AnalysisException:  # not read from one table
+        found = named(cut(docs))
+    return found, (OWN + "part", OWN + "file", OWN + "row")
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence of tokens; an empty or null text is its end id alone."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=WINDOW, end_id=END_ID)
+    """One row per piece of a document in a sequence of tokens; an empty or null text is its end id alone.
+
+    Pieces of one length, and sequences by their first piece, are in the order of the rows, which is the mix.
+    """
+    found, order = placed(docs)
+    return packing.pack(found, public_tokenizers.path("byte_bpe_50k.json"), window=WINDOW, end_id=END_ID, order=order)
 
 
 STAGES = [
