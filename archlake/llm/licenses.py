@@ -3,7 +3,8 @@
 A candidate block is a stretch of a text whose runs of three words are also in a license wording. It is compressed alone
 and with each wording as a zstandard raw dictionary; wordings are ranked by what they save. The winners are confirmed, in
 that order, by the exact differences in wording: the first one that says most of the block, with all its key words, names
-the license.
+the license. Only the span that it covers is taken; what is left before and after is judged again, and so are the spans that
+wordings cover in a block that none of them says as a whole.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ WORDINGS = (
     ("CC-BY-NC-4.0", "commons attribution-noncommercial 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 
-#: Words of a run; words without a run that end a block; words of a block (longer stretches are several blocks).
+#: Words of a run; words without a run that end a block; words judged at once (longer stretches are read in windows).
 RUN, GAP, LONGEST = 3, 12, 400
 
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
@@ -128,11 +129,9 @@ class Scanner:
         word = hit - at[row] + first[row]
         cut = np.flatnonzero((row[1:] != row[:-1]) | (word[1:] - word[:-1] > GAP)) + 1
         for part in np.split(np.arange(len(hit)), cut):
-            r, w = int(row[part[0]]), int(word[part[0]])
+            r, lo = int(row[part[0]]), int(word[part[0]])
             last = min(int(word[part[-1]]) + RUN, int(first[r + 1]))
-            for lo in range(w, last, LONGEST):
-                hi = min(last, lo + LONGEST)
-                yield r, int(starts[lo] - offs[r]), int(ends[hi - 1] - offs[r])
+            yield r, int(starts[lo] - offs[r]), int(ends[last - 1] - offs[r])
 
     def judge(self, block: bytes) -> dict | None:
         """The confirmed wording of a block, or None."""
@@ -140,9 +139,8 @@ class Scanner:
         if len(said) < min(self.settings.least_words, min(map(len, self.words))):
             return None
         alone = len(self.alone.compress(block))
-        saved = [alone - len(c.compress(block)) for c in self.given]
-        for rank, k in enumerate(sorted(range(len(saved)), key=lambda k: (-saved[k], k)), 1):
-            if saved[k] <= 0:
+        for rank, (saved, k) in enumerate(self._ranked(block, alone), 1):
+            if saved <= 0:
                 return None
             if not self.keys[k] <= set(said):
                 continue
@@ -153,18 +151,70 @@ class Scanner:
             changes = [(" ".join(said[a:b]), " ".join(self.words[k][c:d])) for op, a, b, c, d in ops if op != "equal"]
             inside = [x for x in changes if x[0]]  # what the wording has and the block hasn't may be outside of it
             return {
-                "license": self.wordings[k][0], "wording": k, "rank": rank, "plain_bytes": alone, "saved_bytes": saved[k], "words": len(said), "same_words": same,
+                "license": self.wordings[k][0], "wording": k, "rank": rank, "plain_bytes": alone, "saved_bytes": saved, "words": len(said), "same_words": same,
                 "added_words": len(said) - same, "missing_words": len(self.words[k]) - same, "differences": [f"{a} / {b}" for a, b in inside],
             }
         return None
 
+    def _ranked(self, block: bytes, alone: int) -> list[tuple[int, int]]:
+        """(saved bytes, wording), the most saved first."""
+        return sorted(((alone - len(c.compress(block)), k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
+
+    def _spans(self, words: list[str], k: int) -> list[tuple[int, int]]:
+        """Spans of words that wording k says, that with the most words said and the fewest others first.
+
+        They reach from one matching run to another; a run at either end may be a stray one, so that the shorter one is left
+        out step by step.
+        """
+        runs = [m for m in SequenceMatcher(None, words, self.words[k], autojunk=False).get_matching_blocks() if m.size]
+        found = []
+        while runs:
+            a, b, same = runs[0].a, runs[-1].a + runs[-1].size, sum(m.size for m in runs)
+            if same >= self.settings.least_same * (b - a) and self.keys[k] <= set(words[a:b]):
+                found.append((b - a - 2 * same, a, b))
+            runs = runs[1:] if runs[0].size <= runs[-1].size else runs[:-1]
+        return [x[1:] for x in sorted(found, key=lambda x: x[0])]
+
+    def _best(self, block: bytes, at: list[tuple[int, int]], words: list[str]) -> tuple[int, int, dict] | None:
+        """The first span of the words that is confirmed alone, best-ranked wordings first."""
+        whole = block[at[0][0] : at[-1][1]]
+        got = self.judge(whole)
+        ranked = [got["wording"]] if got else [k for saved, k in self._ranked(whole, len(self.alone.compress(whole))) if saved > 0]
+        for k in ranked:
+            for a, b in self._spans(words, k) if self.keys[k] <= set(words) else ():
+                if alone := self.judge(block[at[a][0] : at[b - 1][1]]):
+                    return a, b, alone
+        return (0, len(at), got) if got else None
+
+    def confirmed(self, block: bytes) -> Iterator[tuple[int, int, dict]]:
+        """(from byte, to byte, confirmed wording) of all spans of the block that wordings say, in order."""
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t-\r]+", block)]
+        at = [(a, b, w) for a, b in at if (w := _EDGE.sub("", block[a:b].decode("utf-8", "replace").lower()))]
+        words, at = [x[2] for x in at], [x[:2] for x in at]
+        longest, done = max(map(len, self.words)), 0
+        while done < len(at):
+            end = min(len(at), done + max(LONGEST, 4 * longest))
+            found, todo = [], [(done, end)]
+            while todo:
+                lo, hi = todo.pop()
+                if lo < hi and (best := self._best(block, at[lo:hi], words[lo:hi])):
+                    a, b, got = best
+                    found.append((lo + a, lo + b, got))
+                    todo += [(lo, lo + a), (lo + b, hi)]
+            found.sort(key=lambda x: x[:2])
+            # what the end of a window may have cut off is read again in the next one
+            whole = found if end == len(at) else [x for x in found if x[1] <= end - longest]
+            yield from ((at[a][0], at[b - 1][1], got) for a, b, got in whole)
+            cut_off = [x[0] for x in found[len(whole) :]]
+            done = end if end == len(at) else max(done + longest, min([end - longest, *cut_off]), whole[-1][1] if whole else 0)
+
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", wordings: tuple[tuple[str, str, str], ...] = WORDINGS, settings: Settings = Settings()) -> DataFrame:
-    """One row per confirmed block: key, start and end (UTF-8 byte offsets in the text), the license and its evidence.
+    """One row per confirmed span of a text: key, start and end (UTF-8 byte offsets in the text), the license and its evidence.
 
     Texts that are null, empty or without a license give no row; repeated rows give theirs each; keys may be null. Ties in
-    saved bytes go to the wording that is listed first. Nothing is shuffled, and a block has at most LONGEST words, so that
-    a long text costs its length only.
+    saved bytes go to the wording that is listed first. Nothing is shuffled, and a block is judged in windows of about LONGEST
+    words, so that a long text costs its length only.
     """
     long, names = T.LongType(), T.StringType()
     schema = T.StructType(
@@ -179,8 +229,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", wordings: tup
             for lo, _, data, offs in pieces(batch.column(1)):
                 found = []
                 for r, a, b in scanner.blocks(data, offs):
-                    if got := scanner.judge(data[offs[r] + a : offs[r] + b].tobytes()):
-                        found.append({"_row": lo + r, "start": a, "end": b} | got)
+                    for c, d, got in scanner.confirmed(data[offs[r] + a : offs[r] + b].tobytes()):
+                        found.append({"_row": lo + r, "start": a + c, "end": a + d} | got)
                 if found:
                     keys = batch.column(0).take(pa.array([x["_row"] for x in found]))
                     kinds = {"license": pa.string(), "differences": pa.list_(pa.string())}

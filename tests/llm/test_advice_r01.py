@@ -3,7 +3,7 @@
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
-from archlake.llm import mixing
+from archlake.llm import licenses, mixing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -33,3 +33,15 @@ def test_packing_follows_the_mix(spark, monkeypatch):
 
     even, tilted = packed(1.0), packed(20.0)
     assert even != tilted and max(s for s, _ in even.values()) > 5
+
+
+def test_licenses_of_one_block(spark):
+    mit, apache, stray = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "subject to the following"
+    full = licenses.WORDINGS[4][2]
+    texts = [f"{mit} {apache}", f"{mit}\n{mit}", f"We are {stray} rules of the house. {mit}", f"{full} {mit}", f"{apache}\n" * 200, f"{full}\n" * 20]
+    want = [["MIT", "Apache-2.0"], ["MIT", "MIT"], ["MIT"], ["Apache-2.0", "MIT"], ["Apache-2.0"] * 200, ["Apache-2.0"] * 20]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, (text, names) in enumerate(zip(texts, want, strict=True)):
+        own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
+        assert [r.license for r in own] == names
+        assert all(text[r.start : r.end] in (mit, apache, full) for r in own)
