@@ -8,6 +8,7 @@ histogram), and judged by the share of bits that differ there.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import wave
 from collections.abc import Iterator
@@ -132,16 +133,24 @@ def fingerprint(media: bytes, s: Settings = Settings()) -> np.ndarray:
 
 
 def fingerprints(table: DataFrame, key: str, media: str, s: Settings = Settings()) -> DataFrame:
-    """key, items (the packed integers, little-endian) and n_items; null media is empty."""
-    schema = T.StructType([table.schema[key], T.StructField("items", T.BinaryType()), T.StructField("n_items", T.LongType())])
+    """key, items (the packed integers, little-endian), n_items and content (a digest of media too short for integers).
+
+    Null media is empty, and the content of empty media too.
+    """
+    schema = T.StructType([table.schema[key], T.StructField("items", T.BinaryType()), T.StructField("n_items", T.LongType()), T.StructField("content", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                got = [fingerprint(v.as_buffer().to_pybytes() if v.is_valid else b"", s) for v in part.column(1).cast(pa.large_binary())]
+                got, content = [], []
+                for v in part.column(1).cast(pa.large_binary()):
+                    raw = v.as_buffer().to_pybytes() if v.is_valid else b""
+                    got.append(fingerprint(raw, s))
+                    content.append(hashlib.sha256(raw).digest() if raw and not len(got[-1]) else b"")
+                items = pa.array([g.astype("<u4").tobytes() for g in got], pa.binary())
                 yield pa.record_batch(
-                    [part.column(0), pa.array([g.astype("<u4").tobytes() for g in got], pa.binary()), pa.array([len(g) for g in got], pa.int64())], names=schema.names
+                    [part.column(0), items, pa.array([len(g) for g in got], pa.int64()), pa.array(content, pa.binary())], names=schema.names
                 )
 
     return table.select(key, F.col(media).cast("binary")).mapInArrow(run, schema)
@@ -211,16 +220,16 @@ class Queries:
 def align(table: DataFrame, is_query: str, key: str, media: str, s: Settings = Settings(), m: Match = Match()) -> DataFrame:
     """Fingerprint all recordings and align those of rows with is_query (SQL condition on the key) with all others.
 
-    kind 'recording': a row of the table: id, other (the smallest id of the rows with the same integers: the class it is
-    in), items (their number); other columns null. kind 'match': id (class of a query row), other (another class), items
+    kind 'recording': a row of the table: id, other (the smallest id of the rows with the same integers, or without any the same bytes: the
+    class it is in), items (their number); other columns null. kind 'match': id (class of a query row), other (another class), items
     (the query's), offset, votes, overlap, bit_errors. Classes stand for all their rows, so that copies aren't multiplied;
-    every aligned pair of classes is there, in both directions where both have query rows. Recordings without integers
-    (null, empty or too short) are one class and match nothing. Rows with a null key take no part; of a repeated key each
+    every aligned pair of classes is there, in both directions where both have query rows. Recordings that are
+    too short for integers match nothing, and exact copies of them are a class; null and empty ones are another class. Rows with a null key take no part; of a repeated key each
     row is listed. Queries go to the tasks in blocks of a bounded number of integers.
     """
     spark = table.sparkSession
     named = table.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(media).alias("media"))
-    made = cut(fingerprints(named, "id", "media", s).withColumns({"h": F.xxhash64("items"), "h2": F.crc32("items")}))
+    made = cut(fingerprints(named, "id", "media", s).withColumns({"h": F.xxhash64("items", "content"), "h2": F.crc32(F.concat("items", "content"))}).drop("content"))
     same = ["n_items", "h", "h2"]
     first = made.groupBy(*same).agg(F.min("id").alias("first"), F.max(F.expr(is_query)).alias("asked"))
     rows = made.select("id", *same).join(first, same)

@@ -3,7 +3,7 @@
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
-from archlake.llm import licenses, mixing
+from archlake.llm import audio, licenses, mixing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -45,3 +45,9 @@ def test_licenses_of_one_block(spark):
         own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
         assert [r.license for r in own] == names
         assert all(text[r.start : r.end] in (mit, apache, full) for r in own)
+
+
+def test_short_recordings_are_classes_by_content(spark):
+    media = [(1, b"one short text"), (2, b"another"), (3, b"one short text"), (4, None), (5, b""), (6, b"another" * 90), (7, b"another" * 90)]
+    got = audio.align(spark.createDataFrame(media, "doc_id long, media binary"), "id = 1", "doc_id", "media").collect()
+    assert {r.id: r.other for r in got} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6} and {r["items"] for r in got} == {0}
