@@ -8,6 +8,7 @@ any other text, and one with an apostrophe or a special token's string, goes to
 from __future__ import annotations
 
 import json
+from functools import cached_property
 
 import numpy as np
 
@@ -50,9 +51,8 @@ def _byte_letters() -> dict[str, int]:
 class Bpe:
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = _byte_letters()
@@ -61,6 +61,13 @@ class Bpe:
         # pre-tokens are given one by one, so that any pattern which takes a whole string will do
         self.part = tiktoken.Encoding("parts", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, loaded for the first text that it has to take."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, and the rows' offsets in them."""
         n = len(offs) - 1

@@ -24,8 +24,8 @@ from archlake.llm import bpe
 from archlake.llm.blocks import pieces as text_blocks
 from archlake.llm.store import cut
 
-#: Bytes of text encoded at once.
-ENCODE_BYTES = 4 << 20
+#: Bytes of text encoded at once; a worker needs some sixty times as much.
+ENCODE_BYTES = 1 << 20
 
 #: Of the triples that fill a window, every 16th takes part in the fit; each length still is in dozens of them.
 TRIPLE_STEP = 16
