@@ -38,6 +38,9 @@ BOUND = 2
 #: Members of a group, about; ids that are sent to all tasks, at most; the label of a group whose members have several.
 PACK, BROADCAST_IDS, NO_LABEL = 64, 200_000, -(1 << 63)
 
+#: Texts that one text is held against in a row, about.
+MET = 32
+
 #: Frequent shingles, and frequent words, that every task knows, at most; and how often one must occur among the rows of an Arrow batch.
 FREQUENT, FREQUENT_IN_BATCH = 1 << 17, 3
 
@@ -117,26 +120,37 @@ def _found(x: np.ndarray, keys: np.ndarray, values: np.ndarray, other: int) -> n
     return np.where(keys[at] == x, values[at], other)
 
 
+def _counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *keys]), return_counts=True)
+
+
+def _summed(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables of keys (ascending) and counts as one."""
+    keys, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([a[1], b[1]]), minlength=len(keys)).astype(np.int64)
+
+
 def frequencies(docs: DataFrame, rule: Rule, text: str) -> Frequency:
     """The most frequent shingles (a batch counts equal sets once) and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, seen, total = [np.empty(0, np.uint64)], set(), [np.empty(0, np.uint64)]
+            counts, seen = [_counted([]), _counted([])], set()  # of shingles, of words
             for _, _, data, offs in pieces(batch.column(0)):
                 _, _, first, words = word_keys(data, offs)
-                total.append(words)
                 shingles, at = shingle_keys(words, first, rule.words)
+                found = []
                 for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     s = np.unique(shingles[lo:hi])
                     mark = (len(s), int(s.sum()) if len(s) else 0)
                     if mark not in seen:
                         seen.add(mark)
                         found.append(s)
-            for word, all_keys in ((False, found), (True, total)):
-                keys, n = np.unique(np.concatenate(all_keys), return_counts=True)
+                for k, more in enumerate((found, [words])):
+                    counts[k] = _summed(counts[k], _counted(more))
+            for word, (keys, n) in enumerate(counts):
                 on = n >= FREQUENT_IN_BATCH
-                yield pa.record_batch([pa.array(np.full(int(on.sum()), word)), pa.array(keys[on].view(np.int64)), pa.array(n[on].astype(np.int64))], names=["word", "h", "n"])
+                yield pa.record_batch([pa.array(np.full(int(on.sum()), bool(word))), pa.array(keys[on].view(np.int64)), pa.array(n[on].astype(np.int64))], names=["word", "h", "n"])
 
     counted = cut(docs.select(text).mapInArrow(run, "word boolean, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n")))
     tops = []
@@ -238,22 +252,28 @@ def texts_of(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def linked(pairs: DataFrame, docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
-    """Those of the pairs (a, b) whose whole texts link, as edges (u, v)."""
+    """Those of the pairs (a, b) whose whole texts link, as edges (u, v).
+
+    The texts that one a meets come in rows of about MET, so that its own text is neither repeated for each nor a hot key.
+    """
     pairs = cut(pairs)
     texts = texts_of(docs, cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), key, text)
-    first = pairs.join(texts, F.col("b") == F.col("_id")).select("a", "b", F.col("_text").alias("t_b"))
-    both = first.join(texts, F.col("a") == F.col("_id")).select("a", "b", F.col("_text").alias("t_a"), "t_b")
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MET).alias("parts")).where("parts > 1")
+    dealt = pairs.join(many, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))))
+    first = dealt.join(texts, F.col("b") == F.col("_id")).groupBy("a", "part").agg(F.collect_list(F.struct("b", F.col("_text").alias("t"))).alias("others"))
+    both = first.join(texts, F.col("a") == F.col("_id")).select("a", F.col("_text").alias("t_a"), "others")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            on = []
-            left = [s for _, _, d, o in pieces(batch.column(2)) for s in sets_of(d, o, rule.words)]
-            for lo, hi, data, offs in pieces(batch.column(3)):
-                for x, y in zip(left[lo:hi], sets_of(data, offs, rule.words), strict=True):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    on.append(bool(shared) and rule.den * shared >= rule.num * (len(x) + len(y) - shared))
-            at = pa.array(np.flatnonzero(np.array(on, bool)))
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at)], names=["u", "v"])
+            for lo, hi, data, offs in pieces(batch.column(1)):
+                left, met = sets_of(data, offs, rule.words), batch.column(2).slice(lo, hi - lo)
+                owner, flat, on = np.repeat(np.arange(hi - lo), met.value_lengths().to_numpy()), met.flatten(), []
+                for start, end, data, offs in pieces(flat.field("t")):
+                    for x, y in zip(owner[start:end].tolist(), sets_of(data, offs, rule.words), strict=True):
+                        shared = len(np.intersect1d(left[x], y, assume_unique=True))
+                        on.append(bool(shared) and rule.den * shared >= rule.num * (len(left[x]) + len(y) - shared))
+                at = np.flatnonzero(np.array(on, bool))
+                yield pa.record_batch([batch.column(0).take(pa.array(lo + owner[at])), flat.field("b").take(pa.array(at))], names=["u", "v"])
 
     return both.mapInArrow(run, "u long, v long")
 
@@ -388,7 +408,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", t
 
     # of all sets with one most frequent shingle, the one with the largest share of frequent ones meets the others
     heads = chosen.where(F.col("common").isNotNull()).groupBy(F.col("common").alias("c")).agg(F.max(F.struct("share", (-F.col("id")).alias("m"))).alias("h"), F.count(F.lit(1)).alias("k"), F.min("id").alias("least"))
-    several = chosen.select("id", "n", "sketch", "common").join(heads.where(F.col("k") > 1), F.col("common") == F.col("c"))
+    heads = F.broadcast(heads.where(F.col("k") > 1))  # of FREQUENT shingles at most, so at most as many rows
+    several = chosen.select("id", "n", "sketch", "common").join(heads, F.col("common") == F.col("c"))
     star = several.select((-F.col("h.m")).alias("a"), F.col("id").alias("b")).where(F.col("a") != F.col("b"))
     first_links = cut(linked(possible(star, chosen, rule), named, rule, key, text))
 
