@@ -118,22 +118,50 @@ def test_topk_brute_force(spark):
     assert sorted(got) == list(range(0, 260, 50)) and topk.top_k(t.limit(0), F.lit(True)).collect() == []
 
 
+def earliest_deadlines(units):
+    """Which source takes each slot of a period, by brute force: units as (minus units, name) in the order of ties."""
+    period, done, taken = -sum(u for u, _ in units), [0] * len(units), []
+    for t in range(period):
+        due = [(math.ceil((done[k] + 1) * period / -u), k) for k, (u, _) in enumerate(units) if done[k] < -u and done[k] * period // -u <= t]
+        done[min(due)[1]] += 1
+        taken.append(units[min(due)[1]][1])
+    return taken
+
+
 def test_pfair_windows_and_deviation(spark):
-    table = docs(spark, [(i, "t", f"s{0 if i % 3 else i % 7}") for i in range(900)]).unionByName(docs(spark, [(2000, None, None)]))
-    rows = mixing.mix(table, mixing.tempered_weights(table), block_rows=2, period=100).collect()
-    assert len(rows) == 901 and all(r.release <= r.slot < r.deadline for r in rows)
+    table = docs(spark, [(i, "t", f"s{0 if i % 3 else i % 7}") for i in range(900)]).unionByName(docs(spark, [(2000, None, None), (None, "t", "s1"), (None, "t", "s1")]))
+    weights = mixing.tempered_weights(table, resolution=100)
+    rows = mixing.mix(table, weights, block_rows=2).collect()
+    assert len(rows) == 903 and all(r.release <= r.slot < r.deadline for r in rows)
     slots = {(r.source, r.block): r.slot for r in rows}
     assert len(set(slots.values())) == len(slots)
-    units = {r.source: r.units for r in mixing.period_schedule(mixing.tempered_weights(table), 100).collect()}
-    assert sum(units.values()) == 100
+    plan = mixing.period_schedule(weights).collect()
+    units, period = {r.source: r.units for r in plan}, plan[0].period
+    assert sum(units.values()) == period and 95 <= period <= 105
+    taken = earliest_deadlines(sorted(((-u, s) for s, u in units.items()), key=lambda x: (x[0], x[1] is not None, x[1])))
+    assert {r.source: r.slots for r in plan} == {s: [t for t, x in enumerate(taken) if x == s] for s in units}
     sizes = Counter(s for s, _ in slots)
-    for t in range(0, max(slots.values()), 7):
+    for t in range(0, max(slots.values())):
         for s, u in units.items():
             had = sum(v < t for (x, _), v in slots.items() if x == s)
-            assert abs(had - u * t / 100) < 1 or had == sizes[s]
+            assert abs(had - u * t / period) < 1 or had == sizes[s]
+    clash = table.withColumns({"slot": F.lit("x"), "block": F.lit(1), "m": F.create_map(F.lit("a"), F.lit(1))})
+    assert set(mixing.mix(clash, weights).columns) == {*clash.columns, "_slot", "_block", "_row_in_block", "_release", "_deadline"}
     assert mixing.mix(table.limit(0), mixing.tempered_weights(table.limit(0))).collect() == []
 
 
+def test_pfair_many_sources(spark):
+    """More sources than a row holds: every slot is taken once, each source is less than two blocks off."""
+    rng = np.random.default_rng(12)
+    weights = spark.createDataFrame([(f"s{k}", float(w)) for k, w in enumerate(rng.pareto(1.2, 1200) + 0.01)] + [("none", 0.0), ("bad", float("nan"))], "source string, weight double")
+    plan = mixing.period_schedule(mixing.whole_weights(weights, 4000)).collect()
+    period = plan[0].period
+    assert len(plan) == 1200 and sorted(t for r in plan for t in r.slots) == list(range(period))
+    for r in plan:
+        at = np.arange(period + 1)
+        assert len(r.slots) == r.units and np.abs(np.searchsorted(r.slots, at) - r.units * at / period).max() < 2
+
+
 def pure_sets(t, n):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
