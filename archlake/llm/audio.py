@@ -2,8 +2,11 @@
 
 A recording is cut into overlapping frames; the energies of a frame's spectrum are summed by pitch class. Filters compare
 sums over rectangles of (frame, pitch class), read off an integral image; each gives two bits, sixteen make a packed
-integer for every frame. Two recordings are aligned at the offset at which most of their integers are equal (offset
-histogram), and judged by the share of bits that differ there.
+integer for every frame.
+
+Integers of queries and of all recordings meet by value in a Spark join; counted by offset they make the offset histogram. Each
+offset with enough votes is then judged by the bits that differ there: the stretch of frames with the fewest errors for its length
+must be long enough and within the limit. Copies are one class before anything meets.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,15 +39,22 @@ class Settings:
     high: float = 3800.0
     span: int = 16
     step: float = 0.15  # between the outer and the middle bounds of a filter's two bits
-    block: int = 1 << 19  # samples worked on at once
+    block: int = 1 << 19  # samples worked on at once, of a longer recording too
+
+    @property
+    def per_second(self) -> float:
+        """Integers of a second."""
+        return self.rate / self.hop
 
 
 @dataclass(frozen=True)
 class Match:
-    votes: int = 4  # equal integers at the best offset, at least
-    overlap: int = 4  # integers that overlap there
-    bit_errors: float = 0.25  # share of bits that differ there, at most
-    block_items: int = 1 << 20  # integers of queries that tasks get at once
+    votes: int = 4  # equal integers at an offset, at least
+    seconds: float = 1.0  # of a stretch, at least; or half of the shorter recording
+    integers: int = 24  # of a stretch, at least, whatever the recordings' lengths
+    bit_errors: float = 0.2  # share of bits that differ in a stretch, at most
+    crowd: int = 64  # postings of one value that one task's query rows have, about
+    met: int = 32  # recordings that a query is held against in one row, about
 
 
 def _filters(s: Settings) -> list[tuple[int, int, int, int]]:
@@ -54,18 +64,22 @@ def _filters(s: Settings) -> list[tuple[int, int, int, int]]:
 
 
 def samples(media: bytes, s: Settings) -> tuple[np.ndarray, int]:
-    """Mono samples in -1 to 1 and their rate: of a WAV file with 8 or 16 bits, else of raw unsigned bytes at s.rate.
+    """Mono samples in -1 to 1 and their rate: of a WAV file with 8 to 32 bits, else of raw unsigned bytes at s.rate.
 
-    A WAV file that can't be read, and one of another sample width, counts as raw bytes.
+    A WAV file that can't be read counts as raw bytes.
     """
     if media[:4] == b"RIFF" and media[8:12] == b"WAVE":
         try:
             with wave.open(io.BytesIO(media)) as f:
                 raw, width, channels, rate = f.readframes(f.getnframes()), f.getsampwidth(), f.getnchannels(), f.getframerate()
-            if width in (1, 2):
-                x = np.frombuffer(raw, np.uint8 if width == 1 else "<i2").astype(np.float32)
-                x = (x - 128) / 128 if width == 1 else x / 32768
-                return x[: len(x) // channels * channels].reshape(-1, channels).mean(1), rate
+            raw = raw[: len(raw) // (width * channels) * width * channels]
+            if width == 1:
+                x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+            else:  # the upper bytes of a little-endian 32-bit number
+                wide = np.zeros((len(raw) // width, 4), np.uint8)
+                wide[:, 4 - width :] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+                x = wide.view("<i4")[:, 0].astype(np.float32) / np.float32(1 << 31)
+            return x.reshape(-1, channels).mean(1), rate
         except (wave.Error, EOFError):
             pass
     return (np.frombuffer(media, np.uint8).astype(np.float32) - 128) / 128, s.rate
@@ -101,10 +115,17 @@ def chroma(x: np.ndarray, rate: int, s: Settings) -> np.ndarray:
 
 def fingerprint(media: bytes, s: Settings = Settings()) -> np.ndarray:
     """Packed integers (uint32), one for each frame that has a whole span after it."""
-    frames = chroma(*samples(media, s), s)
-    n = len(frames) - s.span + 1
+    x, rate = samples(media, s)
+    n = (len(x) - s.frame) // s.hop + 1 - s.span + 1
     if n < 1:
         return np.empty(0, np.uint32)
+    each = s.block // s.hop
+    return np.concatenate([_integers(x[lo * s.hop : (min(n, lo + each) + s.span - 2) * s.hop + s.frame], rate, s) for lo in range(0, n, each)])
+
+
+def _integers(x: np.ndarray, rate: int, s: Settings) -> np.ndarray:
+    frames = chroma(x, rate, s)
+    n = len(frames) - s.span + 1
     image = np.zeros((len(frames) + 1, 2 * PITCHES + 1))  # the pitch circle twice, so that a rectangle can pass its end
     np.cumsum(np.cumsum(np.hstack([frames, frames]), 0), 1, out=image[1:, 1:])
     start = np.arange(n)
@@ -132,133 +153,148 @@ def fingerprint(media: bytes, s: Settings = Settings()) -> np.ndarray:
     return out
 
 
-def fingerprints(table: DataFrame, key: str, media: str, s: Settings = Settings()) -> DataFrame:
-    """key, items (the packed integers, little-endian), n_items and content (a digest of media too short for integers).
+def fingerprints(table: DataFrame, keep: list[str], media: str, s: Settings = Settings()) -> DataFrame:
+    """keep, items (the packed integers, little-endian), n_items and content (a digest of media too short for integers).
 
     Null media is empty, and the content of empty media too.
     """
-    schema = T.StructType([table.schema[key], T.StructField("items", T.BinaryType()), T.StructField("n_items", T.LongType()), T.StructField("content", T.BinaryType())])
+    made = [T.StructField("items", T.BinaryType()), T.StructField("n_items", T.LongType()), T.StructField("content", T.BinaryType())]
+    schema = T.StructType([*[table.schema[c] for c in keep], *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 got, content = [], []
-                for v in part.column(1).cast(pa.large_binary()):
+                for v in part.column(len(keep)).cast(pa.large_binary()):
                     raw = v.as_buffer().to_pybytes() if v.is_valid else b""
                     got.append(fingerprint(raw, s))
                     content.append(hashlib.sha256(raw).digest() if raw and not len(got[-1]) else b"")
                 items = pa.array([g.astype("<u4").tobytes() for g in got], pa.binary())
                 yield pa.record_batch(
-                    [part.column(0), items, pa.array([len(g) for g in got], pa.int64()), pa.array(content, pa.binary())], names=schema.names
+                    [*part.columns[: len(keep)], items, pa.array([len(g) for g in got], pa.int64()), pa.array(content, pa.binary())], names=schema.names
                 )
 
-    return table.select(key, F.col(media).cast("binary")).mapInArrow(run, schema)
-
-
-def _turns(items: np.ndarray) -> np.ndarray:
-    """Places of integers that differ from the one before; only these vote, so that silence and held notes don't."""
-    return np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1]))) if len(items) else np.empty(0, np.int64)
-
-
-class Queries:
-    """The query recordings of one block, by value."""
-
-    def __init__(self, ids: list[int], items: list[np.ndarray]):
-        self.ids, self.items = np.array(ids, np.int64), items
-        at = [_turns(x) for x in items]
-        value = np.concatenate([x[a] for x, a in zip(items, at, strict=True)] or [np.empty(0, np.uint32)])
-        order = np.argsort(value, kind="stable")
-        self.value = value[order]
-        self.query = np.repeat(np.arange(len(items)), [len(a) for a in at])[order].astype(np.int64)
-        self.place = np.concatenate(at or [np.empty(0, np.int64)])[order]
-
-    def align(self, items: np.ndarray, m: Match) -> list[tuple[int, int, int, int, int]]:
-        """(query, offset, votes, overlap, bit errors) of all queries that the recording aligns with.
-
-        Offset: the recording's place minus the query's. Of equally many votes the smallest offset in size wins, then
-        the negative one.
-        """
-        at = _turns(items)
-        lo, hi = np.searchsorted(self.value, items[at], "left"), np.searchsorted(self.value, items[at], "right")
-        n = hi - lo
-        votes: dict[int, int] = {}
-        shift, width = np.int64(1 << 30), np.int64(1 << 31)
-        ends = np.cumsum(n)
-        done = 0
-        while done < len(n):  # about a million votes at a time
-            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + (1 << 20), "right")))
-            part = n[done:upto]
-            total = int(part.sum())
-            if total:
-                into = np.repeat(lo[done:upto] - (np.cumsum(part) - part), part) + np.arange(total)
-                where = np.repeat(at[done:upto], part) - self.place[into]
-                pairs, count = np.unique(self.query[into] * width + where + shift, return_counts=True)
-                if done == 0 and upto == len(n):
-                    on = count >= m.votes
-                    votes = dict(zip(pairs[on].tolist(), count[on].tolist(), strict=True))
-                else:
-                    for k, c in zip(pairs.tolist(), count.tolist(), strict=True):
-                        votes[k] = votes.get(k, 0) + c
-            done = upto
-        best: dict[int, tuple] = {}
-        for k, c in votes.items():
-            if c >= m.votes:
-                q, offset = int(k // width), int(k % width - shift)
-                best[q] = max(best.get(q, (0,)), (c, -abs(offset), -offset))
-        out = []
-        for q, (c, _, minus) in sorted(best.items()):
-            offset, other = -minus, self.items[q]
-            a, b = max(0, offset), max(0, -offset)
-            overlap = min(len(items) - a, len(other) - b)
-            wrong = int(np.bitwise_count(items[a : a + overlap] ^ other[b : b + overlap]).sum())
-            if overlap >= m.overlap and wrong <= m.bit_errors * 32 * overlap:
-                out.append((q, offset, c, overlap, wrong))
-        return out
-
-
-def align(table: DataFrame, is_query: str, key: str, media: str, s: Settings = Settings(), m: Match = Match()) -> DataFrame:
-    """Fingerprint all recordings and align those of rows with is_query (SQL condition on the key) with all others.
+    return table.select(*keep, F.col(media).cast("binary")).mapInArrow(run, schema)
 
-    kind 'recording': a row of the table: id, other (the smallest id of the rows with the same integers, or without any the same bytes: the
-    class it is in), items (their number); other columns null. kind 'match': id (class of a query row), other (another class), items
-    (the query's), offset, votes, overlap, bit_errors. Classes stand for all their rows, so that copies aren't multiplied;
-    every aligned pair of classes is there, in both directions where both have query rows. Recordings that are
-    too short for integers match nothing, and exact copies of them are a class; null and empty ones are another class. Rows with a null key take no part; of a repeated key each
-    row is listed. Queries go to the tasks in blocks of a bounded number of integers.
+
+def postings(heads: DataFrame) -> DataFrame:
+    """value, id and place of the integers that differ from the one before; only these vote, so that held notes don't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                items = [np.frombuffer(v.as_buffer(), "<i4") for v in part.column(1)]
+                at = [np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64) for x in items]
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(items)), [len(a) for a in at])))
+                value = np.concatenate([x[a] for x, a in zip(items, at, strict=True)])
+                yield pa.record_batch([pa.array(value), ids, pa.array(np.concatenate(at).astype(np.int32))], names=["value", "id", "place"])
+
+    return heads.select("id", "items").mapInArrow(run, "value int, id long, place int")
+
+
+def histogram(heads: DataFrame, m: Match) -> DataFrame:
+    """a (a class with query rows), b (another class) and offsets: the places of b minus those of a that have enough votes.
+
+    A value that many queries have is dealt to several keys, so that no task has more than about `crowd` of its query rows; the
+    recordings that have it are repeated for each of these keys.
     """
-    spark = table.sparkSession
-    named = table.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(media).alias("media"))
-    made = cut(fingerprints(named, "id", "media", s).withColumns({"h": F.xxhash64("items", "content"), "h2": F.crc32(F.concat("items", "content"))}).drop("content"))
-    same = ["n_items", "h", "h2"]
-    first = made.groupBy(*same).agg(F.min("id").alias("first"), F.max(F.expr(is_query)).alias("asked"))
-    rows = made.select("id", *same).join(first, same)
-    listed = rows.selectExpr("'recording' as kind", "id", "first as other", "n_items as items", *[f"cast(null as long) as {c}" for c in ("offset", "votes", "overlap", "bit_errors")])
-    heads = cut(made.join(first.select("first", "asked"), F.col("id") == F.col("first")).where("n_items > 0").dropDuplicates(["id", "h"]).select("id", "items", "n_items", "asked"))
-    asked = heads.where("asked")
-    total = asked.agg(F.sum("n_items")).first()[0] or 0
-    blocks = -(-total // m.block_items)
-    found = [listed]
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "items").toArrow()
-        ids = part["id"].to_pylist()
-        raw = [np.frombuffer(x, "<u4") for x in part["items"].to_pylist()]
-        shared = spark.sparkContext.broadcast((ids, raw))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            queries = Queries(*shared.value)
-            for batch in batches:
-                out = []
-                for other, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for q, *rest in queries.align(np.frombuffer(items, "<u4"), m):
-                        if queries.ids[q] != other:
-                            out.append((int(queries.ids[q]), other, len(queries.items[q]), *rest))
+    asked = postings(heads.where("asked")).toDF("value", "a", "at")
+    crowds = cut(asked.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / m.crowd).cast("int").alias("parts")).where("parts > 1"))
+    left = asked.join(crowds, "value", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    right = postings(heads).toDF("value", "b", "there").join(crowds, "value", "left")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    votes = left.join(right, ["value", "part"]).where("a <> b").groupBy("a", "b", (F.col("there") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    return votes.where(F.col("votes") >= m.votes).groupBy("a", "b").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))
+
+
+def stretches(query: np.ndarray, items: np.ndarray, offsets: list[int], s: Settings, m: Match) -> list[tuple[int, int, int, int, int]]:
+    """(offset, start in the query, votes, overlap, bit errors) of the aligned stretches, the best one first.
+
+    At each offset the stretch is taken whose errors stay the furthest below the limit. Of stretches that overlap in the query the
+    better one stays; of equal ones that with the smaller offset in size, then the negative one.
+    """
+    turn = np.concatenate(([True], query[1:] != query[:-1]))
+    least = max(m.integers, min(m.seconds * s.per_second, min(len(query), len(items)) / 2))
+    found = []
+    for offset in offsets:
+        a, b = max(0, -offset), max(0, offset)
+        n = min(len(query) - a, len(items) - b)
+        if n < least:
+            continue
+        wrong = np.bitwise_count(query[a : a + n] ^ items[b : b + n])
+        gain = np.concatenate(([0.0], np.cumsum(m.bit_errors * 32 - wrong)))
+        end = int(np.argmax(gain - np.minimum.accumulate(gain)))
+        start = int(np.argmin(gain[: end + 1]))
+        votes = int((turn[a + start : a + end] & (wrong[start:end] == 0)).sum())
+        if end - start >= least and votes >= m.votes:
+            found.append((gain[end] - gain[start], offset, a + start, votes, end - start, int(wrong[start:end].sum())))
+    out: list[tuple[int, int, int, int, int]] = []
+    for _, *one in sorted(found, key=lambda x: (-x[0], abs(x[1]), x[1])):
+        if all(one[1] >= o[1] + o[3] or o[1] >= one[1] + one[3] for o in out):
+            out.append(tuple(one))
+    return out
+
+
+def aligned(met: DataFrame, heads: DataFrame, s: Settings, m: Match) -> DataFrame:
+    """The stretches of the pairs met (a, b, offsets) that hold, as rows of kind 'match'.
+
+    The recordings that one query meets come in rows of about `met`, so that the query's integers aren't repeated for each.
+    """
+    items = heads.select(F.col("id").alias("_id"), F.col("items").alias("_items"))
+    many = met.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / m.met).alias("parts")).where("parts > 1")
+    dealt = met.join(many, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))))
+    others = dealt.join(items, F.col("b") == F.col("_id")).groupBy("a", "part").agg(F.collect_list(F.struct("b", "offsets", F.col("_items").alias("items"))).alias("others"))
+    both = others.join(items, F.col("a") == F.col("_id")).select("a", "_items", "others")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, query, out = batch.column(0)[i].as_py(), np.frombuffer(batch.column(1)[i].as_buffer(), "<u4"), []
+                for one in batch.column(2)[i].values:
+                    other = np.frombuffer(one["items"].as_buffer(), "<u4")
+                    out += [(a, one["b"].as_py(), len(query), *x) for x in stretches(query, other, one["offsets"].as_py(), s, m)]
                 if out:
                     cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-                    yield pa.record_batch([pa.array(["match"] * len(out)), *cols], names=["kind", "id", "other", "items", "offset", "votes", "overlap", "bit_errors"])
+                    yield pa.record_batch([pa.array(["match"] * len(out)), *cols], names=["kind", "id", "other", "items", *MEASURES])
 
-        found.append(heads.select("id", "items").mapInArrow(run, "kind string, id long, other long, items long, offset long, votes long, overlap long, bit_errors long"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return both.mapInArrow(run, "kind string, id long, other long, items long, " + ", ".join(f"{c} long" for c in MEASURES))
+
+
+MEASURES = ("offset", "start", "votes", "overlap", "bit_errors")
+
+#: Classes of more rows than LARGE are sent to all tasks, if they are MANY_LARGE at most.
+LARGE, MANY_LARGE = 1024, 1 << 16
+
+
+def align(table: DataFrame, is_query: str | Column, key: str, media: str, s: Settings = Settings(), m: Match = Match()) -> DataFrame:
+    """Fingerprint all recordings and align those of rows with is_query (a condition on the table's columns) with all others.
+
+    kind 'recording': a row of the table: id, other (the smallest id of the rows with the same integers, or without any the same bytes: the
+    class it is in), items (their number); other columns null. kind 'match': id (class of a query row), other (another class), items
+    (the query's), offset (the other's place minus the query's), start (of the stretch, in the query), votes, overlap (integers of the
+    stretch), bit_errors. Classes stand for all their rows, so that copies aren't multiplied; every aligned pair of classes is there,
+    in both directions where both have query rows, and with each of its stretches.
+
+    Recordings that are too short for integers match nothing, and exact copies of them are a class; null and empty ones are another
+    class. Recordings with fewer than `integers` integers match nothing, too. Rows with a null key take no part; of a repeated key
+    each row is listed, and of one with several media each is aligned. Keys are whole numbers, or text that can be cast to them.
+    Extra columns, under any name, are left out. An empty table gives no rows.
+    """
+    asks = F.expr(is_query) if isinstance(is_query, str) else is_query
+    named = table.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(asks, F.lit(False)).alias("asks"), F.col(media).alias("media"))
+    made = fingerprints(named, ["id", "asks"], "media", s).withColumns({"h": F.xxhash64("items", "content"), "h2": F.crc32(F.concat("items", "content"))})
+    made = cut(made.drop("content"))
+    same = ["n_items", "h", "h2"]
+    first = cut(made.groupBy(*same).agg(F.min("id").alias("first"), F.max("asks").alias("asked"), F.count(F.lit(1)).alias("rows")))
+    large = cut(first.where(F.col("rows") > LARGE).select(*same, F.col("first").alias("large")))
+    bare = made.select("id", *same).join(F.broadcast(large) if large.count() <= MANY_LARGE else large, same, "left")
+    rows = bare.where("large is not null").selectExpr("id", "large as other", "n_items")
+    rest = first.where(F.col("rows") <= LARGE).select(*same, "first")
+    rows = rows.unionByName(bare.where("large is null").join(rest, same).selectExpr("id", "first as other", "n_items"))
+    none = [F.lit(None).cast("long").alias(c) for c in MEASURES]
+    listed = rows.select(F.lit("recording").alias("kind"), "id", "other", F.col("n_items").alias("items"), *none)
+    heads = made.join(first.where("n_items > 0").select("first", F.col("h").alias("hh"), F.col("h2").alias("hh2"), "asked"), (F.col("id") == F.col("first")) & (F.col("h") == F.col("hh")) & (F.col("h2") == F.col("hh2")))
+    heads = cut(heads.dropDuplicates(["id", "h", "h2"]).select("id", "items", "n_items", "asked"))
+    return listed.unionByName(aligned(cut(histogram(heads, m)), heads, s, m))

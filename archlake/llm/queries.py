@@ -17,7 +17,7 @@ def fold(parts: int):
 def op1_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """There is no table of recordings, so that each text's UTF-8 bytes are played as 8-bit samples."""
     recordings = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("media"))
-    return audio.align(recordings, "pmod(id, 50) = 0", "doc_id", "media")
+    return audio.align(recordings, F.pmod(F.col("doc_id"), F.lit(50)) == 0, "doc_id", "media")
 
 
 def op2_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,10 +280,68 @@ def test_audio_alignment(spark):
     rows += [(50 * i + 1, played(0.6 * tune(s[8:32]) + 0.03 * rng.normal(size=24 * 960))) for i, s in enumerate(songs)]
     rows += [(3, None), (4, b""), (7, rows[0][1])]
     t = spark.createDataFrame(rows, "doc_id long, media binary")
-    got = audio.align(t, "pmod(id, 50) = 0", "doc_id", "media").collect()
+    got = audio.align(t, "pmod(doc_id, 50) = 0", "doc_id", "media").collect()
     listed = {r.id: r.other for r in got if r.kind == "recording"}
     assert len(listed) == len(rows) and listed[7] == 0 == listed[0] and listed[3] == listed[4]
     found = {(r.id, r.other): r.offset for r in got if r.kind == "match"}
     true = [found.get((50 * i, 50 * i + 1)) for i in range(12)]
     assert sum(o is not None and abs(o + 240) <= 1 for o in true) >= 11  # recall over 0.9, at the right place
     assert all(a // 50 == b // 50 for a, b in found)
+
+
+def test_audio_precision_and_recall(spark):
+    """Excerpts at other places and levels, with noise, among other songs; every pair is also judged by brute force."""
+    rng = np.random.default_rng(21)
+    songs = [tune(rng.integers(-12, 12, 30)) for _ in range(20)]
+    rows, true = [(50 * i, played(x)) for i, x in enumerate(songs)], {}
+    for i, x in enumerate(songs[:16]):
+        start, noise = 32 * int(rng.integers(0, 500)), float(rng.choice([0.0, 0.02, 0.05]))
+        part = float(rng.choice([0.4, 0.8])) * x[start : start + 12_000]
+        rows.append((50 * i + 1, played(part + noise * rng.normal(size=len(part)))))
+        true[50 * i, 50 * i + 1] = -start // 32
+    table = spark.createDataFrame(rows, "doc_id long, media binary").withColumns({"id": F.lit("x"), "items": F.lit(1)})
+    got = [r for r in audio.align(table, F.col("doc_id") % 50 == 0, "doc_id", "media").collect() if r.kind == "match"]
+    right = {(r.id, r.other) for r in got if (r.id, r.other) in true and abs(r.offset - true[r.id, r.other]) <= 1}
+    assert len(right) >= 0.9 * len(true) and len(right) >= 0.9 * len({(r.id, r.other) for r in got})
+    s, m = audio.Settings(), audio.Match()
+    items = {i: audio.fingerprint(x, s) for i, x in rows}
+    turns = {i: np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) for i, x in items.items()}
+    slow = set()
+    for a in range(0, 1000, 50):
+        for b in items:
+            if a != b:
+                place = {}
+                for t in turns[b].tolist():
+                    place.setdefault(int(items[b][t]), []).append(t)
+                votes = Counter(u - t for t in turns[a].tolist() for u in place.get(int(items[a][t]), ()))
+                offsets = sorted(o for o, n in votes.items() if n >= m.votes)
+                slow |= {(a, b, *x) for x in audio.stretches(items[a], items[b], offsets, s, m)}
+    assert {(r.id, r.other, r.offset, r.start, r.votes, r.overlap, r.bit_errors) for r in got} == slow
+
+
+def test_audio_odd_inputs(spark):
+    long = np.random.default_rng(22).integers(0, 255, 700_000).astype(np.uint8).tobytes()
+    rows = [(0, long), (1, long[320_000:]), (2, long), (3, None), (4, b""), (5, b"abc"), (6, b"abc"), (None, b"x"), (7, b"xyz"), (7, long[:9000])]
+    table = spark.createDataFrame(rows, "id long, h binary")
+    got = audio.align(table, "id = 0", "id", "h").collect()
+    listed = {r.id: r.other for r in got if r.kind == "recording" and r.id != 7}
+    assert listed == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3, 5: 5, 6: 5} and sum(r.id == 7 and r.kind == "recording" for r in got) == 2
+    assert {(r.other, r.offset) for r in got if r.kind == "match"} == {(1, -10_000), (7, 0)}
+    assert audio.align(table.limit(0), "id = 0", "id", "h").collect() == []
+    whole = audio.fingerprint(long)
+    assert (whole == audio.fingerprint(long, audio.Settings(block=1 << 14))).mean() > 0.999
+
+
+def test_audio_wav_widths():
+    import io
+    import wave
+
+    x = tune([0, 4, 7])
+    want = audio.samples(played(x), audio.Settings())[0]
+    for width in (2, 3, 4):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as f:
+            f.setnchannels(1), f.setsampwidth(width), f.setframerate(8000)
+            f.writeframes(b"".join(int(v * (2 ** (8 * width - 1) - 1)).to_bytes(width, "little", signed=True) for v in x))
+        got, rate = audio.samples(out.getvalue(), audio.Settings())
+        assert rate == 8000 and np.abs(got - want).max() < 0.02
