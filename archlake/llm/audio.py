@@ -4,8 +4,8 @@ A recording is cut into overlapping frames; the energies of a frame's spectrum a
 sums over rectangles of (frame, pitch class), read off an integral image; each gives two bits, sixteen make a packed
 integer for every frame.
 
-Integers of queries and of all recordings meet by value in a Spark join; counted by offset they make the offset histogram. Each
-offset with enough votes is then judged by the bits that differ there: the stretch of frames with the fewest errors for its length
+Integers of queries and of all recordings meet by value in a Spark join, two of them at a time, as a single integer is too common
+in a large corpus; counted by offset they make the offset histogram. Each offset with enough votes is then judged by the bits that differ there: the stretch of frames with the fewest errors for its length
 must be long enough and within the limit. Copies are one class before anything meets.
 """
 
@@ -49,7 +49,8 @@ class Settings:
 
 @dataclass(frozen=True)
 class Match:
-    votes: int = 4  # equal integers at an offset, at least
+    pairs: int = 2  # equal pairs of neighbouring integers at an offset, at least, for it to be judged
+    votes: int = 4  # equal integers of a stretch, at least
     seconds: float = 1.0  # of a stretch, at least; or half of the shorter recording
     integers: int = 24  # of a stretch, at least, whatever the recordings' lengths
     bit_errors: float = 0.2  # share of bits that differ in a stretch, at most
@@ -178,24 +179,35 @@ def fingerprints(table: DataFrame, keep: list[str], media: str, s: Settings = Se
     return table.select(*keep, F.col(media).cast("binary")).mapInArrow(run, schema)
 
 
+def turns(items: np.ndarray) -> np.ndarray:
+    """Places of integers that differ from the one before; only these vote, so that silence and held notes don't."""
+    return np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1]))) if len(items) else np.empty(0, np.int64)
+
+
+def pair_keys(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two neighbouring turns' integers as one of 64 bits, and the place of the first."""
+    at = turns(items)
+    value = items[at].astype(np.uint64)
+    return ((value[:-1] << np.uint64(32)) | value[1:]).view(np.int64), at[:-1]
+
+
 def postings(heads: DataFrame) -> DataFrame:
-    """value, id and place of the integers that differ from the one before; only these vote, so that held notes don't."""
+    """value, id and place of all pair_keys of the recordings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                items = [np.frombuffer(v.as_buffer(), "<i4") for v in part.column(1)]
-                at = [np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64) for x in items]
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(items)), [len(a) for a in at])))
-                value = np.concatenate([x[a] for x, a in zip(items, at, strict=True)])
-                yield pa.record_batch([pa.array(value), ids, pa.array(np.concatenate(at).astype(np.int32))], names=["value", "id", "place"])
+                got = [pair_keys(np.frombuffer(v.as_buffer(), "<u4")) for v in part.column(1)]
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(got)), [len(a) for _, a in got])))
+                value, place = (np.concatenate(v) for v in zip(*got, strict=True))
+                yield pa.record_batch([pa.array(value), ids, pa.array(place.astype(np.int32))], names=["value", "id", "place"])
 
-    return heads.select("id", "items").mapInArrow(run, "value int, id long, place int")
+    return heads.select("id", "items").mapInArrow(run, "value long, id long, place int")
 
 
 def histogram(heads: DataFrame, m: Match) -> DataFrame:
-    """a (a class with query rows), b (another class) and offsets: the places of b minus those of a that have enough votes.
+    """a (a class with query rows), b (another class) and offsets: the places of b minus those of a with enough equal pairs.
 
     A value that many queries have is dealt to several keys, so that no task has more than about `crowd` of its query rows; the
     recordings that have it are repeated for each of these keys.
@@ -206,7 +218,7 @@ def histogram(heads: DataFrame, m: Match) -> DataFrame:
     right = postings(heads).toDF("value", "b", "there").join(crowds, "value", "left")
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     votes = left.join(right, ["value", "part"]).where("a <> b").groupBy("a", "b", (F.col("there") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    return votes.where(F.col("votes") >= m.votes).groupBy("a", "b").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))
+    return votes.where(F.col("votes") >= m.pairs).groupBy("a", "b").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))
 
 
 def stretches(query: np.ndarray, items: np.ndarray, offsets: list[int], s: Settings, m: Match) -> list[tuple[int, int, int, int, int]]:
@@ -215,7 +227,8 @@ def stretches(query: np.ndarray, items: np.ndarray, offsets: list[int], s: Setti
     At each offset the stretch is taken whose errors stay the furthest below the limit. Of stretches that overlap in the query the
     better one stays; of equal ones that with the smaller offset in size, then the negative one.
     """
-    turn = np.concatenate(([True], query[1:] != query[:-1]))
+    turn = np.zeros(len(query), bool)
+    turn[turns(query)] = True
     least = max(m.integers, min(m.seconds * s.per_second, min(len(query), len(items)) / 2))
     found = []
     for offset in offsets:
