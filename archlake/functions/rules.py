@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archlake.functions import exprs as E
@@ -48,11 +48,23 @@ def candle_mask(cells: Column, fields: dict[str, Column], dataset: Column, open_
     A row with under six columns, and one with a required number missing, isn't looked at further. `fields` are columns
     with the numbers of candle_fields.
     """
-    f, ok = fields, {k: E.finite(v) for k, v in fields.items()}
+    ok = {k: E.finite(v) for k, v in fields.items()}
     short = F.size(cells) < 6
-    numbers = reduce(lambda a, b: a & b, [ok[k] for k in REQUIRED])
+    full = reduce(lambda a, b: a & b, [~short, *[ok[k] for k in REQUIRED]])
+    return _mask(fields, ok, short, full, dataset, open_time, interval_ms)
+
+
+def with_candle_mask(rows: DataFrame, cells: Column, dataset: Column, open_time: Column, interval_ms: Column) -> DataFrame:
+    """rows, which have the columns of candle_fields, with candle_mask as `mask`: made in steps, so that no expression holds another one often."""
+    names = (*REQUIRED, *OPTIONAL)
+    seen = rows.withColumns({**{f"_ok_{k}": E.finite(F.col(k)) for k in names}, "_short": F.size(cells) < 6})
+    seen = seen.withColumn("_full", reduce(lambda a, b: a & b, [~F.col("_short"), *[F.col(f"_ok_{k}") for k in REQUIRED]]))
+    mask = _mask({k: F.col(k) for k in names}, {k: F.col(f"_ok_{k}") for k in names}, F.col("_short"), F.col("_full"), dataset, open_time, interval_ms)
+    return seen.withColumn("mask", mask).drop("_short", "_full", *[f"_ok_{k}" for k in names])
+
+
+def _mask(f: dict[str, Column], ok: dict[str, Column], short: Column, full: Column, dataset: Column, open_time: Column, interval_ms: Column) -> Column:
     rules: dict[tuple[str, str | None], Column] = {("OFF_GRID_TIMESTAMP", None): F.pmod(open_time, interval_ms) != 0, ("KLINE_SCHEMA_TOO_SHORT", None): short}
-    full = ~short & numbers
     for k in REQUIRED:
         rules["INVALID_NUMERIC", k] = ~short & ~ok[k]
         rules["INVALID_DOMAIN_VALUE", k] = full & ((f[k] < 0) if k == "volume" else (dataset != "premiumIndexKlines") & (f[k] <= 0))

@@ -33,15 +33,19 @@ def candle_rows(raw: DataFrame) -> DataFrame:
     """Typed candle rows (A7, B12): raw rows whose first cell is a time, with open_time, numbers, day and mask."""
     timed = raw.withColumn("open_time", E.epoch_ms(F.get("cells", F.lit(0)))).where("open_time is not null")
     typed = timed.withColumns(R.candle_fields(F.col("cells")))
-    mask = R.candle_mask(F.col("cells"), {k: F.col(k) for k in (*R.REQUIRED, *R.OPTIONAL)}, F.col("dataset"), F.col("open_time"), interval_length(F.col("interval")))
-    return typed.withColumn("mask", mask)
+    return R.with_candle_mask(typed, F.col("cells"), F.col("dataset"), F.col("open_time"), interval_length(F.col("interval")))
+
+
+def compact(rows: DataFrame) -> DataFrame:
+    """Rows in requests as a scan stores them: place, time, mask and order; the cells of rows with findings only."""
+    return rows.select("request_id", "path", "member_idx", "ordinal", "open_time", "mask", "order_key", F.when(F.col("mask") != 0, F.col("cells")).alias("cells"))
 
 
 def rows_in_requests(rows: DataFrame, requests: DataFrame, archives: DataFrame) -> DataFrame:
     """Candle rows inside the requests' days, with order_key: the larger one wins."""
     order = archive_order(requests, archives)
     bounds = requests.select("request_id", E.day_start_ms(F.col("start")).alias("from_ms"), (E.day_start_ms(F.col("end")) + dims.DAY_MS - 1).alias("to_ms"))
-    chosen = order.join(F.broadcast(bounds), "request_id").select("request_id", "path", "archive_rank", "from_ms", "to_ms")
+    chosen = order.join(bounds, "request_id").select("request_id", "path", "archive_rank", "from_ms", "to_ms")
     met = rows.join(chosen, "path").where(F.col("open_time").between(F.col("from_ms"), F.col("to_ms")))
     return met.withColumn("order_key", F.shiftleft(F.col("archive_rank").cast("bigint"), _ORDINAL_BITS) + F.col("ordinal"))
 
@@ -54,10 +58,12 @@ def merge(rows: DataFrame) -> DataFrame:
 def with_overlay(merged: DataFrame, overlay: DataFrame, requests: DataFrame) -> DataFrame:
     """merged with verified rows on top (H13): they win over any archive, for candles of family klines only.
 
-    overlay: symbol, interval, timestamp_ms, cells. Rows outside a request's days, and those that break a rule, don't enter.
+    overlay: symbol, interval, cells. Rows outside a request's days, and those that break a rule, don't enter.
     Every candle is counted by its own time, so that an overlay row mends exactly that one.
     """
-    rows = candle_rows(overlay.select("symbol", "interval", F.lit("klines").alias("dataset"), "cells", F.col("timestamp_ms").alias("at"))).where("mask = 0")
+    typed = candle_rows(overlay.select("symbol", "interval", F.lit("klines").alias("dataset"), "cells"))
+    # few rows; stored first, since a filter on the mask would be pushed below all the steps that make it
+    rows = cut(typed.select("symbol", "interval", "open_time", "mask")).where("mask = 0")
     met = rows.join(requests.where("dataset = 'klines'").select("request_id", "symbol", "interval", "start", "end"), ["symbol", "interval"])
     met = met.where(F.col("open_time").between(E.day_start_ms(F.col("start")), E.day_start_ms(F.col("end")) + dims.DAY_MS - 1))
     top = met.select("request_id", "open_time", "mask", F.lit(1 << 62).cast("bigint").alias("order_key"))
@@ -68,7 +74,7 @@ def by_day(merged: DataFrame, requests: DataFrame) -> DataFrame:
     """request_id, day, expected, found, missing and invalid of every day of every request."""
     lengths = requests.withColumn("ms", interval_length(F.col("interval")))
     days = lengths.select("request_id", "ms", F.explode(F.sequence("start", "end")).alias("day"))
-    timed = merged.join(F.broadcast(lengths.select("request_id", "ms")), "request_id")
+    timed = merged.join(lengths.select("request_id", "ms"), "request_id")
     seen = timed.groupBy("request_id", E.day_of(F.col("open_time")).alias("day")).agg(
         F.count_if(F.pmod("open_time", "ms") == 0).alias("found"), F.count_if(F.col("mask") != 0).alias("invalid")
     )
@@ -96,7 +102,8 @@ def issue_counts(merged: DataFrame) -> DataFrame:
 def bad_candles(merged: DataFrame, rows: DataFrame, limit: int | None = MAX_DETAILS) -> DataFrame:
     """Details of the winning bad rows, the earliest `limit` of each request, with `truncated` (F2)."""
     bad = merged.where("mask <> 0").select("request_id", "open_time", "order_key")
-    found = rows.join(bad, ["request_id", "open_time", "order_key"]).select(
+    found = rows.select("request_id", "open_time", "order_key", "path", "mask", "cells").join(bad, ["request_id", "open_time", "order_key"])
+    found = found.withColumns(R.candle_fields(F.col("cells"))).select(
         "request_id", "open_time", E.iso_of(F.col("open_time")).alias("timestamp"), E.day_of(F.col("open_time")).alias("day"), "path", "mask", "cells",
         R.issue_codes(F.col("mask")).alias("codes"), R.issues(F.col("mask"), {k: F.col(k) for k in (*R.REQUIRED, *R.OPTIONAL)}).alias("issues"),
     )
@@ -138,7 +145,7 @@ def scan_klines(raw: DataFrame, requests: DataFrame, archives: DataFrame, status
     raw: landed rows; requests: request_id, symbol, dataset, interval, start, end; archives: path, dataset, symbol, interval,
     period, key of those that are there; status: health per path; overlay: verified rows.
     """
-    rows = rows_in_requests(candle_rows(raw), requests, archives)
+    rows = cut(compact(rows_in_requests(candle_rows(raw), requests, archives)))
     merged = merge(rows)
     if overlay is not None:
         merged = with_overlay(merged, overlay, requests)

@@ -14,6 +14,7 @@ from archlake.sources.shared import cut
 #: Name of the method in the records that this library writes.
 METHOD = "AGGREGATE_TRADES_RECONSTRUCTION"
 
+# Columns of a candle row.
 PRICES = {"open": 1, "high": 2, "low": 3, "close": 4}
 VOLUMES = {"volume": 5, "quote_volume": 7, "taker_buy_base_volume": 9, "taker_buy_quote_volume": 10}
 
@@ -81,9 +82,9 @@ def reconstruct(originals: DataFrame, trades: DataFrame, available_days: DataFra
     met = met.withColumns({f"a_{n}": F.coalesce(E.close(F.col("o_" + n), F.col("r_" + n)), F.lit(False)) for n in PRICES | VOLUMES})
     met = met.withColumn("matching", F.array_compact(F.array(*[F.when(F.col("a_" + n), F.lit(n)) for n in VOLUMES])))
     count = F.col("o_trade_count")
-    rebuilt = {k: F.col("r_" + k).cast("double") for k in (*R.REQUIRED, *R.OPTIONAL)}
-    mask = R.candle_mask(F.array(*[F.lit("")] * 12), rebuilt, F.lit("klines"), F.col("open_time"), F.col("ms"))
-    met = met.withColumns({"rules": mask, "price": F.coalesce(*[F.when(~F.col("a_" + n), F.lit(f"{n} differs")) for n in PRICES])})
+    met = met.withColumns({k: F.col("r_" + k).cast("double") for k in (*R.REQUIRED, *R.OPTIONAL)})
+    met = R.with_candle_mask(met, F.array(*[F.lit("")] * 12), F.lit("klines"), F.col("open_time"), F.col("ms"))
+    met = met.withColumns({"price": F.coalesce(*[F.when(~F.col("a_" + n), F.lit(f"{n} differs")) for n in PRICES])})
     verdict = (
         F.when(F.col("_there").isNull(), "evidence unavailable")
         .when(F.col("cells").isNull(), "source row unavailable")
@@ -94,11 +95,11 @@ def reconstruct(originals: DataFrame, trades: DataFrame, available_days: DataFra
         .when(count != F.col("r_trade_count"), "trade count differs")
         .when(F.col("price").isNotNull(), F.col("price"))
         .when(F.size("matching") < 3, "volumes differ")
-        .when(F.col("rules") != 0, "candle rules")
+        .when(F.col("mask") != 0, "candle rules")
         .otherwise("verified")
     )
     done = met.select(*_TARGET, "day", "codes", "cells", rebuilt_cells(F.col("ms")).alias("new_cells"), "matching", verdict.alias("verdict"))
-    return done.withColumn("new_cells", F.when(F.col("verdict") == "verified", F.col("new_cells")))
+    return cut(done.withColumn("new_cells", F.when(F.col("verdict") == "verified", F.col("new_cells"))))  # few rows, read by reports, overlay and provenance
 
 
 def overlay_rows(verdicts: DataFrame) -> DataFrame:

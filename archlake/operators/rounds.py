@@ -13,6 +13,7 @@ from archlake.functions import rules as R
 from archlake.operators import klines, reconstruct, report, trades
 from archlake.plans import planning
 from archlake.sources import landing
+from archlake.sources.shared import cut
 
 #: Takes plan rows, leaves the files below the root and returns the rows with a status.
 Fetch = Callable[[DataFrame], DataFrame]
@@ -33,7 +34,7 @@ class Lake:
 
 
 def _scan(lake: Lake, requests: DataFrame, overlay: DataFrame | None) -> dict[str, DataFrame]:
-    landed = lake.landed()
+    landed = cut(lake.landed())
     return klines.scan_klines(landing.raw_rows(landed), requests, lake.inventory(), landing.archive_status(landed), overlay, limit=None)
 
 
@@ -47,20 +48,19 @@ def repair_round(lake: Lake, requests: DataFrame, fetch: Fetch, today: Column, o
     """Scan, fetch whole months, scan, fetch days, scan, rebuild from trades, and scan with the rebuilt candles.
 
     Returns before, after (scan tables), report, verdicts and overlay (rows to write). Nothing is fetched for a request that
-    is complete. Tables are lazy: an action on one of them runs what it needs; fetch steps run at once.
+    is complete. Each scan sees the lake as it is then: what it needs later is stored.
     """
     before = _scan(lake, requests, overlay)
-    before_days = before["by_day"].persist()
+    before_days = cut(before["by_day"])
     bad = before_days.groupBy("request_id").agg(F.sum(F.col("missing") + F.col("invalid")).alias("n")).where("n > 0").select("request_id")
-    open_ = requests.join(bad, "request_id", "left_semi").persist()
+    open_ = cut(requests.join(bad, "request_id", "left_semi"))
     if open_.isEmpty():
         none = before_days.limit(0)
         return {"before": before_days, "after": before_days, "report": none, "verdicts": None, "overlay": overlay}
     status = landing.archive_status(lake.landed())
-    months = planning.monthly_repairs(open_, before_days.where("missing > 0"), lake.inventory(), status, today)
-    fetch(months)
+    fetch(cut(planning.monthly_repairs(open_, before_days.where("missing > 0"), lake.inventory(), status, today)))
     middle = _scan(lake, open_, overlay)["by_day"]
-    got = fetch(planning.daily_repairs(open_, middle.where("missing > 0"), middle.where("invalid > 0")))
+    got = cut(fetch(planning.daily_repairs(open_, middle.where("missing > 0"), middle.where("invalid > 0"))))
     third = _scan(lake, open_, overlay)
     details = third["details"].where(R.repairable(F.col("mask")))
     asked = open_.where("dataset = 'klines'").select("request_id", "symbol", "interval")
@@ -85,14 +85,14 @@ def trade_repair_round(lake: Lake, plan: DataFrame, fetch: Fetch, drop: Callable
 
     def scan() -> dict[str, DataFrame]:
         sources = planning.effective_trade_sources(plan, lake.inventory()).join(plan.select("request_id", "symbol").distinct(), "symbol")
-        landed = lake.landed().where("dataset = 'aggTrades'")
-        return trades.scan_agg_trades(landing.raw_rows(landed), sources, landing.archive_status(landed))
-
-    before = {k: v.persist() for k, v in scan().items()}
-    results = fetch(planning.trade_repairs(before["archives"], plan))
-    middle = scan()["archives"].persist()
-    fallbacks = planning.trade_fallbacks(results, middle, plan).persist()
-    fallbacks.count()  # before the bad months go
+        landed = cut(lake.landed().where("dataset = 'aggTrades'"))
+        found = trades.scan_agg_trades(landing.raw_rows(landed), sources, landing.archive_status(landed))
+        return {k: cut(v) for k, v in found.items()}  # what was seen, whatever the lake holds later
+
+    before = scan()
+    results = cut(fetch(planning.trade_repairs(before["archives"], plan)))
+    middle = scan()["archives"]
+    fallbacks = cut(planning.trade_fallbacks(results, middle, plan))
     drop(planning.bad_months(middle, plan))
     fetch(fallbacks)
     return {"before": before, "after": scan()}

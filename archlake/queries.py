@@ -74,7 +74,7 @@ def candle_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = base.where(F.dayofmonth(day) % 5 == 0).withColumns({"cells": _cells(False), "period": F.lit("daily"), "key": day.cast("string"), "again": F.lit(0)})
     rows = monthly.unionByName(daily).withColumn("dataset", F.lit("klines"))
     path = E.archive_path(F.col("dataset"), F.col("symbol"), F.col("period"), F.col("interval"), F.col("key"))
-    return rows.select(path.alias("path"), "dataset", "symbol", "interval", "period", "key", F.lit(0).alias("member_idx"), (h * 2 + F.col("again")).cast("bigint").alias("ordinal"), "cells")
+    return cut(rows.select(path.alias("path"), "dataset", "symbol", "interval", "period", "key", F.lit(0).alias("member_idx"), (h * 2 + F.col("again")).cast("bigint").alias("ordinal"), "cells"))
 
 
 def archives_of(raw: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def status_of(raw: DataFrame) -> DataFrame:
 def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(merged candles, rows in requests, requests)."""
     raw, requests = candle_archives(spark, sf_dir), scan_requests(spark, sf_dir)
-    rows = klines.rows_in_requests(klines.candle_rows(raw), requests, archives_of(raw))
+    rows = cut(klines.compact(klines.rows_in_requests(klines.candle_rows(raw), requests, archives_of(raw))))
     return cut(klines.merge(rows)), rows, requests
 
 
@@ -235,10 +235,9 @@ def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {SQL_ROWS} select request_id, cast(open_time as bigint) as open_time, cast(mask as bigint) as mask, period from merged")
 def layered_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The winning row of each time and the layer it is from."""
-    merged, rows, requests = _merged(spark, sf_dir)
-    ranks = planning.archive_order(requests, archives_of(candle_archives(spark, sf_dir))).select("request_id", "archive_rank", "period")
-    won = merged.withColumn("archive_rank", F.shiftright("order_key", 40).cast("int"))
-    return won.join(ranks, ["request_id", "archive_rank"]).select("request_id", "open_time", "mask", "period")
+    merged, rows, _ = _merged(spark, sf_dir)
+    won = rows.join(merged.select("request_id", "open_time", "order_key"), ["request_id", "open_time", "order_key"])
+    return won.select("request_id", "open_time", "mask", E.parse_path(F.col("path"))["period"].alias("period"))
 
 
 @query(

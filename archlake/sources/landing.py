@@ -8,6 +8,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,25 +39,37 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return found.select("*", *[v.alias(k) for k, v in E.parse_path(F.col("path")).items()])
 
 
-def _rows(path: str, content: bytes) -> Iterator[tuple]:
-    """Raw rows of an archive; what goes wrong is one last row with an error, after the rows that could be read."""
-    ordinal, count, none = 0, 0, (None,) * 7
+def _blocks(content: bytes) -> Iterator[tuple]:
+    """(member, position, size, first row number, rows' cells, CSV members, error) of an archive, about _BATCH_ROWS rows at a time.
+
+    What goes wrong is a last block with an error and no rows, after the rows that could be read.
+    """
+    count, waiting, head = 0, [], ()
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             members = [n for n in archive.namelist() if n.lower().endswith(".csv")]
             count = len(members)
             if not members:
-                yield (path, *none, 0, "no CSV member")
+                yield None, None, None, 1, [], 0, "no CSV member"
             for at, name in enumerate(members):
-                size = archive.getinfo(name).file_size
+                head, number = (name, at, archive.getinfo(name).file_size), 1
                 with archive.open(name) as raw:
-                    for number, cells in enumerate(csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")), 1):
-                        yield path, name, at, size, number, ordinal, ordinal // CHUNK_ROWS, cells, count, None
-                        ordinal += 1
+                    for cells in csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")):
+                        waiting.append(cells)
+                        if len(waiting) == _BATCH_ROWS:
+                            yield *head, number, waiting, count, None
+                            number, waiting = number + len(waiting), []
+                if waiting:
+                    yield *head, number, waiting, count, None
+                waiting = []
+        return
     except zipfile.BadZipFile as e:
-        yield (path, *none, count, f"bad member: {e}" if count else "not a ZIP file")
+        error = f"bad member: {e}" if count else "not a ZIP file"
     except (OSError, EOFError, ValueError, csv.Error, zlib.error, NotImplementedError, RuntimeError) as e:
-        yield (path, *none, count, f"{type(e).__name__}: {e}")
+        error = f"{type(e).__name__}: {e}"
+    if waiting:
+        yield *head, number, waiting, count, None
+    yield None, None, None, 1, [], count, error
 
 
 def land(archives: DataFrame) -> DataFrame:
@@ -70,20 +83,17 @@ def land(archives: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.string()]
         names = [c.split()[0] for c in RAW_SCHEMA.split(", ")]
-        waiting: list[tuple] = []
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                for row in _rows(path.as_py(), content.as_py() or b""):
-                    waiting.append(row)
-                    if len(waiting) == _BATCH_ROWS:
-                        yield batch_of(waiting)
-                        waiting = []
-        if waiting:
-            yield batch_of(waiting)
+                done = 0
+                for member, at, size, number, cells, count, error in _blocks(content.as_py() or b""):
+                    n = max(1, len(cells))
+                    none = pa.nulls(1, pa.int64())
+                    spans = [pa.array(np.arange(x, x + n)) if cells else none for x in (number, done)]
+                    chunk = pa.array(np.arange(done, done + n) // CHUNK_ROWS) if cells else none
+                    made = [path.as_py(), member, at, size, *spans, chunk, pa.array(cells or [None], kinds[7]), count, error]
+                    yield pa.record_batch([x if isinstance(x, pa.Array) else pa.repeat(pa.scalar(x, k), n) for x, k in zip(made, kinds, strict=True)], names=names)
+                    done += len(cells)
 
     return archives.select("path", "content").mapInArrow(run, RAW_SCHEMA)
 

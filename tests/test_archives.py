@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from archlake.functions import exprs as E
 from archlake.functions import rules as R
-from archlake.operators import klines, reconstruct, throughput, trades
+from archlake.operators import klines, reconstruct, rounds, throughput, trades
 from archlake.plans import planning
 from archlake.sources import landing, tables
 from archlake.sources.shared import cut
+from archlake.streaming import landing as stream_landing
 
 D = dt.date
 REQ = "symbol string, datasets array<string>, intervals array<string>, start date, end date, today date"
@@ -131,6 +132,102 @@ def test_reconstruct_and_overlay(spark):
     assert klines.with_overlay(merged, reconstruct.overlay_rows(found), asked).first().mask == 0
 
 
+def test_landed_scan_rebuild_rescan(spark, tmp_path):
+    """From a landed archive through the scan, the proof and the overlay to a clean scan."""
+    root = str(tmp_path)
+    ms = int(DAY.timestamp() * 1000) + 755 * 60000
+
+    def wrong(row):
+        return [row[0], 1, 1, 1, 1, 10, row[6], 20, 2, 12, 12, 0]
+
+    put(root, MONTH, candles(wrong))
+    rows = [f"1,1,12,100,100,{ms + 1000},false", f"2,1,8,101,101,{ms + 2000},true"]
+    base = scan(spark, root)
+    originals = base["details"].join(requests(spark).select("request_id", "symbol", "interval"), "request_id").select("symbol", "interval", "open_time", "codes", "cells")
+    days = spark.createDataFrame([("BTCUSDT", D(2023, 11, 30))], "symbol string, day date")
+
+    def verdict(lines):
+        raw = spark.createDataFrame([("BTCUSDT", line.split(",")) for line in lines], "symbol string, cells array<string>")
+        return reconstruct.reconstruct(originals, reconstruct.evidence(raw), days)
+
+    good = verdict(rows).first()
+    assert good.verdict == "verified" and len(good.matching) == 3
+    after = scan(spark, root, reconstruct.overlay_rows(verdict(rows)))["summary"].first()
+    assert (after.invalid, after.missing, after.complete) == (0, 0, True)
+    assert verdict([f"1,1,20,100,100,{ms + 1000},false"]).first().verdict == "trade count differs"
+    assert verdict([rows[0], f"2,1,8,105,105,{ms + 2000},true"]).first().verdict == "trade ids not contiguous"
+
+
+def fetcher(spark, root, offered, seen):
+    """A fetch step that puts what is offered on the lake and remembers what it was asked for."""
+
+    def fetch(plan):
+        done = []
+        for r in plan.collect():
+            seen.append(r.path)
+            if r.path in offered:
+                put(root, r.path, offered[r.path])
+            done.append((*[r[c] for c in planning.PLAN], "downloaded" if r.path in offered else "missing"))
+        shape = "dataset string, symbol string, period string, key string, interval string, path string, span_start date, span_end date, status string"
+        return spark.createDataFrame(done, shape)
+
+    return fetch
+
+
+def test_repair_round(spark, tmp_path):
+    """The month comes and has a bad candle, its day isn't offered, trades mend it; a second round has nothing to do."""
+    root, seen = str(tmp_path), []
+    ms = int(DAY.timestamp() * 1000) + 755 * 60000
+    trades_path = "raw/futures/um/daily/aggTrades/BTCUSDT/BTCUSDT-aggTrades-2023-11-30.zip"
+    offered = {
+        MONTH: candles(lambda row: [row[0], 1, 1, 1, 1, 10, row[6], 20, 2, 12, 12, 0]),
+        trades_path: zipped(f"1,1,12,100,100,{ms + 1000},false\n2,1,8,101,101,{ms + 2000},true\n"),
+    }
+    put(root, "raw/futures/um/daily/klines/BTCUSDT/1m/BTCUSDT-1m-2023-11-30.zip.x", b"no archive")
+    put(root, "raw/futures/um/monthly/klines/OTHER/1m/OTHER-1m-2023-11.zip", candles())
+    out = rounds.repair_round(rounds.Lake(spark, root), requests(spark), fetcher(spark, root, offered, seen), F.lit("2024-01-05").cast("date"))
+    assert seen == [MONTH, DAILY, trades_path]
+    assert out["verdicts"].first().verdict == "verified"
+    assert [(r.missing, r.invalid) for r in out["before"].collect()] == [(1440, 0)] and [(r.missing, r.invalid) for r in out["after"].collect()] == [(0, 0)]
+    assert [r.status for r in out["report"].collect()] == ["Repaired"]
+    again = rounds.repair_round(rounds.Lake(spark, root), requests(spark), fetcher(spark, root, {}, seen), F.lit("2024-01-05").cast("date"), out["overlay"])
+    assert len(seen) == 3 and again["verdicts"] is None and again["report"].count() == 0
+
+
+def test_trade_repair_round(spark, tmp_path):
+    """A bad month stays bad after fetching, is put aside, and its days come instead."""
+    root, seen = str(tmp_path), []
+    month = "raw/futures/um/monthly/aggTrades/X/X-aggTrades-2022-09.zip"
+    day = "raw/futures/um/daily/aggTrades/X/X-aggTrades-2022-09-{:02d}.zip"
+    put(root, month, zipped("1,1,1,501,500,5,true\n"))
+    offered = {month: zipped("2,1,1,501,500,5,true\n")} | {day.format(d): zipped(f"{d},1,1,{d},{d},5,true\n") for d in (1, 2)}
+    rows = [("aggTrades", "X", "monthly", "2022-09", None, month, D(2022, 9, 1), D(2022, 9, 3), "r")]
+    plan_ = spark.createDataFrame(rows, "dataset string, symbol string, period string, key string, interval string, path string, span_start date, span_end date, request_id string")
+    gone = []
+
+    def drop(bad):
+        for r in bad.collect():
+            gone.append(r.path)
+            os.remove(os.path.join(root, r.path))
+
+    out = rounds.trade_repair_round(rounds.Lake(spark, root), plan_, fetcher(spark, root, offered, seen), drop)
+    assert gone == [month] and sorted(seen) == sorted([month, *[day.format(d) for d in (1, 2, 3)]])
+    assert [(r.invalid_archives, r.complete) for r in out["before"]["summary"].collect()] == [(1, False)]
+    s = out["after"]["summary"].first()
+    assert (s.archives_scanned, s.missing_archives, s.invalid_archives, s.missing_keys) == (3, 1, 0, ["daily:2022-09-03"])
+
+
+def test_streamed_landing_takes_new_archives_only(spark, tmp_path):
+    root, to, marks = (str(tmp_path / x) for x in ("lake", "landed", "marks"))
+    put(root, MONTH, candles(minutes=range(3)))
+    stream_landing.land_new(spark, root, to, marks).awaitTermination()
+    assert spark.read.parquet(to).count() == 3
+    put(root, DAILY, candles(minutes=range(5)))
+    stream_landing.land_new(spark, root, to, marks).awaitTermination()
+    got = spark.read.parquet(to)
+    assert got.count() == 8 and {r.period for r in got.select("period").distinct().collect()} == {"monthly", "daily"}
+
+
 def trade_scan(spark, root, lines_by_path):
     for path, data in lines_by_path.items():
         put(root, path, data)
