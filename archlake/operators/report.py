@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from archlake.functions import rules as R
 from archlake.sources.tables import FETCH_STATUS
@@ -51,6 +52,7 @@ def repair_report(before: DataFrame, after: DataFrame, fetched: DataFrame, codes
     tries = fetched.groupBy("request_id", "day").agg(F.bool_or(F.col("status") == "missing").alias("absent"), F.bool_or(F.col("status") == "failed").alias("failed"))
     met = old.join(new, ["request_id", "day"], "full_outer").join(tries, ["request_id", "day"], "left").join(codes, ["request_id", "day"], "left")
     missing, invalid = F.coalesce("missing", F.lit(0)), F.coalesce("invalid", F.lit(0))
+    # The labels of a day.
     label = (
         F.when((missing == 0) & (invalid == 0), "Repaired")
         .when(F.col("absent"), "Daily archive unavailable")
@@ -64,6 +66,11 @@ def repair_report(before: DataFrame, after: DataFrame, fetched: DataFrame, codes
     return met.select("request_id", "day", missing.alias("missing"), invalid.alias("invalid"), status.alias("status"))
 
 
+def ordered_report(made: DataFrame) -> DataFrame:
+    """A report with position, from 1: a request's days in their order."""
+    return made.withColumn("position", F.row_number().over(Window.partitionBy("request_id").orderBy("day")).cast("long"))
+
+
 def unresolved_days(after: DataFrame) -> DataFrame:
     """Days with something left."""
     return after.where("missing + invalid > 0").select("request_id", "day").distinct()

@@ -112,6 +112,12 @@ def plan_order(plan: DataFrame) -> DataFrame:
     return plan.orderBy("symbol", "dataset", F.coalesce("interval", F.lit("")), "span_start", "period")
 
 
+def plan_positions(plan: DataFrame) -> DataFrame:
+    """plan with position, from 1, in that order among a symbol's archives (F1)."""
+    order = Window.partitionBy("symbol").orderBy("dataset", F.coalesce("interval", F.lit("")), "span_start", "period")
+    return plan.withColumn("position", F.row_number().over(order).cast("long"))
+
+
 def daily_fallbacks(plan: DataFrame) -> DataFrame:
     """The days of monthly plan rows, within their spans, for families with daily files (H2)."""
     met = plan.where("period = 'monthly'").join(F.broadcast(dims.catalog(plan.sparkSession).where("daily").select("dataset")), "dataset")

@@ -146,6 +146,11 @@ def digests(archives: DataFrame) -> DataFrame:
 def checksums(spark: SparkSession, root: str) -> DataFrame:
     """path of the archive and the digest that its .CHECKSUM file names."""
     found = files(spark, root, "*.CHECKSUM").select(F.regexp_replace("path", r"\.CHECKSUM$", "").alias("path"), F.col("content").cast("string").alias("text"))
+    return checksum_texts(found)
+
+
+def checksum_texts(found: DataFrame) -> DataFrame:
+    """path and the digest that the text of its checksum file begins with."""
     return found.select("path", F.lower(F.element_at(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1)).alias("expected"))
 
 

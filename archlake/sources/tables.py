@@ -113,5 +113,6 @@ def latest_speed(runs: DataFrame, benchmarks: DataFrame) -> DataFrame:
     A latest row without a positive speed doesn't count, and no older one is taken instead; no rows if neither counts.
     """
     one = lambda log, col, source: recent(log, 1).select("started_at", F.col(col).cast("double").alias("speed_mbps"), F.lit(source).alias("source"))
+    # The names of the two sources.
     both = one(runs, "average_mbps", "latest collection average").unionByName(one(benchmarks, "recommended_mbps", "latest Auto Tune")).where("speed_mbps > 0")
     return both.orderBy(F.desc("started_at"), F.desc("source")).limit(1).select("speed_mbps", "source")

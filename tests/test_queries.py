@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from archlake import queries as Q
+from archlake import queries_store  # noqa: F401 (registers more queries)
 
 DATA = "/root/testdata/sf0.001"
 
@@ -21,7 +22,7 @@ def norm(v):
     return tuple(map(norm, v)) if isinstance(v, list) else v
 
 
-@pytest.mark.parametrize("name", ["missing_by_day", "candle_build", "issue_counts", "trade_first_error", "plan_archives", "rolling_rate", "manifest_latest", "recommend_level"])
+@pytest.mark.parametrize("name", sorted(Q.ORACLE))
 def test_equals_sql(spark, name):
     import duckdb
 
