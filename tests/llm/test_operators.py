@@ -118,6 +118,33 @@ def test_topk_brute_force(spark):
     assert sorted(got) == list(range(0, 260, 50)) and topk.top_k(t.limit(0), F.lit(True)).collect() == []
 
 
+def test_topk_odd_inputs(spark):
+    rows = [(0, [1.0, 0.5]), (1, [0.0, 0.0]), (2, [1.0, 0.5]), (2, [-1.0, 0.0]), (3, [1.0, 0.5, 0.25]), (50, [0.5]), (100, [0.25]), (None, [1.0, 1.0]), (5, [])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit("x"), "q": F.lit(1), "w": F.lit(2)})
+    got = sorted(tuple(r) for r in topk.top_k(t, F.col("vec_id") % 50 == 0, k=2).collect())
+    x = 256 * 256 + 128 * 128
+    assert got == [(0, 1, 2, x), (0, 2, 1, 0), (50, 1, 100, 128 * 64), (100, 1, 50, 64 * 128)]
+    zeros = spark.createDataFrame([(i, [0.0] * 3) for i in range(4)], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(zeros, F.col("vec_id") == 0, k=2).collect()) == [(0, 1, 1, 0), (0, 2, 2, 0)]
+
+
+def test_topk_segments_stop_on_proof():
+    """Segments hold all postings by descending impact, and stopping early gives the same as all products."""
+    rng = np.random.default_rng(31)
+    x = np.floor(256 * rng.normal(0, 0.2, (500, 8))).astype(np.int64)
+    x[:40] *= 50
+    shard = topk.Shard(np.arange(500), x)
+    dense = np.zeros(x.size, np.int64)
+    dense[shard.place] = shard.value
+    assert (dense.reshape(x.shape) == x).all()
+    least = [np.abs(shard.value[a:b]).min() for a, b in shard.segments()]
+    assert all(np.abs(shard.value[a:b]).max() < low for (a, b), low in zip(shard.segments()[1:], least))
+    at, ids, score = shard.best(np.arange(500), x, 3)
+    for i in range(500):
+        want = sorted((-int(x[i] @ x[j]), j) for j in range(500) if j != i)[:3]
+        assert [(-s, j) for s, j in zip(score[at == i].tolist(), ids[at == i].tolist())] == want
+
+
 def earliest_deadlines(units):
     """Which source takes each slot of a period, by brute force: units as (minus units, name) in the order of ties."""
     period, done, taken = -sum(u for u, _ in units), [0] * len(units), []
