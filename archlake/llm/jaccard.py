@@ -24,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -325,7 +325,13 @@ def qualifying(rows: DataFrame, rule: Rule) -> DataFrame:
             return
         token, g, label, low, high = (np.concatenate(v) for v in zip(*got, strict=True))
         low, high = low.astype(np.int64), high.astype(np.int64)
-        order = np.lexsort((g, token))
+        order = np.lexsort((label, token))
+        token, g, label, low, high = (v[order] for v in (token, g, label, low, high))
+        # a token whose groups are all connected says nothing: labels are sorted, so that its first and last one are equal
+        new = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        last = np.append(new[1:], len(token)) - 1
+        keep = np.repeat((label[new] != label[last]) | (label[new] == NO_LABEL), last - new + 1)
+        order = np.flatnonzero(keep)[np.lexsort((g[keep], token[keep]))]
         token, g, label, low, high = (v[order] for v in (token, g, label, low, high))
         tiny = rule.least(low) < BOUND  # such a set links with fewer shared tokens than BOUND
         start, step = np.flatnonzero(token[1:] == token[:-1]), 1  # rows with a next one of the same token
@@ -388,14 +394,64 @@ def open_groups(opened: DataFrame, member: DataFrame, rule: Rule) -> DataFrame:
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def text_hash(text: str) -> Column:
+    """A hash that tells the texts of one key apart; null and empty are the same."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs (id, text) with an id of its own for each text of an id that has several, and these: id, doc, h; None without any.
+
+    New ids are larger than all others.
+    """
+    named = docs.where("id is not null")
+    several = cut(named.groupBy("id").agg(F.min(text_hash("text")).alias("low"), F.max(text_hash("text")).alias("high")).where("low <> high").select("id"))
+    if several.isEmpty():
+        return docs, None
+    top = named.agg(F.max("id")).first()[0]
+    if top >= 1 << 61:
+        raise ValueError("keys that repeat with different texts must be below 2**61")
+    texts = named.join(several, "id", "left_semi").select(F.col("id").alias("doc"), text_hash("text").alias("h")).distinct()
+    own = cut(texts.withColumn("new", F.lit(top) + 1 + F.monotonically_increasing_id()))
+    met = docs.join(own, (F.col("id") == F.col("doc")) & (text_hash("text") == F.col("h")), "left").select(F.coalesce("new", "id").alias("id"), "text")
+    return met, own.select(F.col("new").alias("id"), "doc", "h")
+
+
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles (size of the set) and component_id (the smallest key reachable by links, or the own key).
 
     A null or empty text, and one without words, has an empty set and links with nothing. A text with fewer words than a
     shingle is one shingle. Rows with a null key have a null component and link with nothing; rows with the same key are
-    one document with all their links. Extra columns are left out; an empty table gives no rows.
+    one document with all their links, whatever their texts. Keys are whole numbers, or text that can be cast to them. Extra
+    columns, under any name, are left out; an empty table gives no rows.
+    """
+    found, own = _components(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), rule, True)
+    doc = F.col("id")
+    if own is not None:
+        found, doc = found.join(own.select("id", "doc"), "id", "left"), F.coalesce("doc", "id")
+    return found.select(doc.alias(key), "n_shingles", "component_id")
+
+
+def copies(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and h of the documents that aren't the first of their group, each once.
+
+    The first one has the smallest key among the keys with one text, if there are any in the group. Texts of one key are documents
+    of their own: h is the text's text_hash then, else null.
+    """
+    found, own = _components(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), rule, False)
+    gone = found.where(F.col("id") != F.col("component_id")).select("id").distinct()
+    if own is None:
+        return gone.select(F.col("id").alias(key), F.lit(None).cast("long").alias("h"))
+    return gone.join(own, "id", "left").select(F.coalesce("doc", "id").alias(key), "h")
+
+
+def _components(docs: DataFrame, rule: Rule, together: bool) -> tuple[DataFrame, DataFrame | None]:
+    """id, n_shingles and component_id of docs (id, text) after _keyed, and its table of new ids.
+
+    together: the texts of one id are connected, by edges to that id.
     """
-    docs = docs.select(key, text)
+    key, text = "id", "text"
+    docs, own = _keyed(docs)
     named = docs.where(F.col(key).isNotNull())
     about = cut(describe(docs, rule, frequencies(named, rule, text), key, text))
     sets = about.where(F.col("id").isNotNull() & (F.col("n") > 0))
@@ -432,6 +488,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", t
     member = grouped.select("id", "n", "sketch", "grp", "label").unionByName(alone)
     second_links = cut(linked(open_groups(opened, member, rule), named, rule, key, text))
     all_links = reduce(DataFrame.unionByName, [first_links, second_links, equal])
+    if own is not None and together:
+        all_links = all_links.unionByName(own.select(F.col("doc").alias("u"), F.col("id").alias("v")))
     final = components(all_links)
-    counts = about.select(F.col("id").alias(key), F.col("n").alias("n_shingles"))
-    return counts.join(final, F.col(key) == F.col("node"), "left").select(key, "n_shingles", F.coalesce("component", key).alias("component_id"))
+    counts = about.select("id", F.col("n").alias("n_shingles"))
+    return counts.join(final, F.col("id") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id")), own

@@ -227,6 +227,19 @@ def test_jaccard_brute_force(spark, rule):
     assert {r.doc_id: r.n_shingles for r in got if r.doc_id is not None} == {i: len(s) for i, s in sets.items()}
 
 
+def test_jaccard_texts_of_one_key(spark):
+    """Rows of one key have all their links, whatever their texts; copies() takes each text as a document."""
+    one, two, three = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    long = " ".join(f"w{k % 5000}" for k in range(120_000))
+    rows = [(5, one, "s"), (5, two, "s"), (1, one + " end", "s"), (2, two + " end", "s"), (9, three, "s"), (9, three, "s"), (7, long, "s"), (3, long + " tail", "s"), (None, one, "s"), (8, "", "s"), (8, three, "s")]
+    table = docs(spark, rows).withColumns({"id": F.lit("x"), "n": F.lit(1), "a": F.lit(2), "token": F.lit(3)})
+    got = {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(table, jaccard.Rule(4, 85, 100)).collect()}
+    assert got == {(5, 1), (1, 1), (2, 1), (9, 8), (8, 8), (7, 3), (3, 3), (None, None)}
+    gone = jaccard.copies(table, jaccard.Rule(4, 85, 100)).collect()
+    assert sorted((r.doc_id, r.h is None) for r in gone) == [(5, False), (5, False), (7, True), (8, False)]
+    assert jaccard.near_duplicates(table.limit(0)).collect() == [] and jaccard.copies(table.limit(0)).collect() == []
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (100, 90), (90, 100), (95, 90)], "u long, v long")
     got = {r.node: r.component for r in components(e).collect()}
