@@ -24,3 +24,18 @@ def test_stages(spark, tmp_path):
     packed = P.STAGES[4][1](spark, kept[4], sf)
     assert packed.select("doc_id").distinct().count() == kept[4].count()
     assert P.run(spark, sf).agg(F.sum("length")).first()[0] == packed.agg(F.sum("length")).first()[0]
+
+
+def test_near_duplicates_of_one_id(spark, tmp_path):
+    """Texts of one id are documents of their own; equal rows are one; columns may clash with inner names."""
+    one, two = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, one), (1, two), (2, one + " end"), (3, ""), (3, ""), (4, two + " end"), (None, one), (None, one)]
+    shape = "doc_id long, text string, id string, h int, n int, slot string"
+    d = spark.createDataFrame([(i, t, "x", 1, 2, "y") for i, t in rows], shape)
+    kept = P.near_duplicates(spark, d, str(tmp_path))
+    assert kept.columns == d.columns
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert got == sorted([(2, one + " end"), (4, two + " end"), (3, ""), (0, one), (0, one)])
+    assert P.near_duplicates(spark, d.limit(0), str(tmp_path)).collect() == []
+    mixed = P.mix(spark, d.withColumn("source", F.lit("s")), str(tmp_path))
+    assert mixed.columns == [*d.columns, "source"] and mixed.count() == 8
