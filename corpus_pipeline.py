@@ -45,16 +45,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, and of rows with one id a single one.
+    """Of each group of near copies one document stays, that with the smallest id; of equal rows (id and text) a single one.
 
-    Documents without words link with nothing and stay; so do all rows without an id.
+    Rows with one id and different texts are documents of their own. Documents without words link with nothing and stay; so do
+    all rows without an id.
     """
-    found = jaccard.near_duplicates(docs, NEAR)
-    gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
+    gone = cut(jaccard.copies(docs.select("doc_id", "text"), NEAR).select(F.col("doc_id").alias(OWN + "id"), F.col("h").alias(OWN + "h")))
+    text = F.col(OWN + "h").isNull() | (F.col(OWN + "h") == jaccard.text_hash("text"))
+    kept = docs.join(gone, (F.col("doc_id") == F.col(OWN + "id")) & text, "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not again.isEmpty():
-        one = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+        again = cut(again)
+        one = Window.partitionBy("doc_id", jaccard.text_hash("text")).orderBy("text", *[c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind])
         several = kept.join(again, "doc_id", "left_semi").withColumn(OWN + "n", F.row_number().over(one)).where(F.col(OWN + "n") == 1).drop(OWN + "n")
         kept = kept.join(again, "doc_id", "left_anti").unionByName(several)
     return kept.select(*docs.columns)
