@@ -64,6 +64,45 @@ WORDINGS = (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
         "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     ),
+    (
+        "BSD-2-Clause",
+        "redistributions binary form reproduce documentation",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "MIT",
+        "software provided without warranty kind merchantability",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "ISC",
+        "permission use copy modify distribute software purpose fee",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "LGPL-2.1",
+        "gnu lesser general public 2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "AGPL-3.0",
+        "gnu affero general public 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    ("EPL-2.0", "eclipse public 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    (
+        "CC0-1.0",
+        "dedicated copyright public domain worldwide",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public "
+        "domain worldwide. This software is distributed without any warranty.",
+    ),
     ("MPL-2.0", "mozilla 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-NC-4.0", "by-nc 4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "by 4.0", "Licensed under CC BY 4.0."),
@@ -107,7 +146,7 @@ class Scanner:
         self.keys = [set(k.split()) for _, k, _ in wordings]
         self.alone = zstandard.ZstdCompressor(level=3)
         self.given = [
-            zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, _, t in wordings
+            zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.encode().lower(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, _, t in wordings
         ]
         raw = b"".join(t.encode() for _, _, t in wordings)
         offs = np.concatenate(([0], np.cumsum([len(t.encode()) for _, _, t in wordings])))
@@ -138,7 +177,7 @@ class Scanner:
         said = plain_words(block.decode("utf-8", "replace"))
         if len(said) < min(self.settings.least_words, min(map(len, self.words))):
             return None
-        alone = len(self.alone.compress(block))
+        alone = len(self.alone.compress(block.lower()))
         for rank, (saved, k) in enumerate(self._ranked(block, alone), 1):
             if saved <= 0:
                 return None
@@ -158,6 +197,7 @@ class Scanner:
 
     def _ranked(self, block: bytes, alone: int) -> list[tuple[int, int]]:
         """(saved bytes, wording), the most saved first."""
+        block = block.lower()  # A-Z only; wordings are lower-cased in the dictionaries, too
         return sorted(((alone - len(c.compress(block)), k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
 
     def _spans(self, words: list[str], k: int) -> list[tuple[int, int]]:
@@ -179,7 +219,7 @@ class Scanner:
         """The first span of the words that is confirmed alone, best-ranked wordings first."""
         whole = block[at[0][0] : at[-1][1]]
         got = self.judge(whole)
-        ranked = [got["wording"]] if got else [k for saved, k in self._ranked(whole, len(self.alone.compress(whole))) if saved > 0]
+        ranked = [got["wording"]] if got else [k for saved, k in self._ranked(whole, len(self.alone.compress(whole.lower()))) if saved > 0]
         for k in ranked:
             for a, b in self._spans(words, k) if self.keys[k] <= set(words) else ():
                 if alone := self.judge(block[at[a][0] : at[b - 1][1]]):

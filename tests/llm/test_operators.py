@@ -304,6 +304,22 @@ def test_licenses(spark):
     assert licenses.scan(odd(spark)).collect() == []
 
 
+def test_license_wordings_by_brute_force(spark):
+    """Each wording alone, with other case and a changed word, is named; the license is the one that says most of it."""
+    rows = []
+    for k, (name, keys, text) in enumerate(licenses.WORDINGS):
+        rows += [(10 * k, text, name), (10 * k + 1, "Header text of a file.\n" + text.upper() + "\nint main() { return 0; }", name)]
+        if len(text.split()) > 12:
+            w = text.split()
+            at = next(i for i, x in enumerate(w) if i > 2 and not set(licenses.plain_words(x)) & set(keys.split()))
+            rows.append((10 * k + 2, " ".join([*w[:at], "otherwise", *w[at + 1 :]]), name))
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").withColumns({"start": F.lit(1), "rank": F.lit("x")})
+    got = {}
+    for r in licenses.scan(table).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert {i: sorted(set(got.get(i, []))) for i, _, _ in rows} == {i: [name] for i, _, name in rows}
+
+
 def tune(notes, d=0.12, rate=8000):
     t = np.arange(int(rate * d)) / rate
     return np.concatenate([np.sin(2 * np.pi * 440 * 2 ** (k / 12) * t) for k in notes])
