@@ -38,6 +38,9 @@ BOUND = 2
 #: Members of a group, about; ids that are sent to all tasks, at most; the label of a group whose members have several.
 PACK, BROADCAST_IDS, NO_LABEL = 64, 200_000, -(1 << 63)
 
+#: Classes of more equal sets than LARGE are sent to all tasks, if they are MANY_LARGE at most.
+LARGE, MANY_LARGE = 1024, 1 << 16
+
 #: Texts that one text is held against in a row, about.
 MET = 32
 
@@ -120,14 +123,13 @@ def _found(x: np.ndarray, keys: np.ndarray, values: np.ndarray, other: int) -> n
     return np.where(keys[at] == x, values[at], other)
 
 
-def _counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *keys]), return_counts=True)
-
-
-def _summed(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two tables of keys (ascending) and counts as one."""
-    keys, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-    return keys, np.bincount(at, weights=np.concatenate([a[1], b[1]]), minlength=len(keys)).astype(np.int64)
+def _often(keys: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that occur at least so often, ascending, and how often; empties the list, so that only one copy is held."""
+    whole = np.concatenate([np.empty(0, np.uint64), *keys])
+    keys.clear()
+    whole.sort()
+    often = np.unique(whole[least - 1 :][whole[least - 1 :] == whole[: len(whole) - least + 1]]) if len(whole) >= least else whole[:0]
+    return often, np.searchsorted(whole, often, "right") - np.searchsorted(whole, often, "left")
 
 
 def frequencies(docs: DataFrame, rule: Rule, text: str) -> Frequency:
@@ -135,22 +137,22 @@ def frequencies(docs: DataFrame, rule: Rule, text: str) -> Frequency:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, seen = [_counted([]), _counted([])], set()  # of shingles, of words
+            found, seen, total = [], set(), []  # shingles of each set, marks of the sets, distinct words of each block with their counts
             for _, _, data, offs in pieces(batch.column(0)):
                 _, _, first, words = word_keys(data, offs)
                 shingles, at = shingle_keys(words, first, rule.words)
-                found = []
                 for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     s = np.unique(shingles[lo:hi])
                     mark = (len(s), int(s.sum()) if len(s) else 0)
                     if mark not in seen:
                         seen.add(mark)
                         found.append(s)
-                for k, more in enumerate((found, [words])):
-                    counts[k] = _summed(counts[k], _counted(more))
-            for word, (keys, n) in enumerate(counts):
-                on = n >= FREQUENT_IN_BATCH
-                yield pa.record_batch([pa.array(np.full(int(on.sum()), bool(word))), pa.array(keys[on].view(np.int64)), pa.array(n[on].astype(np.int64))], names=["word", "h", "n"])
+                total.append(np.unique(words, return_counts=True))
+            keys, at = np.unique(np.concatenate([np.empty(0, np.uint64), *[k for k, _ in total]]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([np.empty(0), *[n for _, n in total]]), minlength=len(keys))
+            on = n >= FREQUENT_IN_BATCH
+            for word, (keys, n) in ((False, _often(found, FREQUENT_IN_BATCH)), (True, (keys[on], n[on]))):
+                yield pa.record_batch([pa.array(np.full(len(keys), word)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "h", "n"])
 
     counted = cut(docs.select(text).mapInArrow(run, "word boolean, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n")))
     tops = []
@@ -456,8 +458,11 @@ def _components(docs: DataFrame, rule: Rule, together: bool) -> tuple[DataFrame,
     about = cut(describe(docs, rule, frequencies(named, rule, text), key, text))
     sets = about.where(F.col("id").isNotNull() & (F.col("n") > 0))
     digest = ["n", "d1", "d2"]
-    firsts = sets.groupBy(*digest).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-    same = cut(sets.select("id", *digest).join(firsts, digest, "left").select("id", F.coalesce("first", "id").alias("first")))
+    firsts = cut(sets.groupBy(*digest).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    large = cut(firsts.where(F.col("rows") > LARGE).select(*digest, F.col("first").alias("large")))
+    met = sets.select("id", *digest).join(F.broadcast(large) if large.count() <= MANY_LARGE else large, digest, "left")
+    few = met.where("large is null").join(firsts.where(F.col("rows") <= LARGE), digest, "left").select("id", F.coalesce("first", "id").alias("first"))
+    same = cut(few.unionByName(met.where("large is not null").select("id", F.col("large").alias("first"))))
     equal = same.where(F.col("id") != F.col("first")).select(F.col("first").alias("u"), F.col("id").alias("v"))
     single = same.where(F.col("id") == F.col("first")).select("id").distinct()
     chosen = cut(sets.drop("tokens").join(single, "id").dropDuplicates(["id"]))
