@@ -1,11 +1,15 @@
 """Language-model scores: a unigram base, and a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). Every frequent word is a class of its own; the others share
-classes by their last two bytes. P(class | history) is a maximum-entropy model whose features are the class alone, with the
-class before (bigram), with the one before that (skip) and with both (trigram), hashed to one vector of weights. Its
-training data are the counts of (two classes, next class) over all training documents; observed and expected feature counts,
-whose difference is the gradient, are summed
-by Spark tasks over these cells, and the weights are updated after each pass. P(word | class) is a smoothed frequency.
+P(word | history) = P(class | history) * P(leaf | class, history) * P(word | leaf). Every frequent word is a class of its own;
+the others share classes by their last two bytes. P(class | history) is a softmax whose features are the class alone, with the
+class before (bigram), with the one before that (skip) and with both (trigram). A class of many words is a tree of DEPTH binary
+softmaxes down to its leaves, by the bits of a word's key; their features are a node with the word before (bigram), with the one
+before that (skip) and with both (trigram), added to what the leaves' counts say. All features are hashed into vectors of weights.
+P(word | leaf) is a smoothed frequency; leaves hold few words.
+
+Weights are trained by gradient updates: each pass, Spark tasks sum the log likelihood's gradient and its curvature (observed and
+expected counts) over all training data, and the weights take a damped step. The class softmax reads counts of (two classes, next class), the trees read
+the texts.
 
 Word counts are joined in two parts: those of the most frequent words go to all tasks as one table of a fixed size, the
 other words of each document are shuffled to their counts. So no task holds the vocabulary, and frequent words aren't moved.
@@ -36,12 +40,23 @@ HISTORIES = (CLASSES + 1) ** 2
 #: Words whose counts every task gets.
 HEAD_WORDS = 1 << 17
 
-#: Hashed weights, and passes over the cells.
+#: Hashed weights of the class softmax, passes over its cells, and the length of a step.
 WEIGHTS = 1 << 17
 PASSES = 10
 RATE = 1.5
-#: Added to the observed and the expected count of a weight.
-PRIOR = 1.0
+#: Added to the expected count of a weight; a step of a weight is at most LONGEST.
+PRIOR, LONGEST = 1.0, 1.0
+
+#: Binary softmaxes from a class to a leaf, their hashed weights, passes over the texts, length of a step, and the inverse variance of a weight.
+DEPTH = 6
+TREE_WEIGHTS = 1 << 20
+TREE_PASSES = 3
+TREE_RATE = 0.5
+TREE_PRIOR = 2.0
+LEAVES = SUFFIXES << DEPTH
+
+#: Weights that a row of gradients holds.
+SLICE = 1 << 14
 
 END_KEY = np.uint64(0x5DEECE66D << 5)
 
@@ -79,8 +94,7 @@ class Lexicon:
     own: np.ndarray  # class of a word that has one, else -1
     tokens: int
     words: int
-    class_tokens: np.ndarray  # of each suffix class, without words that are classes of their own
-    class_words: np.ndarray
+    mass: np.ndarray  # of each leaf, by the low bits of a key: smoothed tokens, without words that are classes of their own
 
     @staticmethod
     def of(counts: DataFrame) -> Lexicon:
@@ -89,19 +103,19 @@ class Lexicon:
         if len(keys) and END_KEY not in keys:  # texts so long that their ends are rare
             ends = counts.where(F.col("h") == int(END_KEY.view(np.int64))).first()["c"]
             keys, c = np.append(keys, END_KEY), np.append(c, ends)
-        sums = {r["k"]: (r["t"], r["w"]) for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(SUFFIXES - 1)).alias("k")).agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("w")).collect()}
-        tokens = np.array([sums.get(k, (0, 0))[0] for k in range(SUFFIXES)], np.int64)
-        words = np.array([sums.get(k, (0, 0))[1] for k in range(SUFFIXES)], np.int64)
+        sums = {r["k"]: (r["t"], r["w"]) for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(LEAVES - 1)).alias("k")).agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("w")).collect()}
+        tokens = np.array([sums.get(k, (0, 0))[0] for k in range(LEAVES)], np.int64)
+        words = np.array([sums.get(k, (0, 0))[1] for k in range(LEAVES)], np.int64)
         total, distinct = int(tokens.sum()), int(words.sum())
         own = np.full(len(keys), -1, np.int64)
         names = np.flatnonzero(keys != END_KEY)[: OWN - 1]
         own[names] = np.arange(len(names))
         own[keys == END_KEY] = END_CLASS
         for k in np.flatnonzero(own >= 0):
-            tokens[int(keys[k]) % SUFFIXES] -= c[k]
-            words[int(keys[k]) % SUFFIXES] -= 1
+            tokens[int(keys[k]) % LEAVES] -= c[k]
+            words[int(keys[k]) % LEAVES] -= 1
         order = np.argsort(keys)
-        return Lexicon(keys[order], c[order], own[order], total, distinct, tokens, words)
+        return Lexicon(keys[order], c[order], own[order], total, distinct, np.maximum(tokens, 0) + 0.5 * (words + 1))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class, count or -1 if it isn't a frequent word, whether the word is its own class)."""
@@ -192,11 +206,89 @@ def train(cells: DataFrame) -> np.ndarray:
         if not sums:
             break
         observed, expected = sum(sums)
-        # four weights make a logit, so that a quarter of each one's log ratio never steps too far; RATE is a bit bolder
-        weights = weights + RATE / 4 * np.log((observed + PRIOR) / (expected + PRIOR))
+        # four weights make a logit, so that each one takes about a quarter of the step; expected counts bound the curvature
+        weights = weights + RATE / 4 * np.clip((observed - expected) / (expected + PRIOR), -LONGEST, LONGEST)
     return weights.astype(np.float32)
 
 
+def _before(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word the keys of the word before and of the one before that, 0 where there is none."""
+    start = first[:-1][np.diff(first) > 0]
+    one, two = np.zeros_like(keys), np.zeros_like(keys)
+    one[1:] = keys[:-1]
+    one[start] = 0
+    two[1:] = one[:-1]
+    two[start] = 0
+    return one, two
+
+
+def tree_steps(mass: np.ndarray, keys: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each step down the tree: weight indices (feature x word), the log odds that the leaves' masses give, the bit taken (0 or 1)."""
+    suffix_bits = SUFFIXES.bit_length() - 1
+    for d in range(DEPTH):
+        bits = suffix_bits + d
+        node = keys & np.uint64((1 << bits) - 1)
+        below = mass.reshape(-1, 1 << (bits + 1)).sum(0)  # by the bits so far and the next one
+        odds = np.log(below[1 << bits :] / below[: 1 << bits])[node.astype(np.int64)]
+        name = mix(node + np.uint64((d + 1) << 40))
+        hashes = (mix(name + one), mix(name ^ mix(two + np.uint64(0x51ED27))), mix(mix(name + one + np.uint64(0xA0761D)) + two))
+        yield np.stack([(h % np.uint64(TREE_WEIGHTS)).astype(np.int64) for h in hashes]), odds, ((keys >> np.uint64(bits)) & np.uint64(1)).astype(float)
+
+
+def tree_log(mass: np.ndarray, weights: np.ndarray, keys: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """log P(leaf | class, history) of each word."""
+    out = np.zeros(len(keys))
+    for at, odds, bit in tree_steps(mass, keys, one, two):
+        z = odds + weights[at].sum(0)
+        out -= np.logaddexp(0, np.where(bit > 0, -z, z))
+    return out
+
+
+def tree_gradient(mass: np.ndarray, weights: np.ndarray, keys: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient of the log likelihood by each weight, and its curvature (without the prior)."""
+    g, h = np.zeros(TREE_WEIGHTS), np.zeros(TREE_WEIGHTS)
+    for at, odds, bit in tree_steps(mass, keys, one, two):
+        p = 1 / (1 + np.exp(-(odds + weights[at].sum(0))))
+        for k in range(len(at)):
+            np.add.at(g, at[k], bit - p)
+            np.add.at(h, at[k], p * (1 - p))
+    return g, h
+
+
+def train_trees(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> np.ndarray:
+    """Weights of all trees after TREE_PASSES distributed updates; zero weights without words."""
+    weights = np.zeros(TREE_WEIGHTS, np.float32)
+    slices = TREE_WEIGHTS // SLICE
+    for _ in range(TREE_PASSES):
+
+        def run(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
+            both = np.zeros((2, TREE_WEIGHTS))
+            for batch in batches:
+                for _, _, data, offs in pieces(batch.column(0)):
+                    keys, first = token_keys(data, offs)
+                    one, two = _before(keys, first)
+                    on = ~lexicon.find(keys)[2]
+                    both += tree_gradient(lexicon.mass, weights, keys[on], one[on], two[on])
+            parts = both.reshape(2, slices, SLICE).transpose(1, 0, 2).astype(np.float32)
+            yield pa.record_batch([pa.array(np.arange(slices, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "sums"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    total[k] = total.get(k, 0) + np.frombuffer(sums, np.float32).astype(float)
+            yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], names=["slice", "sums"])
+
+        shape = "slice int, sums binary"
+        got = docs.select(text).mapInArrow(run, shape).repartition(slices, "slice").mapInArrow(add, shape).toArrow()  # a number for each weight
+        both = np.zeros((2, slices, SLICE))
+        for k, sums in zip(got["slice"].to_pylist(), got["sums"].to_pylist(), strict=True):
+            both[:, k] = np.frombuffer(sums, np.float32).reshape(2, SLICE)
+        g, h = both.reshape(2, -1)
+        weights = (weights + TREE_RATE * (g - TREE_PRIOR * weights) / (h + TREE_PRIOR)).astype(np.float32)
+    return weights
+
+
 @dataclass
 class Table:
     """log10 P(class | history), worked out for the histories that a worker meets."""
@@ -223,9 +315,9 @@ def score(docs: DataFrame, may_learn: Column, keep: dict[str, Column], text: str
     learn = docs.where(F.coalesce(may_learn, F.lit(True))).select(text)
     counts = cut(count_words(learn, text))
     lexicon = Lexicon.of(counts)
-    weights = train(cut(count_cells(learn, lexicon, text)))
+    weights, trees = train(cut(count_cells(learn, lexicon, text))), train_trees(learn, lexicon, text)
     base_all = np.log10(lexicon.tokens + 0.5 * (lexicon.words + 1))
-    class_all = np.log10(np.maximum(lexicon.class_tokens, 0) + 0.5 * (lexicon.class_words + 1))
+    leaf_all = np.log10(lexicon.mass)
 
     rows = docs.select(*[v.alias(k) for k, v in keep.items()], F.col(text).alias("_text"))
     width = len(keep)
@@ -254,7 +346,9 @@ def score(docs: DataFrame, may_learn: Column, keep: dict[str, Column], text: str
         logs = np.log10(np.maximum(c, 0) + 0.5)
         logs[c < 0] = 0  # rare words' counts come from the join
         base = np.bincount(row, weights=logs, minlength=n) + np.log10(end + 0.5) - tokens * base_all
-        inner = np.where(own, 0.0, logs - class_all[(keys & np.uint64(SUFFIXES - 1)).astype(np.int64)])
+        inner, many = np.zeros(len(keys)), ~own
+        one, two = _before(keys, first)
+        inner[many] = logs[many] - leaf_all[(keys[many] & np.uint64(LEAVES - 1)).astype(np.int64)] + tree_log(lexicon.mass, trees, keys[many], one[many], two[many]) / np.log(10)
         model += np.bincount(row, weights=inner, minlength=n)
         known = np.bincount(row, weights=c > 0, minlength=n).astype(np.int64) + (end > 0)
         rare = c < 0

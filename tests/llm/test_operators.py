@@ -269,6 +269,38 @@ def test_maxent_histories_sum_to_one():
     assert np.allclose(p.sum(1), 1, atol=1e-4)
 
 
+def test_maxent_trees():
+    """Leaves of a class sum to one for any history, and the gradient is that of the log likelihood, by brute force."""
+    rng = np.random.default_rng(41)
+    mass = rng.random(maxent.LEAVES) + 0.1
+    weights = rng.normal(0, 1, maxent.TREE_WEIGHTS)
+    leaves = (np.arange(1 << maxent.DEPTH, dtype=np.uint64) << np.uint64(5)) + np.uint64(7)
+    one, two = (np.full(len(leaves), x, np.uint64) for x in (12345, 999))
+    assert math.isclose(np.exp(maxent.tree_log(mass, weights, leaves, one, two)).sum(), 1, abs_tol=1e-9)
+    plain = np.exp(maxent.tree_log(mass, 0 * weights, leaves, one, two))
+    assert np.allclose(plain, mass[leaves.astype(int)] / mass[leaves.astype(int)].sum())
+    keys = rng.integers(0, 1 << 40, 50).astype(np.uint64)
+    one, two = np.roll(keys, 1), np.roll(keys, 2)
+    g, h = maxent.tree_gradient(mass, weights, keys, one, two)
+    used = np.flatnonzero(h)
+    for k in used[:: max(1, len(used) // 25)]:
+        up, down = weights.copy(), weights.copy()
+        up[k] += 1e-4
+        down[k] -= 1e-4
+        a, b, mid = (maxent.tree_log(mass, w, keys, one, two).sum() for w in (up, down, weights))
+        assert math.isclose((a - b) / 2e-4, g[k], abs_tol=1e-4) and math.isclose(-(a + b - 2 * mid) / 1e-8, h[k], abs_tol=1e-2)
+
+
+def test_maxent_learns_word_order(spark):
+    """Words of one class are told apart by the words before them; repeated rows, null keys and clashing columns do no harm."""
+    rows = [(i, "red river stone " * 20 if i % 2 else "cold water house " * 20, "s") for i in range(60)] + [(900, "red river stone red river", "s"), (901, "red stone river stone river", "s"), (None, "red river", "s"), (900, "red river stone red river", "s")]
+    table = docs(spark, rows).withColumns({"h": F.lit("x"), "_row": F.lit(1), "score": F.lit(2)})
+    got = maxent.score(table, F.col("doc_id") < 60, {"doc_id": F.col("doc_id")}).collect()
+    score = {r.doc_id: r.score for r in got}
+    assert len(got) == 64 and score[900] > score[901] and {r.score for r in got if r.doc_id == 900} == {score[900]}
+    assert maxent.score(table.limit(0), F.lit(True), {"doc_id": F.col("doc_id")}).collect() == []
+
+
 def test_quality_model(spark):
     rng = np.random.default_rng(9)
     good = [(i, " ".join(rng.choice(WORDS, 40)), "s") for i in range(120)]
