@@ -50,11 +50,14 @@ PRIOR, LONGEST = 1.0, 1.0
 #: Binary softmaxes from a class to a leaf, their hashed weights, passes over the texts, length of a step, and the inverse variance of a weight.
 DEPTH = 6
 TREE_WEIGHTS = 1 << 20
-TREE_PASSES = 3
-TREE_RATE = 0.5
+TREE_PASSES = 1
+TREE_RATE = 0.8
 TREE_PRIOR = 2.0
 LEAVES = SUFFIXES << DEPTH
 
+# Odd numbers that hashes are multiplied with.
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+
 #: Weights that a row of gradients holds.
 SLICE = 1 << 14
 
@@ -224,15 +227,18 @@ def _before(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def tree_steps(mass: np.ndarray, keys: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each step down the tree: weight indices (feature x word), the log odds that the leaves' masses give, the bit taken (0 or 1)."""
-    suffix_bits = SUFFIXES.bit_length() - 1
+    suffix_bits, shift = SUFFIXES.bit_length() - 1, np.uint64(65 - TREE_WEIGHTS.bit_length())
+    # keys are hashes, so that a product with an odd number and its upper bits will do
+    histories = np.stack([one * _ODD[0], two * _ODD[1] + _ODD[2], (one + two * _ODD[0]) * _ODD[3]])
     for d in range(DEPTH):
         bits = suffix_bits + d
         node = keys & np.uint64((1 << bits) - 1)
         below = mass.reshape(-1, 1 << (bits + 1)).sum(0)  # by the bits so far and the next one
         odds = np.log(below[1 << bits :] / below[: 1 << bits])[node.astype(np.int64)]
-        name = mix(node + np.uint64((d + 1) << 40))
-        hashes = (mix(name + one), mix(name ^ mix(two + np.uint64(0x51ED27))), mix(mix(name + one + np.uint64(0xA0761D)) + two))
-        yield np.stack([(h % np.uint64(TREE_WEIGHTS)).astype(np.int64) for h in hashes]), odds, ((keys >> np.uint64(bits)) & np.uint64(1)).astype(float)
+        at = histories ^ ((node + np.uint64(1 << bits)) * _ODD[4])
+        at *= _ODD[5]
+        at >>= shift
+        yield at.view(np.int64), odds, ((keys >> np.uint64(bits)) & np.uint64(1)).astype(float)
 
 
 def tree_log(mass: np.ndarray, weights: np.ndarray, keys: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -249,9 +255,9 @@ def tree_gradient(mass: np.ndarray, weights: np.ndarray, keys: np.ndarray, one:
     g, h = np.zeros(TREE_WEIGHTS), np.zeros(TREE_WEIGHTS)
     for at, odds, bit in tree_steps(mass, keys, one, two):
         p = 1 / (1 + np.exp(-(odds + weights[at].sum(0))))
-        for k in range(len(at)):
-            np.add.at(g, at[k], bit - p)
-            np.add.at(h, at[k], p * (1 - p))
+        flat = at.ravel()
+        g += np.bincount(flat, weights=np.tile(bit - p, len(at)), minlength=TREE_WEIGHTS)
+        h += np.bincount(flat, weights=np.tile(p * (1 - p), len(at)), minlength=TREE_WEIGHTS)
     return g, h
 
 
