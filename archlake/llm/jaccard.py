@@ -281,8 +281,8 @@ def linked(pairs: DataFrame, docs: DataFrame, rule: Rule, key: str, text: str) -
 
 
 def matrix(sets: DataFrame, moved: DataFrame, rule: Rule) -> DataFrame:
-    """The token-group matrix: token, grp, label (of all members if it is one, else NO_LABEL), and the least and greatest size
-    of members with the token.
+    """The token-group matrix: token, grp, apart (the label of all members if it is one, else NO_LABEL, minus grp), and sizes (the
+    least size of members with the token times 2**32, and the greatest one).
 
     sets: id, n, tokens. moved: id, grp, label for sets that aren't alone in their group, with a null grp for copies that
     another set stands for.
@@ -301,11 +301,11 @@ def matrix(sets: DataFrame, moved: DataFrame, rule: Rule) -> DataFrame:
             token, g, label, n = token[order], g[order], label[order], n[order]
             new = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (g[1:] != g[:-1]))))
             last = np.append(new[1:], len(token)) - 1
-            sizes = (n[new].astype(np.int32), n[last].astype(np.int32))
-            yield pa.record_batch([pa.array(v) for v in (token[new], g[new], label[new], *sizes)], names=["token", "grp", "label", "low", "high"])
+            # narrow rows: a label is told from its group, as most are the same, and two sizes are one number
+            yield pa.record_batch([pa.array(v) for v in (token[new], g[new], label[new] - g[new], (n[new] << 32) | n[last])], names=["token", "grp", "apart", "sizes"])
 
     bare = met.select(F.when(F.col("hit").isNull(), F.col("id")).otherwise(F.col("grp")).alias("grp"), F.when(F.col("hit").isNull(), F.col("id")).otherwise(F.col("label")).alias("label"), "n", "tokens")
-    return bare.mapInArrow(run, "token long, grp long, label long, low int, high int")
+    return bare.mapInArrow(run, "token long, grp long, apart long, sizes long")
 
 
 def qualifying(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -322,11 +322,11 @@ def qualifying(rows: DataFrame, rule: Rule) -> DataFrame:
         return a[new], b[new], np.minimum(np.add.reduceat(n, new), BOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(5)] for b in batches]
+        got = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(4)] for b in batches]
         if not got:
             return
-        token, g, label, low, high = (np.concatenate(v) for v in zip(*got, strict=True))
-        low, high = low.astype(np.int64), high.astype(np.int64)
+        token, g, apart, sizes = (np.concatenate(v) for v in zip(*got, strict=True))
+        label, low, high = g + apart, sizes >> 32, sizes & 0xFFFFFFFF
         order = np.lexsort((label, token))
         token, g, label, low, high = (v[order] for v in (token, g, label, low, high))
         # a token whose groups are all connected says nothing: labels are sorted, so that its first and last one are equal
