@@ -4,9 +4,10 @@ A recording is cut into overlapping frames; the energies of a frame's spectrum a
 sums over rectangles of (frame, pitch class), read off an integral image; each gives two bits, sixteen make a packed
 integer for every frame.
 
-Integers of queries and of all recordings meet by value in a Spark join, two of them at a time, as a single integer is too common
-in a large corpus; counted by offset they make the offset histogram. Each offset with enough votes is then judged by the bits that differ there: the stretch of frames with the fewest errors for its length
-must be long enough and within the limit. Copies are one class before anything meets.
+Recordings are dealt to shards, each an index by value; queries come to every shard. Integers meet by value, two of them at a time, as
+a single integer is too common in a large corpus; counted by offset they make the offset histogram. Each offset with enough equal
+pairs is then judged by the bits that differ there: the stretch of frames with the fewest errors for its length must be long enough
+and within the limit. Copies are one class before anything meets.
 """
 
 from __future__ import annotations
@@ -54,8 +55,8 @@ class Match:
     seconds: float = 1.0  # of a stretch, at least; or half of the shorter recording
     integers: int = 24  # of a stretch, at least, whatever the recordings' lengths
     bit_errors: float = 0.2  # share of bits that differ in a stretch, at most
-    crowd: int = 64  # postings of one value that one task's query rows have, about
-    met: int = 32  # recordings that a query is held against in one row, about
+    shard: int = 1 << 22  # integers of a shard, about; fewer where there are more cores than shards
+    least_shard: int = 1 << 18
 
 
 def _filters(s: Settings) -> list[tuple[int, int, int, int]]:
@@ -191,36 +192,6 @@ def pair_keys(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((value[:-1] << np.uint64(32)) | value[1:]).view(np.int64), at[:-1]
 
 
-def postings(heads: DataFrame) -> DataFrame:
-    """value, id and place of all pair_keys of the recordings."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                got = [pair_keys(np.frombuffer(v.as_buffer(), "<u4")) for v in part.column(1)]
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(got)), [len(a) for _, a in got])))
-                value, place = (np.concatenate(v) for v in zip(*got, strict=True))
-                yield pa.record_batch([pa.array(value), ids, pa.array(place.astype(np.int32))], names=["value", "id", "place"])
-
-    return heads.select("id", "items").mapInArrow(run, "value long, id long, place int")
-
-
-def histogram(heads: DataFrame, m: Match) -> DataFrame:
-    """a (a class with query rows), b (another class) and offsets: the places of b minus those of a with enough equal pairs.
-
-    A value that many queries have is dealt to several keys, so that no task has more than about `crowd` of its query rows; the
-    recordings that have it are repeated for each of these keys.
-    """
-    asked = postings(heads.where("asked")).toDF("value", "a", "at")
-    crowds = cut(asked.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / m.crowd).cast("int").alias("parts")).where("parts > 1"))
-    left = asked.join(crowds, "value", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    right = postings(heads).toDF("value", "b", "there").join(crowds, "value", "left")
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    votes = left.join(right, ["value", "part"]).where("a <> b").groupBy("a", "b", (F.col("there") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    return votes.where(F.col("votes") >= m.pairs).groupBy("a", "b").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))
-
-
 def stretches(query: np.ndarray, items: np.ndarray, offsets: list[int], s: Settings, m: Match) -> list[tuple[int, int, int, int, int]]:
     """(offset, start in the query, votes, overlap, bit errors) of the aligned stretches, the best one first.
 
@@ -250,29 +221,74 @@ def stretches(query: np.ndarray, items: np.ndarray, offsets: list[int], s: Setti
     return out
 
 
-def aligned(met: DataFrame, heads: DataFrame, s: Settings, m: Match) -> DataFrame:
-    """The stretches of the pairs met (a, b, offsets) that hold, as rows of kind 'match'.
-
-    The recordings that one query meets come in rows of about `met`, so that the query's integers aren't repeated for each.
+class Shard:
+    """Recordings, and where each of their pair_keys stands."""
+
+    def __init__(self, ids: list[int], items: list[np.ndarray]):
+        self.ids, self.items = ids, items
+        got = [pair_keys(x) for x in items]
+        value = np.concatenate([v for v, _ in got])
+        order = np.argsort(value, kind="stable")
+        self.value = value[order]
+        self.owner = np.repeat(np.arange(len(got), dtype=np.int64), [len(a) for _, a in got])[order]
+        self.place = np.concatenate([a for _, a in got])[order]
+
+    def align(self, own: int, query: np.ndarray, s: Settings, m: Match) -> Iterator[tuple]:
+        """(other, offset, start, votes, overlap, bit errors) of all stretches with recordings of another id."""
+        value, at = pair_keys(query)
+        lo, hi = np.searchsorted(self.value, value, "left"), np.searchsorted(self.value, value, "right")
+        ends = np.cumsum(hi - lo)
+        votes = np.empty((2, 0), np.int64)
+        done, shift, width = 0, np.int64(1 << 31), np.int64(1 << 32)
+        while done < len(value):  # about a million votes at a time
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + (1 << 20), "right")))
+            n = (hi - lo)[done:upto]
+            into = np.repeat(lo[done:upto] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            names, count = np.unique(self.owner[into] * width + self.place[into] - np.repeat(at[done:upto], n) + shift, return_counts=True)
+            both, same = np.unique(np.concatenate([votes[0], names]), return_inverse=True)
+            votes = np.stack([both, np.bincount(same, weights=np.concatenate([votes[1], count]), minlength=len(both)).astype(np.int64)])
+            done = upto
+        enough = votes[0][votes[1] >= m.pairs]
+        owner, offset = enough // width, enough % width - shift
+        edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            k = int(owner[a])
+            if self.ids[k] != own:
+                for one in stretches(query, self.items[k], offset[a:b].tolist(), s, m):
+                    yield self.ids[k], *one
+
+
+def aligned(heads: DataFrame, s: Settings, m: Match) -> DataFrame:
+    """The stretches of all queries among heads (id, items, n_items, asked) with all other heads, as rows of kind 'match'.
+
+    Recordings go to shards of a bounded number of integers (one longer recording is a shard's, too); a query is sent to every shard.
     """
-    items = heads.select(F.col("id").alias("_id"), F.col("items").alias("_items"))
-    many = met.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / m.met).alias("parts")).where("parts > 1")
-    dealt = met.join(many, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))))
-    others = dealt.join(items, F.col("b") == F.col("_id")).groupBy("a", "part").agg(F.collect_list(F.struct("b", "offsets", F.col("_items").alias("items"))).alias("others"))
-    both = others.join(items, F.col("a") == F.col("_id")).select("a", "_items", "others")
+    total = heads.agg(F.coalesce(F.sum("n_items"), F.lit(0))).first()[0]
+    each = min(m.shard, max(m.least_shard, -(-total // heads.sparkSession.sparkContext.defaultParallelism)))
+    shards = max(1, -(-total // each))
+    index = heads.select(F.pmod(F.xxhash64("id", "items"), F.lit(shards)).cast("int").alias("n"), F.lit(False).alias("asks"), "id", "items")
+    asked = heads.where("asked").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("n"), F.lit(True).alias("asks"), "id", "items")
+    dealt = index.unionByName(asked).repartition(shards, "n").sortWithinPartitions("n", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, shard, ids, held = None, None, [], []
         for batch in batches:
-            for i in range(batch.num_rows):
-                a, query, out = batch.column(0)[i].as_py(), np.frombuffer(batch.column(1)[i].as_buffer(), "<u4"), []
-                for one in batch.column(2)[i].values:
-                    other = np.frombuffer(one["items"].as_buffer(), "<u4")
-                    out += [(a, one["b"].as_py(), len(query), *x) for x in stretches(query, other, one["offsets"].as_py(), s, m)]
-                if out:
-                    cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-                    yield pa.record_batch([pa.array(["match"] * len(out)), *cols], names=["kind", "id", "other", "items", *MEASURES])
-
-    return both.mapInArrow(run, "kind string, id long, other long, items long, " + ", ".join(f"{c} long" for c in MEASURES))
+            out = []
+            for n, asks, own, items in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if n != name:
+                    name, shard, ids, held = n, None, [], []
+                items = np.frombuffer(items, "<u4")
+                if not asks:
+                    ids.append(own)
+                    held.append(items)
+                elif ids:
+                    shard = shard or Shard(ids, held)
+                    out += [(own, other, len(items), *rest) for other, *rest in shard.align(own, items, s, m)]
+            if out:
+                cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+                yield pa.record_batch([pa.array(["match"] * len(out)), *cols], names=["kind", "id", "other", "items", *MEASURES])
+
+    return dealt.mapInArrow(run, "kind string, id long, other long, items long, " + ", ".join(f"{c} long" for c in MEASURES))
 
 
 MEASURES = ("offset", "start", "votes", "overlap", "bit_errors")
@@ -310,4 +326,4 @@ def align(table: DataFrame, is_query: str | Column, key: str, media: str, s: Set
     listed = rows.select(F.lit("recording").alias("kind"), "id", "other", F.col("n_items").alias("items"), *none)
     heads = made.join(first.where("n_items > 0").select("first", F.col("h").alias("hh"), F.col("h2").alias("hh2"), "asked"), (F.col("id") == F.col("first")) & (F.col("h") == F.col("hh")) & (F.col("h2") == F.col("hh2")))
     heads = cut(heads.dropDuplicates(["id", "h", "h2"]).select("id", "items", "n_items", "asked"))
-    return listed.unionByName(aligned(cut(histogram(heads, m)), heads, s, m))
+    return listed.unionByName(aligned(heads, s, m))
