@@ -232,10 +232,9 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc
         .limit(s.sample_rows)
     )
     found = docs.select(F.col(key).alias("_d"), text).join(F.broadcast(chosen), F.col("_d") == F.col("_key"))
-    rows = measure(found, ["_h", "_y"], text).limit(2 * s.sample_rows).toArrow()
+    rows = measure(found, ["_h", "_y"], text).orderBy("_h", "_y", "features").limit(s.sample_rows).toArrow()
     if not rows.num_rows:
         return None
-    rows = rows.take(np.lexsort((rows["_y"].to_numpy(), rows["_h"].to_numpy()))[: s.sample_rows])
     y = rows["_y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return None
