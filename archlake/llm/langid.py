@@ -27,13 +27,13 @@ UNDETERMINED = "und"
 class Settings:
     buckets: int = 1 << 13
     width: int = 8  # of an embedding
-    sample_rows: int = 3000  # labelled rows trained on, at most; they are those with the smallest hashes of their keys
+    sample_rows: int = 3000  # labelled rows trained on, at most: half of them by the rows of a language, half evenly by language
     calibration_share: int = 5  # every fifth of them is for the temperature and the threshold
     epochs: int = 8
     batch: int = 64
     rate: float = 0.1  # of the first epoch; each weight's steps shrink with its gradients so far
-    kept_share: float = 0.999  # of calibration rows that are right, the share with scores from twice the threshold on
-    threshold_limit: float = 0.6  # the threshold is never above this
+    kept_share: float = 0.999  # of calibration rows that are right, the share that the threshold keeps, at least
+    noise_share: float = 0.99  # of bags of random subwords, the share that it rejects, unless kept_share comes in the way
     seed: int = 7
 
 
@@ -158,22 +158,28 @@ def _sgd(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: int,
 def train(docs: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", label: str = "lang", settings: Settings = Settings()) -> Model | None:
     """Learn from rows with a label and at least one subword; None if there are none.
 
-    The sample is bounded by settings.sample_rows; each of its texts goes to the driver as at most settings.buckets counts.
+    The sample is bounded by settings.sample_rows; each of its texts goes to the driver as at most settings.buckets counts. Rows
+    are those with the smallest hashes of their keys, divided by their language's weight, so that rare languages are in it.
     """
     s = settings
     few = docs.where(may_learn & F.col(label).isNotNull() & F.col(text).isNotNull()).select(key, text, label).withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.lit(s.seed)))
-    chosen = few.select(key, label, "_h").orderBy("_h", key).limit(s.sample_rows).select(F.col("_h").alias("_c")).distinct()
+    sizes = few.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    every = few.agg(F.count(F.lit(1)), F.count_distinct(label)).first()
+    if not every[0]:
+        return None
+    weight = 0.5 / every[0] + 0.5 / (every[1] * F.col("_n"))
+    ranked = few.select(key, label, "_h").join(sizes, F.col(label) == F.col("_l")).withColumn("_at", (F.col("_h") / 2.0**64 + 0.5) / weight)
+    chosen = ranked.orderBy("_at", "_h", key).limit(s.sample_rows).select(F.col("_h").alias("_c")).distinct()
     got = bags(few.join(F.broadcast(chosen), F.col("_h") == F.col("_c")), [label, "_h"], text, s.buckets).where(F.size("buckets") > 0)
-    table = got.limit(2 * s.sample_rows).toArrow()  # a hash that many rows share can't make it larger
+    table = got.orderBy("_h", label, "buckets", "counts").limit(s.sample_rows).toArrow()  # a hash that many rows share can't make it larger
     if not table.num_rows:
         return None
-    order = np.argsort(table["_h"].to_numpy(), kind="stable")[: s.sample_rows]
     names = table[label].to_pylist()
-    labels = sorted({names[i] for i in order})
-    y = np.array([labels.index(names[i]) for i in order])
+    labels = sorted(set(names))
+    y = np.array([labels.index(n) for n in names])
     ids, counts = table["buckets"].combine_chunks(), table["counts"].combine_chunks()
     rows = []
-    for i in order.tolist():
+    for i in range(len(names)):
         c = counts[i].values.to_numpy()
         rows.append((ids[i].values.to_numpy(), c / c.sum()))
     held = np.arange(len(rows)) % s.calibration_share == 0
@@ -183,32 +189,38 @@ def train(docs: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "
     logits = (emb @ out).astype(np.float32)
     on = held if held.any() else ~held
     z = np.array([r[1] @ logits[r[0]] + bias for r, h in zip(rows, on, strict=True) if h])
-    temperature, threshold = _calibrate(z, y[on], s)
+    rng = np.random.default_rng(s.seed)
+    spread = [(rng.integers(0, s.buckets, len(r[0])), r[1]) for r, h in zip(rows, on, strict=True) if h]
+    noise = np.array([w @ logits[ids] + bias for ids, w in spread])
+    temperature, threshold = _calibrate(z, y[on], noise, s)
     return Model(labels, logits, bias, temperature, threshold)
 
 
-def _calibrate(z: np.ndarray, y: np.ndarray, s: Settings) -> tuple[float, float]:
-    """The temperature of least log loss, and the threshold that accepts kept_share of the right answers."""
+def _calibrate(z: np.ndarray, y: np.ndarray, noise: np.ndarray, s: Settings) -> tuple[float, float]:
+    """The temperature of least log loss, and the threshold: as high as it takes to reject noise_share of the noise, bags as
+    long as the calibration texts with their subwords drawn at random, but never so high that under kept_share of the
+    right answers stay."""
 
-    def probabilities(t: float) -> np.ndarray:
+    def probabilities(z: np.ndarray, t: float) -> np.ndarray:
         p = np.exp((z - z.max(1, keepdims=True)) / t)
         return p / p.sum(1, keepdims=True)
 
     def loss(t: float) -> float:
-        return float(-np.log(probabilities(t)[np.arange(len(y)), y] + 1e-12).mean())
+        return float(-np.log(probabilities(z, t)[np.arange(len(y)), y] + 1e-12).mean())
 
     t = min(np.geomspace(0.2, 5, 33).tolist(), key=loss)
-    p = probabilities(t)
+    p = probabilities(z, t)
     right = np.sort(p.max(1)[p.argmax(1) == y])
-    threshold = float(right[int((1 - s.kept_share) * len(right))]) if len(right) else 0.0
-    return t, min(s.threshold_limit, threshold * 0.5)
+    kept = float(right[int((1 - s.kept_share) * len(right))]) if len(right) else 0.0
+    return t, min(kept, float(np.quantile(probabilities(noise, t).max(1), s.noise_share)))
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:
     """keep, lang_pred, score (0 to 1: the calibrated probability of lang_pred) and accepted, with `prefix` before these names.
 
     'und' with score 0 for a null text and one without a letter, and for every text if there is no model; these and
-    texts whose score is under the model's threshold are not accepted. Of tied languages the first by name is taken.
+    texts whose score is under the model's threshold are not accepted: texts of random letters, and of languages whose subwords
+    have not been seen. A language that is spelled like a learnt one is taken for that. Of tied languages the first by name is taken.
     """
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(prefix + "lang_pred", T.StringType()), T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "accepted", T.BooleanType())])
 

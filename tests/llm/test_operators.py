@@ -328,6 +328,26 @@ def test_language_model(spark):
     assert langid.train(table.limit(0), F.lit(True)) is None
 
 
+def test_language_rejection(spark):
+    """Random letters and scripts that nobody learnt are rejected, right answers stay, and a rare language is learnt."""
+    rng = np.random.default_rng(3)
+    en, de = WORDS, "der und fluss stein eine wolke zum wind im licht über baum haus straße nacht".split()
+    fi = "joki kivi pilvi tuuli valossa yli puu talo tie yö ja että hän".split()
+    rows = [(i, " ".join(rng.choice([en, de][i % 2], rng.integers(30, 80))), ["en", "de"][i % 2]) for i in range(1500)]
+    rows += [(2000 + i, " ".join(rng.choice(fi, 50)), "fi") for i in range(8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(table, F.col("doc_id") % 3 != 0, settings=langid.Settings(sample_rows=300))
+    assert model.labels == ["de", "en", "fi"] and model.threshold > 0.34
+    got = langid.identify(table, model, ["doc_id", "lang"]).where("doc_id % 3 = 0").collect()
+    assert sum(r.accepted and r.lang == r.lang_pred for r in got) >= 0.99 * len(got)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    odd = [(i, " ".join("".join(rng.choice(letters, rng.integers(3, 9))) for _ in range(100)), None) for i in range(200)]
+    odd += [(500 + i, "".join(rng.choice([chr(c) for c in range(0x3B1, 0x3C9)] + [" "], 400)), None) for i in range(100)]
+    got = langid.identify(spark.createDataFrame(odd, table.schema), model, ["doc_id"]).collect()
+    assert sum(not r.accepted for r in got if r.doc_id < 500) >= 160
+    assert sum(not r.accepted for r in got if r.doc_id >= 500) >= 80
+
+
 def test_licenses(spark):
     rows = [(1, "Some text.\nReleased under the MIT License.\nMore text.", "s"), (2, "Licensed under the Apache License, Version 2.0.", "s"), (3, "Released under the BSD License.", "s"), (4, "the of and river", "s"), (5, "This work is licensed under the GNU General Public License, version 2.", "s")]
     got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
