@@ -363,16 +363,16 @@ def qualifying(rows: DataFrame, rule: Rule) -> DataFrame:
     return dealt.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= BOUND).select("a", "b")
 
 
-def open_groups(opened: DataFrame, member: DataFrame, rule: Rule) -> DataFrame:
+def open_groups(opened: DataFrame, member: DataFrame, about: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of members of opened pairs of groups, and of one group, that sizes and sketches don't rule out.
 
-    member: id, n, sketch, grp, label. A group's members, about PACK of them, are one row; pairs that are ruled out, and those
-    that are connected already, never become rows.
+    member: id, grp, label. about: id, n, sketch. Sketches are read for members of opened groups only. A group's members, about
+    PACK of them, are one row; pairs that are ruled out, and those that are connected already, never become rows.
     """
     needed = opened.select(F.col("a").alias("grp")).union(opened.select("b")).distinct()
     large = member.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
-    packed = member.join(needed.union(large).distinct(), "grp").groupBy("grp").agg(F.collect_list(F.struct("id", "n", "label", "sketch")).alias("rows"))
-    packed = cut(packed)
+    wanted = cut(member.join(needed.union(large).distinct(), "grp"))
+    packed = cut(wanted.join(about.select("id", "n", "sketch"), "id").groupBy("grp").agg(F.collect_list(F.struct("id", "n", "label", "sketch")).alias("rows")))
     left, right = packed.select(F.col("grp").alias("a"), F.col("rows").alias("rows_a")), packed.select(F.col("grp").alias("b"), F.col("rows").alias("rows_b"))
     itself = packed.join(large, "grp").select(F.col("rows").alias("rows_a"), F.col("rows").alias("rows_b"))
     met = opened.join(left, "a").join(right, "b").select("rows_a", "rows_b").unionByName(itself)
@@ -470,7 +470,7 @@ def _components(docs: DataFrame, rule: Rule, together: bool) -> tuple[DataFrame,
     # of all sets with one most frequent shingle, the one with the largest share of frequent ones meets the others
     heads = chosen.where(F.col("common").isNotNull()).groupBy(F.col("common").alias("c")).agg(F.max(F.struct("share", (-F.col("id")).alias("m"))).alias("h"), F.count(F.lit(1)).alias("k"), F.min("id").alias("least"))
     heads = F.broadcast(heads.where(F.col("k") > 1))  # of FREQUENT shingles at most, so at most as many rows
-    several = chosen.select("id", "n", "sketch", "common").join(heads, F.col("common") == F.col("c"))
+    several = chosen.select("id", "n", "common").join(heads, F.col("common") == F.col("c"))
     star = several.select((-F.col("h.m")).alias("a"), F.col("id").alias("b")).where(F.col("a") != F.col("b"))
     first_links = cut(linked(possible(star, chosen, rule), named, rule, key, text))
 
@@ -480,18 +480,18 @@ def _components(docs: DataFrame, rule: Rule, together: bool) -> tuple[DataFrame,
     sized = several.withColumn("step", F.floor(F.log("n") * SIZE_STEPS))
     crowds = sized.groupBy("c", "step").agg(F.count(F.lit(1)).alias("crowd"))
     met = sized.join(crowds, ["c", "step"]).join(heard, "id", "left")
-    dealt = met.select("id", "n", "sketch", "c", "step", near, F.coalesce("head", "id").alias("label"), F.pmod(F.xxhash64("id"), F.ceil(F.col("crowd") / PACK)).alias("chunk"))
+    dealt = met.select("id", "c", "step", near, F.coalesce("head", "id").alias("label"), F.pmod(F.xxhash64("id"), F.ceil(F.col("crowd") / PACK)).alias("chunk"))
     names = dealt.groupBy("c", "step", "near", "chunk").agg(F.min("id").alias("grp"), F.min("label").alias("low"), F.max("label").alias("high"))
-    grouped = cut(dealt.join(names, ["c", "step", "near", "chunk"]).select("id", "n", "sketch", "grp", "label", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(NO_LABEL)).alias("all_label")))
+    grouped = cut(dealt.join(names, ["c", "step", "near", "chunk"]).select("id", "grp", "label", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(NO_LABEL)).alias("all_label")))
     copies = same.where(F.col("id") != F.col("first")).select("id").distinct().join(chosen.select("id"), "id", "left_anti")
     empty = about.where("id is not null and n = 0").select("id").distinct().join(chosen.select("id"), "id", "left_anti")
     none = F.lit(None).cast("long")
     moved = cut(grouped.select("id", "grp", F.col("all_label").alias("label")).union(copies.union(empty).distinct().select("id", none, none)))
 
     opened = cut(qualifying(matrix(sets, moved, rule), rule))
-    alone = chosen.select("id", "n", "sketch").join(grouped.select("id"), "id", "left_anti").select("id", "n", "sketch", F.col("id").alias("grp"), F.col("id").alias("label"))
-    member = grouped.select("id", "n", "sketch", "grp", "label").unionByName(alone)
-    second_links = cut(linked(open_groups(opened, member, rule), named, rule, key, text))
+    alone = chosen.select("id").join(grouped.select("id"), "id", "left_anti").select("id", F.col("id").alias("grp"), F.col("id").alias("label"))
+    member = grouped.select("id", "grp", "label").unionByName(alone)
+    second_links = cut(linked(open_groups(opened, member, chosen, rule), named, rule, key, text))
     all_links = reduce(DataFrame.unionByName, [first_links, second_links, equal])
     if own is not None and together:
         all_links = all_links.unionByName(own.select(F.col("doc").alias("u"), F.col("id").alias("v")))
