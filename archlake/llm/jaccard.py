@@ -41,6 +41,9 @@ PACK, BROADCAST_IDS, NO_LABEL = 64, 200_000, -(1 << 63)
 #: Classes of more equal sets than LARGE are sent to all tasks, if they are MANY_LARGE at most.
 LARGE, MANY_LARGE = 1024, 1 << 16
 
+#: Bytes of a group's member in a row besides its sketch.
+MEMBER_BYTES = 48
+
 #: Texts that one text is held against in a row, about.
 MET = 32
 
@@ -372,10 +375,14 @@ def open_groups(opened: DataFrame, member: DataFrame, about: DataFrame, rule: Ru
     needed = opened.select(F.col("a").alias("grp")).union(opened.select("b")).distinct()
     large = member.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
     wanted = cut(member.join(needed.union(large).distinct(), "grp"))
-    packed = cut(wanted.join(about.select("id", "n", "sketch"), "id").groupBy("grp").agg(F.collect_list(F.struct("id", "n", "label", "sketch")).alias("rows")))
+    packed = cut(wanted.join(about.select("id", "n", "sketch"), "id").groupBy("grp").agg(F.collect_list(F.struct("id", "n", "label", "sketch")).alias("rows"), F.sum(F.length("sketch") + MEMBER_BYTES).alias("weight")))
+    # the lighter group of a pair goes to the heavier one
+    weights = packed.select("grp", "weight")
+    sided = opened.join(weights.toDF("a", "w_a"), "a").join(weights.toDF("b", "w_b"), "b")
+    turned = sided.select(*[F.when(F.col("w_a") <= F.col("w_b"), x).otherwise(y).alias(to) for to, x, y in (("a", F.col("a"), F.col("b")), ("b", F.col("b"), F.col("a")))])
     left, right = packed.select(F.col("grp").alias("a"), F.col("rows").alias("rows_a")), packed.select(F.col("grp").alias("b"), F.col("rows").alias("rows_b"))
     itself = packed.join(large, "grp").select(F.col("rows").alias("rows_a"), F.col("rows").alias("rows_b"))
-    met = opened.join(left, "a").join(right, "b").select("rows_a", "rows_b").unionByName(itself)
+    met = turned.join(left, "a").join(right, "b").select("rows_a", "rows_b").unionByName(itself)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
