@@ -41,6 +41,9 @@ PACK, BROADCAST_IDS, NO_LABEL = 64, 200_000, -(1 << 63)
 #: Classes of more equal sets than LARGE are sent to all tasks, if they are MANY_LARGE at most.
 LARGE, MANY_LARGE = 1024, 1 << 16
 
+#: Sets that meet one row of a head, about.
+HEARD = 4096
+
 #: Bytes of a group's member in a row besides its sketch.
 MEMBER_BYTES = 48
 
@@ -228,11 +231,8 @@ def describe(docs: DataFrame, rule: Rule, known: Frequency, key: str, text: str)
     return bare.mapInArrow(run, "id long, n long, d1 long, d2 long, common long, share double, sketch binary, tokens binary")
 
 
-def possible(pairs: DataFrame, about: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the pairs (a, b) that sizes and sketches don't rule out."""
-    left = about.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    right = about.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    met = pairs.select("a", "b").join(left, "a").join(right, "b")
+def possible(met: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the pairs (a, b) with sizes n_a, n_b and sketches s_a, s_b that these don't rule out."""
     sized = met.where((F.col("n_a") * rule.den >= F.col("n_b") * rule.num) & (F.col("n_b") * rule.den >= F.col("n_a") * rule.num))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,9 +477,13 @@ def _components(docs: DataFrame, rule: Rule, together: bool) -> tuple[DataFrame,
     # of all sets with one most frequent shingle, the one with the largest share of frequent ones meets the others
     heads = chosen.where(F.col("common").isNotNull()).groupBy(F.col("common").alias("c")).agg(F.max(F.struct("share", (-F.col("id")).alias("m"))).alias("h"), F.count(F.lit(1)).alias("k"), F.min("id").alias("least"))
     heads = F.broadcast(heads.where(F.col("k") > 1))  # of FREQUENT shingles at most, so at most as many rows
-    several = chosen.select("id", "n", "common").join(heads, F.col("common") == F.col("c"))
-    star = several.select((-F.col("h.m")).alias("a"), F.col("id").alias("b")).where(F.col("a") != F.col("b"))
-    first_links = cut(linked(possible(star, chosen, rule), named, rule, key, text))
+    several = chosen.select("id", "n", "sketch", "common").join(heads, F.col("common") == F.col("c"))
+    # a head that meets many sets has a row for each HEARD of them; the sets bring their own sketches
+    parts = F.ceil(F.col("k") / HEARD)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
+    lead = cut(chosen.join(heads, F.col("id") == -F.col("h.m")).select(F.col("id").alias("a"), each, F.col("n").alias("n_a"), F.col("sketch").alias("s_a")))
+    star = several.select((-F.col("h.m")).alias("a"), F.pmod(F.xxhash64("id"), parts).alias("part"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    first_links = cut(linked(possible(star.where(F.col("a") != F.col("b")).join(lead, ["a", "part"]), rule), named, rule, key, text))
 
     # groups of about PACK sets, those connected by now apart from the others; their names are the ids of their first members
     heard = first_links.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("head"))
