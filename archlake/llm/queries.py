@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlake.llm import audio, gam, jaccard, langid, licenses, maxent, mixing, packing, sharding, topk
+from archlake.llm import audio, gam, jaccard, langid, licenses, maxent, mixing, packing, radix, sharding, topk
 from archlake.llm.store import table
 
 
@@ -84,6 +84,20 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
 
 
+def op11_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix.mark_copies(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+with d as (
+  select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+       row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256
+from d
+"""
+
+
 QUERIES = {
     "op1_chroma_alignment": op1_chroma_alignment,
     "op2_hashed_maxent": op2_hashed_maxent,
@@ -95,8 +109,10 @@ QUERIES = {
     "op8_subword_langid": op8_subword_langid,
     "op9_group_jaccard": op9_group_jaccard,
     "op10_nnls_packing": op10_nnls_packing,
+    "op11_radix_dedup": op11_radix_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op6_impact_topk": OP6_SQL,
+    "op11_radix_dedup": OP11_SQL,
 }

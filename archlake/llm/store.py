@@ -1,31 +1,12 @@
-"""Where long jobs cut their lineage: tables in the folder that all executors share."""
+"""The tables that operators read, and where long jobs cut their lineage (see sources.shared)."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from archlake.sources.shared import cut, drop, scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a session without one gets a temporary folder only in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.startswith("local["):
-            found = tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("spark.checkpoint.dir", found)
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: it survives lost executors and is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "drop", "scratch", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
