@@ -57,7 +57,7 @@ def mark_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     plain = docs.select(F.col(key).alias("k"), norm.alias("t")).select("k", F.col("t").cast("binary").alias("t"))
     heads = plain.select("k", "t", _digit(F.col("t"), 0).alias("d0"), (F.octet_length("t") > ENDS[0]).alias("more"))
     first = _numbered(heads, ["d0", "more"])
-    met = attach(heads.withColumn("sha", F.sha2("t", 256)), first, ["d0", "more"], "n", F.xxhash64("k"))
+    met = attach(heads.withColumn("sha", F.sha2("t", 256)), first, ["d0", "more"], "n", F.xxhash64("k"), grows=True)
     open_ = F.col("g_new").isNotNull() & F.col("more")
     later = [F.when(open_, _digit(F.col("t"), level)).alias(f"d{level}") for level in range(1, len(ENDS) + 1)]
     base = cut(met.select(F.monotonically_increasing_id().alias("rid"), "k", "sha", F.col("g_new").alias("g"), open_.alias("open"), *later))
@@ -68,7 +68,7 @@ def mark_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     while not live.isEmpty():
         digits = ["g", f"d{level}", "more"]
         groups = _numbered(live, digits)
-        split = cut(attach(live, groups, digits, "n", F.col("rid")).where("g_new is not null").select("rid", F.col("g_new").alias("g"), "more"))
+        split = cut(attach(live, groups, digits, "n", F.col("rid"), grows=True).where("g_new is not null").select("rid", F.col("g_new").alias("g"), "more"))
         drop(groups)
         ended.append(split.where("not more").select("rid", F.lit(level).alias("level"), "g"))
         level += 1
@@ -76,14 +76,14 @@ def mark_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             break
         more = F.col(f"d{level + 1}").isNotNull() if level < len(ENDS) else F.lit(False)
         digit = base.where(F.col(f"d{level}").isNotNull()).select("rid", f"d{level}", more.alias("more"))
-        live = split.where("more").select("rid", "g").join(digit, "rid")
+        live = split.where("more").select("rid", "g").hint("merge").join(digit, "rid")
 
     at_once = base.where("g is not null and not open").select("rid", F.lit(0).alias("level"), "g")
     members = reduce(DataFrame.unionByName, ended, at_once)
-    rows = cut(base.select("rid", "k", "sha").join(members, "rid", "left"))
+    rows = cut(base.select("rid", "k", "sha").join(members.hint("merge"), "rid", "left"))
     best = F.max(F.struct("k", (-F.col("rid")).alias("r")))  # a null key is the smallest
     groups = cut(rows.where("g is not null").groupBy("level", "g").agg(F.count(F.lit(1)).alias("n"), best.alias("best")))
-    found = attach(rows, groups, ["level", "g"], "n", F.col("rid"))
+    found = attach(rows, groups, ["level", "g"], "n", F.col("rid"), grows=True)
     drop(base)
     return found.select(
         F.col("k").alias(key),
