@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlake.llm import audio, gam, jaccard, langid, licenses, maxent, mixing, packing, radix, sharding, topk
+from archlake.llm import audio, codebooks, divergence, gam, jaccard, langid, licenses, maxent, mixing, packing, radix, sharding, topk
 from archlake.llm.store import table
 
 
@@ -98,6 +98,84 @@ from d
 """
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_documents=30, top=50)
+
+
+OP12_SQL = r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+), w as (
+  select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+), kept as (
+  select lang, term, count(*) as c from w group by 1, 2 having count(distinct r) >= 30
+), g as (select distinct lang, source from d
+), v as (select g.lang, count(term) as v from (select distinct lang from g) g left join kept using (lang) group by 1
+), n as (select lang, source, term, count(*) as c from w semi join kept using (lang, term) group by 1, 2, 3
+), sizes as (select g.lang, g.source, v, coalesce(sum(n.c), 0) as total from g join v using (lang) left join n using (lang, source) group by 1, 2, 3
+), whole as (select lang, sum(c) as total from kept group by 1
+), p as (
+  select s.lang, s.source, k.term, coalesce(n.c, 0) as c,
+         1 + (1000000000::hugeint * (coalesce(n.c, 0) + 5)) // (s.total + 5 * v)::hugeint as p,
+         1 + (1000000000::hugeint * (k.c + 5)) // (whole.total + 5 * v)::hugeint as q
+  from sizes s join kept k using (lang) join whole using (lang) left join n on n.lang = s.lang and n.source = s.source and n.term = k.term
+), x as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join (select x.lang as l, x.source as s1, y.source as s2, sum(abs(x.p - y.p)) as f from p x join p y on x.lang = y.lang and x.term = y.term group by 1, 2, 3) on l = a.lang and s1 = a.source and s2 = b.source
+  union all
+  select lang, source, 'term', term, p - q from p where c > 0 and p > q
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from x)
+where part = 'pair' or rank <= 50
+"""
+
+
+def op13_adaptive_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, codec = codebooks.compress(table(spark, sf_dir, "embeddings"), rounds=4, scale=1024)
+    return rows.withColumn("codebooks_sha256", F.lit(codec.sha256()))
+
+
+def _op13_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Each round's assignment and new entries as tables of their own, by plain distances."""
+    sql = f"""with v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as q
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), n as (
+  select row_number() over (order by vec_id nulls last, q) as r, vec_id, label, q, len(q) // {parts} as w from v
+), p as (
+  select r, vec_id, label, part, q[part * w + 1 : (part + 1) * w] as x from n, (select unnest(range({parts})) as part)
+), c0 as (
+  select part, cast(r - 1 as int) as entry, x as c from p where r <= {entries}
+)"""
+    distance = "cast(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint)"
+    for t in range(rounds + 1):
+        sql += f""", a{t} as materialized (
+  select r, part, min(d)[2] as entry, min(d)[1] as d
+  from (select r, p.part, [{distance}, cast(entry as bigint)] as d from p join c{t} on p.part = c{t}.part)
+  group by r, part
+)"""
+        if t < rounds:
+            sql += f""", m{t} as (
+  select part, entry, pos, cast(floor(sum(val)::hugeint // count(*) - case when sum(val) < 0 and sum(val)::hugeint % count(*) <> 0 then 1 else 0 end) as bigint) as val
+  from (select part, entry, unnest(x) as val, generate_subscripts(x, 1) as pos from p join a{t} using (r, part)) group by part, entry, pos
+), c{t + 1} as materialized (
+  select c{t}.part, c{t}.entry, coalesce(new.c, c{t}.c) as c
+  from c{t} left join (select part, entry, list(val order by pos) as c from m{t} group by part, entry) new on new.part = c{t}.part and new.entry = c{t}.entry
+)"""
+    return sql + f"""
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+       (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) from c{rounds}) as codebooks_sha256
+from (
+  select n.r, any_value(vec_id) as vec_id, any_value(label) as label, cast(sum(d) as bigint) as error,
+         string_agg(printf('%02x', entry), '' order by part) as code
+  from n join a{rounds} on n.r = a{rounds}.r group by n.r
+)"""
+
+
 QUERIES = {
     "op1_chroma_alignment": op1_chroma_alignment,
     "op2_hashed_maxent": op2_hashed_maxent,
@@ -110,9 +188,13 @@ QUERIES = {
     "op9_group_jaccard": op9_group_jaccard,
     "op10_nnls_packing": op10_nnls_packing,
     "op11_radix_dedup": op11_radix_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_adaptive_codebooks": op13_adaptive_codebooks,
 }
 
 ORACLE: dict[str, str] = {
     "op6_impact_topk": OP6_SQL,
     "op11_radix_dedup": OP11_SQL,
+    "op12_source_divergence": OP12_SQL,
+    "op13_adaptive_codebooks": _op13_sql(),
 }

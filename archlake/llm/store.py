@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archlake.sources.shared import cut, drop, scratch, shared_dir
+from archlake.sources.shared import cut, drop, remove, scratch, shared_dir
 
-__all__ = ["cut", "drop", "scratch", "shared_dir", "table"]
+__all__ = ["cut", "drop", "remove", "scratch", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

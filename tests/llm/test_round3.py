@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archlake.llm import queries as Q
-from archlake.llm import radix
+from archlake.llm import codebooks, divergence, radix
 
 DATA = "/root/testdata/sf0.001"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -87,3 +87,189 @@ def test_copies_of_one_text_hold_most_rows(spark):
     got = radix.mark_copies(frame)
     assert got.where("group_size = 4000 and keep_id = '999'").count() == got.where("group_size = 4000").count() == 4000
     assert got.where("kept").count() == 2001
+
+
+# ---------------------------------------------------------------- divergence of sources
+
+
+def audit_by_hand(rows, least, top):
+    words, documents, groups = defaultdict(Counter), defaultdict(Counter), set()
+    for _, text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        low = (text or "").translate(str.maketrans(UPPER, UPPER.lower()))
+        found = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in low).split(" ")
+        found = [w for w in found if w]
+        groups.add((lang, source))
+        words[lang, source].update(found)
+        documents[lang].update(set(found))
+    out = set()
+    for lang, source in groups:
+        kept = sorted(t for t, n in documents[lang].items() if n >= least)
+        sources = sorted(s for x, s in groups if x == lang)
+
+        def share(counts, kept=kept):
+            total = sum(counts[t] for t in kept)
+            return {t: 1 + 10**9 * (counts[t] + 5) // (total + 5 * len(kept)) for t in kept}
+
+        p = share(words[lang, source])
+        q = share(sum((words[lang, s] for s in sources), Counter()))
+        pairs = []
+        for other in sources:
+            if other != source:
+                o = share(words[lang, other])
+                pairs.append((sum(abs(p[t] - o[t]) for t in kept), other))
+        own = [(p[t] - q[t], t) for t in kept if words[lang, source][t] and p[t] > q[t]]
+        for part, found, n in (("pair", pairs, len(pairs)), ("term", own, top)):
+            ordered = sorted(found, key=lambda x: (-x[0], x[1].encode()))[:n]
+            out |= {(lang, source, part, item, value, i + 1) for i, (value, item) in enumerate(ordered)}
+    return out
+
+
+def check_audit(spark, rows, least, top):
+    got = divergence.audit(docs(spark, rows), least, top)
+    assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
+    got = list(map(tuple, got.collect()))
+    assert len(got) == len(set(got)) and set(got) == audit_by_hand(rows, least, top)
+
+
+def test_divergence_random(spark):
+    """Many sources, skewed terms, shared and single ones; alike rows and paths that begin alike."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"{c}{d}" for c in "aBcdéf漢" for d in ("x", "Yy", "z-", "w1w")]
+    weight = 1 / np.arange(1, len(vocabulary) + 1)
+    rows = []
+    for i in range(600):
+        lang, source = str(rng.choice(["en", "de", None])), f"s{min(int(rng.exponential(3)), 11)}"
+        rows.append((i, " ".join(rng.choice(vocabulary, rng.integers(0, 30), p=weight / weight.sum())), None if lang == "None" else lang, source))
+    check_audit(spark, rows, 5, 4)
+    check_audit(spark, rows, 60, 50)
+
+
+def test_divergence_odd(spark):
+    long = "Wort straße " * 150_000
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, "same same", "en", "a"), (3, "same same", "en", "a"), (None, "Same 12 other_other", "en", "b"), (4, "...", "en", "c"), (5, long, "de", "a"), (6, "Wort", "de", "b"), (7, "x", "fr", "alone")]
+    check_audit(spark, rows, 1, 50)
+    check_audit(spark, rows, 2, 1)
+    check_audit(spark, rows, 100, 50)
+    assert divergence.audit(docs(spark, rows).limit(0)).collect() == []
+
+
+def test_terms_are_not_cut_between_blocks():
+    text = ("Ünder den Linden, " * 120_000)[:-2]
+    found = [t for block in divergence.terms(text) for t in block]
+    assert Counter(found) == {"Ünder": 120_000, "den": 120_000, "linden": 120_000} and sum(1 for _ in divergence.terms(text)) > 1
+
+
+def test_tree_meets_each_pair_once():
+    """Corrections of a tree of sorted rows equal those of the single rows."""
+    rng = np.random.default_rng(2)
+    none = rng.integers(1, 50, 9)
+    rows = Counter()
+    for _ in range(300):
+        on = np.flatnonzero(rng.random(9) < 0.5)
+        rows[tuple((int(i), int(none[i] + rng.integers(0, 4)), int(none[i])) for i in on)] += 1
+    tree, want = divergence.Tree(), Counter()
+    for path, n in sorted(rows.items()):
+        tree.insert(*(np.array(v, np.int64) for v in zip(*path, strict=True)) if path else [np.empty(0, np.int64)] * 3, n)
+        for b in range(len(path)):
+            for a in range(b):
+                (i, s, x), (j, t, y) = path[a], path[b]
+                want[i, j] += n * (abs(s - t) - abs(s - y) - abs(x - t) + abs(x - y))
+    tree.leave(0)
+    i, j, v = tree.pairs()
+    assert dict(zip(zip(i.tolist(), j.tolist(), strict=True), v.tolist(), strict=True)) == {k: n for k, n in want.items() if n}
+
+
+# ---------------------------------------------------------------- vector codes
+
+VECTORS = "vec_id long, embedding array<float>, label string, n long, q string, kind string"
+
+
+def codes_by_hand(vectors, parts, entries, rounds, scale):
+    """vectors: (id, whole numbers) in the order of ids; plain distances in Python's whole numbers."""
+    width = -(-max(len(x) for _, x in vectors) // parts)
+    cells = [[(list(x) + [0] * (width * parts))[p * width : (p + 1) * width] for p in range(parts)] for _, x in vectors]
+    books = [[c[p] for c in cells[:entries]] for p in range(parts)]
+    apart = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    nearest = lambda c: [min(range(len(books[p])), key=lambda e: (apart(c[p], books[p][e]), e)) for p in range(parts)]
+    for _ in range(rounds):
+        to = [nearest(c) for c in cells]
+        for p in range(parts):
+            for e in range(len(books[p])):
+                mine = [c[p] for c, t in zip(cells, to, strict=True) if t[p] == e]
+                if mine:
+                    books[p][e] = [sum(v) // len(mine) for v in zip(*mine, strict=True)]
+    to = [nearest(c) for c in cells]
+    return books, ["".join(f"{e:02x}" for e in t) for t in to], [sum(apart(c[p], books[p][t[p]]) for p in range(parts)) for c, t in zip(cells, to, strict=True)]
+
+
+@pytest.mark.parametrize(("scale", "spread"), [(1024, 1.0), (8, 1.0), (1024, 2e3), (1024, 1e6)])
+def test_codes_equal_plain_distances(spark, scale, spread):
+    """With many ties (a coarse scale) and with numbers that machine words can't square."""
+    rng = np.random.default_rng(11)
+    x = (rng.normal(size=(400, 10)) * rng.choice([0.01, 0.3], (400, 1)) * spread).astype(np.float32)
+    x[50:90] = x[10:50]
+    ids = rng.permutation(400)
+    frame = spark.createDataFrame([(int(i), [float(v) for v in row], f"l{i % 3}" if i % 5 else None, 1, "q", "k") for i, row in zip(ids, x, strict=True)], VECTORS).repartition(5)
+    rows, codec = codebooks.compress(frame, entries=40, scale=scale)
+    got = {r.vec_id: r for r in rows.collect()}
+    whole = sorted((int(i), [int(np.floor(float(v) * scale)) for v in row]) for i, row in zip(ids, x, strict=True))
+    if spread == 1e6:
+        assert max(abs(v) for _, r in whole for v in r) > 1 << 29
+    books, codes, errors = codes_by_hand(whole, 4, 40, 4, scale)
+    assert [b.tolist() for b in codec.books] == books
+    assert [(got[i].code, got[i].error) for i, _ in whole] == list(zip(codes, errors, strict=True))
+    by_label = Counter()
+    for (i, _), e in zip(whole, errors, strict=True):
+        by_label[i % 3 if i % 5 else None] += e
+    assert all(got[i].label_error == by_label[i % 3 if i % 5 else None] for i, _ in whole)
+    assert codec.decode(got[0].code) == [v for p in range(4) for v in books[p][int(got[0].code[2 * p : 2 * p + 2], 16)]]
+
+
+def test_bounds_spare_distances_and_b_falls(spark):
+    """Over rounds fewer parts are worked out against all entries, and the state keeps fewer of them."""
+    rng = np.random.default_rng(3)
+    x = np.floor(1024 * rng.normal(size=(6000, 8))).astype(np.int64)
+    books, moves, state, scans, b = x[:128].copy(), None, None, [], codebooks.KEPT
+    for _ in range(8):
+        if state is None:
+            state = codebooks.Bounds.fresh(x, books, b)
+        else:
+            state = state.narrowed(b)
+            state.moved(moves[0])
+            needs = state.settle(x, books)
+            scans.append(int(needs[0]))
+            b = codebooks._next_b(dict(enumerate(needs.tolist())), b)
+        d = codebooks.distances(x, books)
+        assert (state.kept[:, 0] == d.argmin(1)).all()
+        assert (state.upper.astype(float) >= np.sqrt(d.min(1))).all()
+        rest = d.copy()
+        np.put_along_axis(rest, state.kept.astype(np.int64), 1 << 60, axis=1)
+        assert (state.lower[:, -1].astype(float) <= np.sqrt(rest.min(1))).all()
+        totals = [{"part": 0, "entry": e, "pos": p, "n": int((state.kept[:, 0] == e).sum()), "total": int(x[state.kept[:, 0] == e, p].sum())} for e in np.unique(state.kept[:, 0]).tolist() for p in range(8)]
+        new, moves = codebooks._moved([books], totals)
+        books = new[0]
+    assert scans[-1] < len(x) / 2 and scans[-1] < scans[0] and b <= codebooks.KEPT
+
+
+def test_codes_odd(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, None, "a"), (2, [1.0, None, 2.0], "a"), (3, [nan, 1.0], "a"), (4, [1.0, -inf], None), (5, [0.5, 0.25], None), (5, [0.5, 0.25], None), (6, [], "b"), (7, [1.0] * 5, "b"), (None, [0.1], "b")]
+    frame = spark.createDataFrame([(*r, 1, "q", "k") for r in rows], VECTORS)
+    out, codec = codebooks.compress(frame)
+    got = out.collect()
+    assert sorted(str(r.vec_id) for r in got) == ["5", "5", "6", "7", "None"] and all(r.error == r.label_error == 0 for r in got)
+    assert len(codec.books[0]) == 5 and codebooks.entries_of(spark, codec).count() == 20
+    none, empty = codebooks.compress(frame.limit(0))
+    assert none.collect() == [] and empty.text() == ""
+    with pytest.raises(Exception, match="too large"):
+        codebooks.compress(spark.createDataFrame([(1, [1e30], "a", 1, "q", "k")], VECTORS))
+
+
+def test_many_rows_of_one_label(spark):
+    """A label with most rows is dealt to many tasks."""
+    frame = spark.range(4000).select(F.col("id").alias("vec_id"), F.array(*[F.rand(i).cast("float") for i in range(4)]).alias("embedding"), F.when(F.col("id") % 3 == 0, F.col("id")).cast("int").alias("label"))
+    rows, _ = codebooks.compress(frame, rounds=1)
+    got = rows.agg(F.count("*").alias("n"), F.sum("error").alias("e")).first()
+    hot = rows.join(frame.where("label is null").select("vec_id"), "vec_id", "left_semi").agg(F.min("label_error").alias("a"), F.max("label_error").alias("b"), F.sum("error").alias("e")).first()
+    assert got.n == 4000 and hot.a == hot.b == hot.e
