@@ -93,6 +93,59 @@ def missing_slots(merged: DataFrame, requests: DataFrame, days: DataFrame) -> Da
     return grid.join(merged.select("request_id", "open_time"), ["request_id", "open_time"], "left_anti")
 
 
+def slot_words(rows: DataFrame, requests: DataFrame) -> DataFrame:
+    """Slots of a day as bits, 64 in a word (D1, D2): request_id, day, word, found and bad, over all archives.
+
+    rows: rows_in_requests(), not merged. Each task has one word for 64 candles of an archive, so that words are shuffled and
+    not candles. Archives are laid over each other by rank: a later one's slots replace those below. Where an archive has a slot
+    twice, which its count tells, the last row decides, and only the rows of these words are looked at again.
+    """
+    timed = rows.join(requests.select("request_id", interval_length(F.col("interval")).alias("_ms")), "request_id").where(F.pmod("open_time", "_ms") == 0)
+    slot = F.pmod("open_time", F.lit(dims.DAY_MS)) / F.col("_ms")
+    placed = timed.select(
+        "request_id", E.day_of(F.col("open_time")).alias("day"), F.floor(slot / 64).cast("int").alias("word"), F.expr("shiftright(order_key, 40)").alias("rank"),
+        F.pmod(slot, F.lit(64)).cast("int").alias("at"), "mask", "order_key",
+    )
+    place = ["request_id", "day", "word", "rank"]
+    bit = F.expr("shiftleft(1L, at)")
+    words = lambda t: t.groupBy(*place).agg(F.bit_or(bit).alias("found"), F.coalesce(F.bit_or(F.when(F.col("mask") != 0, bit)), F.lit(0)).alias("bad"), F.count(F.lit(1)).alias("n"))
+    each = cut(words(placed))
+    twice = each.where(F.col("n") > F.bit_count("found")).select(*place)
+    last = placed.join(twice, place, "left_semi").groupBy(*place, "at").agg(F.max_by("mask", "order_key").alias("mask"))
+    whole = each.where(F.col("n") == F.bit_count("found")).unionByName(words(last))
+    layers = whole.groupBy("request_id", "day", "word").agg(F.array_sort(F.collect_list(F.struct("rank", "found", "bad"))).alias("l"))  # a few archives
+    start = F.struct(F.lit(0).cast("bigint").alias("found"), F.lit(0).cast("bigint").alias("bad"))
+    over = lambda below, top: F.struct(below["found"].bitwiseOR(top["found"]).alias("found"), below["bad"].bitwiseAND(F.bitwise_not(top["found"])).bitwiseOR(top["bad"]).alias("bad"))
+    return layers.select("request_id", "day", "word", F.aggregate("l", start, over).alias("w")).select("request_id", "day", "word", "w.found", "w.bad")
+
+
+def by_day_of_words(words: DataFrame, rows: DataFrame, requests: DataFrame) -> DataFrame:
+    """by_day() from slot_words() of the same rows; the few rows off the grid, which are no slots, are merged one by one."""
+    lengths = requests.select("request_id", interval_length(F.col("interval")).alias("ms"))
+    off = merge(rows.join(lengths, "request_id").where(F.pmod("open_time", "ms") != 0).select("request_id", "open_time", "mask", "order_key"))
+    off = off.where("mask <> 0").select("request_id", E.day_of(F.col("open_time")).alias("day"), F.lit(0).alias("found"), F.lit(1).alias("invalid"))
+    seen = words.select("request_id", "day", F.bit_count("found").alias("found"), F.bit_count("bad").alias("invalid")).unionByName(off)
+    seen = seen.groupBy("request_id", "day").agg(F.sum("found").alias("found"), F.sum("invalid").alias("invalid"))
+    expected = (F.lit(dims.DAY_MS) / F.col("ms")).cast("bigint")
+    days = requests.select("request_id", interval_length(F.col("interval")).alias("ms"), F.explode(F.sequence("start", "end")).alias("day"))
+    found = F.coalesce("found", F.lit(0)).cast("bigint")
+    return days.join(seen, ["request_id", "day"], "left").select(
+        "request_id", "day", expected.alias("expected"), found.alias("found"), (expected - found).alias("missing"), F.coalesce("invalid", F.lit(0)).cast("bigint").alias("invalid")
+    )
+
+
+def missing_slots_of_words(words: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id and open_time of each missing slot (C5), from the bits that aren't set; a word that no archive has is all missing."""
+    lengths = requests.select("request_id", "start", "end", interval_length(F.col("interval")).alias("ms"))
+    count = (F.lit(dims.DAY_MS) / F.col("ms")).cast("int")
+    days = lengths.select("request_id", "ms", count.alias("count"), F.explode(F.sequence("start", "end")).alias("day"))
+    grid = days.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / 64).cast("int"))).alias("word"))
+    met = grid.join(words.select("request_id", "day", "word", "found"), ["request_id", "day", "word"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    free = met.where(F.bit_count("found") < F.least(F.lit(64), F.col("count") - F.col("word") * 64))
+    at = free.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(63), F.col("count") - F.col("word") * 64 - 1))).alias("at")).where(F.expr("getbit(found, at) = 0"))
+    return at.select("request_id", (E.day_start_ms(F.col("day")) + (F.col("word") * 64 + F.col("at")) * F.col("ms")).alias("open_time"))
+
+
 def issue_counts(merged: DataFrame) -> DataFrame:
     """request_id, code and how many findings it has; one candle may add several (D3)."""
     counts = merged.where("mask <> 0").groupBy("request_id").agg(*[F.sum(R.issue_count(F.col("mask"), c)).alias(c) for c in R.CANDLE_CODES])

@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from archlake.functions import exprs as E
 from archlake.functions import rules as R
 from archlake.operators import klines, reconstruct, report, trades
 from archlake.plans import planning
 from archlake.sources import landing
-from archlake.sources.shared import cut
+from archlake.sources.shared import cut, scratch
 
 #: Takes plan rows, leaves the files below the root and returns the rows with a status.
 Fetch = Callable[[DataFrame], DataFrame]
@@ -21,21 +23,60 @@ Fetch = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class Lake:
-    """Archives below a root, landed when looked at."""
+    """Archives below a root, and the rows of those that a scan has asked for.
+
+    An archive is opened when a scan first needs it, and again only if its file has changed since (length or time). Rows are
+    stored in batches at `store`, then the batch's files are noted; rows of a batch that isn't noted don't count, so that a
+    job that was lost in between does no harm. A store that is kept spares later rounds the same work.
+    """
 
     spark: SparkSession
     root: str
+    store: str = ""
 
-    def landed(self) -> DataFrame:
-        return landing.land_lake(self.spark, self.root)
+    def __post_init__(self) -> None:
+        self.store = (self.store or scratch(self.spark, "lake")).rstrip("/")
 
     def inventory(self) -> DataFrame:
-        return landing.inventory(self.spark, self.root)
+        return cut(landing.inventory(self.spark, self.root))
+
+    def opened(self) -> DataFrame:
+        """path, length, modified and batch of every file that has been opened."""
+        shape = "path string, length long, modified timestamp, batch int"
+        found = self._read("opened", shape)
+        return self.spark.createDataFrame([], shape) if found is None else found
+
+    def _read(self, name: str, shape: str | StructType) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(shape).parquet(f"{self.store}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def landed(self, inventory: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Rows of the wanted paths that are on the lake: a semi-join on paths, before any content is read."""
+        version = ["path", "length", "modified"]
+        there = inventory.join(wanted.select("path").distinct(), "path", "left_semi")
+        seen = cut(self.opened())
+        new = cut(there.join(seen, version, "left_anti"))
+        batch = (seen.agg(F.max("batch")).first()[0] or 0) + 1
+        rows = landing.with_keys(landing.land_files(self.spark, new))
+        if not new.isEmpty():
+            rows.write.mode("overwrite").parquet(f"{self.store}/rows/batch={batch}")
+            new.select(*version).write.mode("overwrite").parquet(f"{self.store}/opened/batch={batch}")
+        now = there.join(self.opened(), version).groupBy("path").agg(F.max("batch").alias("batch"))
+        stored = self._read("rows", StructType([*rows.schema.fields, StructField("batch", IntegerType())]))
+        return rows if stored is None else stored.join(now, ["path", "batch"], "left_semi").drop("batch")
 
 
 def _scan(lake: Lake, requests: DataFrame, overlay: DataFrame | None) -> dict[str, DataFrame]:
-    landed = cut(lake.landed())
-    return klines.scan_klines(landing.raw_rows(landed), requests, lake.inventory(), landing.archive_status(landed), overlay, limit=None)
+    """A scan of the archives that the requests ask for; `inventory` and `status` (of these archives) come with its tables."""
+    inventory = lake.inventory()
+    landed = lake.landed(inventory, planning.archive_order(requests, inventory))
+    status = cut(landing.archive_status(landed))
+    found = klines.scan_klines(landing.raw_rows(landed), requests, inventory, status, overlay, limit=None)
+    return {**found, "inventory": inventory, "status": status}
 
 
 def _by_request(requests: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -48,7 +89,8 @@ def repair_round(lake: Lake, requests: DataFrame, fetch: Fetch, today: Column, o
     """Scan, fetch whole months, scan, fetch days, scan, rebuild from trades, and scan with the rebuilt candles.
 
     Returns before, after (scan tables), report, verdicts and overlay (rows to write). Nothing is fetched for a request that
-    is complete. Each scan sees the lake as it is then: what it needs later is stored.
+    is complete. Each scan sees the lake as it is then: what it needs later is stored. Only archives of the requests' months
+    and days, and trades of the days to prove, are opened, each of them once.
     """
     before = _scan(lake, requests, overlay)
     before_days = cut(before["by_day"])
@@ -57,18 +99,18 @@ def repair_round(lake: Lake, requests: DataFrame, fetch: Fetch, today: Column, o
     if open_.isEmpty():
         none = before_days.limit(0)
         return {"before": before_days, "after": before_days, "report": none, "verdicts": None, "overlay": overlay}
-    status = landing.archive_status(lake.landed())
-    fetch(cut(planning.monthly_repairs(open_, before_days.where("missing > 0"), lake.inventory(), status, today)))
+    fetch(cut(planning.monthly_repairs(open_, before_days.where("missing > 0"), before["inventory"], before["status"], today)))
     middle = _scan(lake, open_, overlay)["by_day"]
     got = cut(fetch(planning.daily_repairs(open_, middle.where("missing > 0"), middle.where("invalid > 0"))))
     third = _scan(lake, open_, overlay)
     details = third["details"].where(R.repairable(F.col("mask")))
     asked = open_.where("dataset = 'klines'").select("request_id", "symbol", "interval")
     originals = details.join(asked, "request_id").select("symbol", "interval", "open_time", "codes", "cells").distinct()
-    fetch(planning.evidence_plan(originals.select("symbol", E.day_of(F.col("open_time")).alias("day"))))
-    landed = lake.landed().where("dataset = 'aggTrades' and period = 'daily'")
-    proof = reconstruct.evidence(landing.largest_member(landing.raw_rows(landed)))
-    days = lake.inventory().where("dataset = 'aggTrades' and period = 'daily'").select("symbol", F.to_date("key").alias("day"))
+    wanted = cut(planning.evidence_plan(originals.select("symbol", E.day_of(F.col("open_time")).alias("day"))))
+    fetch(wanted)
+    inventory = lake.inventory()
+    proof = reconstruct.evidence(landing.largest_member(landing.raw_rows(lake.landed(inventory, wanted))))
+    days = inventory.where("dataset = 'aggTrades' and period = 'daily'").select("symbol", F.to_date("key").alias("day"))
     verdicts = reconstruct.reconstruct(originals, proof, days)
     rebuilt = reconstruct.overlay_rows(verdicts)
     layer = rebuilt if overlay is None else overlay.select(*rebuilt.columns).unionByName(rebuilt)
@@ -84,8 +126,9 @@ def trade_repair_round(lake: Lake, plan: DataFrame, fetch: Fetch, drop: Callable
     """
 
     def scan() -> dict[str, DataFrame]:
-        sources = planning.effective_trade_sources(plan, lake.inventory()).join(plan.select("request_id", "symbol").distinct(), "symbol")
-        landed = cut(lake.landed().where("dataset = 'aggTrades'"))
+        inventory = lake.inventory()
+        sources = cut(planning.effective_trade_sources(plan, inventory).join(plan.select("request_id", "symbol").distinct(), "symbol"))
+        landed = lake.landed(inventory, sources)
         found = trades.scan_agg_trades(landing.raw_rows(landed), sources, landing.archive_status(landed))
         return {k: cut(v) for k, v in found.items()}  # what was seen, whatever the lake holds later
 

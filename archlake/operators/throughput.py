@@ -12,6 +12,10 @@ SECOND = 1_000_000
 CURRENT_WINDOW, CURRENT_LEAST = 5, 2
 PEAK_WINDOW, PEAK_LEAST = 10, 5
 ERROR_RETENTION = 2 * 3600
+CALIBRATION_INTERVAL, CANDIDATE_WINDOW = 3600, 300
+
+#: Seconds of a run that one task works on at least.
+CHUNK_SECONDS = 3600
 
 # The share of the best speed that a level has to reach, the gain that a higher cap has to bring, the errors
 # that stop it, the step, and the least and greatest cap.
@@ -19,23 +23,65 @@ RECOMMENDATION = 0.95
 LEAST_GAIN_PCT, ERRORS, STEP, LEAST_CONNECTIONS, MOST_CONNECTIONS = 5.0, 3, 8, 4, 32
 
 
-def rolling_rate(samples: DataFrame, window: int, least: int) -> Column:
+def _chunk(at: str, seconds: int) -> Column:
+    return F.floor(F.col(at) / (seconds * SECOND)).cast("long")
+
+
+def _dealt(rows: DataFrame, at: str, seconds: int, overlap: int) -> DataFrame:
+    """rows by chunk of time (_chunk); the last `overlap` seconds of a chunk come to the next one, too, as guests (_guest)."""
+    late = F.pmod(F.col(at), F.lit(seconds * SECOND)) >= (seconds - overlap) * SECOND
+    own = F.struct(_chunk(at, seconds).alias("c"), F.lit(False).alias("g"))
+    guest = F.struct((_chunk(at, seconds) + 1).alias("c"), F.lit(True).alias("g"))
+    return rows.withColumn("_in", F.explode(F.when(late, F.array(own, guest)).otherwise(F.array(own)))).select(*rows.columns, F.col("_in.c").alias("_chunk"), F.col("_in.g").alias("_guest"))
+
+
+def _carried(samples: DataFrame, seconds: int) -> DataFrame:
+    """What a run's chunks take over from those before (_run, _at, first: the run's first sample; time and bytes: the greatest of
+    all samples PEAK_WINDOW and more before the chunk). One row for a chunk, from a scan over the chunks' summaries."""
+    early = F.pmod("t_us", F.lit(seconds * SECOND)) < (seconds - PEAK_WINDOW) * SECOND
+    top = lambda c, when=None: F.max(F.col(c) if when is None else F.when(when, F.col(c)))
+    each = samples.groupBy("run_id", _chunk("t_us", seconds).alias("_at")).agg(
+        F.min(F.struct("t_us", "cum_bytes")).alias("first"), top("t_us").alias("t"), top("cum_bytes").alias("b"), top("t_us", early).alias("early_t"), top("cum_bytes", early).alias("early_b")
+    )
+    run = Window.partitionBy("run_id").orderBy("_at")
+    before, last = run.rangeBetween(Window.unboundedPreceding, -2), run.rangeBetween(-1, -1)
+    return each.select(
+        F.col("run_id").alias("_run"), "_at", F.min("first").over(run.rangeBetween(Window.unboundedPreceding, 0)).alias("first"),
+        F.greatest(F.max("t").over(before), F.max("early_t").over(last)).alias("time"), F.greatest(F.max("b").over(before), F.max("early_b").over(last)).alias("bytes"),
+    )
+
+
+def rolling_rate(window: int, least: int) -> Column:
     """Bytes a second over the trailing window (E5): since the newest sample at or before its start, else the first one; 0
-    if that is less than `least` seconds ago. A window over (run_id, t_us, cum_bytes)."""
-    run = Window.partitionBy("run_id").orderBy("t_us")
-    old = run.rangeBetween(Window.unboundedPreceding, -window * SECOND)
-    start = F.coalesce(F.max("t_us").over(old), F.min("t_us").over(Window.partitionBy("run_id")))
-    base = F.coalesce(F.max("cum_bytes").over(old), F.first("cum_bytes").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    if that is less than `least` seconds ago. Over samples that are dealt to chunks and have what their chunk takes over."""
+    old = Window.partitionBy("run_id", "_chunk").orderBy("t_us").rangeBetween(Window.unboundedPreceding, -window * SECOND)
+    start = F.coalesce(F.greatest(F.max("t_us").over(old), F.col("time")), F.col("first.t_us"))
+    base = F.coalesce(F.greatest(F.max("cum_bytes").over(old), F.col("bytes")), F.col("first.cum_bytes"))
     span = (F.col("t_us") - start) / SECOND
     rate = F.greatest(F.lit(0.0), (F.col("cum_bytes") - base) / F.greatest(span, F.lit(1e-6)))
     return F.when(span < least, F.lit(0.0)).otherwise(rate)
 
 
-def throughput(samples: DataFrame) -> DataFrame:
-    """Samples with current_bps, sustained_bps and peak_bps, the highest sustained rate so far."""
-    run = Window.partitionBy("run_id").orderBy("t_us").rowsBetween(Window.unboundedPreceding, 0)
-    rated = samples.withColumns({"current_bps": rolling_rate(samples, CURRENT_WINDOW, CURRENT_LEAST), "sustained_bps": rolling_rate(samples, PEAK_WINDOW, PEAK_LEAST)})
-    return rated.withColumn("peak_bps", F.max("sustained_bps").over(run))
+def throughput(samples: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """Samples with current_bps, sustained_bps and peak_bps, the highest sustained rate so far.
+
+    A run is dealt to chunks of time, so that a long one is many tasks' work: windows end at a chunk, with what they need of
+    the one before, and running maxima are carried over from a scan of one row for each chunk. samples: run_id, t_us, cum_bytes.
+    """
+    if chunk_seconds < PEAK_WINDOW:
+        raise ValueError("a chunk is as long as the longest window at least")
+    carried = _carried(samples, chunk_seconds)
+    dealt = _dealt(samples, "t_us", chunk_seconds, PEAK_WINDOW)
+    met = dealt.join(carried, dealt["run_id"].eqNullSafe(carried["_run"]) & (dealt["_chunk"] == carried["_at"]))
+    rated = met.withColumns({"current_bps": rolling_rate(CURRENT_WINDOW, CURRENT_LEAST), "sustained_bps": rolling_rate(PEAK_WINDOW, PEAK_LEAST)}).where("not _guest")
+    rated = rated.select(*samples.columns, "_chunk", "current_bps", "sustained_bps")
+    run = Window.partitionBy("run_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    peaks = rated.groupBy(F.col("run_id"), F.col("_chunk").alias("_at")).agg(F.max("sustained_bps").alias("most"))
+    peaks = peaks.select(F.col("run_id").alias("_run"), "_at", F.max("most").over(run).alias("_before"))
+    inside = Window.partitionBy("run_id", "_chunk").orderBy("t_us").rowsBetween(Window.unboundedPreceding, 0)
+    rated = rated.withColumn("_peak", F.max("sustained_bps").over(inside))
+    met = rated.join(peaks, rated["run_id"].eqNullSafe(peaks["_run"]) & (rated["_chunk"] == peaks["_at"]))
+    return met.select(*samples.columns, "current_bps", "sustained_bps", F.greatest("_peak", "_before").alias("peak_bps"))
 
 
 def run_averages(samples: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -49,10 +95,28 @@ def run_averages(samples: DataFrame, files: DataFrame | None = None) -> DataFram
     return met.withColumns({"files_per_minute": F.col("completed") / F.greatest("elapsed", F.lit(1e-6)) * 60, "eta_seconds": left})
 
 
+def _window(seconds: float) -> int:
+    """Windows are 1 second to 2 hours long; in microseconds."""
+    return int(min(max(seconds, 1), ERROR_RETENTION) * SECOND)
+
+
+def errors_as_of(points: DataFrame, events: DataFrame, window_seconds: float, name: str = "errors", chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """points (run_id, t_us and more) with how many error events (run_id, t_us) the window that ends there holds, its start and
+    its end included (E7). Both are one stream of rows by chunk of time, with the window's length of events from the chunk
+    before; nothing is joined, and a run is many tasks' work."""
+    w = _window(window_seconds)
+    seconds = max(chunk_seconds, -(-w // SECOND))
+    point = points.select("run_id", "t_us", F.struct(*points.columns).alias("_point"), _chunk("t_us", seconds).alias("_chunk"))
+    event = _dealt(events.select("run_id", "t_us"), "t_us", seconds, -(-w // SECOND)).drop("_guest")
+    both = point.unionByName(event, allowMissingColumns=True)
+    trailing = Window.partitionBy("run_id", "_chunk").orderBy("t_us").rangeBetween(-w, Window.currentRow)
+    counted = both.withColumn(name, F.count_if(F.col("_point").isNull()).over(trailing)).where("_point is not null")
+    return counted.select("_point.*", name)
+
+
 def trailing_errors(events: DataFrame, window_seconds: float) -> DataFrame:
     """Error events with how many the trailing window holds, its start included (E7); windows are 1 second to 2 hours long."""
-    w = int(min(max(window_seconds, 1), ERROR_RETENTION) * SECOND)
-    return events.withColumn("errors", F.count(F.lit(1)).over(Window.partitionBy("run_id").orderBy("t_us").rangeBetween(-w, Window.currentRow)))
+    return errors_as_of(events, events, window_seconds)
 
 
 def level_averages(levels: DataFrame) -> DataFrame:
@@ -85,6 +149,23 @@ def better(baseline: Column, candidate: Column, errors: Column) -> Column:
     return F.when(errors >= ERRORS, False).when(b <= 0, c > 0).otherwise(c >= b * (1 + LEAST_GAIN_PCT / 100))
 
 
+def probe_errors(probes: DataFrame, events: DataFrame, interval_seconds: float = CALIBRATION_INTERVAL) -> DataFrame:
+    """probes with recent_errors and candidate_errors (E9): events in the interval up to the decision, and by how many more the
+    last five minutes hold at the end of the candidate's measurement than at its start, 0 at least.
+
+    probes: run_id, t_us, start_us and end_us of the candidate's measurement, and more; events: run_id, t_us.
+    """
+    columns = probes.columns
+    row = F.struct(*columns)
+    at = F.explode(F.array(*[F.struct(F.col(c).alias("t"), F.lit(i).alias("i")) for i, c in enumerate(("start_us", "end_us"))]))
+    points = probes.select("run_id", row.alias("row"), at.alias("at")).select("run_id", F.col("at.t").alias("t_us"), "row", F.col("at.i").alias("i"))
+    counted = errors_as_of(points, events, CANDIDATE_WINDOW)
+    each = F.sum(F.when(F.col("i") == 1, F.col("errors")).otherwise(-F.col("errors")))
+    met = counted.groupBy("row").agg(each.alias("more"), F.count_if(F.col("i") == 1).alias("times"))
+    rows = met.select("row.*", F.greatest(F.lit(0), F.floor(F.col("more") / F.col("times"))).cast("long").alias("candidate_errors"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time")).drop("_time")
+    return errors_as_of(rows, events, interval_seconds, "recent_errors")
+
+
 def calibration_verdicts(probes: DataFrame) -> DataFrame:
     """Logged probes with action and the cap after it.
 

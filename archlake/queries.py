@@ -16,8 +16,8 @@ from archlake.functions import exprs as E
 from archlake.functions import rules as R
 from archlake.operators import estimate, klines, reconstruct, report, throughput, trades
 from archlake.plans import planning
-from archlake.sources import landing, tables
-from archlake.sources.shared import cut
+from archlake.sources import evidence, landing, tables
+from archlake.sources.shared import cut, scratch
 
 HOUR = 3_600_000
 
@@ -85,10 +85,15 @@ def status_of(raw: DataFrame) -> DataFrame:
     return raw.groupBy("path").agg(F.count(F.lit(1)).alias("rows")).withColumns({"error": F.lit(None).cast("string"), "valid_zip": F.lit(True)})
 
 
+def _rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(rows in requests, requests)."""
+    raw, requests = candle_archives(spark, sf_dir), scan_requests(spark, sf_dir)
+    return cut(klines.compact(klines.rows_in_requests(klines.candle_rows(raw), requests, archives_of(raw)))), requests
+
+
 def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(merged candles, rows in requests, requests)."""
-    raw, requests = candle_archives(spark, sf_dir), scan_requests(spark, sf_dir)
-    rows = cut(klines.compact(klines.rows_in_requests(klines.candle_rows(raw), requests, archives_of(raw))))
+    rows, requests = _rows(spark, sf_dir)
     return cut(klines.merge(rows)), rows, requests
 
 
@@ -183,10 +188,11 @@ def query(sql: str | None = None):
     "select request_id, cast(d.day as varchar) as day, cast(24 - coalesce(n, 0) as bigint) as missing from days d left join seen s on s.symbol = d.request_id and s.day = d.day where coalesce(n, 0) < 24"
 )
 def missing_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly slots without a trade, per symbol and day."""
+    """Hourly slots without a trade, per symbol and day; trades set the bits of their hours, no candle is made."""
     requests = scan_requests(spark, sf_dir)
-    merged = hourly(spark, sf_dir).select(F.col("symbol").alias("request_id"), "open_time", F.lit(0).cast("bigint").alias("mask"))
-    return klines.by_day(merged, requests).where("missing > 0").select("request_id", F.col("day").cast("string").alias("day"), "missing")
+    zero = F.lit(0).cast("bigint")
+    rows = event_trades(spark, sf_dir).select(F.col("symbol").alias("request_id"), E.bucket(F.col("ms"), HOUR).alias("open_time"), zero.alias("mask"), zero.alias("order_key")).distinct()
+    return klines.by_day_of_words(klines.slot_words(rows, requests), rows, requests).where("missing > 0").select("request_id", F.col("day").cast("string").alias("day"), "missing")
 
 
 @query(f"with {SQL_HOURLY} select symbol, open_time, open, high, low, close, volume, quote_volume, trade_count, taker_buy_base_volume, taker_buy_quote_volume from c")
@@ -197,9 +203,9 @@ def candle_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {SQL_ROWS} select request_id, cast(day as varchar) as day, cast(expected as bigint) as expected, cast(found as bigint) as found, cast(missing as bigint) as missing, cast(invalid as bigint) as invalid from by_day")
 def invalid_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D1, D2, C4 over the merged layers."""
-    merged, _, requests = _merged(spark, sf_dir)
-    return klines.by_day(merged, requests).withColumn("day", F.col("day").cast("string"))
+    """D1, D2, C4 over the layers, from words of 64 slots each."""
+    rows, requests = _rows(spark, sf_dir)
+    return klines.by_day_of_words(klines.slot_words(rows, requests), rows, requests).withColumn("day", F.col("day").cast("string"))
 
 
 @query(
@@ -207,9 +213,9 @@ def invalid_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select request_id, cast(open_time as bigint) as open_time from grid g where not exists (select 1 from merged m where m.request_id = g.request_id and m.open_time = g.open_time)"
 )
 def missing_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The missing slots themselves, on days with gaps only."""
-    merged, _, requests = _merged(spark, sf_dir)
-    return klines.missing_slots(merged, requests, klines.by_day(merged, requests))
+    """The missing slots themselves, from the bits that no archive has set."""
+    rows, requests = _rows(spark, sf_dir)
+    return klines.missing_slots_of_words(klines.slot_words(rows, requests), requests)
 
 
 @query(
@@ -262,12 +268,15 @@ def bad_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return klines.bad_candles(merged, rows).select("request_id", "open_time", "timestamp", F.array_join("codes", ",").alias("codes"), "truncated")
 
 
-def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on all candles that trades may mend; trades of hours that 3 divides have lost their first one."""
+def _originals(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged, rows, requests = _merged(spark, sf_dir)
     details = klines.bad_candles(merged.where(R.repairable(F.col("mask"))), rows, None)
-    originals = details.join(requests.select("request_id", "symbol", "interval"), "request_id").select("symbol", "interval", "open_time", "codes", "cells")
-    return reconstruct.reconstruct(originals, _evidence(spark, sf_dir), _evidence_days(spark, sf_dir))
+    return details.join(requests.select("request_id", "symbol", "interval"), "request_id").select("symbol", "interval", "open_time", "codes", "cells")
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all candles that trades may mend; trades of hours that 3 divides have lost their first one."""
+    return reconstruct.reconstruct(_originals(spark, sf_dir), _evidence(spark, sf_dir), _evidence_days(spark, sf_dir))
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,6 +314,16 @@ def reconstruct_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconstruct.totals(_verdicts(spark, sf_dir)).select("symbol", F.col("day").cast("string").alias("day"), "reconstructed", "refused")
 
 
+@query(_VERDICTS_SQL + " select symbol, cast(open_time as bigint) as open_time, verdict from verdict")
+def reconstruct_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same verdicts from trades that are laid out by symbol, month and time, of which only those of the
+    target candles' times are read."""
+    path = scratch(spark, "evidence")
+    evidence.write_evidence(_evidence(spark, sf_dir), path)
+    originals = cut(_originals(spark, sf_dir))
+    return reconstruct.reconstruct(originals, evidence.read_evidence(spark, path, originals), _evidence_days(spark, sf_dir)).select("symbol", "open_time", "verdict")
+
+
 @query(
     _VERDICTS_SQL + ", laid as (select request_id, open_time, case when exists (select 1 from verdict v where v.symbol = request_id and v.open_time = m.open_time and v.verdict = 'verified') then 0 else mask end as mask from merged m) "
     f"select request_id, cast({_DAY.format('open_time')} as varchar) as day, count(*) filter (open_time % 3600000 = 0) as found, count(*) filter (mask <> 0) as invalid from laid group by 1, 2"
@@ -554,6 +573,23 @@ def trailing_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return throughput.trailing_errors(t, 3600)
 
 
+@query(
+    f"with {SQL_TRADES}, e as (select symbol as run_id, ms * 1000 as t from t where agg_id % 3 = 0), "
+    "p as (select symbol as run_id, agg_id as id, ms * 1000 as t, ms * 1000 + 60000000 as a, ms * 1000 + case when agg_id % 10 = 0 then 3600000000 else 120000000 end as b from t where agg_id % 5 = 0), "
+    "c as (select id, count(*) filter (e.t between p.t - 3600000000 and p.t) as recent_errors, count(*) filter (e.t between a - 300000000 and a) as n1, count(*) filter (e.t between b - 300000000 and b) as n2 from p left join e using (run_id) group by 1) "
+    "select id, recent_errors, greatest(0, n2 - n1) as candidate_errors, case when recent_errors >= 3 then 'backoff' else 'raise' end as action from c"
+)
+def probe_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors that each logged probe has seen, from a log of events (some of them at the very time of a probe
+    or on the border of its window), and what it led to."""
+    t = event_trades(spark, sf_dir).select(F.col("symbol").alias("run_id"), (F.col("ms") * 1000).alias("t_us"), F.col("agg_id").alias("id"))
+    late = F.when(F.col("id") % 10 == 0, 3_600_000_000).otherwise(120_000_000)
+    probes = t.where("id % 5 = 0").withColumns({"start_us": F.col("t_us") + 60_000_000, "end_us": F.col("t_us") + late, "cap": F.lit(8), "baseline_mbps": F.lit(1.0), "candidate_mbps": F.lit(2.0)})
+    found = throughput.probe_errors(probes, t.where("id % 3 = 0").select("run_id", "t_us"))
+    verdicts = throughput.calibration_verdicts(found.withColumn("seen", F.col("candidate_errors")).withColumn("candidate_errors", F.lit(0)))
+    return verdicts.select("id", "recent_errors", F.col("seen").alias("candidate_errors"), "action")
+
+
 @query("select customer_log.* from (select *, row_number() over (partition by o_custkey % 400, o_orderpriority order by o_orderkey // 7 desc, o_orderkey desc) as n from orders) o, lateral (select 'klines' as dataset, 'S' || (o_custkey % 400) as symbol, o_orderpriority as key, case o_orderstatus when 'F' then 'downloaded' when 'O' then 'missing' else 'failed' end as status, o_orderkey as seq) customer_log where n = 1")
 def manifest_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest entry of each archive in an append-only log."""

@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from archlake.functions import dims
 from archlake.functions import exprs as E
 from archlake.functions import rules as R
-from archlake.operators import estimate, klines, reconstruct, report, throughput, trades
+from archlake.operators import estimate, klines, reconstruct, report, rounds, throughput, trades
+from archlake.operators.increments import IncrementalScan
 from archlake.plans import planning
 from archlake.queries import (
-    _CODES_LIST, _DAY, _FALLBACK_SQL, _PLAN_SQL, HOUR, SQL_HOURLY, SQL_ROWS, SQL_TRADES, _merged, _numbered, event_trades, hourly, plan_requests, query, table,
+    _CODES_LIST, _DAY, _FALLBACK_SQL, _PLAN_SQL, HOUR, SQL_HOURLY, SQL_REQUESTS, SQL_ROWS, SQL_TRADES, _cells, _log, _merged, _numbered, candle_archives, event_trades, hourly, plan_requests, query, scan_requests, table,
 )
 from archlake.sources import landing, tables
-from archlake.sources.shared import cut, shared_dir
+from archlake.sources.logs import CompactedLog
+from archlake.sources.shared import cut, scratch
 
 # ---------------------------------------------------------------- landing
 
@@ -102,6 +104,59 @@ def archive_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select(parts["symbol"].alias("symbol"), parts["key"].alias("key"), "verdict", "error")
 
 
+def zipped(lines: DataFrame) -> DataFrame:
+    """path and content of archives with one CSV member, from rows (path, n, line); lines are in the order of n."""
+    texts = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("rows")).select("path", F.array_join(F.col("rows.line"), "\n").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for text in batch.column(1).to_pylist():
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("rows.csv", text)
+                made.append(out.getvalue())
+            yield pa.record_batch([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return texts.mapInArrow(run, "path string, content binary")
+
+
+def fetch_from(offers: DataFrame, root: str) -> rounds.Fetch:
+    """A fetch step that takes what is offered (path, content) and writes it below the root in tasks."""
+
+    def fetch(plan: DataFrame) -> DataFrame:
+        got = cut(landing.put(offers.join(plan.select("path").distinct(), "path", "left_semi"), root))
+        return plan.join(got.select("path", F.lit("downloaded").alias("status")), "path", "left").na.fill("missing", ["status"])
+
+    return fetch
+
+
+@query(
+    f"with {SQL_HOURLY}, {SQL_REQUESTS}, b as (select symbol, {_DAY.format('open_time')} as day, open_time // 3600000 as h, ascii(symbol) % 2 = 0 as even from c), "
+    "n as (select symbol, day, count(*) as n, count(*) filter (h % case when even then 5 else 7 end <> 0) as m from b group by 1, 2), "
+    "d as (select request_id, cast(unnest(generate_series(first, last, interval 1 day)) as date) as day from r), "
+    "x as (select request_id, d.day, coalesce(n, 0) as n, coalesce(m, 0) as m, ascii(request_id) % 2 = 0 as even, day(d.day) % 3 <> 0 and coalesce(n, 0) > 0 as offered from d left join n on n.symbol = request_id and n.day = d.day), "
+    "y as (select *, 24 - case when even then m else 0 end as was, 24 - case when m < 24 and offered then n else m end as missing from x) "
+    "select request_id, cast(day as varchar) as day, cast(missing as bigint) as missing, case when missing = 0 then 'Repaired' when not offered then 'Daily archive unavailable' else 'Still missing after repair' end as status "
+    "from y where was > 0 or missing > 0"
+)
+def repair_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole round over a lake that holds months with gaps for half of the symbols: months come for
+    the others, then days for what is missing, but not every third one, and the report says what is left."""
+    root = scratch(spark, "archives")
+    requests = cut(scan_requests(spark, sf_dir))
+    base = hourly(spark, sf_dir).withColumns({"h": (F.col("open_time") / HOUR).cast("bigint"), "day": E.day_of(F.col("open_time"))})
+    base = cut(base.select("symbol", "interval", "h", "day", F.array_join(_cells(False), ",").alias("line")))
+    even = F.ascii("symbol") % 2 == 0
+    path = lambda period, key: E.archive_path(F.lit("klines"), F.col("symbol"), F.lit(period), F.col("interval"), key).alias("path")
+    month = base.where(F.pmod("h", F.when(even, 5).otherwise(7)) != 0).select("symbol", path("monthly", F.date_format("day", "yyyy-MM")), F.col("h").alias("n"), "line")
+    days = base.where(F.dayofmonth("day") % 3 != 0).select(path("daily", F.col("day").cast("string")), F.col("h").alias("n"), "line")
+    cut(landing.put(zipped(month.where(even)), root))
+    offers = cut(zipped(month.where(~even).drop("symbol")).unionByName(zipped(days)))
+    out = rounds.repair_round(rounds.Lake(spark, root), requests, fetch_from(offers, root), F.lit("2024-06-05").cast("date"))
+    return out["report"].select("request_id", F.col("day").cast("string").alias("day"), "missing", "status")
+
+
 @query(f"with {SQL_HOURLY} select symbol, count(*) as candles, cast(sum(open_time) as bigint) as times from c group by 1")
 def candle_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings, blank rows and rows without a time among the candle rows of an archive aren't candles."""
@@ -157,9 +212,14 @@ def probe_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.date_format(F.timestamp_add("SECOND", k.cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss")
     status = F.when(F.col("o_orderstatus") == "F", "available").when(F.col("o_orderstatus") == "O", "missing").otherwise("error")
     log = table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("u"), F.col("o_custkey") % 700).alias("url"), status.alias("status"), (k % 5000).cast("long").alias("bytes"), F.when(k % 13 == 0, F.concat(F.lit("?"), k)).otherwise(at).alias("checked_at")
+        "o_orderkey", F.concat(F.lit("u"), F.col("o_custkey") % 700).alias("url"), status.alias("status"), (k % 5000).cast("long").alias("bytes"), F.when(k % 13 == 0, F.concat(F.lit("?"), k)).otherwise(at).alias("checked_at")
     )
-    return tables.usable_probes(log, F.timestamp_add("SECOND", F.lit(_PROBE_NOW), F.lit("2024-01-01 00:00:00").cast("timestamp")))
+    # two thirds are the base of a compacted log, the rest comes later
+    logged = CompactedLog(spark, scratch(spark, "log"), "url string, status string, bytes long, checked_at string, k long", ("url",), ("checked_at", "k"), buckets=16)
+    for part in (0, 1):
+        logged.append(tables.probes(log.withColumn("k", k)).where(k % 3 == 2 if part else k % 3 != 2))
+        logged.compact(always=not part)
+    return tables.usable_probes(logged.latest(), F.timestamp_add("SECOND", F.lit(_PROBE_NOW), F.lit("2024-01-01 00:00:00").cast("timestamp")))
 
 
 @query(
@@ -168,9 +228,7 @@ def probe_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log that was appended to twice, and the newest entry of each key."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    path = scratch(spark, "log")
     log = table(spark, sf_dir, "orders").select(F.concat(F.lit("S"), F.col("o_custkey") % 90).alias("symbol"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 1000).alias("bytes"))
     for half in (0, 1):
         tables.append(log.where(F.col("seq") % 2 == half), path)
@@ -209,15 +267,14 @@ def partial_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An overlay that was written twice: the new row wins where both have a time, other rows stay."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/overlay-{uuid.uuid4().hex}"
+    path = scratch(spark, "overlay")
     h = F.col("timestamp_ms") / HOUR
     rows = hourly(spark, sf_dir).select("symbol", F.lit("1h").alias("interval"), E.day_of(F.col("open_time")).alias("day"), F.col("open_time").alias("timestamp_ms"))
     shape = ["symbol", "interval", "day", "timestamp_ms", "cells"]
     for step, name in ((2, "old"), (3, "new")):
-        tables.write_overlay(rows.where(F.pmod(h, F.lit(step)) == 0).withColumn("cells", F.array(F.lit(name))).select(*shape), path)
-    return spark.read.parquet(path).select("symbol", "timestamp_ms", F.get("cells", F.lit(0)).alias("version"))
+        written = rows.where(F.pmod(h, F.lit(step)) == 0).withColumn("cells", F.array(F.lit(name))).select(*shape)
+        tables.write_overlay(written, path)
+    return tables.read_overlay(spark, path, written.schema).select("symbol", "timestamp_ms", F.get("cells", F.lit(0)).alias("version"))
 
 
 @query(
@@ -412,17 +469,88 @@ def estimate_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimate.with_eta(total, 12.5, 100_000).select("run_id", "remaining_bytes", F.round(F.col("eta_seconds") * 1000).cast("long").alias("eta_ms"), "enough_disk")
 
 
+def _printf(value: str, units: dict[str, int]) -> str:
+    """SQL that writes a number in the largest unit that it reaches."""
+    cases = [f"when v < {size} * 1024.0 then printf('%.2f {u}', v / {size}.0)" for u, size in list(units.items())[:-1]]
+    last, size = list(units.items())[-1]
+    return f"case {' '.join(cases)} else printf('%.2f {last}', v / {size}.0) end".replace("v ", f"{value} ")
+
+
+_UNITS = {u: 1024**i for i, u in enumerate(("B", "KB", "MB", "GB", "TB"))}
+
+
 @query(
-    "with v as (select o_orderkey as id, o_orderkey * 7919 as s, o_orderkey * o_orderkey * 37 as b from orders) select id, "
+    "with v as (select o_orderkey as id, o_orderkey * 7919 as s, cast(o_orderkey * o_orderkey * 37 as double) as b, case when o_orderkey % 11 <> 0 then cast(o_orderkey * 4099 as double) end as r from orders) select id, "
     "lpad(cast(s // 3600 as varchar), cast(greatest(2, length(cast(s // 3600 as varchar))) as int), '0') || ':' || lpad(cast(s % 3600 // 60 as varchar), 2, '0') || ':' || lpad(cast(s % 60 as varchar), 2, '0') as duration, "
-    "case when b < 1024 then 'B' when b < 1024 * 1024 then 'KB' when b < 1024 * 1024 * 1024 then 'MB' when b < 1024.0 * 1024 * 1024 * 1024 then 'GB' else 'TB' end as unit, true as rounded from v"
+    f"{_printf('b', _UNITS)} as size, printf('%.2f MB/s  (%.1f Mbps)', coalesce(r, 0) / 1048576, coalesce(r, 0) * 8 / 1000000) as speed from v"
 )
 def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Durations and sizes as text; a size's number is held against its unit, as engines round halves differently."""
+    """Durations, sizes and speeds as text; no number here is half-way between two texts, which engines round differently."""
     k = F.col("o_orderkey")
-    size = k * k * 37
-    text = E.size_text(size)
-    unit = F.element_at(F.split(text, " "), 2)
-    power = F.create_map(*[x for i, u in enumerate(("B", "KB", "MB", "GB", "TB")) for x in (F.lit(u), F.lit(1024.0) ** i)])
-    near = F.abs(F.element_at(F.split(text, " "), 1).cast("double") - size / F.element_at(power, unit)) <= 0.0051
-    return table(spark, sf_dir, "orders").select(k.alias("id"), E.duration_text((k * 7919).cast("double")).alias("duration"), unit.alias("unit"), near.alias("rounded"))
+    speed = F.when(k % 11 != 0, k * 4099)
+    return table(spark, sf_dir, "orders").select(k.alias("id"), E.duration_text((k * 7919).cast("double")).alias("duration"), E.size_text(k * k * 37).alias("size"), E.speed_text(speed).alias("speed"))
+
+
+# ---------------------------------------------------------------- scans that go on, whole overlays
+
+
+@query(f"with {SQL_ROWS} select request_id, cast(day as varchar) as day, cast(expected as bigint) as expected, cast(found as bigint) as found, cast(missing as bigint) as missing, cast(invalid as bigint) as invalid from by_day")
+def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a scan after batches of archives. For half of the symbols the daily archives come before the
+    monthly ones, one month comes again after it was wrong at first, and the last batch comes twice."""
+    raw = candle_archives(spark, sf_dir)
+    late = (F.col("period") == "monthly") == (F.ascii("symbol") % 2 == 0)
+    wrong = F.ascii("symbol") % 5 == 0
+    scan = IncrementalScan(spark, scratch(spark, "scan"), cut(scan_requests(spark, sf_dir)))
+    first = raw.where(~late).withColumn("cells", F.when(wrong & (F.col("ordinal") % 3 == 0), F.slice("cells", 1, 3)).otherwise(F.col("cells")))
+    scan.apply(cut(first), 0)
+    second = cut(raw.where(late | wrong))
+    scan.apply(second, 1)
+    scan.apply(second.limit(5), 1)
+    return scan.by_day().withColumn("day", F.col("day").cast("string"))
+
+
+@query(
+    "with s as (select s_suppkey as k from supplier), x as (select k, 's' || k || '.zip' as path, unnest([0, 1, 2, 3]) as i from s where k % 5 <> 0 and k % 7 <> 0), "
+    "rows as (select *, 1700000000000 + k * 1000 + i as t from x where k % 3 <> 0 and i < 3), recs as (select *, 1700000000000 + k * 1000 + i as t from x where k % 4 <> 0 and i > 0) "
+    "select coalesce(r.path, c.path) as path, coalesce(r.t, c.t) as timestamp_ms, case when r.t is not null then 'v' || r.i || case when r.i = 1 then 'b' else '' end end as cell, case when c.t is not null then 'M' end as method, case when c.t is not null then 'C' || c.i end as codes "
+    "from rows r full join recs c on r.path = c.path and r.t = c.t"
+)
+def foreign_overlay_zips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlays of other writers from their ZIP files: rows of the largest CSV member and records of the manifest in one
+    archive; some have no rows or no records, one time comes twice, broken archives and manifests give nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, made = [], []
+            for k in batch.column(0).to_pylist():
+                out, t = io.BytesIO(), 1_700_000_000_000 + k * 1000
+                with zipfile.ZipFile(out, "w") as z:
+                    if k % 3:
+                        lines = ["open_time,value", *[f"{t + i}, v{i} " for i in range(3)], f"{t + 1},v1b", "x,y"]
+                        z.writestr("rows.csv", "\n".join(lines))
+                        z.writestr("few.csv", f"{t},wrong")
+                    if k % 4:
+                        records = ", ".join(f'{{"timestamp_ms": {t + i}, "original_issue_codes": ["C{i}"]}}' for i in range(1, 4))
+                        z.writestr(tables.MANIFEST_MEMBER, "{no json" if k % 7 == 0 else f'{{"version": 1, "method": "M", "repairs": [{records}]}}')
+                    elif k % 7 == 0:
+                        z.writestr(tables.MANIFEST_MEMBER, "")
+                paths.append(f"s{k}.zip")
+                made.append(b"no archive" if k % 5 == 0 else out.getvalue())
+            yield pa.record_batch([pa.array(paths), pa.array(made, pa.binary())], names=["path", "content"])
+
+    zips = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k")).mapInArrow(run, "path string, content binary")
+    found = tables.foreign_overlays(landing.land(zips, texts=(tables.MANIFEST_MEMBER,)))
+    return found.select("path", "timestamp_ms", F.get("cells", F.lit(1)).alias("cell"), "method", F.array_join("original_issue_codes", ",").alias("codes"))
+
+
+@query("select customer_log.* from (select *, row_number() over (partition by o_custkey % 400, o_orderpriority order by o_orderkey // 7 desc, o_orderkey desc) as n from orders) o, lateral (select 'klines' as dataset, 'S' || (o_custkey % 400) as symbol, o_orderpriority as key, case o_orderstatus when 'F' then 'downloaded' when 'O' then 'missing' else 'failed' end as status, o_orderkey as seq) customer_log where n = 1")
+def manifest_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest entry of each archive from a compacted log: a bucketed base, which was compacted twice, and a delta."""
+    rows = _log(spark, sf_dir)
+    shape = "dataset string, symbol string, period string, key string, interval string, status string, updated_at long, seq long"
+    logged = CompactedLog(spark, scratch(spark, "log"), shape, tables.MANIFEST_KEY, ("updated_at", "seq"), buckets=16)
+    for part in range(3):
+        logged.append(rows.where(F.col("seq") % 3 == part))
+        logged.compact(always=part < 2)
+    return logged.latest().select("dataset", "symbol", "key", "status", "seq")

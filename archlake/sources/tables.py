@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from archlake.functions import exprs as E
+from archlake.sources.landing import largest_member
+from archlake.sources.shared import cut
+from archlake.sources.snapshots import Snapshot, Version
+
 MANIFEST_KEY = ("dataset", "symbol", "period", "key", "interval")
 
 #: How long a 'missing' probe stays good.
@@ -41,13 +47,18 @@ def without_superseded(rows: DataFrame, months: DataFrame) -> DataFrame:
     return rows.join(gone, day & (F.col("dataset") == F.col("d")) & (F.col("symbol") == F.col("s")) & (F.substring("key", 1, 7) == F.col("m")) & F.col("interval").eqNullSafe(F.col("i")), "left_anti")
 
 
-def usable_probes(log: DataFrame, now: Column) -> DataFrame:
-    """url, status and bytes of probes that still hold at `now` (A17): the newest of each url, if it says 'available', or
-    'missing' no longer ago than MISSING_TTL_SECONDS. A time that can't be read is expired."""
+def probes(log: DataFrame) -> DataFrame:
+    """The rows of a log that say whether a file is there."""
+    return log.where(F.col("status").isin("available", "missing"))
+
+
+def usable_probes(newest: DataFrame, now: Column) -> DataFrame:
+    """url, status and bytes of probes that still hold at `now` (A17): the newest of each url (see latest, logs), if it says
+    'available', or 'missing' no longer ago than MISSING_TTL_SECONDS. A time that can't be read is expired."""
     at = F.try_to_timestamp("checked_at")
     age = F.unix_micros(now) - F.unix_micros(at)
     fresh = F.coalesce((F.col("status") == "missing") & at.isNotNull() & (age <= MISSING_TTL_SECONDS * 1_000_000), F.lit(False))
-    return latest(log.where(F.col("status").isin("available", "missing")), ("url",), "checked_at").where((F.col("status") == "available") | fresh).select("url", "status", "bytes")
+    return newest.where((F.col("status") == "available") | fresh).select("url", "status", "bytes")
 
 
 def partial_bytes(parts: DataFrame, remote: DataFrame) -> DataFrame:
@@ -69,24 +80,23 @@ def merge_overlay(old: DataFrame, new: DataFrame) -> DataFrame:
     return latest(both, ("symbol", "interval", "day", "timestamp_ms"), "_v").drop("_v")
 
 
-def write_overlay(new: DataFrame, path: str) -> None:
-    """Merge rows into the overlay at path and replace the touched (symbol, interval, day) partitions only."""
-    spark = new.sparkSession
-    try:
-        days = new.select("symbol", "interval", "day").distinct()
-        old = spark.read.schema(new.schema).parquet(path).join(days, ["symbol", "interval", "day"], "left_semi")
-        old.limit(1).count()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = new.limit(0)
-    merged = merge_overlay(old, new).repartition("symbol", "interval", "day").sortWithinPartitions("symbol", "interval", "day", "timestamp_ms")
-    staged = path.rstrip("/") + ".staged"  # the merge reads what the swap replaces
-    merged.write.mode("overwrite").parquet(staged)
-    (
-        spark.read.schema(new.schema).parquet(staged).repartition("symbol", "interval", "day").sortWithinPartitions("timestamp_ms")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "interval", "day").parquet(path)
-    )
+def _overlay(spark: SparkSession, path: str, schema: StructType) -> Snapshot:
+    return Snapshot(spark, path, schema, ("symbol", "interval", "day"), ("timestamp_ms",))
+
+
+def write_overlay(new: DataFrame, path: str) -> Version:
+    """Merge rows into the overlay at path and replace the touched (symbol, interval, day) partitions only.
+
+    In one step: readers see all of it or nothing, and of two writers the second one merges with what the first has left.
+    """
+    table = _overlay(new.sparkSession, path, new.schema)
+    new = cut(new)  # a second attempt has the same rows
+    return table.replace(lambda old, _: merge_overlay(old, new), new)
+
+
+def read_overlay(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The newest rows of an overlay, none if there is no such table."""
+    return _overlay(spark, path, schema).read()
 
 
 def overlay_codes(provenance: DataFrame) -> DataFrame:
@@ -95,13 +105,37 @@ def overlay_codes(provenance: DataFrame) -> DataFrame:
     return provenance.select(at.alias("timestamp_ms"), F.coalesce("original_issue_codes", F.array().cast("array<string>")).alias("original_issue_codes")).where("timestamp_ms is not null")
 
 
+# Fixed value: the member of an overlay's archive that holds its records.
+MANIFEST_MEMBER = "repair_manifest.json"
+
+_MANIFEST = "struct<version:int,method:string,repairs:array<struct<timestamp_ms:bigint,original_issue_codes:array<string>,source_kline_path:string,aggtrades_path:string,matching_volume_fields:array<string>>>>"
+
+
 def foreign_overlay_records(manifests: DataFrame) -> DataFrame:
     """Provenance records of overlays written as JSON (A9): path, method and one row per repair; unreadable JSON gives none."""
-    shape = "struct<version:int,method:string,repairs:array<struct<timestamp_ms:bigint,original_issue_codes:array<string>,source_kline_path:string,aggtrades_path:string,matching_volume_fields:array<string>>>>"
-    parsed = manifests.select("path", F.from_json("json", shape).alias("m"))
+    parsed = manifests.select("path", F.from_json("json", _MANIFEST).alias("m"))
     return parsed.select("path", "m.method", F.explode("m.repairs").alias("r")).select("path", "method", "r.*")
 
 
+def foreign_overlays(landed: DataFrame) -> DataFrame:
+    """Overlays of other writers, whole (A9): path, timestamp_ms, cells, method and original_issue_codes.
+
+    landed: rows of their archives, with MANIFEST_MEMBER as a text (landing.land). Rows are those of the largest CSV member whose
+    first cell is a time, the last one of each time, cells trimmed; records come from the manifest and are joined by time, so
+    that a row may have no record (codes null) and a record no row (cells null). An archive that can't be read to its end, or
+    whose manifest is no JSON, gives nothing; one without a CSV member has records only, one without a manifest rows only.
+    """
+    landed = cut(landed)
+    text = landed.where(F.col("member") == MANIFEST_MEMBER).select("path", F.get("cells", F.lit(0)).alias("json"))
+    broken = landed.where("error is not null and error <> 'no CSV member'").select("path").union(text.where(F.try_parse_json("json").isNull()).select("path")).distinct()
+    rows = largest_member(landed.where("member_idx is not null")).where("cells is not null and size(cells) > 0").join(broken, "path", "left_anti")
+    timed = rows.select("path", "ordinal", E.epoch_ms(F.get("cells", F.lit(0))).alias("timestamp_ms"), F.transform("cells", lambda c: F.trim(c)).alias("cells")).where("timestamp_ms is not null")
+    last = timed.groupBy("path", "timestamp_ms").agg(F.max_by("cells", "ordinal").alias("cells"))
+    records = foreign_overlay_records(text.join(broken, "path", "left_anti")).where("timestamp_ms is not null")
+    records = records.groupBy("path", "timestamp_ms").agg(F.max(F.struct("method", "original_issue_codes")).alias("r"))
+    return last.join(records, ["path", "timestamp_ms"], "full_outer").select("path", "timestamp_ms", "cells", "r.method", "r.original_issue_codes")
+
+
 def recent(log: DataFrame, n: int) -> DataFrame:
     """The newest n rows, at least one."""
     return log.orderBy(F.desc("started_at"), F.desc("id")).limit(max(1, n))
