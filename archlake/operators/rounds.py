@@ -85,11 +85,17 @@ def _by_request(requests: DataFrame, fetched: DataFrame) -> DataFrame:
     return requests.select("request_id", "dataset", "symbol", "interval").join(days, ["dataset", "symbol", "interval"]).select("request_id", "day", "status")
 
 
+def _came(fetched: DataFrame) -> bool:
+    """Whether a fetch step has changed the lake."""
+    return not fetched.where("status = 'downloaded'").isEmpty()
+
+
 def repair_round(lake: Lake, requests: DataFrame, fetch: Fetch, today: Column, overlay: DataFrame | None = None) -> dict[str, DataFrame]:
     """Scan, fetch whole months, scan, fetch days, scan, rebuild from trades, and scan with the rebuilt candles.
 
     Returns before, after (scan tables), report, verdicts and overlay (rows to write). Nothing is fetched for a request that
-    is complete. Each scan sees the lake as it is then: what it needs later is stored. Only archives of the requests' months
+    is complete, and nothing is scanned again that no fetch has changed. Each scan sees the lake as it is then: what it needs
+    later is stored. Without a candle that trades may mend, verdicts are None and the overlay stays. Only archives of the requests' months
     and days, and trades of the days to prove, are opened, each of them once.
     """
     before = _scan(lake, requests, overlay)
@@ -99,24 +105,32 @@ def repair_round(lake: Lake, requests: DataFrame, fetch: Fetch, today: Column, o
     if open_.isEmpty():
         none = before_days.limit(0)
         return {"before": before_days, "after": before_days, "report": none, "verdicts": None, "overlay": overlay}
-    fetch(cut(planning.monthly_repairs(open_, before_days.where("missing > 0"), before["inventory"], before["status"], today)))
-    middle = _scan(lake, open_, overlay)["by_day"]
-    got = cut(fetch(planning.daily_repairs(open_, middle.where("missing > 0"), middle.where("invalid > 0"))))
-    third = _scan(lake, open_, overlay)
-    details = third["details"].where(R.repairable(F.col("mask")))
+    months = cut(fetch(cut(planning.monthly_repairs(open_, before_days.where("missing > 0"), before["inventory"], before["status"], today))))
+    now = _scan(lake, open_, overlay) if _came(months) else before
+    days = now["by_day"].join(open_.select("request_id"), "request_id", "left_semi")
+    got = cut(fetch(cut(planning.daily_repairs(open_, days.where("missing > 0"), days.where("invalid > 0")))))
+    now = _scan(lake, open_, overlay) if _came(got) else now
+    details = now["details"].where(R.repairable(F.col("mask")))
     asked = open_.where("dataset = 'klines'").select("request_id", "symbol", "interval")
-    originals = details.join(asked, "request_id").select("symbol", "interval", "open_time", "codes", "cells").distinct()
-    wanted = cut(planning.evidence_plan(originals.select("symbol", E.day_of(F.col("open_time")).alias("day"))))
-    fetch(wanted)
-    inventory = lake.inventory()
-    proof = reconstruct.evidence(landing.largest_member(landing.raw_rows(lake.landed(inventory, wanted))))
-    days = inventory.where("dataset = 'aggTrades' and period = 'daily'").select("symbol", F.to_date("key").alias("day"))
-    verdicts = reconstruct.reconstruct(originals, proof, days)
-    rebuilt = reconstruct.overlay_rows(verdicts)
-    layer = rebuilt if overlay is None else overlay.select(*rebuilt.columns).unionByName(rebuilt)
-    after = _scan(lake, requests, layer)
-    codes = report.codes_by_day_of(after["merged"], E.day_of(F.col("open_time")))
-    return {"before": before_days, "after": after["by_day"], "report": report.repair_report(before_days, after["by_day"], _by_request(open_, got), codes), "verdicts": verdicts, "overlay": layer}
+    originals = cut(details.join(asked, "request_id").select("symbol", "interval", "open_time", "codes", "cells").distinct())
+    if originals.isEmpty():
+        # what was complete before hasn't been touched
+        rest = before_days.join(open_.select("request_id"), "request_id", "left_anti")
+        after = cut(now["by_day"].join(open_.select("request_id"), "request_id", "left_semi").unionByName(rest))
+        verdicts, layer, merged = None, overlay, now["merged"]
+    else:
+        wanted = cut(planning.evidence_plan(originals.select("symbol", E.day_of(F.col("open_time")).alias("day"))))
+        fetch(wanted)
+        inventory = lake.inventory()
+        proof = reconstruct.evidence(landing.largest_member(landing.raw_rows(lake.landed(inventory, wanted))))
+        there = inventory.where("dataset = 'aggTrades' and period = 'daily'").select("symbol", F.to_date("key").alias("day"))
+        verdicts = reconstruct.reconstruct(originals, proof, there)
+        rebuilt = reconstruct.overlay_rows(verdicts)
+        layer = rebuilt if overlay is None else overlay.select(*rebuilt.columns).unionByName(rebuilt)
+        last = _scan(lake, requests, layer)
+        after, merged = last["by_day"], last["merged"]
+    codes = report.codes_by_day_of(merged, E.day_of(F.col("open_time")))
+    return {"before": before_days, "after": after, "report": report.repair_report(before_days, after, _by_request(open_, got), codes), "verdicts": verdicts, "overlay": layer}
 
 
 def trade_repair_round(lake: Lake, plan: DataFrame, fetch: Fetch, drop: Callable[[DataFrame], None]) -> dict[str, DataFrame]:
