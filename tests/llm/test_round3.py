@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archlake.llm import queries as Q
-from archlake.llm import codebooks, divergence, radix
+from archlake.llm import codebooks, divergence, licenses, radix
 
 DATA = "/root/testdata/sf0.001"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -273,3 +273,37 @@ def test_many_rows_of_one_label(spark):
     got = rows.agg(F.count("*").alias("n"), F.sum("error").alias("e")).first()
     hot = rows.join(frame.where("label is null").select("vec_id"), "vec_id", "left_semi").agg(F.min("label_error").alias("a"), F.max("label_error").alias("b"), F.sum("error").alias("e")).first()
     assert got.n == 4000 and hot.a == hot.b == hot.e
+
+
+# ---------------------------------------------------------------- licenses
+
+
+def test_near_relatives_are_told_apart():
+    """Wordings that aren't in the list as they stand: other names, years, comment signs and line ends."""
+    gpl = "This file is part of Foo.\n\nFoo is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as\npublished by the Free Software Foundation, either version {} of\nthe License, or (at your option) any later version."
+    grant = licenses.WORDINGS[[w[0] for w in licenses.WORDINGS].index("MIT-0")][2]
+    warranty = ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.'
+    cases = [
+        (gpl.format("", 3), {"GPL-3.0"}), (gpl.format("Lesser ", 3), {"LGPL-3.0"}), (gpl.format("Affero ", 3), {"AGPL-3.0"}), (gpl.format("", 2), {"GPL-2.0"}), (gpl.format("Lesser ", "2.1"), {"LGPL-2.1"}),
+        ("Copyright 2001 Foo\n" + licenses._BSD_HEAD.replace("1. ", "* ").replace("2. ", "* ") + licenses._BSD_END, {"BSD-2-Clause"}),
+        (licenses._BSD_HEAD + licenses._BSD_THIRD.replace("the copyright holder nor the names of its contributors", "Foo Inc. nor the names of its staff") + licenses._BSD_END, {"BSD-3-Clause"}),
+        ("# " + licenses._BSD_HEAD[:150].replace("modification", "modification") + " are met:", {"BSD"}),
+        (grant + warranty, {"MIT-0"}),
+        (grant[:-1] + ", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", {"MIT"}),
+        ("This photo is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.", {"CC-BY-NC-SA-3.0"}),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", {"ISC"}),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", {"0BSD"}),
+        ("This program is free of charge: you can modify it in the general public's interest, whatever version 3 says.", set()),
+    ]
+    scanner = licenses.Scanner()
+    for text, names in cases:
+        assert {got["license"] for _, _, got in scanner.confirmed(text.encode())} == names, text
+    assert len({w[0] for w in licenses.WORDINGS}) >= 25
+
+
+def test_spdx_lines(spark):
+    rows = [(1, "x\n// SPDX-License-Identifier: Apache-2.0\ncode", None, None), (None, "é SPDX-License-Identifier: MIT OR GPL-2.0-only WITH Classpath-exception-2.0 */", None, None), (3, "SPDX-License-Identifier:", None, None), (4, None, None, None)]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert {k: r.license for k, r in got.items()} == {1: "Apache-2.0", None: "MIT OR GPL-2.0-only WITH Classpath-exception-2.0"}
+    assert rows[0][1].encode()[got[1].start : got[1].end] == b"SPDX-License-Identifier: Apache-2.0" and got[1].wording is None
+    assert rows[1][1].encode()[got[None].start : got[None].end].endswith(b"exception-2.0")
