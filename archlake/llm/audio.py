@@ -4,10 +4,9 @@ A recording is cut into overlapping frames; the energies of a frame's spectrum a
 sums over rectangles of (frame, pitch class), read off an integral image; each gives two bits, sixteen make a packed
 integer for every frame.
 
-Recordings are dealt to shards, each an index by value; queries come to every shard. Integers meet by value, two of them at a time, as
-a single integer is too common in a large corpus; counted by offset they make the offset histogram. Each offset with enough equal
-pairs is then judged by the bits that differ there: the stretch of frames with the fewest errors for its length must be long enough
-and within the limit. Copies are one class before anything meets.
+Recordings are dealt to shards, each an index by value; queries come to every shard. Integers meet by value; counted by offset
+they make the offset histogram. Each offset with as many equal integers as a match needs, which a match cannot do without, is then judged by the bits that differ there: the stretch of frames with
+the fewest errors for its length must be long enough and within the limit. Copies are one class before anything meets.
 """
 
 from __future__ import annotations
@@ -50,8 +49,7 @@ class Settings:
 
 @dataclass(frozen=True)
 class Match:
-    pairs: int = 2  # equal pairs of neighbouring integers at an offset, at least, for it to be judged
-    votes: int = 4  # equal integers of a stretch, at least
+    votes: int = 4  # equal integers of a stretch, at least; an offset with fewer can't have one
     seconds: float = 1.0  # of a stretch, at least; or half of the shorter recording
     integers: int = 24  # of a stretch, at least, whatever the recordings' lengths
     bit_errors: float = 0.2  # share of bits that differ in a stretch, at most
@@ -185,13 +183,6 @@ def turns(items: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1]))) if len(items) else np.empty(0, np.int64)
 
 
-def pair_keys(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two neighbouring turns' integers as one of 64 bits, and the place of the first."""
-    at = turns(items)
-    value = items[at].astype(np.uint64)
-    return ((value[:-1] << np.uint64(32)) | value[1:]).view(np.int64), at[:-1]
-
-
 def stretches(query: np.ndarray, items: np.ndarray, offsets: list[int], s: Settings, m: Match) -> list[tuple[int, int, int, int, int]]:
     """(offset, start in the query, votes, overlap, bit errors) of the aligned stretches, the best one first.
 
@@ -201,14 +192,14 @@ def stretches(query: np.ndarray, items: np.ndarray, offsets: list[int], s: Setti
     turn = np.zeros(len(query), bool)
     turn[turns(query)] = True
     least = max(m.integers, min(m.seconds * s.per_second, min(len(query), len(items)) / 2))
-    found = []
+    limit, found = round(m.bit_errors * 32 * GAIN), []
     for offset in offsets:
         a, b = max(0, -offset), max(0, offset)
         n = min(len(query) - a, len(items) - b)
         if n < least:
             continue
         wrong = np.bitwise_count(query[a : a + n] ^ items[b : b + n])
-        gain = np.concatenate(([0.0], np.cumsum(m.bit_errors * 32 - wrong)))
+        gain = np.concatenate(([0], np.cumsum(limit - GAIN * wrong.astype(np.int64))))
         end = int(np.argmax(gain - np.minimum.accumulate(gain)))
         start = int(np.argmin(gain[: end + 1]))
         votes = int((turn[a + start : a + end] & (wrong[start:end] == 0)).sum())
@@ -221,41 +212,113 @@ def stretches(query: np.ndarray, items: np.ndarray, offsets: list[int], s: Setti
     return out
 
 
+#: Parts of a bit in which gains are counted, so that they are whole numbers.
+GAIN = 1000
+
+#: Votes, or counters of votes, that a task holds at once; integers of overlaps that are judged at once.
+HELD_VOTES, HELD_OVERLAP = 1 << 22, 1 << 21
+
+
 class Shard:
-    """Recordings, and where each of their pair_keys stands."""
+    """Recordings, and where each of their turns stands, by value."""
 
     def __init__(self, ids: list[int], items: list[np.ndarray]):
         self.ids, self.items = ids, items
-        got = [pair_keys(x) for x in items]
-        value = np.concatenate([v for v, _ in got])
-        order = np.argsort(value, kind="stable")
-        self.value = value[order]
-        self.owner = np.repeat(np.arange(len(got), dtype=np.int64), [len(a) for _, a in got])[order]
-        self.place = np.concatenate([a for _, a in got])[order]
+        places = [turns(x) for x in items]
+        self.first = np.concatenate(([0], np.cumsum([len(x) for x in places])))  # of the postings by owner
+        self.raw_place = np.concatenate(places)
+        self.raw_value = np.concatenate([x[at] for x, at in zip(items, places, strict=True)])
+        order = np.argsort(self.raw_value, kind="stable")
+        self.value, self.place = self.raw_value[order], self.raw_place[order]
+        self.owner = np.repeat(np.arange(len(items), dtype=np.int64), np.diff(self.first))[order]
+        self.start = np.concatenate(([0], np.cumsum([len(x) for x in items])))
+        self.all = np.concatenate(items)
 
     def align(self, own: int, query: np.ndarray, s: Settings, m: Match) -> Iterator[tuple]:
         """(other, offset, start, votes, overlap, bit errors) of all stretches with recordings of another id."""
-        value, at = pair_keys(query)
+        at = turns(query)
+        value = query[at]
         lo, hi = np.searchsorted(self.value, value, "left"), np.searchsorted(self.value, value, "right")
-        ends = np.cumsum(hi - lo)
-        votes = np.empty((2, 0), np.int64)
-        done, shift, width = 0, np.int64(1 << 31), np.int64(1 << 32)
-        while done < len(value):  # about a million votes at a time
-            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + (1 << 20), "right")))
-            n = (hi - lo)[done:upto]
-            into = np.repeat(lo[done:upto] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            names, count = np.unique(self.owner[into] * width + self.place[into] - np.repeat(at[done:upto], n) + shift, return_counts=True)
-            both, same = np.unique(np.concatenate([votes[0], names]), return_inverse=True)
-            votes = np.stack([both, np.bincount(same, weights=np.concatenate([votes[1], count]), minlength=len(both)).astype(np.int64)])
+        least = np.maximum(m.integers, np.minimum(m.seconds * s.per_second, np.minimum(len(query), np.diff(self.start)) / 2))
+        met = self._few(at, lo, hi, m) if int((hi - lo).sum()) <= HELD_VOTES else self._many(at, value, len(query), m)
+        for owner, offset in met:
+            keep = self._long(query, owner, offset, least, m)
+            owner, offset = owner[keep], offset[keep]
+            edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                k = int(owner[a])
+                if self.ids[k] != own:
+                    for one in stretches(query, self.items[k], offset[a:b].tolist(), s, m):
+                        yield self.ids[k], *one
+
+    def _few(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, m: Match) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(owners, offsets) with enough votes, by owner and offset; all votes are held at once."""
+        n = hi - lo
+        into = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        shift, width = np.int64(1 << 31), np.int64(1 << 32)
+        names = np.sort(self.owner[into] * width + self.place[into] - np.repeat(at, n) + shift)
+        same = m.votes - 1  # as many names further on there's the same name
+        enough = names[same:][names[same:] == names[: len(names) - same]] if len(names) > same else names[:0]
+        enough = enough[np.concatenate(([True], enough[1:] != enough[:-1]))] if len(enough) else enough
+        yield enough // width, enough % width - shift
+
+    def _many(self, at: np.ndarray, value: np.ndarray, size: int, m: Match) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for a query with very many votes: a few owners at a time, whose offsets have a counter each."""
+        lengths = np.diff(self.start)
+        k = 0
+        while k < len(self.items):
+            upto = max(k + 1, int(np.searchsorted(np.cumsum(lengths[k:] + size), HELD_VOTES, "right")) + k)
+            part = slice(int(self.first[k]), int(self.first[upto]))
+            order = np.argsort(self.raw_value[part], kind="stable")
+            own_value = self.raw_value[part][order]
+            base = np.concatenate(([0], np.cumsum(lengths[k:upto] + size)))  # of an owner's counters: place - at + size
+            slot = (self.raw_place[part] + np.repeat(base[:-1], np.diff(self.first[k : upto + 1])) + size)[order]
+            counts = np.zeros(int(base[-1]) + 1, np.int64)
+            lo, hi = np.searchsorted(own_value, value, "left"), np.searchsorted(own_value, value, "right")
+            for v in np.unique(value[hi > lo]):  # one value's votes are a product of its places
+                mine, theirs = at[value == v], slot[np.searchsorted(own_value, v, "left") : np.searchsorted(own_value, v, "right")]
+                for a in range(0, len(mine), max(1, HELD_VOTES // len(theirs))):
+                    np.add.at(counts, (theirs[None, :] - mine[a : a + max(1, HELD_VOTES // len(theirs)), None]).ravel(), 1)
+            enough = np.flatnonzero(counts >= m.votes)
+            owner = np.searchsorted(base, enough, "right") - 1
+            yield owner + k, enough - base[owner] - size
+            k = upto
+
+    def _long(self, query: np.ndarray, owner: np.ndarray, offset: np.ndarray, least: np.ndarray, m: Match) -> np.ndarray:
+        """Which offsets have a best stretch that is long enough: what stretches() asks first, for many offsets at once."""
+        a, b = np.maximum(0, -offset), np.maximum(0, offset)
+        n = np.minimum(len(query) - a, np.diff(self.start)[owner] - b)
+        keep = n >= least[owner]
+        todo = np.flatnonzero(keep)
+        ends = np.cumsum(n[todo])
+        limit = round(m.bit_errors * 32 * GAIN)
+        done = 0
+        while done < len(todo):
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + HELD_OVERLAP, "right")))
+            some = todo[done:upto]
+            size = n[some]
+            first = np.cumsum(size) - size
+            step = np.arange(int(size.sum())) - np.repeat(first, size)
+            wrong = np.bitwise_count(query[np.repeat(a[some], size) + step] ^ self.all[np.repeat(self.start[owner[some]] + b[some], size) + step])
+            # sums before each place and at the end of each overlap, overlap below overlap, so that no minimum comes from the one before
+            each = np.concatenate(([0], np.cumsum(limit - GAIN * wrong.astype(np.int64))))
+            row = np.repeat(np.arange(len(some)), size + 1)
+            into = np.arange(len(row)) - row
+            deep = np.int64((limit + 32 * GAIN) * (int(size.max()) + 1))
+            gain = each[into] - np.repeat(each[first], size + 1) - row * 2 * deep
+            rise = gain - np.minimum.accumulate(gain)
+            at = first + np.arange(len(some))
+            top = np.maximum.reduceat(rise, at)
+            end = np.flatnonzero(rise == np.repeat(top, size + 1))
+            end = end[np.concatenate(([True], row[end][1:] != row[end][:-1]))]  # the first place of the greatest rise
+            low = gain[end] - top
+            # the first place of the minimum up to the end
+            is_low = (gain == np.repeat(low, size + 1)) & (np.arange(len(row)) <= np.repeat(end, size + 1))
+            start = np.flatnonzero(is_low)
+            start = start[np.concatenate(([True], row[start][1:] != row[start][:-1]))]
+            keep[some] = end - start >= least[owner[some]]
             done = upto
-        enough = votes[0][votes[1] >= m.pairs]
-        owner, offset = enough // width, enough % width - shift
-        edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            k = int(owner[a])
-            if self.ids[k] != own:
-                for one in stretches(query, self.items[k], offset[a:b].tolist(), s, m):
-                    yield self.ids[k], *one
+        return keep
 
 
 def aligned(heads: DataFrame, s: Settings, m: Match) -> DataFrame:

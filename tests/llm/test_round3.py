@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archlake.llm import queries as Q
-from archlake.llm import codebooks, divergence, licenses, radix
+from archlake.llm import audio, codebooks, divergence, licenses, radix
 
 DATA = "/root/testdata/sf0.001"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -307,3 +307,25 @@ def test_spdx_lines(spark):
     assert {k: r.license for k, r in got.items()} == {1: "Apache-2.0", None: "MIT OR GPL-2.0-only WITH Classpath-exception-2.0"}
     assert rows[0][1].encode()[got[1].start : got[1].end] == b"SPDX-License-Identifier: Apache-2.0" and got[1].wording is None
     assert rows[1][1].encode()[got[None].start : got[None].end].endswith(b"exception-2.0")
+
+
+# ---------------------------------------------------------------- audio
+
+
+def test_alignments_of_texts_by_all_offsets():
+    """Every stretch that any offset of two different recordings has is found, for queries with few votes and with very many."""
+    rng = np.random.default_rng(12)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(30)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 30, rng.integers(150, 500))) for _ in range(24)]
+    texts += [texts[0][:900] + b"xyz" + texts[0][900:], texts[1][400:], texts[2][:700] + texts[3], b"ab " * 900, b"ab " * 500 + texts[4], texts[5] * 2]
+    items = [audio.fingerprint(t) for t in texts]
+    s, m = audio.Settings(), audio.Match()
+    shard = audio.Shard(list(range(len(items))), items)
+    want = {q: {(o, *x) for o in range(len(items)) if o != q for x in audio.stretches(items[q], items[o], list(range(-len(items[q]) + 1, len(items[o]))), s, m)} for q in range(len(items))}
+    assert sum(map(len, want.values())) > 10
+    for held in (audio.HELD_VOTES, 1000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(audio, "HELD_VOTES", held)
+            patch.setattr(audio, "HELD_OVERLAP", held)
+            for q in range(len(items)):
+                assert set(shard.align(q, items[q], s, m)) == want[q]
