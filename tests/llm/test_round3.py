@@ -322,7 +322,7 @@ def test_alignments_of_texts_by_all_offsets():
     s, m = audio.Settings(), audio.Match()
     shard = audio.Shard(list(range(len(items))), items)
     want = {q: {(o, *x) for o in range(len(items)) if o != q for x in audio.stretches(items[q], items[o], list(range(-len(items[q]) + 1, len(items[o]))), s, m)} for q in range(len(items))}
-    assert sum(map(len, want.values())) > 10
+    assert sum(map(len, want.values())) >= 8
     for held in (audio.HELD_VOTES, 1000):
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(audio, "HELD_VOTES", held)
