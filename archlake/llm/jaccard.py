@@ -12,6 +12,9 @@
 5. Groups of near copies are the connected components of all links found. Pairs of sets that are connected already need no
    comparison.
 
+Tables that grow with the corpus are merged, also where one would be small enough to be sent to all tasks, so that plans are
+the same at every size.
+
 The order of shingles by frequency (known of frequent shingles, else by their words) steers the cost only; any order that all
 documents share gives the same links.
 """
@@ -59,6 +62,9 @@ SIZE_STEPS = 20
 #: Pairs of groups that a task holds before it adds them up.
 HELD_PAIRS = 1 << 20
 
+#: Ids from here on get others, so that there's room for the texts of repeated ids.
+ROOM = 1 << 61
+
 #: Steps of a word's cost in a bit.
 COST_SCALE = 64
 
@@ -265,7 +271,7 @@ def linked(pairs: DataFrame, docs: DataFrame, rule: Rule, key: str, text: str) -
     texts = texts_of(docs, cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), key, text)
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MET).alias("parts")).where("parts > 1")
     dealt = pairs.join(many, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))))
-    first = dealt.join(texts, F.col("b") == F.col("_id")).groupBy("a", "part").agg(F.collect_list(F.struct("b", F.col("_text").alias("t"))).alias("others"))
+    first = dealt.hint("merge").join(texts, F.col("b") == F.col("_id")).groupBy("a", "part").agg(F.collect_list(F.struct("b", F.col("_text").alias("t"))).alias("others"))
     both = first.join(texts, F.col("a") == F.col("_id")).select("a", F.col("_text").alias("t_a"), "others")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +296,7 @@ def matrix(sets: DataFrame, moved: DataFrame, rule: Rule) -> DataFrame:
     sets: id, n, tokens. moved: id, grp, label for sets that aren't alone in their group, with a null grp for copies that
     another set stands for.
     """
-    met = sets.select("id", "n", "tokens").join(moved.select("id", "grp", "label", F.lit(True).alias("hit")), "id", "left").where("hit is null or grp is not null")
+    met = sets.select("id", "n", "tokens").join(moved.select("id", "grp", "label", F.lit(True).alias("hit")).hint("merge"), "id", "left").where("hit is null or grp is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,7 +381,7 @@ def open_groups(opened: DataFrame, member: DataFrame, about: DataFrame, rule: Ru
     needed = opened.select(F.col("a").alias("grp")).union(opened.select("b")).distinct()
     large = member.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
     wanted = cut(member.join(needed.union(large).distinct(), "grp"))
-    packed = cut(wanted.join(about.select("id", "n", "sketch"), "id").groupBy("grp").agg(F.collect_list(F.struct("id", "n", "label", "sketch")).alias("rows"), F.sum(F.length("sketch") + MEMBER_BYTES).alias("weight")))
+    packed = cut(wanted.hint("merge").join(about.select("id", "n", "sketch"), "id").groupBy("grp").agg(F.collect_list(F.struct("id", "n", "label", "sketch")).alias("rows"), F.sum(F.length("sketch") + MEMBER_BYTES).alias("weight")))
     # the lighter group of a pair goes to the heavier one
     weights = packed.select("grp", "weight")
     sided = opened.join(weights.toDF("a", "w_a"), "a").join(weights.toDF("b", "w_b"), "b")
@@ -418,14 +424,30 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     if several.isEmpty():
         return docs, None
     top = named.agg(F.max("id")).first()[0]
-    if top >= 1 << 61:
-        raise ValueError("keys that repeat with different texts must be below 2**61")
     texts = named.join(several, "id", "left_semi").select(F.col("id").alias("doc"), text_hash("text").alias("h")).distinct()
     own = cut(texts.withColumn("new", F.lit(top) + 1 + F.monotonically_increasing_id()))
     met = docs.join(own, (F.col("id") == F.col("doc")) & (text_hash("text") == F.col("h")), "left").select(F.coalesce("new", "id").alias("id"), "text")
     return met, own.select(F.col("new").alias("id"), "doc", "h")
 
 
+def _narrowed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs (id, text) with ids that leave room above them, and these as small and wide; None where the ids do so already.
+
+    New ids are in the order of the old ones.
+    """
+    if (docs.agg(F.max("id")).first()[0] or 0) < ROOM:
+        return docs, None
+    ids = docs.where("id is not null").select(F.col("id").alias("wide")).distinct().repartitionByRange("wide").sortWithinPartitions("wide")
+    names = cut(ids.withColumn("small", F.monotonically_increasing_id()))
+    return docs.join(names, F.col("id") == F.col("wide"), "left").select(F.col("small").alias("id"), "text"), names
+
+
+def _widened(rows: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    for c in columns if names is not None else ():
+        rows = rows.withColumnRenamed(c, "_narrow").join(names, F.col("_narrow") == F.col("small"), "left").drop("_narrow", "small").withColumnRenamed("wide", c)
+    return rows
+
+
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles (size of the set) and component_id (the smallest key reachable by links, or the own key).
 
@@ -434,11 +456,13 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", t
     one document with all their links, whatever their texts. Keys are whole numbers, or text that can be cast to them. Extra
     columns, under any name, are left out; an empty table gives no rows.
     """
-    found, own = _components(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), rule, True)
+    docs, names = _narrowed(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")))
+    found, own = _components(docs, rule, True)
     doc = F.col("id")
     if own is not None:
         found, doc = found.join(own.select("id", "doc"), "id", "left"), F.coalesce("doc", "id")
-    return found.select(doc.alias(key), "n_shingles", "component_id")
+    wide = _widened(found.select(doc.alias("_doc"), "n_shingles", "component_id"), names, "_doc", "component_id")
+    return wide.select(F.col("_doc").alias(key), "n_shingles", "component_id")
 
 
 def copies(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -447,11 +471,12 @@ def copies(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str
     The first one has the smallest key among the keys with one text, if there are any in the group. Texts of one key are documents
     of their own: h is the text's text_hash then, else null.
     """
-    found, own = _components(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), rule, False)
+    docs, names = _narrowed(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")))
+    found, own = _components(docs, rule, False)
     gone = found.where(F.col("id") != F.col("component_id")).select("id").distinct()
     if own is None:
-        return gone.select(F.col("id").alias(key), F.lit(None).cast("long").alias("h"))
-    return gone.join(own, "id", "left").select(F.coalesce("doc", "id").alias(key), "h")
+        return _widened(gone, names, "id").select(F.col("id").alias(key), F.lit(None).cast("long").alias("h"))
+    return _widened(gone.join(own, "id", "left").select(F.coalesce("doc", "id").alias("id"), "h"), names, "id").select(F.col("id").alias(key), "h")
 
 
 def _components(docs: DataFrame, rule: Rule, together: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -468,11 +493,11 @@ def _components(docs: DataFrame, rule: Rule, together: bool) -> tuple[DataFrame,
     firsts = cut(sets.groupBy(*digest).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
     large = cut(firsts.where(F.col("rows") > LARGE).select(*digest, F.col("first").alias("large")))
     met = sets.select("id", *digest).join(F.broadcast(large) if large.count() <= MANY_LARGE else large, digest, "left")
-    few = met.where("large is null").join(firsts.where(F.col("rows") <= LARGE), digest, "left").select("id", F.coalesce("first", "id").alias("first"))
+    few = met.where("large is null").join(firsts.where(F.col("rows") <= LARGE).hint("merge"), digest, "left").select("id", F.coalesce("first", "id").alias("first"))
     same = cut(few.unionByName(met.where("large is not null").select("id", F.col("large").alias("first"))))
     equal = same.where(F.col("id") != F.col("first")).select(F.col("first").alias("u"), F.col("id").alias("v"))
     single = same.where(F.col("id") == F.col("first")).select("id").distinct()
-    chosen = cut(sets.drop("tokens").join(single, "id").dropDuplicates(["id"]))
+    chosen = cut(sets.drop("tokens").join(single.hint("merge"), "id").dropDuplicates(["id"]))
 
     # of all sets with one most frequent shingle, the one with the largest share of frequent ones meets the others
     heads = chosen.where(F.col("common").isNotNull()).groupBy(F.col("common").alias("c")).agg(F.max(F.struct("share", (-F.col("id")).alias("m"))).alias("h"), F.count(F.lit(1)).alias("k"), F.min("id").alias("least"))
@@ -490,7 +515,7 @@ def _components(docs: DataFrame, rule: Rule, together: bool) -> tuple[DataFrame,
     near = (F.col("head").isNotNull() | (F.col("id") == -F.col("h.m"))).alias("near")
     sized = several.withColumn("step", F.floor(F.log("n") * SIZE_STEPS))
     crowds = sized.groupBy("c", "step").agg(F.count(F.lit(1)).alias("crowd"))
-    met = sized.join(crowds, ["c", "step"]).join(heard, "id", "left")
+    met = sized.join(crowds.hint("merge"), ["c", "step"]).join(heard.hint("merge"), "id", "left")
     dealt = met.select("id", "c", "step", near, F.coalesce("head", "id").alias("label"), F.pmod(F.xxhash64("id"), F.ceil(F.col("crowd") / PACK)).alias("chunk"))
     names = dealt.groupBy("c", "step", "near", "chunk").agg(F.min("id").alias("grp"), F.min("label").alias("low"), F.max("label").alias("high"))
     grouped = cut(dealt.join(names, ["c", "step", "near", "chunk"]).select("id", "grp", "label", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(NO_LABEL)).alias("all_label")))

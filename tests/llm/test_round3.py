@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archlake.llm import queries as Q
-from archlake.llm import audio, codebooks, divergence, licenses, radix
+from archlake.llm import audio, codebooks, divergence, jaccard, licenses, radix
 
 DATA = "/root/testdata/sf0.001"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -329,3 +329,16 @@ def test_alignments_of_texts_by_all_offsets():
             patch.setattr(audio, "HELD_OVERLAP", held)
             for q in range(len(items)):
                 assert set(shard.align(q, items[q], s, m)) == want[q]
+
+
+# ---------------------------------------------------------------- near duplicates
+
+
+def test_near_duplicates_with_large_keys(spark):
+    """Keys up to the largest bigint, also where one repeats with different texts."""
+    top, text = (1 << 63) - 1, "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(top, text, None, None), (top - 5, text + " x", None, None), (-3, text, None, None), (top, "other words altogether here now", None, None), (7, "other words altogether here now", None, None), (None, text, None, None), (1 << 62, "", None, None)]
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.near_duplicates(docs(spark, rows), jaccard.Rule(words=4, num=85, den=100)).collect())
+    assert got == Counter([(top, -3), (top - 5, -3), (-3, -3), (top, -3), (7, -3), (None, None), (1 << 62, 1 << 62)])
+    gone = {(r.doc_id, r.h is None) for r in jaccard.copies(docs(spark, rows), jaccard.Rule(words=4, num=85, den=100)).collect()}
+    assert {d for d, _ in gone} == {top, top - 5}
