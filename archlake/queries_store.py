@@ -24,7 +24,7 @@ from archlake.queries import (
 )
 from archlake.sources import landing, tables
 from archlake.sources.logs import CompactedLog
-from archlake.sources.shared import cut, scratch
+from archlake.sources.shared import cut, remove, scratch
 
 # ---------------------------------------------------------------- landing
 
@@ -157,6 +157,39 @@ def repair_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out["report"].select("request_id", F.col("day").cast("string").alias("day"), "missing", "status")
 
 
+@query(
+    f"with {SQL_TRADES}, {SQL_REQUESTS}, d as (select symbol, {_DAY.format('ms')} as day from t group by 1, 2), x as (select request_id, (ascii(request_id) + length(request_id)) % 3 as m, last - first + 1 as days, "
+    "(select count(*) from d where d.symbol = request_id and day(day) % 4 <> 0) as came from r) "
+    "select request_id, m = 0 as complete_before, cast(case when m < 2 then 1 else days end as bigint) as archives_scanned, cast(case when m < 2 then 0 else days - came end as bigint) as missing_archives, "
+    "cast(0 as bigint) as invalid_archives, m < 2 or days = came as complete from x"
+)
+def trade_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A round over monthly trade archives: some are good, some come again and are good then, and those
+    that stay bad are put aside for their days, of which every fourth isn't offered."""
+    root = scratch(spark, "archives")
+    span = scan_requests(spark, sf_dir).select("request_id", "symbol", "start", "end")
+    month = span.select("request_id", F.lit("aggTrades").alias("dataset"), "symbol", F.lit("monthly").alias("period"), F.date_format("start", "yyyy-MM").alias("key"), F.lit(None).cast("string").alias("interval"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
+    plan = cut(month.join(planning.plan_rows(month).select("symbol", "path"), "symbol"))
+    kind = F.pmod(F.ascii("symbol") + F.length("symbol"), F.lit(3))
+    line = F.concat_ws(",", "agg_id", F.col("price").cast("string"), F.col("quantity").cast("string"), "agg_id", "agg_id", "ms", F.col("maker").cast("string"))
+    t = cut(event_trades(spark, sf_dir).select("symbol", "agg_id", "ms", line.alias("line")))
+    path = lambda period, key: E.archive_path(F.lit("aggTrades"), F.col("symbol"), F.lit(period), F.lit(None).cast("string"), key).alias("path")
+    whole = t.join(plan.select("symbol", "key"), "symbol").select("symbol", path("monthly", F.col("key")), F.col("agg_id").alias("n"), "line")
+    twice = whole.unionByName(whole)  # each id twice
+    cut(landing.put(zipped(whole.where(kind == 0).unionByName(twice.where(kind > 0)).drop("symbol")), root))
+    day = E.day_of(F.col("ms"))
+    days = t.where((kind == 2) & (F.dayofmonth(day) % 4 != 0)).select(path("daily", day.cast("string")), F.col("agg_id").alias("n"), "line")
+    offers = cut(zipped(whole.where(kind == 1).unionByName(twice.where(kind == 2)).drop("symbol")).unionByName(zipped(days)))
+
+    def aside(months: DataFrame) -> None:
+        for r in months.select("path").collect():  # a month for each symbol
+            remove(spark, f"{root}/{r['path']}")
+
+    out = rounds.trade_repair_round(rounds.Lake(spark, root), plan, fetch_from(offers, root), aside)
+    after = out["after"]["summary"].drop("missing_keys", "invalid_keys")
+    return out["before"]["summary"].select("request_id", F.col("complete").alias("complete_before")).join(after, "request_id")
+
+
 @query(f"with {SQL_HOURLY} select symbol, count(*) as candles, cast(sum(open_time) as bigint) as times from c group by 1")
 def candle_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings, blank rows and rows without a time among the candle rows of an archive aren't candles."""
