@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archlake.llm import queries as Q
-from archlake.llm import audio, codebooks, divergence, jaccard, licenses, radix
+from archlake.llm import audio, codebooks, divergence, jaccard, licenses, mixing, radix
 
 DATA = "/root/testdata/sf0.001"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -342,3 +342,18 @@ def test_near_duplicates_with_large_keys(spark):
     assert got == Counter([(top, -3), (top - 5, -3), (-3, -3), (top, -3), (7, -3), (None, None), (1 << 62, 1 << 62)])
     gone = {(r.doc_id, r.h is None) for r in jaccard.copies(docs(spark, rows), jaccard.Rule(words=4, num=85, den=100)).collect()}
     assert {d for d, _ in gone} == {top, top - 5}
+
+
+# ---------------------------------------------------------------- mixing
+
+
+@pytest.mark.parametrize("n", [65, 300])
+def test_many_sources_are_less_than_one_block_off(spark, n):
+    """With one source that has nearly half of all slots."""
+    weights = mixing.whole_weights(spark.range(n).selectExpr("case when id > 0 then concat('s', id) end as source", "1 + id * 7919 % 97 + if(id = 0, 40 * %d, 0) as weight".replace("%d", str(n))))
+    rows = mixing.period_schedule(weights).collect()
+    period = rows[0].period
+    assert sorted(x for r in rows for x in r.slots) == list(range(period)) and len(rows) == n
+    for r in rows:
+        for i, slot in enumerate(r.slots):
+            assert i - r.units * slot / period < 1 and r.units * slot / period - i < 1 and abs(i + 1 - r.units * (slot + 1) / period) < 1
