@@ -84,8 +84,13 @@ class Snapshot:
         version = version or self.current()
         if not version.number:
             return self.spark.createDataFrame([], self.schema)
-        data = self.spark.read.schema(StructType([*self.schema.fields, StructField("batch", StringType())])).parquet(f"{self.path}/data")
         places = self._places(version)
+        # one for each commit that partitions are still from; what other writers are about isn't looked at
+        batches = [f"{self.path}/data/batch={r['batch']}" for r in places.select("batch").distinct().collect()]
+        if not batches:
+            return self.spark.createDataFrame([], self.schema)
+        shape = StructType([*self.schema.fields, StructField("batch", StringType())])
+        data = self.spark.read.schema(shape).option("basePath", f"{self.path}/data").parquet(*batches)
         same = data["batch"] == places["batch"]
         for k in self.keys:
             same = same & data[k].eqNullSafe(places[k])
