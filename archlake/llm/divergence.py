@@ -16,7 +16,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,12 +154,14 @@ def shared_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found()
 
 
-def _single(used: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+def _single(used, others):  # pandas frames; tasks load pandas, the driver does without
     """Corrections of one source towards each other one, for terms that it uses and the other doesn't.
 
     used: share and n of its terms, none of itself; others: j and zero, the share of an unused term there. The sums over
     shares below and above `zero` come from running totals.
     """
+    import pandas as pd
+
     if not len(used) or not len(others):
         return pd.DataFrame({"lang": pd.Series([], dtype=object), "i": [], "j": [], "v": []})
     used = used.sort_values("share")
