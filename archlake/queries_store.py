@@ -20,7 +20,7 @@ from archlake.operators import estimate, klines, reconstruct, report, rounds, th
 from archlake.operators.increments import IncrementalScan
 from archlake.plans import planning
 from archlake.queries import (
-    _CODES_LIST, _DAY, _FALLBACK_SQL, _PLAN_SQL, HOUR, SQL_HOURLY, SQL_REQUESTS, SQL_ROWS, SQL_TRADES, _cells, _log, _merged, _numbered, candle_archives, event_trades, hourly, plan_requests, query, scan_requests, table,
+    _CODES_LIST, _DAY, _FALLBACK_SQL, _PLAN_SQL, HOUR, SQL_HOURLY, SQL_REQUESTS, SQL_ROWS, SQL_TRADES, _cells, _log, _merged, _numbered, archived_hourly, candle_archives, event_trades, hourly, plan_requests, priced, query, scan_requests, table,
 )
 from archlake.sources import landing, tables
 from archlake.sources.logs import CompactedLog
@@ -145,7 +145,7 @@ def repair_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     the others, then days for what is missing, but not every third one, and the report says what is left."""
     root = scratch(spark, "archives")
     requests = cut(scan_requests(spark, sf_dir))
-    base = hourly(spark, sf_dir).withColumns({"h": (F.col("open_time") / HOUR).cast("bigint"), "day": E.day_of(F.col("open_time"))})
+    base = archived_hourly(spark, sf_dir).withColumns({"h": (F.col("open_time") / HOUR).cast("bigint"), "day": E.day_of(F.col("open_time"))})
     base = cut(base.select("symbol", "interval", "h", "day", F.array_join(_cells(False), ",").alias("line")))
     even = F.ascii("symbol") % 2 == 0
     path = lambda period, key: E.archive_path(F.lit("klines"), F.col("symbol"), F.lit(period), F.col("interval"), key).alias("path")
@@ -172,7 +172,7 @@ def trade_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = cut(month.join(planning.plan_rows(month).select("symbol", "path"), "symbol"))
     kind = F.pmod(F.ascii("symbol") + F.length("symbol"), F.lit(3))
     line = F.concat_ws(",", "agg_id", F.col("price").cast("string"), F.col("quantity").cast("string"), "agg_id", "agg_id", "ms", F.col("maker").cast("string"))
-    t = cut(event_trades(spark, sf_dir).select("symbol", "agg_id", "ms", line.alias("line")))
+    t = cut(priced(event_trades(spark, sf_dir)).select("symbol", "agg_id", "ms", line.alias("line")))
     path = lambda period, key: E.archive_path(F.lit("aggTrades"), F.col("symbol"), F.lit(period), F.lit(None).cast("string"), key).alias("path")
     whole = t.join(plan.select("symbol", "key"), "symbol").select("symbol", path("monthly", F.col("key")), F.col("agg_id").alias("n"), "line")
     twice = whole.unionByName(whole)  # each id twice
