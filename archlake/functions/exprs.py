@@ -151,14 +151,35 @@ def duration_text(seconds: Column) -> Column:
     )
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A double as text with one or more decimals, rounded by its exact binary value as in C and Python (a tie to the even digit).
+
+    format_string rounds the shortest decimal text of a double, so that 0.15, which is a little less, becomes 0.2. Here the
+    value times a power of ten is a whole number, a fraction and the product's rounding error, all of them exact (Dekker).
+    Only values near a tie are worked out so; others, as well as those from 2**52 / 10**places on, are left to format_string.
+    """
+    scale = 10**places
+    halves = lambda x: F.struct(x.alias("x"), (x * 134217729.0 - (x * 134217729.0 - x)).alias("h"))
+    exact = F.abs(value) < float((1 << 52) // scale)
+    steps = F.transform(F.array(halves(F.when(exact, F.abs(value)).otherwise(0.0))), lambda s: F.struct(s["x"].alias("x"), s["h"].alias("h"), (s["x"] * float(scale)).alias("p")))
+    steps = F.transform(steps, lambda s: F.struct(s["p"].alias("p"), F.floor(s["p"]).alias("n"), (s["h"] * float(scale) - s["p"] + (s["x"] - s["h"]) * float(scale)).alias("e")))
+    over = lambda s: s["p"] - s["n"].cast("double") - 0.5
+    up = lambda s: (over(s) > 0) | (over(s) == 0) & ((s["e"] > 0) | (s["e"] == 0) & (s["n"] % 2 == 1))
+    whole = F.transform(steps, lambda s: s["n"] + F.when(up(s), 1).otherwise(0))[0]
+    text = F.transform(F.array(whole), lambda n: F.concat(F.floor(n / scale).cast("string"), F.lit("."), F.lpad(F.pmod(n, F.lit(scale)).cast("string"), places, "0")))[0]
+    p = F.abs(value) * float(scale)
+    tie = exact & ((F.abs(p - F.floor(p) - 0.5) < 1e-3) | (p > 1e9))
+    return F.when(tie, F.concat(F.when(value < 0, "-").otherwise(""), text)).otherwise(F.format_string(f"%.{places}f", value))
+
+
 def size_text(size: Column) -> Column:
     """Bytes with two decimals and a unit of 1024."""
     value = F.coalesce(size.cast("double"), F.lit(0.0))
-    units = [(F.lit(1024.0) ** k, name) for k, name in enumerate(("B", "KB", "MB", "GB"))]
-    last = F.format_string("%.2f TB", value / F.lit(1024.0) ** 4)
-    return reduce(lambda rest, u: F.when(value < u[0] * 1024, F.format_string(f"%.2f {u[1]}", value / u[0])).otherwise(rest), reversed(units), last)
+    units = [(F.lit(1024.0) ** k, name) for k, name in enumerate(("B", "KB", "MB", "GB", "TB"))]
+    unit = reduce(lambda rest, u: F.when(value < u[0] * 1024, F.struct((value / u[0]).alias("v"), F.lit(u[1]).alias("u"))).otherwise(rest), reversed(units[:-1]), F.struct((value / units[-1][0]).alias("v"), F.lit("TB").alias("u")))
+    return F.transform(F.array(unit), lambda x: F.concat(fixed(x["v"], 2), F.lit(" "), x["u"]))[0]
 
 
 def speed_text(bytes_per_second: Column) -> Column:
     bps = F.coalesce(bytes_per_second.cast("double"), F.lit(0.0))
-    return F.format_string("%.2f MB/s  (%.1f Mbps)", bps / 1048576, bps * 8 / 1000000)
+    return F.concat(fixed(bps / 1048576, 2), F.lit(" MB/s  ("), fixed(bps * 8 / 1000000, 1), F.lit(" Mbps)"))

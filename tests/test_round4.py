@@ -5,6 +5,7 @@ import shutil
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from archlake import queries as Q
 from archlake import queries_store  # noqa: F401 (registers more queries)
@@ -49,3 +50,38 @@ def free(tmp_path_factory):
 )
 def test_trades_of_no_value_are_no_defects(spark, free, name):
     assert not differing(spark, free, name)
+
+
+def test_fixed_rounds_by_the_exact_value(spark):
+    import random
+
+    from archlake.functions import exprs as E
+
+    rng = random.Random(4)
+    values = [0.0, 0.05, 0.15, 0.25, 0.35, 0.125, 0.375, 204.95, 1844.55, 0.995, 1.005, 2.675, 1e-9, 1e13 + 0.0625, -0.15, -2.675, 4.5e13, 1e17, 123456789.125]
+    values += [rng.randrange(10**7) / 1000 for _ in range(500)] + [rng.uniform(0, 10**9) for _ in range(200)] + [k * 4099 * 8 / 1000000 for k in range(6250, 200000, 6250)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", E.fixed(F.col("v"), 1).alias("one"), E.fixed(F.col("v"), 2).alias("two")).collect()
+    assert [(r["one"], r["two"]) for r in got] == [(f"{r['v']:.1f}", f"{r['v']:.2f}") for r in got]
+
+
+def changed(tmp_path, table, sql):
+    """The smallest tables, one of them changed by SQL."""
+    import duckdb
+
+    folder = str(tmp_path)
+    for f in os.listdir(DATA):
+        if f != f"{table}.parquet":
+            shutil.copy(f"{DATA}/{f}", folder)
+    duckdb.connect().sql(f"copy ({sql.format(f"'{DATA}/{table}.parquet'")}) to '{folder}/{table}.parquet'")
+    return folder
+
+
+def test_report_texts_of_borders(spark, tmp_path):
+    """Order 6250 has 204.95 Mbps, a little less as a double."""
+    assert not differing(spark, changed(tmp_path, "orders", "select * replace (o_orderkey * 6250 as o_orderkey) from {}"), "report_texts")
+
+
+def test_level_averages_of_halves(spark, tmp_path):
+    """Levels of many speeds that lie half-way between two whole numbers of bits a second."""
+    sql = "select l.* replace (i as l_suppkey, 32 as l_linenumber, i * 7919 + 1 as l_partkey) from (select * from {} limit 1) l, range(3000) r(i)"
+    assert not differing(spark, changed(tmp_path, "lineitem", sql), "level_averages")
