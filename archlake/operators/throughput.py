@@ -120,10 +120,11 @@ def trailing_errors(events: DataFrame, window_seconds: float) -> DataFrame:
 
 
 def level_averages(levels: DataFrame) -> DataFrame:
-    """Mbps and MB/s of each level of each benchmark (D18): benchmark_id, connections, network_bytes, elapsed, errors."""
+    """Bits a second, Mbps and MB/s of each level of each benchmark (D18): benchmark_id, connections, network_bytes, elapsed, errors."""
     out = levels.groupBy("benchmark_id", "connections").agg(F.sum("network_bytes").alias("network_bytes"), F.sum("elapsed").alias("elapsed"), F.sum("errors").alias("errors"))
     s = F.greatest("elapsed", F.lit(1e-6))
-    return out.withColumns({"average_mbps": F.col("network_bytes") * 8 / s / 1_000_000, "average_mb_s": F.col("network_bytes") / s / 1_048_576})
+    bits = F.col("network_bytes") * 8 / s
+    return out.withColumns({"average_bps": bits, "average_mbps": bits / 1_000_000, "average_mb_s": F.col("network_bytes") / s / 1_048_576})
 
 
 def recommend_level(levels: DataFrame) -> DataFrame:

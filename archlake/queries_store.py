@@ -490,7 +490,7 @@ def level_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("errors"),
     )
     found = throughput.level_averages(levels)
-    return found.select("benchmark_id", "connections", "network_bytes", F.round(F.col("average_mbps") * 1_000_000).cast("long").alias("bits_per_second"), F.col("errors").cast("long").alias("errors"))
+    return found.select("benchmark_id", "connections", "network_bytes", F.round("average_bps").cast("long").alias("bits_per_second"), F.col("errors").cast("long").alias("errors"))
 
 
 @query(
