@@ -6,7 +6,8 @@ terms of the vocabulary is what it would be if neither used any term, plus a cor
 for each term that both use. The last ones are pairs of a node and an ancestor in the tree, and each such pair is worked out
 once, times the rows below the node, however many terms share it. Everything is whole numbers, so that sums are exact.
 
-Rows are dealt to tasks by ranges of their order: each task has a tree of its own, a path at a border is in two of them.
+Rows are dealt to tasks by ranges of their order: each task has trees of its own, one for a batch of rows, a path at a border
+is in two of them. Which tree a row is in changes how often a pair is met, but not the sums.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ NO_TERM = re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: Characters of a text that are split at once; counts and pairs of sources that a task holds before it passes them on.
-BLOCK, HELD_TERMS, HELD_PAIRS = 1 << 20, 300_000, 1 << 22
+BLOCK, HELD_TERMS, HELD_PAIRS = 1 << 20, 600_000, 1 << 22
 
 #: A share is 1 + floor(UNIT * (count + EXTRA) / (all + EXTRA * terms)).
 UNIT, EXTRA = 1_000_000_000, 5
@@ -79,56 +80,83 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
+def tree_pairs(place: np.ndarray, share: np.ndarray, none: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """i, j and the sum of corrections of all pairs of a node and an ancestor in the frequent-pattern tree of sorted paths.
+
+    Path r is the elements starts[r] to starts[r + 1] (place: sources in ascending order; share: that of this term there; none:
+    that of a term without occurrences), for rows[r] terms. It shares its first nodes with the path before and adds the others;
+    the rows below a node are those up to the next path that leaves it. The tree is read level by level.
+    """
+    size = np.diff(starts)
+    at = np.repeat(np.arange(len(size)), size)
+    depth = np.arange(starts[0], starts[-1]) - starts[at]
+    before = np.where((at > 0) & (depth < size[at - 1]), starts[at - 1] + depth, -1)
+    mine = np.arange(starts[0], starts[-1])
+    apart = (before < 0) | (place[mine] != place[before]) | (share[mine] != share[before])
+    shared = size.copy()
+    np.minimum.at(shared, at[apart], depth[apart])
+    below = np.concatenate([[0], np.cumsum(rows)])
+    for d in range(1, int(size.max(initial=0))):
+        left = np.flatnonzero(shared <= d)  # here the node of this level is left
+        count = np.diff(np.append(below[left], below[-1]))
+        deep = size[left] > d
+        new, count = left[deep], count[deep]
+        for lo in range(0, len(new), max(1, HELD_PAIRS // d)):
+            first, n = starts[new[lo : lo + max(1, HELD_PAIRS // d)]], count[lo : lo + max(1, HELD_PAIRS // d), None]
+            above = first[:, None] + np.arange(d)
+            theirs, zeros = share[above], none[above]
+            own, zero = share[first + d][:, None], none[first + d][:, None]
+            gain = (np.abs(theirs - own) - np.abs(theirs - zero) - np.abs(zeros - own) + np.abs(zeros - zero)) * n
+            yield _summed(place[above].ravel(), np.repeat(place[first + d], d), gain.ravel())
+
+
+def _summed(i: np.ndarray, j: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, with its sum."""
+    order = np.lexsort((i, j))
+    i, j, v = i[order], j[order], v[order]
+    first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1])])[: len(i)])
+    return i[first], j[first], np.add.reduceat(v, first) if len(first) else v
+
+
 class Tree:
-    """A frequent-pattern tree that is read row by row, in order: only the path to the current row is held."""
+    """Frequent-pattern trees of sorted paths, which come one by one or many at once, and the corrections of their pairs so far."""
 
     def __init__(self) -> None:
-        self.place, self.share, self.none, self.rows = (np.zeros(64, np.int64) for _ in range(4))
-        self.depth = 0
-        self.found: dict[int, np.ndarray] = {}
+        self.waiting: list[tuple] = []
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def insert(self, place: np.ndarray, share: np.ndarray, none: np.ndarray, rows: int) -> None:
-        """place: sources in ascending order; share: that of this term there; none: that of a term without occurrences."""
-        n, shared = len(place), min(len(place), self.depth)
-        other = np.flatnonzero((place[:shared] != self.place[:shared]) | (share[:shared] != self.share[:shared]))
-        shared = int(other[0]) if len(other) else shared
-        self.leave(shared)
-        if n > len(self.place):
-            self.place, self.share, self.none, self.rows = (np.concatenate([v, np.zeros(n, np.int64)]) for v in (self.place, self.share, self.none, self.rows))
-        new = slice(shared, n)
-        self.place[new], self.share[new], self.none[new], self.rows[new] = place[new], share[new], none[new], 0
-        self.rows[:n] += rows
-        self.depth = n
-
-    def leave(self, depth: int) -> None:
-        """Leave the nodes below a depth: each meets all its ancestors once, for all rows that ran through it."""
-        for at in range(self.depth - 1, depth - 1, -1):
-            if not at:
-                continue
-            mine, zero = self.share[at], self.none[at]
-            theirs, zeros = self.share[:at], self.none[:at]
-            gain = np.abs(theirs - mine) - np.abs(theirs - zero) - np.abs(zeros - mine) + np.abs(zeros - zero)
-            j = int(self.place[at])
-            if j not in self.found:
-                self.found[j] = np.zeros(j, np.int64)
-                self.size += j
-            self.found[j][self.place[:at]] += gain * self.rows[at]
-        self.depth = min(self.depth, depth)
+        self.waiting.append((place, share, none, rows))
+
+    def leave(self, _: int) -> None:
+        """Leave all nodes: the paths inserted so far are a tree."""
+        if self.waiting:
+            *columns, rows = zip(*self.waiting, strict=True)
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in columns[0]])])
+            self.waiting = []
+            self.read(*[np.concatenate(c) for c in columns], starts, np.array(rows, np.int64))
+
+    def read(self, place: np.ndarray, share: np.ndarray, none: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> None:
+        """A tree of many paths (see tree_pairs)."""
+        for pairs in tree_pairs(place, share, none, starts, rows):
+            self.held.append(pairs)
+            self.size += len(pairs[0])
+            if self.size >= HELD_PAIRS:
+                self.held = [_summed(*[np.concatenate(x) for x in zip(*self.held, strict=True)])]
+                self.size = 0
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """i, j and the sum of corrections of the pairs met so far, which are forgotten."""
-        at = {j: np.flatnonzero(v) for j, v in self.found.items()}
-        none = [np.empty(0, np.int64)]
-        i = np.concatenate([*at.values(), *none])
-        j = np.concatenate([*[np.full(len(v), j) for j, v in at.items()], *none])
-        total = np.concatenate([*[self.found[j][v] for j, v in at.items()], *none])
-        self.found, self.size = {}, 0
-        return i, j, total
+        if not self.held:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        i, j, v = _summed(*[np.concatenate(x) for x in zip(*self.held, strict=True)])
+        self.held, self.size = [], 0
+        return i[v != 0], j[v != 0], v[v != 0]
 
 
 def shared_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, i, j, v), i below j, from sorted rows (lang, path of (place, share, none), n)."""
+    """Rows (lang, i, j, v), i below j, from sorted rows (lang, path of (place, share, none), n); each batch and language is a tree."""
     tree, lang = Tree(), None
 
     def found() -> Iterator[pa.RecordBatch]:
@@ -137,20 +165,20 @@ def shared_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.repeat(pa.scalar(lang, pa.string()), len(i)), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(v, pa.int64())], names=["lang", "i", "j", "v"])
 
     for batch in batches:
-        langs, counts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        if not batch.num_rows:
+            continue
+        langs, counts = np.array(batch.column(0).to_pylist(), object), batch.column(2).to_numpy()
         paths = batch.column(1)
-        ends = paths.offsets.to_numpy() - paths.offsets[0].as_py()
+        starts = paths.offsets.to_numpy().astype(np.int64) - paths.offsets[0].as_py()
         place, share, none = (x.to_numpy(zero_copy_only=False) for x in paths.flatten().flatten())
-        for r, (name, n) in enumerate(zip(langs, counts, strict=True)):
-            if name != lang:
-                tree.leave(0)
-                yield from found()
-                lang = name
-            at = slice(ends[r], ends[r + 1])
-            tree.insert(place[at], share[at], none[at], n)
-            if tree.size >= HELD_PAIRS:
+        borders = [0, *(np.flatnonzero(langs[1:] != langs[:-1]) + 1).tolist(), len(langs)]
+        for lo, hi in zip(borders, borders[1:], strict=False):
+            if langs[lo] != lang:
                 yield from found()
-    tree.leave(0)
+                lang = langs[lo]
+            tree.read(place, share, none, starts[lo : hi + 1], counts[lo:hi])
+        if tree.size >= HELD_PAIRS // 4:
+            yield from found()
     yield from found()
 
 

@@ -85,3 +85,35 @@ def test_level_averages_of_halves(spark, tmp_path):
     """Levels of many speeds that lie half-way between two whole numbers of bits a second."""
     sql = "select l.* replace (i as l_suppkey, 32 as l_linenumber, i * 7919 + 1 as l_partkey) from (select * from {} limit 1) l, range(3000) r(i)"
     assert not differing(spark, changed(tmp_path, "lineitem", sql), "level_averages")
+
+
+def test_tree_of_batches_equals_single_rows():
+    """A tree that is read level by level, in batches that cut paths apart, and quickly: node by node these 20,000 paths took 3.8 s."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from archlake.llm import divergence
+
+    rng = np.random.default_rng(3)
+    none = rng.integers(1, 50, 20)
+    rows = sorted({tuple((int(i), int(none[i] + rng.integers(0, 3)), int(none[i])) for i in np.flatnonzero(rng.random(20) < 0.8)) for _ in range(20_000)})
+    kind = pa.list_(pa.struct([("place", pa.int64()), ("share", pa.int64()), ("none", pa.int64())]))
+    made = [pa.record_batch([pa.array(["x"] * len(part), pa.string()), pa.array([[{"place": a, "share": b, "none": c} for a, b, c in p] for p in part], kind), pa.array([2] * len(part), pa.int64())], names=["lang", "path", "n"]) for part in (rows[:7001], rows[7001:])]
+    began = time.process_time()
+    got = Counter()
+    for batch in divergence.shared_terms(iter(made)):
+        for i, j, v in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+            got[i, j] += v
+    took = time.process_time() - began
+    dense, there = np.tile(none, (len(rows), 1)), np.zeros((len(rows), 20), bool)
+    for r, path in enumerate(rows):
+        for a, b, _ in path:
+            dense[r, a], there[r, a] = b, True
+    for j in range(20):
+        for i in range(j):
+            a, b = dense[:, i], dense[:, j]
+            v = np.abs(a - b) - np.abs(a - none[j]) - np.abs(none[i] - b) + abs(none[i] - none[j])
+            assert got[i, j] == 2 * int(v[there[:, i] & there[:, j]].sum())
+    assert took < 2
