@@ -37,6 +37,9 @@ BLOCK, LONGEST_LINE = 4 << 20, 64 << 20
 #: Rows of a batch where quotes make lines depend on each other.
 _BATCH_ROWS = 65_536
 
+#: Rows from which a batch isn't put together with others.
+_SMALL_ROWS = 4096
+
 #: Archives that one task opens, in bytes and in files; opening one counts as 4 MB.
 TASK_BYTES, OPEN_COST = 128 << 20, 4 << 20
 
@@ -199,6 +202,23 @@ def _batches(path: str, opened: pa.NativeFile, block: int, texts: tuple[str, ...
         done += 0 if cells is None else n
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with small batches put together, as each batch costs Spark some time."""
+    waiting: list[pa.RecordBatch] = []
+    rows = size = 0
+    for batch in batches:
+        waiting.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= _SMALL_ROWS or size >= BLOCK:
+            yield from _together(waiting)
+            waiting, rows, size = [], 0, 0
+    yield from _together(waiting)
+
+
+def _together(some: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    return some if len(some) < 2 else pa.Table.from_batches(some).combine_chunks().to_batches()
+
+
 def land(archives: DataFrame, block: int = BLOCK, texts: tuple[str, ...] = ()) -> DataFrame:
     """Raw rows of all CSV members (A2) and a row with an error for an archive that can't be read to its end (A4).
 
@@ -213,7 +233,7 @@ def land(archives: DataFrame, block: int = BLOCK, texts: tuple[str, ...] = ()) -
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 yield from _batches(path.as_py(), pa.BufferReader(content.as_buffer() or b""), block, texts)
 
-    return archives.select("path", "content").mapInArrow(run, RAW_SCHEMA)
+    return archives.select("path", "content").mapInArrow(lambda batches: _gathered(run(batches)), RAW_SCHEMA)
 
 
 def opener(file: str) -> tuple[fs.FileSystem, str]:
@@ -245,7 +265,7 @@ def land_by_path(chosen: DataFrame, block: int = BLOCK, texts: tuple[str, ...] =
                 with system.open_input_file(path) as opened:
                     yield from _batches(file, opened, block, texts)
 
-    return chosen.select("file").mapInArrow(run, RAW_SCHEMA)
+    return chosen.select("file").mapInArrow(lambda batches: _gathered(run(batches)), RAW_SCHEMA)
 
 
 def land_files(spark: SparkSession, chosen: DataFrame, block: int = BLOCK, by_path: bool | None = None) -> DataFrame:

@@ -117,3 +117,22 @@ def test_tree_of_batches_equals_single_rows():
             v = np.abs(a - b) - np.abs(a - none[j]) - np.abs(none[i] - b) + abs(none[i] - none[j])
             assert got[i, j] == 2 * int(v[there[:, i] & there[:, j]].sum())
     assert took < 2
+
+
+def test_lines_are_packed_in_order(spark):
+    """Archives are packed from sorted lines, a batch at a time, and not from whole texts."""
+    from archlake.sources import landing
+
+    rows = spark.range(30_000).select(F.concat(F.lit("p"), F.col("id") % 3).alias("path"), (-F.col("id")).alias("n"), F.concat(F.lit("r"), "id").alias("line"))
+    landed = landing.land(queries_store.zipped(rows)).select("path", "row_number", F.get("cells", F.lit(0)).alias("line")).collect()
+    assert len(landed) == 30_000 and all(r["line"] == f"r{29_999 - (2 - int(r['path'][1])) - 3 * (r['row_number'] - 1)}" for r in landed)
+
+
+def test_small_archives_leave_together():
+    import pyarrow as pa
+
+    from archlake.sources import landing
+
+    some = [pa.record_batch([pa.array([i])], names=["x"]) for i in range(10_000)]
+    got = list(landing._gathered(iter(some)))
+    assert len(got) < 5 and [x for b in got for x in b.column(0).to_pylist()] == list(range(10_000))
