@@ -6,8 +6,10 @@ The inputs are derived from the driver's tables, as in `queries`. Archives that
 from __future__ import annotations
 
 import io
+import itertools
+import operator
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,24 +36,46 @@ def _zips(spark: SparkSession, sf_dir: str) -> DataFrame:
     seventh the file is broken, of every eleventh it holds no CSV member, and every third day has a heading."""
     t = event_trades(spark, sf_dir).withColumn("day", E.day_of(F.col("ms")))
     line = F.concat_ws(",", "agg_id", F.col("price").cast("string"), F.col("quantity").cast("string"), "agg_id", "agg_id", "ms", F.col("maker").cast("string"))
-    days = t.groupBy("symbol", "day").agg(F.array_sort(F.collect_list(F.struct("agg_id", line.alias("line")))).alias("rows"))
     path = E.archive_path(F.lit("aggTrades"), F.col("symbol"), F.lit("daily"), F.lit(None).cast("string"), F.col("day").cast("string"))
-    texts = days.select(path.alias("path"), F.dayofmonth("day").alias("d"), F.array_join(F.col("rows.line"), "\n").alias("text"))
+    lines = t.select(path.alias("path"), F.dayofmonth("day").alias("d"), F.col("agg_id").alias("n"), line.alias("line"))
+
+    def members(d: int, lines: Iterator[str]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            head = "agg_trade_id,price,quantity,first_trade_id,last_trade_id,transact_time,is_buyer_maker\n" if d % 3 == 0 else ""
+            first = write_lines(z, "rows.txt" if d % 11 == 0 else "rows.csv", lines, head)
+            if d % 5 == 0:
+                z.writestr("some.csv", first[:20])
+        return b"broken" if d % 7 == 0 else out.getvalue()
+
+    return archives_of_lines(lines, members)
+
+
+def write_lines(z: zipfile.ZipFile, name: str, lines: Iterator[str], head: str = "") -> str:
+    """Write a member line by line, without a line's end at its end; returns the first line."""
+    first = next(lines)
+    info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+    info.compress_type = z.compression
+    with z.open(info, "w", force_zip64=True) as out:
+        out.write((head + first).encode())
+        while some := list(itertools.islice(lines, 4096)):
+            out.write(("\n" + "\n".join(some)).encode())
+    return first
+
+
+def archives_of_lines(lines: DataFrame, made: Callable[[int, Iterator[str]], bytes]) -> DataFrame:
+    """path and content of archives, which `made` packs from rows (path, d, n, line): d of the path, and its lines in the order of n.
+
+    Lines reach a task sorted, a batch at a time, and are packed as they come, so that a task holds a packed archive but no whole text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for d, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    head = "agg_trade_id,price,quantity,first_trade_id,last_trade_id,transact_time,is_buyer_maker\n" if d % 3 == 0 else ""
-                    z.writestr("rows.txt" if d % 11 == 0 else "rows.csv", head + text)
-                    if d % 5 == 0:
-                        z.writestr("some.csv", text.split("\n")[0][:20])
-                made.append(b"broken" if d % 7 == 0 else out.getvalue())
-            yield pa.record_batch([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+        each = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (path, d), rows in itertools.groupby(each, key=operator.itemgetter(0, 1)):
+            yield pa.record_batch([pa.array([path]), pa.array([made(d, (r[2] for r in rows))], pa.binary())], names=["path", "content"])
 
-    return texts.mapInArrow(run, "path string, content binary")
+    dealt = lines.select("path", "d", "n", "line").repartition("path").sortWithinPartitions("path", "n", "line")
+    return dealt.select("path", "d", "line").mapInArrow(run, "path string, content binary")
 
 
 _ZIP_SQL = f"""with {SQL_TRADES}, a as (
@@ -106,19 +130,14 @@ def archive_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zipped(lines: DataFrame) -> DataFrame:
     """path and content of archives with one CSV member, from rows (path, n, line); lines are in the order of n."""
-    texts = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("rows")).select("path", F.array_join(F.col("rows.line"), "\n").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for text in batch.column(1).to_pylist():
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("rows.csv", text)
-                made.append(out.getvalue())
-            yield pa.record_batch([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+    def member(_: int, lines: Iterator[str]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            write_lines(z, "rows.csv", lines)
+        return out.getvalue()
 
-    return texts.mapInArrow(run, "path string, content binary")
+    return archives_of_lines(lines.withColumn("d", F.lit(0)), member)
 
 
 def fetch_from(offers: DataFrame, root: str) -> rounds.Fetch:
@@ -526,6 +545,9 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- scans that go on, whole overlays
 
+#: Small archives that one task packs and lands.
+ARCHIVES_OF_TASK = 2000
+
 
 @query(f"with {SQL_ROWS} select request_id, cast(day as varchar) as day, cast(expected as bigint) as expected, cast(found as bigint) as found, cast(missing as bigint) as missing, cast(invalid as bigint) as invalid from by_day")
 def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -572,7 +594,9 @@ def foreign_overlay_zips(spark: SparkSession, sf_dir: str) -> DataFrame:
                 made.append(b"no archive" if k % 5 == 0 else out.getvalue())
             yield pa.record_batch([pa.array(paths), pa.array(made, pa.binary())], names=["path", "content"])
 
-    zips = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k")).mapInArrow(run, "path string, content binary")
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
+    tasks = -(-keys.count() // ARCHIVES_OF_TASK)  # a file of a few MB of keys is many archives
+    zips = keys.repartition(max(1, tasks), "k").mapInArrow(run, "path string, content binary")
     found = tables.foreign_overlays(landing.land(zips, texts=(tables.MANIFEST_MEMBER,)))
     return found.select("path", "timestamp_ms", F.get("cells", F.lit(1)).alias("cell"), "method", F.array_join("original_issue_codes", ",").alias("codes"))
 
