@@ -43,11 +43,20 @@ def finite(x: Column) -> Column:
 
 def decimal(cell: Column) -> Column:
     """Finite decimal with at most ten digits before and eight after the point, else null."""
+    return _exact(cell, "decimal(18,8)")
+
+
+def wide_decimal(cell: Column) -> Column:
+    """Finite decimal with at most 22 digits before and 16 after the point, else null: sums of trades outgrow decimal()."""
+    return _exact(cell, "decimal(38,16)")
+
+
+def _exact(cell: Column, kind: str) -> Column:
     text = F.trim(cell)
     exact = text.rlike(r"^[+-]?[0-9]*\.?[0-9]*[eE]?[+-]?[0-9]*$") & text.rlike(r"[0-9]")
-    wide = text.try_cast("decimal(38,18)")
-    kept = text.try_cast("decimal(18,8)")
-    return F.when(exact & (wide == kept), kept)
+    kept = text.try_cast(kind)
+    same = text.try_cast("decimal(38,18)") == kept.try_cast("decimal(38,18)")
+    return F.when(exact & F.coalesce(same, F.lit(True)), kept)  # from 10**20 on, where no place after the point could tell
 
 
 def close(left: Column, right: Column) -> Column:

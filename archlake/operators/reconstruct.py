@@ -78,7 +78,8 @@ def reconstruct(originals: DataFrame, trades: DataFrame, available_days: DataFra
     made = made.select(*_TARGET, *[F.col(c).alias("r_" + c) for c in made.columns if c not in _TARGET])
     met = targets.join(there, ["symbol", "day"], "left").join(made, list(_TARGET), "left")
     # step by step, so that no expression holds another one several times
-    met = met.withColumns({f"o_{n}": E.decimal(F.get("cells", F.lit(i))) for n, i in (PRICES | VOLUMES | {"trade_count": 8}).items()})
+    met = met.withColumns({f"o_{n}": E.wide_decimal(F.get("cells", F.lit(i))) for n, i in (PRICES | VOLUMES).items()})
+    met = met.withColumn("o_trade_count", E.decimal(F.get("cells", F.lit(8))))
     met = met.withColumns({f"a_{n}": F.coalesce(E.close(F.col("o_" + n), F.col("r_" + n)), F.lit(False)) for n in PRICES | VOLUMES})
     met = met.withColumn("matching", F.array_compact(F.array(*[F.when(F.col("a_" + n), F.lit(n)) for n in VOLUMES])))
     count = F.col("o_trade_count")

@@ -136,3 +136,37 @@ def test_small_archives_leave_together():
     some = [pa.record_batch([pa.array([i])], names=["x"]) for i in range(10_000)]
     got = list(landing._gathered(iter(some)))
     assert len(got) < 5 and [x for b in got for x in b.column(0).to_pylist()] == list(range(10_000))
+
+
+@pytest.fixture(scope="module")
+def grown(tmp_path_factory):
+    """The smallest tables, with users whose numbers are shifted by thousands of millions, so that volumes pass ten digits."""
+    import duckdb
+
+    folder = str(tmp_path_factory.mktemp("grown"))
+    for f in os.listdir(DATA):
+        if f != "events.parquet":
+            shutil.copy(f"{DATA}/{f}", folder)
+    sql = f"select e.* replace (event_id + 1000000 * i as event_id, user_id + 1000000000 * i as user_id) from '{DATA}/events.parquet' e, range(1, 7) r(i)"
+    duckdb.connect().sql(f"copy ({sql}) to '{folder}/events.parquet'")
+    return folder
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "archive_stats", "bad_candles", "bad_candles_truncated", "daily_repairs", "evidence_days", "incremental_scan", "invalid_by_day", "issue_counts", "layered_last_wins", "overlay_scan",
+        "reconstruct_pruned", "reconstruct_totals", "reconstruct_verdict",
+    ],
+)
+def test_planted_defects_of_large_volumes(spark, grown, name):
+    assert not differing(spark, grown, name)
+
+
+def test_wide_decimals(spark):
+    from archlake.functions import exprs as E
+
+    cells = ["12345678901.5", "0.123456789", "1e20", "9" * 22 + ".5", "1" * 23, "0.12345678901234567", "x", "", "nan"]
+    got = spark.createDataFrame([(c,) for c in cells], "c string").select(E.wide_decimal(F.col("c")).alias("w"), E.decimal(F.col("c")).alias("d")).collect()
+    assert [None if r["w"] is None else f"{r['w'].normalize():f}" for r in got] == ["12345678901.5", "0.123456789", "1" + "0" * 20, "9" * 22 + ".5", None, None, None, None, None]
+    assert all(r["d"] is None for r in got)
