@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archlake.llm.blocks import pieces, word_keys
+from archlake.llm.blocks import frugal, pieces, word_keys
 
 
 @dataclass(frozen=True)
@@ -215,7 +215,7 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                 column = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                 yield pa.record_batch([*[batch.column(k).slice(lo, hi - lo) for k in range(len(keep))], column], names=schema.names)
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, text).mapInArrow(frugal(run), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", settings: Settings = Settings()) -> Model | None:
@@ -257,4 +257,4 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "te
                 p = model.score(features(data, offs)) if model else np.full(hi - lo, 0.5)
                 yield pa.record_batch([*[batch.column(k).slice(lo, hi - lo) for k in range(len(keep))], pa.array(p)], names=schema.names)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(frugal(run), schema)

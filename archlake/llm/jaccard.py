@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archlake.llm.blocks import mix, pieces, shingle_keys, utf8, word_keys
+from archlake.llm.blocks import frugal, mix, pieces, shingle_keys, utf8, word_keys
 from archlake.llm.components import components
 from archlake.llm.store import cut
 
@@ -166,7 +166,7 @@ def frequencies(docs: DataFrame, rule: Rule, text: str) -> Frequency:
             for word, (keys, n) in ((False, _often(found, FREQUENT_IN_BATCH)), (True, (keys[on], n[on]))):
                 yield pa.record_batch([pa.array(np.full(len(keys), word)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "h", "n"])
 
-    counted = cut(docs.select(text).mapInArrow(run, "word boolean, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n")))
+    counted = cut(docs.select(text).mapInArrow(frugal(run), "word boolean, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n")))
     tops = []
     for word in (False, True):
         top = counted.where(F.col("word") == word).orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
@@ -234,7 +234,7 @@ def describe(docs: DataFrame, rule: Rule, known: Frequency, key: str, text: str)
                 )
 
     bare = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return bare.mapInArrow(run, "id long, n long, d1 long, d2 long, common long, share double, sketch binary, tokens binary")
+    return bare.mapInArrow(frugal(run), "id long, n long, d1 long, d2 long, common long, share double, sketch binary, tokens binary")
 
 
 def possible(met: DataFrame, rule: Rule) -> DataFrame:
@@ -249,7 +249,7 @@ def possible(met: DataFrame, rule: Rule) -> DataFrame:
             on = pa.array(np.flatnonzero(able))
             yield pa.record_batch([batch.column(0).take(on), batch.column(1).take(on)], names=["a", "b"])
 
-    return sized.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
@@ -286,7 +286,7 @@ def linked(pairs: DataFrame, docs: DataFrame, rule: Rule, key: str, text: str) -
                 at = np.flatnonzero(np.array(on, bool))
                 yield pa.record_batch([batch.column(0).take(pa.array(lo + owner[at])), flat.field("b").take(pa.array(at))], names=["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(frugal(run), "u long, v long")
 
 
 def matrix(sets: DataFrame, moved: DataFrame, rule: Rule) -> DataFrame:
@@ -314,7 +314,7 @@ def matrix(sets: DataFrame, moved: DataFrame, rule: Rule) -> DataFrame:
             yield pa.record_batch([pa.array(v) for v in (token[new], g[new], label[new] - g[new], (n[new] << 32) | n[last])], names=["token", "grp", "apart", "sizes"])
 
     bare = met.select(F.when(F.col("hit").isNull(), F.col("id")).otherwise(F.col("grp")).alias("grp"), F.when(F.col("hit").isNull(), F.col("id")).otherwise(F.col("label")).alias("label"), "n", "tokens")
-    return bare.mapInArrow(run, "token long, grp long, apart long, sizes long")
+    return bare.mapInArrow(frugal(run), "token long, grp long, apart long, sizes long")
 
 
 def qualifying(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -368,7 +368,7 @@ def qualifying(rows: DataFrame, rule: Rule) -> DataFrame:
         if held:
             yield pa.record_batch([pa.array(v) for v in added(*(np.concatenate(v) for v in zip(*held, strict=True)))], names=["a", "b", "n"])
 
-    dealt = rows.repartition("token").mapInArrow(run, "a long, b long, n long")
+    dealt = rows.repartition("token").mapInArrow(frugal(run), "a long, b long, n long")
     return dealt.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= BOUND).select("a", "b")
 
 
@@ -406,7 +406,7 @@ def open_groups(opened: DataFrame, member: DataFrame, about: DataFrame, rule: Ru
             a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def text_hash(text: str) -> Column:

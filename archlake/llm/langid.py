@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archlake.llm.blocks import SPACE, pieces
+from archlake.llm.blocks import SPACE, frugal, pieces
 
 #: Label of texts without a letter.
 UNDETERMINED = "und"
@@ -93,7 +93,7 @@ def bags(docs: DataFrame, keep: list[str], text: str, buckets: int) -> DataFrame
                     names=schema.names,
                 )
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, text).mapInArrow(frugal(run), schema)
 
 
 @dataclass(frozen=True)
@@ -242,4 +242,4 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str =
                     [*[batch.column(k).slice(lo, hi - lo) for k in range(len(keep))], pa.array(names[best], pa.string()), pa.array(score), pa.array(accepted)], names=schema.names
                 )
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(frugal(run), schema)

@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from archlake.llm import bpe
+from archlake.llm.blocks import frugal
 from archlake.llm.blocks import pieces as text_blocks
 from archlake.llm.store import cut
 
 #: Bytes of text encoded at once; a worker needs some sixty times as much.
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 1 << 18
 
 #: Of the triples that fill a window, every 16th takes part in the fit; each length still is in dozens of them.
 TRIPLE_STEP = 16
@@ -58,7 +59,7 @@ def encode_pieces(
                 taken, *more = (c.slice(lo, hi - lo).take(pa.array(rows)) for c in (keys, *batch.columns[2:]))
                 yield pa.record_batch([taken, *[pa.array(x, pa.int64()) for x in (start, length, crc, counts[rows])], *more], names=schema.names)
 
-    return docs.select(key, text, *order).mapInArrow(run, schema)
+    return docs.select(key, text, *order).mapInArrow(frugal(run), schema)
 
 
 def combinations(window: int) -> list[np.ndarray]:
@@ -208,7 +209,7 @@ def pack(
                 [*batch.columns[:5], *[pa.array(x, pa.int64()) for x in (sequence, offset[run], padded)], *batch.columns[6:]], names=schema.names
             )
 
-    placed = bare.mapInArrow(place, schema)
+    placed = bare.mapInArrow(frugal(place), schema)
     return _in_order(cut(placed), order) if order else placed
 
 

@@ -170,3 +170,29 @@ def test_wide_decimals(spark):
     got = spark.createDataFrame([(c,) for c in cells], "c string").select(E.wide_decimal(F.col("c")).alias("w"), E.decimal(F.col("c")).alias("d")).collect()
     assert [None if r["w"] is None else f"{r['w'].normalize():f}" for r in got] == ["12345678901.5", "0.123456789", "1" + "0" * 20, "9" * 22 + ".5", None, None, None, None, None]
     assert all(r["d"] is None for r in got)
+
+
+def test_encoding_takes_little_memory():
+    """Blocks of 1 MB took over 60 MB of a worker beside the other stages' and the JVM's."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from archlake.llm import bpe, packing
+
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(20_000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 300)) for _ in range(1500)]
+    path, caught = public_tokenizers.path("byte_bpe_50k.json"), []
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    packing.encode_pieces(SimpleNamespace(schema=schema, select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: caught.append(run))), path, 2048, 1)
+    bpe.load(path).encode(np.frombuffer(b"warm", np.uint8), np.array([0, 4]))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in caught[0](iter([pa.record_batch([pa.array(range(1500)), pa.array(texts)], names=["doc_id", "text"])])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1500 and peak < 40e6, peak
