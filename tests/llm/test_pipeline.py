@@ -39,3 +39,14 @@ def test_near_duplicates_of_one_id(spark, tmp_path):
     assert P.near_duplicates(spark, d.limit(0), str(tmp_path)).collect() == []
     mixed = P.mix(spark, d.withColumn("source", F.lit("s")), str(tmp_path))
     assert mixed.columns == [*d.columns, "source"] and mixed.count() == 8
+
+
+def test_the_driver_gives_freed_memory_back(spark, monkeypatch):
+    """After each table that the stages cut; long plans would pile it up."""
+    from archlake.llm import jaccard, mixing, packing, store
+
+    assert store.settle(spark)
+    assert {P.cut, jaccard.cut, mixing.cut, packing.cut} == {store.cut}
+    settled = []
+    monkeypatch.setattr(store, "settle", settled.append)
+    assert store.cut(spark.range(3)).count() == 3 and settled == [spark]
