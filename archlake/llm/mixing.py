@@ -5,16 +5,16 @@ sum of all weights. Block i (from 0) of a source of weight u is released at floo
 among released blocks the one with the earliest deadline takes the slot. Every block then lies in its window, so that after any
 number of slots, however many, each source has had its target share of blocks, less than one block off.
 
-The windows repeat after P slots, so that one period is laid out and block i of a source then finds its slot by division. Up to
-MEMBERS sources are laid out in one row. More are dealt to groups by a hash of their names: groups are scheduled against each
-other by their summed weights, and the members of a group among its slots, each group in a row of its own; a source is then
-less than two blocks off. Where a source has no block left its slots fall out, and the others keep their shares among
-themselves.
+The windows repeat after P slots, so that one period is scheduled and block i of a source then finds its slot by division. Each
+block has a number, by deadline, and the blocks up to any number take the same slots whatever comes after them: a slot is one of
+theirs unless all of them that are released by then have had theirs, which running sums and their minima tell. Rounds narrow each
+slot's block down so, a hexadecimal digit of its number each, in all slots at once; any number of sources goes the same way. Where
+a source has no block left its slots fall out, and the others keep their shares among themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,11 +23,11 @@ from archlake.llm.store import cut
 #: Slots of a period, about, and slots for each source in it, at least on average: the finer of both is the resolution of weights.
 RESOLUTION, SLOTS_PER_SOURCE = 4096, 16
 
-#: Sources of a row that is laid out at once, about; a thousand take some ten seconds.
-MEMBERS = 1024
+#: Binary digits of a block's number that a round finds.
+DIGIT = 4
 
-#: Slots that are laid out before they are appended to those before.
-STRIDE = 128
+#: Slots that a task goes through in a round, about, and blocks of a source that are listed at once.
+STRETCH, LISTED = 1 << 16, 1 << 12
 
 
 def whole_weights(weights: DataFrame, resolution: int | None = None) -> DataFrame:
@@ -50,70 +50,73 @@ def tempered_weights(docs: DataFrame, alpha: float = 0.5, source: str = "source"
     return whole_weights(sizes, resolution)
 
 
-def laid_out(units: str, period: str) -> Column:
-    """The column of slots of a period, as the positions of the members that take them, in slot order.
-
-    units: an array of bigint, whose sum is the period. The next slot goes to the released block with the earliest deadline, ties
-    to the member that is listed first.
+def _blocks(able: DataFrame, period: int, stretch: int | None) -> DataFrame:
+    """s, units and release of each block of a period, with no: its number from 0 by deadline, ties to the heavier source, then by name."""
+    order = [F.col("due"), F.desc("units"), F.col("s")]
+    first = able.select("s", "units", F.explode(F.expr(f"sequence(0L, units - 1, {LISTED}L)")).alias("first"))
+    each = first.select("s", "units", F.explode(F.expr(f"sequence(first, least(first + {LISTED}, units) - 1)")).alias("i"))
+    timed = each.select("s", "units", F.expr(f"i * {period}L div units").alias("release"), F.expr(f"((i + 1) * {period}L + units - 1) div units").alias("due"))
+    if not stretch:
+        return cut(timed.coalesce(1).select("s", "units", "release", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("long").alias("no")))
+    ordered = cut(timed.orderBy(*order).select("s", "units", "release", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)  # as monotonically_increasing_id() numbers the rows of each part from 0
+    sizes = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.selectExpr("part", "coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0) as before")
+    met = ordered.join(F.broadcast(before), part == F.col("part"))
+    return cut(met.select("s", "units", "release", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("no")))
+
+
+def _narrowed(slots: DataFrame, blocks: DataFrame, shift: int, stretch: int | None) -> DataFrame:
+    """slots (slot and node, the digits of its block's number so far) with the next digit in node; shift: the bits that come after it.
+
+    Of a node's slots, the blocks with a digit up to c leave those free at whose time all of them that are released have had
+    one: where the sum of blocks less slots falls below all sums before. A digit is the number of c that leave the slot free.
+    Nodes are cut into stretches of time, whose sums and minima are carried on; without `stretch` all is one stretch, and one task.
     """
-    units, p = F.col(units), F.col(period)
-
-    def step(state: Column, slot: Column) -> Column:
-        due = F.zip_with(state["done"], units, lambda d, u: F.when((d < u) & (F.floor(d * p / u) <= slot), F.ceil((d + 1) * p / u)).otherwise(F.lit(1 << 60)))
-        pick = F.transform(F.array(due), lambda v: F.array_position(v, F.array_min(v)).cast("int") - 1)  # arrays of one, so that each is worked out once
-        went = lambda k: F.struct(
-            F.transform(state["done"], lambda n, i: F.when(i == k, n + 1).otherwise(n)).alias("done"),
-            F.concat(state["taken"], F.array(k)).alias("taken"),
-        )
-        return F.transform(pick, went)[0]
-
-    none = F.array().cast("array<int>")
-
-    def stride(state: Column, first: Column) -> Column:
-        slots = F.sequence(first, F.least(first + STRIDE, p) - 1)
-        got = F.aggregate(slots, F.struct(state["done"].alias("done"), none.alias("taken")), step)
-        return F.transform(F.array(got), lambda x: F.struct(x["done"].alias("done"), F.concat(state["taken"], F.array(x["taken"])).alias("taken")))[0]
-
-    start = F.struct(F.transform(units, lambda _: F.lit(0).cast("long")).alias("done"), F.array().cast("array<array<int>>").alias("taken"))
-    strides = F.sequence(F.lit(0).cast("long"), p - 1, F.lit(STRIDE).cast("long"))
-    return F.flatten(F.aggregate(strides, start, stride)["taken"])
-
-
-def _dealt(rows: DataFrame, name: str) -> DataFrame:
-    """One row for each member of the rows' arrays: m (the member), its slots of the period, ascending; and g."""
-    laid = rows.select("g", "m", "p", F.col("m.units").alias("u")).select("g", "m", "p", laid_out("u", "p").alias("taken"))
-    each = laid.select("g", "p", F.posexplode("taken").alias("slot", "at")).groupBy("g", "at").agg(F.array_sort(F.collect_list(F.col("slot").cast("long"))).alias("slots"))
-    names = laid.select(F.col("g").alias("g2"), "p", F.posexplode("m").alias("at2", "m"))
-    return names.join(each, (F.col("g2") == F.col("g")) & (F.col("at") == F.col("at2"))).select(F.col("g2").alias(name), "p", "m", "slots")
-
-
-def _rows(members: DataFrame) -> DataFrame:
-    """g, m and p: the members of each group in one array, heaviest first, and the sum of their units."""
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("units")).alias("minus"), "s", "units")))
-    return members.groupBy("g").agg(ordered.alias("m"), F.sum("units").alias("p"))
-
-
-def period_schedule(weights: DataFrame, members: int = MEMBERS) -> DataFrame:
+    edges = range((1 << DIGIT) - 1)
+    each = lambda form: [form.replace("#", str(c)) for c in edges]
+    came = blocks.selectExpr(f"shiftright(no, {shift + DIGIT}) as node", "release as slot", f"pmod(shiftright(no, {shift}), {1 << DIGIT}) as digit", "0 as own")
+    marks = came.unionByName(slots.selectExpr("node", "slot", "cast(null as bigint) as digit", "1 as own"))
+    marks = marks if stretch else marks.coalesce(1)
+    steps = marks.groupBy("node", "slot").agg(F.expr("max(own) as own"), *map(F.expr, each("count_if(digit <= #) - max(own) as d#")))
+    steps = steps.selectExpr("*", f"slot div {stretch} as stretch" if stretch else "0L as stretch")
+    time = "over (partition by node, stretch order by slot rows between unbounded preceding and"
+    sums = steps.selectExpr("node", "stretch", "slot", "own", *each(f"sum(d#) {time} current row) as s#"))
+    sums = sums.selectExpr("*", *each(f"min(s#) {time} 1 preceding) as m#"))
+    free = "s# < least(0L, m#)"
+    if stretch:
+        sums = cut(sums)
+        before = "over (partition by node order by stretch rows between unbounded preceding and 1 preceding)"
+        ends = sums.groupBy("node", "stretch").agg(*map(F.expr, each("max_by(s#, slot) as t#") + each("min(s#) as l#")))
+        ends = ends.selectExpr("node", "stretch", *each("l#"), *each(f"coalesce(sum(t#) {before}, 0L) as b#"))
+        ends = ends.selectExpr("node", "stretch", *each("b#"), *each(f"min(b# + l#) {before} as f#"))
+        sums, free = sums.join(ends, ["node", "stretch"]), "b# + s# < least(0L, f#, b# + m#)"
+    digit = " + ".join(each(f"int({free})"))
+    return sums.where("own = 1").selectExpr("slot", f"node * {1 << DIGIT} + {digit} as node")
+
+
+def period_schedule(weights: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """One row per source: source, units (its weight), period (the sum of all weights) and slots (its slots of a period, ascending).
 
-    weights: source, weight (a whole number > 0, such as whole_weights gives; others take no part). A row that is laid out holds
-    about `members` sources, or as many groups as there are, and the slots of a period.
+    weights: source, weight (a whole number > 0, such as whole_weights gives; others take no part). A slot goes to the released
+    block with the earliest deadline, whatever the number of sources. A period of more than `stretch` slots is gone through by
+    many tasks, stretch by stretch; that changes no slot.
     """
     able = weights.where(F.col("weight") >= 1).select(F.struct("source").alias("s"), F.col("weight").cast("long").alias("units"))
-    groups = -(-able.count() // members)
-    if groups <= 1:
-        alone = _dealt(_rows(able.withColumn("g", F.lit(0))), "group")
-        return alone.select("m.s.source", "m.units", F.col("p").alias("period"), "slots")
-    dealt = able.withColumn("g", F.pmod(F.xxhash64("s"), F.lit(groups)).cast("int"))
-    inner = _dealt(_rows(dealt), "group")
-    tops = dealt.groupBy("g").agg(F.sum("units").alias("units")).select(F.lit(0).alias("g"), F.struct(F.col("g").cast("string").alias("source")).alias("s"), "units")
-    outer = _dealt(_rows(tops), "top").select(F.col("m.s.source").cast("int").alias("of"), F.col("p").alias("period"), F.col("slots").alias("own"))
-    met = inner.join(outer, F.col("group") == F.col("of"))
-    return met.select("m.s.source", "m.units", "period", F.transform("slots", lambda n: F.get("own", n.cast("int"))).alias("slots"))
+    period = able.agg(F.sum("units")).first()[0]
+    if period is None:
+        return able.select("s.source", "units", F.col("units").alias("period"), F.array("units").alias("slots"))
+    stretch = stretch if period > stretch else None
+    blocks = _blocks(able, period, stretch)
+    slots = weights.sparkSession.range(period).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("node"))
+    for k in reversed(range(-(-max(1, (period - 1).bit_length()) // DIGIT))):
+        slots = _narrowed(slots, blocks, k * DIGIT, stretch)
+    taken = blocks.join(slots, F.col("no") == F.col("node")).groupBy("s", "units").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+    return taken.select("s.source", "units", F.lit(period).cast("long").alias("period"), "slots")
 
 
 def mix(
-    docs: DataFrame, weights: DataFrame, block_rows: int = 16, key: str = "doc_id", source: str = "source", groups: int = 1009, prefix: str = "", members: int = MEMBERS
+    docs: DataFrame, weights: DataFrame, block_rows: int = 16, key: str = "doc_id", source: str = "source", groups: int = 1009, prefix: str = ""
 ) -> DataFrame:
     """docs with block (of its source, from 0), row_in_block, release, deadline and slot; order by slot and row_in_block.
 
@@ -121,7 +124,7 @@ def mix(
     key. All rows stay, those of sources without a weight too: their slot is null and they come last. Sources may be null; extra
     columns stay, under any name: `prefix` goes before the five names given here, and if one of them is taken all the same, as many
     underscores as it needs. An empty table gives no rows. Slots are unique to a block; they have gaps where a source has run out.
-    release and deadline are slots of the source's period; of sources in several groups they bound a group's slots, not all slots.
+    A slot lies from release on and before deadline.
 
     Ranks are made in groups of a source and shifted by the groups' counts, so that a source that holds most rows is many
     tasks. What is joined in is at most one row per source and group.
@@ -142,7 +145,7 @@ def mix(
         .agg(F.count(F.lit(1)).alias("n"))
         .selectExpr("s as s2", "g as g2", "coalesce(sum(n) over (partition by s order by g rows between unbounded preceding and 1 preceding), 0) as before")
     )
-    schedule = cut(period_schedule(weights, members)).select(F.struct("source").alias("s3"), "units", "period", "slots")
+    schedule = cut(period_schedule(weights)).select(F.struct("source").alias("s3"), "units", "period", "slots")
     starts = before.join(schedule, F.col("s2") == F.col("s3"), "left").select("s2", "g2", "before", "units", "period", "slots")
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("s", "g").orderBy("k", "h")) - 1).select("row", "s", "g", "rank")
     met = ranked.join(starts, (F.col("s") == F.col("s2")) & (F.col("g") == F.col("g2")))
