@@ -121,7 +121,9 @@ def repairable(mask: Column) -> Column:
 
 def trade_header(cells: Column) -> Column:
     """A heading, by the name of its first column."""
-    return F.regexp_replace(F.lower(F.get(cells, F.lit(0))), r"[^\p{L}\p{N}]", "").isin("aggtradeid", "aggregatetradeid", "id")
+    first = F.get(cells, F.lit(0))
+    # what begins with a digit is no name; nearly all rows do
+    return ~F.ascii(first).between(48, 57) & F.regexp_replace(F.lower(first), r"[^\p{L}\p{N}]", "").isin("aggtradeid", "aggregatetradeid", "id")
 
 
 def trade_fields(cells: Column) -> dict[str, Column]:
@@ -134,6 +136,11 @@ def trade_fields(cells: Column) -> dict[str, Column]:
 
 def trade_error(cells: Column, f: dict[str, Column], previous_id: Column) -> Column:
     """The first rule that a trade event breaks, in the order of the checks, or null."""
+    return F.coalesce(trade_row_error(cells, f), trade_order_error(f["agg_id"], previous_id))
+
+
+def trade_row_error(cells: Column, f: dict[str, Column]) -> Column:
+    """The first rule that a trade event breaks by itself, or null; these rules come before those of the order."""
     bad = lambda x: ~(E.finite(x) & F.coalesce(x > 0, F.lit(False)))
     checks = (
         ("SCHEMA_TOO_SHORT", F.size(cells) < 7),
@@ -147,7 +154,10 @@ def trade_error(cells: Column, f: dict[str, Column], previous_id: Column) -> Col
         ("LAST_BELOW_FIRST", f["last_id"] < f["first_id"]),
         ("TIME_NOT_POSITIVE", f["transact_time"] <= 0),
         ("INVALID_MAKER", f["maker"].isNull()),
-        ("DUPLICATE_ID", f["agg_id"] == previous_id),
-        ("BACKWARD_ID", f["agg_id"] < previous_id),
     )
     return F.coalesce(*[F.when(test, F.lit(code)) for code, test in checks])
+
+
+def trade_order_error(agg_id: Column, previous_id: Column) -> Column:
+    """The rule that a trade event breaks together with the one before it, or null."""
+    return F.when(agg_id == previous_id, F.lit("DUPLICATE_ID")).when(agg_id < previous_id, F.lit("BACKWARD_ID"))

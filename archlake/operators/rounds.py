@@ -69,6 +69,25 @@ class Lake:
         stored = self._read("rows", StructType([*rows.schema.fields, StructField("batch", IntegerType())]))
         return rows if stored is None else stored.join(now, ["path", "batch"], "left_semi").drop("batch")
 
+    def checked(self, inventory: DataFrame, wanted: DataFrame) -> DataFrame:
+        """What trades.archive_trades finds in the wanted trade archives that are on the lake.
+
+        As with landed(), an archive is opened once and again only if its file has changed. Nothing but what was found in it is
+        stored, with the file's version, so that rows are neither written nor read again.
+        """
+        version = ["path", "length", "modified"]
+        shape = f"path string, length long, modified timestamp, {trades.FOUND}"
+        there = inventory.join(wanted.select("path").distinct(), "path", "left_semi")
+        seen = self._read("checked", shape)
+        new = cut(there if seen is None else there.join(seen, version, "left_anti"))
+        if not new.isEmpty():
+            found = trades.archive_trades(landing.land_files(self.spark, new)).withColumnRenamed("path", "file")
+            new.select("file", *version).join(found, "file").drop("file").write.mode("append").parquet(f"{self.store}/checked")
+        seen = self._read("checked", shape)
+        if seen is None:
+            return self.spark.createDataFrame([], shape).drop("length", "modified")
+        return seen.dropDuplicates(version).join(there.select(*version), version, "left_semi").drop("length", "modified")
+
 
 def _scan(lake: Lake, requests: DataFrame, overlay: DataFrame | None) -> dict[str, DataFrame]:
     """A scan of the archives that the requests ask for; `inventory` and `status` (of these archives) come with its tables."""
@@ -142,9 +161,8 @@ def trade_repair_round(lake: Lake, plan: DataFrame, fetch: Fetch, drop: Callable
     def scan() -> dict[str, DataFrame]:
         inventory = lake.inventory()
         sources = cut(planning.effective_trade_sources(plan, inventory).join(plan.select("request_id", "symbol").distinct(), "symbol"))
-        landed = lake.landed(inventory, sources)
-        found = trades.scan_agg_trades(landing.raw_rows(landed), sources, landing.archive_status(landed))
-        return {k: cut(v) for k, v in found.items()}  # what was seen, whatever the lake holds later
+        archives = cut(trades.scan_found(lake.checked(inventory, sources), sources)["archives"])  # what was seen, whatever the lake holds later
+        return {"archives": archives, "summary": cut(trades.trade_summary(archives))}
 
     before = scan()
     results = cut(fetch(planning.trade_repairs(before["archives"], plan)))

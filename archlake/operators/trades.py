@@ -2,20 +2,31 @@
 
 Events of an archive are ordered; comparing each with the one before would put a whole archive into one task. Archives are
 cut into chunks of rows at landing: inside a chunk a window looks back, across chunks the last id of the chunk before does.
+What an archive is found to be is made in one pass over its rows: each is dealt to its chunk's task and read there, and what
+is left of a chunk is one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from archlake.functions import rules as R
 
+#: What is found in an archive (archive_trades).
+FOUND = "rows long, first_agg_id long, last_agg_id long, first_error string, error_row long, error_id long, read_error string, valid_zip boolean"
+
+_FIELDS = ("agg_id", "price", "quantity", "first_id", "last_id", "transact_time", "maker")
+
+
+def _payload() -> Column:
+    return F.coalesce(F.size("cells") > 0, F.lit(False)) & ~F.coalesce(R.trade_header(F.col("cells")), F.lit(False))
+
 
 def trade_rows(raw: DataFrame) -> DataFrame:
     """Payload rows with typed fields (A8): no blank rows, no headings."""
-    return raw.where((F.size("cells") > 0) & ~F.coalesce(R.trade_header(F.col("cells")), F.lit(False))).withColumns(R.trade_fields(F.col("cells")))
+    return raw.where(_payload()).withColumns(R.trade_fields(F.col("cells")))
 
 
 def with_previous(rows: DataFrame) -> DataFrame:
@@ -29,8 +40,7 @@ def with_previous(rows: DataFrame) -> DataFrame:
 
 def check_rows(raw: DataFrame) -> DataFrame:
     """Payload rows with error, the first rule that each breaks, or null."""
-    fields = ("agg_id", "price", "quantity", "first_id", "last_id", "transact_time", "maker")
-    return with_previous(trade_rows(raw)).withColumn("error", R.trade_error(F.col("cells"), {k: F.col(k) for k in fields}, F.col("previous_id")))
+    return with_previous(trade_rows(raw)).withColumn("error", R.trade_error(F.col("cells"), {k: F.col(k) for k in _FIELDS}, F.col("previous_id")))
 
 
 def first_errors(checked: DataFrame) -> DataFrame:
@@ -39,24 +49,61 @@ def first_errors(checked: DataFrame) -> DataFrame:
     return bad.select("path", "f.*")
 
 
-def archive_trades(checked: DataFrame) -> DataFrame:
-    """Per archive: rows before its first error, their first and last id, and that error."""
-    bad = first_errors(checked).withColumnsRenamed({"error": "first_error", "ordinal": "stop", "row_number": "error_row", "agg_id": "error_id"}).drop("member_idx")
-    before = checked.join(bad, "path", "left").where(F.col("stop").isNull() | (F.col("ordinal") < F.col("stop")))
-    good = before.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.min_by("agg_id", "ordinal").alias("first_agg_id"), F.max_by("agg_id", "ordinal").alias("last_agg_id"))
-    paths = checked.select("path").distinct()
-    return paths.join(good, "path", "left").join(bad.select("path", "first_error", "error_row", "error_id"), "path", "left").fillna(0, ["rows"])
+def archive_trades(landed: DataFrame) -> DataFrame:
+    """Per archive: payload rows before its first broken rule, their first and last id, that rule with its row and id (D7, E8), and
+    what landing says of it (A4): read_error and valid_zip.
+
+    landed: path, chunk_id, ordinal, row_number, cells and error, all rows of landing or the raw ones. Rows are dealt by chunk before they are
+    looked at, as one task reads an archive; ids and findings only are sorted.
+    """
+    dealt = landed.select("path", "chunk_id", "ordinal", "row_number", "cells", F.col("error").alias("read_error")).repartition("path", "chunk_id")
+    typed = dealt.withColumn("payload", _payload()).withColumns(R.trade_fields(F.col("cells")))
+    own = F.when(F.col("payload"), R.trade_row_error(F.col("cells"), {k: F.col(k) for k in _FIELDS}))
+    seen = typed.select("path", "chunk_id", "payload", "ordinal", "row_number", "agg_id", own.alias("own"), "read_error", F.coalesce(F.size("cells") > 0, F.lit(False)).alias("filled"))
+    chunk = ("path", "chunk_id", "payload")
+    inside = Window.partitionBy(*chunk).orderBy("ordinal")
+    rows = seen.withColumns({"before": F.lag("agg_id").over(inside), "n": F.row_number().over(inside)})
+    rows = rows.withColumn("error", F.coalesce("own", R.trade_order_error(F.col("agg_id"), F.col("before"))))
+    chunks = rows.groupBy(*chunk).agg(
+        F.max("n").alias("n"), F.count_if("filled").alias("filled"), F.max("read_error").alias("read_error"),
+        F.min_by(F.struct("agg_id", "row_number", "own"), "ordinal").alias("head"), F.max_by("agg_id", "ordinal").alias("last"),
+        F.min_by(F.struct("error", "row_number", "agg_id", "n", "before"), F.when(F.col("error").isNotNull(), F.col("ordinal"))).alias("stop"),
+    )
+    # few rows from here on: the first row of a chunk is compared with the last one of the chunk before
+    along = Window.partitionBy("path", "payload").orderBy("chunk_id")
+    met = chunks.withColumn("across", F.lag("last").over(along))
+    order = F.when(F.col("payload") & F.col("head.own").isNull(), R.trade_order_error(F.col("head.agg_id"), F.col("across")))
+    first = F.struct(order.alias("error"), F.col("head.row_number").alias("row_number"), F.col("head.agg_id").alias("agg_id"), F.lit(1).alias("n"), F.lit(None).cast("long").alias("before"))
+    met = met.withColumn("stop", F.when(F.col("payload"), F.when(order.isNotNull(), first).otherwise(F.col("stop"))))
+    met = met.withColumn("good", F.coalesce(F.col("stop.n") - 1, F.col("n")))
+    met = met.withColumn("last", F.when(F.col("stop").isNull(), F.col("last")).otherwise(F.when(F.col("good") == 0, F.col("across")).otherwise(F.col("stop.before"))))
+    stopped = F.coalesce(F.max(F.col("stop").isNotNull()).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    met = met.withColumn("counts", F.col("payload") & ~stopped)
+    counted = lambda c: F.when(F.col("counts"), c)
+    at = counted(F.col("chunk_id"))
+    found = met.groupBy("path").agg(
+        F.coalesce(F.sum(counted(F.col("good"))), F.lit(0)).alias("rows"), F.min_by(F.when(F.col("good") > 0, F.col("head.agg_id")), at).alias("first_agg_id"), F.max_by("last", at).alias("last_agg_id"),
+        *[F.max(counted(F.col(f"stop.{c}"))).alias(name) for c, name in (("error", "first_error"), ("row_number", "error_row"), ("agg_id", "error_id"))],
+        F.coalesce(F.max("read_error"), F.when(F.sum("filled") == 0, F.lit("no rows"))).alias("read_error"),
+    )
+    return found.withColumn("valid_zip", F.coalesce("read_error", F.lit("")) != "not a ZIP file").select("path", *[c.split()[0] for c in FOUND.split(", ")])
 
 
 def scan_agg_trades(raw: DataFrame, sources: DataFrame, status: DataFrame) -> dict[str, DataFrame]:
+    """A scan's tables (H9) from raw rows and the archives' status; see scan_found."""
+    per = archive_trades(raw.withColumn("error", F.lit(None).cast("string"))).drop("read_error", "valid_zip")
+    return scan_found(status.select("path", F.col("error").alias("read_error"), "valid_zip").join(per, "path", "left"), sources)
+
+
+def scan_found(found: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
     """A scan's tables (H9): archives and summary.
 
-    sources: plan rows with request_id, the files to look at (effective_trade_sources). Whole archives are checked, not only
-    the days asked for. An archive is missing if it has no status, and invalid with a broken rule, no rows or a read error;
-    a broken rule comes first in a file, so it is the one that is told. complete is null for a request without archives.
+    found: archive_trades() of the archives that are there; sources: plan rows with request_id, the files to look at
+    (effective_trade_sources). Whole archives are checked, not only the days asked for. An archive is missing if it isn't
+    found, and invalid with a broken rule, no rows or a read error; a broken rule comes first in a file, so it is the one
+    that is told. complete is null for a request without archives.
     """
-    per = archive_trades(check_rows(raw))
-    met = sources.join(status.select("path", F.col("error").alias("read_error"), "valid_zip"), "path", "left").join(per, "path", "left")
+    met = sources.join(found, "path", "left")
     error = F.coalesce("first_error", "read_error", F.when(F.coalesce("rows", F.lit(0)) == 0, F.lit("no rows")))
     exists = F.col("valid_zip").isNotNull()
     archives = met.select(

@@ -11,7 +11,9 @@ import operator
 import zipfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,43 +41,56 @@ def _zips(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = E.archive_path(F.lit("aggTrades"), F.col("symbol"), F.lit("daily"), F.lit(None).cast("string"), F.col("day").cast("string"))
     lines = t.select(path.alias("path"), F.dayofmonth("day").alias("d"), F.col("agg_id").alias("n"), line.alias("line"))
 
-    def members(d: int, lines: Iterator[str]) -> bytes:
+    def members(d: int, texts: Iterator[memoryview]) -> bytes:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             head = "agg_trade_id,price,quantity,first_trade_id,last_trade_id,transact_time,is_buyer_maker\n" if d % 3 == 0 else ""
-            first = write_lines(z, "rows.txt" if d % 11 == 0 else "rows.csv", lines, head)
+            first = write_lines(z, "rows.txt" if d % 11 == 0 else "rows.csv", texts, head)
             if d % 5 == 0:
                 z.writestr("some.csv", first[:20])
         return b"broken" if d % 7 == 0 else out.getvalue()
 
-    return archives_of_lines(lines, members)
+    return archives_of_lines(lines.repartition("path"), members)
 
 
-def write_lines(z: zipfile.ZipFile, name: str, lines: Iterator[str], head: str = "") -> str:
-    """Write a member line by line, without a line's end at its end; returns the first line."""
-    first = next(lines)
+def write_lines(z: zipfile.ZipFile, name: str, texts: Iterator[memoryview], head: str = "") -> str:
+    """Write a member from texts of whole lines, without a line's end at its end; returns the first line."""
+    first = next(texts)
     info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
     info.compress_type = z.compression
     with z.open(info, "w", force_zip64=True) as out:
-        out.write((head + first).encode())
-        while some := list(itertools.islice(lines, 4096)):
-            out.write(("\n" + "\n".join(some)).encode())
-    return first
+        out.write(head.encode())
+        out.write(first)
+        for text in texts:
+            out.write(b"\n")
+            out.write(text)
+    return bytes(first).partition(b"\n")[0].decode()
 
 
-def archives_of_lines(lines: DataFrame, made: Callable[[int, Iterator[str]], bytes]) -> DataFrame:
+def archives_of_lines(dealt: DataFrame, made: Callable[[int, Iterator[memoryview]], bytes]) -> DataFrame:
     """path and content of archives, which `made` packs from rows (path, d, n, line): d of the path, and its lines in the order of n.
 
-    Lines reach a task sorted, a batch at a time, and are packed as they come, so that a task holds a packed archive but no whole text.
+    dealt: rows of a path are in one partition. Lines reach a task sorted, a batch at a time, and are packed as they come, each
+    batch as one text, so that a task holds a packed archive but no whole text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for (path, d), rows in itertools.groupby(each, key=operator.itemgetter(0, 1)):
-            yield pa.record_batch([pa.array([path]), pa.array([made(d, (r[2] for r in rows))], pa.binary())], names=["path", "content"])
+        for (path, d), parts in itertools.groupby(_texts(batches), key=operator.itemgetter(0, 1)):
+            yield pa.record_batch([pa.array([path]), pa.array([made(d, (p[2] for p in parts))], pa.binary())], names=["path", "content"])
 
-    dealt = lines.select("path", "d", "n", "line").repartition("path").sortWithinPartitions("path", "n", "line")
-    return dealt.select("path", "d", "line").mapInArrow(run, "path string, content binary")
+    return dealt.select("path", "d", "n", "line").sortWithinPartitions("path", "n", "line").select("path", "d", "line").mapInArrow(run, "path string, content binary")
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, memoryview]]:
+    """path, d and the lines of each run of rows with one path, as one text without a line's end at its end."""
+    wide = pa.large_string()
+    for batch in batches:
+        begin = 0
+        for end in pc.run_end_encode(batch.column(0)).run_ends.to_pylist():
+            lines = pc.binary_join_element_wise(batch.column(2).slice(begin, end - begin).cast(wide), pa.scalar("", wide), pa.scalar("\n", wide))
+            places = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
+            yield batch.column(0)[begin].as_py(), batch.column(1)[begin].as_py(), memoryview(lines.buffers()[2])[places[0] : places[-1] - 1]
+            begin = end
 
 
 _ZIP_SQL = f"""with {SQL_TRADES}, a as (
@@ -129,15 +144,16 @@ def archive_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zipped(lines: DataFrame) -> DataFrame:
-    """path and content of archives with one CSV member, from rows (path, n, line); lines are in the order of n."""
+    """path and content of archives with one CSV member, from rows (path, n, line); lines are in the order of n. A few large
+    archives are a task each: paths are dealt by ranges, as hashes would put some of them together."""
 
-    def member(_: int, lines: Iterator[str]) -> bytes:
+    def member(_: int, texts: Iterator[memoryview]) -> bytes:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            write_lines(z, "rows.csv", lines)
+            write_lines(z, "rows.csv", texts)
         return out.getvalue()
 
-    return archives_of_lines(lines.withColumn("d", F.lit(0)), member)
+    return archives_of_lines(lines.withColumn("d", F.lit(0)).repartitionByRange("path"), member)
 
 
 def fetch_from(offers: DataFrame, root: str) -> rounds.Fetch:
@@ -194,11 +210,11 @@ def trade_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = cut(priced(event_trades(spark, sf_dir)).select("symbol", "agg_id", "ms", line.alias("line")))
     path = lambda period, key: E.archive_path(F.lit("aggTrades"), F.col("symbol"), F.lit(period), F.lit(None).cast("string"), key).alias("path")
     whole = t.join(plan.select("symbol", "key"), "symbol").select("symbol", path("monthly", F.col("key")), F.col("agg_id").alias("n"), "line")
-    twice = whole.unionByName(whole)  # each id twice
-    cut(landing.put(zipped(whole.where(kind == 0).unionByName(twice.where(kind > 0)).drop("symbol")), root))
+    twice = lambda bad: F.when(bad, F.concat_ws("\n", "line", "line")).otherwise(F.col("line")).alias("line")  # each id twice
+    cut(landing.put(zipped(whole.select("path", "n", twice(kind > 0))), root))
     day = E.day_of(F.col("ms"))
     days = t.where((kind == 2) & (F.dayofmonth(day) % 4 != 0)).select(path("daily", day.cast("string")), F.col("agg_id").alias("n"), "line")
-    offers = cut(zipped(whole.where(kind == 1).unionByName(twice.where(kind == 2)).drop("symbol")).unionByName(zipped(days)))
+    offers = cut(zipped(whole.where(kind > 0).select("path", "n", twice(kind == 2)).unionByName(days)))
 
     def aside(months: DataFrame) -> None:
         for r in months.select("path").collect():  # a month for each symbol

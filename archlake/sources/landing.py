@@ -274,11 +274,13 @@ def land_files(spark: SparkSession, chosen: DataFrame, block: int = BLOCK, by_pa
     by_path: None finds out whether Python can open them; False has Spark read them whole, so that a file beyond
     WHOLE_LIMIT has an error instead of rows.
     """
-    total = chosen.agg(F.sum(F.col("length") + OPEN_COST).alias("bytes"), F.first("file").alias("one")).first()
+    total = chosen.agg(F.sum(F.col("length") + OPEN_COST).alias("bytes"), F.first("file").alias("one"), F.count(F.lit(1)).alias("files")).first()
     if total["one"] is None:
         return spark.createDataFrame([], RAW_SCHEMA)
     if opens(total["one"]) if by_path is None else by_path:
-        return land_by_path(chosen.repartition(int(-(-total["bytes"] // TASK_BYTES)), "file"), block)
+        # a few large archives are a task each: by ranges, as hashes would put some of them together
+        tasks = max(int(-(-total["bytes"] // TASK_BYTES)), min(total["files"], spark.sparkContext.defaultParallelism))
+        return land_by_path(chosen.repartitionByRange(tasks, "file"), block)
     small = [r["file"] for r in chosen.where(F.col("length") <= WHOLE_LIMIT).select("file").collect()]
     shape = [c.split(" ") for c in RAW_SCHEMA.split(", ")]
     given = {"path": F.col("file"), "csv_members": F.lit(0), "error": F.lit("too large for one value")}
