@@ -143,24 +143,42 @@ def archive_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select(parts["symbol"].alias("symbol"), parts["key"].alias("key"), "verdict", "error")
 
 
+def _member(out: io.BytesIO | pa.NativeFile, texts: Iterator[memoryview]) -> None:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        write_lines(z, "rows.csv", texts)
+
+
 def zipped(lines: DataFrame) -> DataFrame:
-    """path and content of archives with one CSV member, from rows (path, n, line); lines are in the order of n. A few large
-    archives are a task each: paths are dealt by ranges, as hashes would put some of them together."""
+    """path and content of archives with one CSV member, from rows (path, n, line); lines are in the order of n."""
 
     def member(_: int, texts: Iterator[memoryview]) -> bytes:
         out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            write_lines(z, "rows.csv", texts)
+        _member(out, texts)
         return out.getvalue()
 
-    return archives_of_lines(lines.withColumn("d", F.lit(0)).repartitionByRange("path"), member)
+    return archives_of_lines(lines.withColumn("d", F.lit(0)).repartition("path"), member)
+
+
+def packed(lines: DataFrame, root: str) -> DataFrame:
+    """Write the archives of zipped() below root, in tasks and as they are packed: a large one is no value anywhere; returns
+    path and length. A few large archives are a task each: paths are dealt by ranges, as hashes would put some of them together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, parts in itertools.groupby(_texts(batches), key=operator.itemgetter(0)):
+            with landing.new_file(root, path) as out:
+                _member(out, (p[2] for p in parts))
+                size = out.tell()
+            yield pa.record_batch([pa.array([path]), pa.array([size], pa.int64())], names=["path", "length"])
+
+    dealt = lines.select("path", F.lit(0).alias("d"), "n", "line").repartitionByRange("path")
+    return dealt.sortWithinPartitions("path", "n", "line").select("path", "d", "line").mapInArrow(run, "path string, length long")
 
 
-def fetch_from(offers: DataFrame, root: str) -> rounds.Fetch:
-    """A fetch step that takes what is offered (path, content) and writes it below the root in tasks."""
+def fetch_from(offers: DataFrame, source: str, root: str) -> rounds.Fetch:
+    """A fetch step that takes what is offered (path of files below source) and copies it below the root in tasks."""
 
     def fetch(plan: DataFrame) -> DataFrame:
-        got = cut(landing.put(offers.join(plan.select("path").distinct(), "path", "left_semi"), root))
+        got = cut(landing.copied(offers.join(plan.select("path").distinct(), "path", "left_semi"), source, root))
         return plan.join(got.select("path", F.lit("downloaded").alias("status")), "path", "left").na.fill("missing", ["status"])
 
     return fetch
@@ -178,7 +196,7 @@ def fetch_from(offers: DataFrame, root: str) -> rounds.Fetch:
 def repair_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole round over a lake that holds months with gaps for half of the symbols: months come for
     the others, then days for what is missing, but not every third one, and the report says what is left."""
-    root = scratch(spark, "archives")
+    root, source = scratch(spark, "archives"), scratch(spark, "offers")
     requests = cut(scan_requests(spark, sf_dir))
     base = archived_hourly(spark, sf_dir).withColumns({"h": (F.col("open_time") / HOUR).cast("bigint"), "day": E.day_of(F.col("open_time"))})
     base = cut(base.select("symbol", "interval", "h", "day", F.array_join(_cells(False), ",").alias("line")))
@@ -186,9 +204,9 @@ def repair_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = lambda period, key: E.archive_path(F.lit("klines"), F.col("symbol"), F.lit(period), F.col("interval"), key).alias("path")
     month = base.where(F.pmod("h", F.when(even, 5).otherwise(7)) != 0).select("symbol", path("monthly", F.date_format("day", "yyyy-MM")), F.col("h").alias("n"), "line")
     days = base.where(F.dayofmonth("day") % 3 != 0).select(path("daily", F.col("day").cast("string")), F.col("h").alias("n"), "line")
-    cut(landing.put(zipped(month.where(even)), root))
-    offers = cut(zipped(month.where(~even).drop("symbol")).unionByName(zipped(days)))
-    out = rounds.repair_round(rounds.Lake(spark, root), requests, fetch_from(offers, root), F.lit("2024-06-05").cast("date"))
+    cut(packed(month.where(even), root))
+    offers = cut(packed(month.where(~even).drop("symbol").unionByName(days), source))
+    out = rounds.repair_round(rounds.Lake(spark, root), requests, fetch_from(offers, source, root), F.lit("2024-06-05").cast("date"))
     return out["report"].select("request_id", F.col("day").cast("string").alias("day"), "missing", "status")
 
 
@@ -201,7 +219,7 @@ def repair_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trade_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A round over monthly trade archives: some are good, some come again and are good then, and those
     that stay bad are put aside for their days, of which every fourth isn't offered."""
-    root = scratch(spark, "archives")
+    root, source = scratch(spark, "archives"), scratch(spark, "offers")
     span = scan_requests(spark, sf_dir).select("request_id", "symbol", "start", "end")
     month = span.select("request_id", F.lit("aggTrades").alias("dataset"), "symbol", F.lit("monthly").alias("period"), F.date_format("start", "yyyy-MM").alias("key"), F.lit(None).cast("string").alias("interval"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
     plan = cut(month.join(planning.plan_rows(month).select("symbol", "path"), "symbol"))
@@ -211,16 +229,17 @@ def trade_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = lambda period, key: E.archive_path(F.lit("aggTrades"), F.col("symbol"), F.lit(period), F.lit(None).cast("string"), key).alias("path")
     whole = t.join(plan.select("symbol", "key"), "symbol").select("symbol", path("monthly", F.col("key")), F.col("agg_id").alias("n"), "line")
     twice = lambda bad: F.when(bad, F.concat_ws("\n", "line", "line")).otherwise(F.col("line")).alias("line")  # each id twice
-    cut(landing.put(zipped(whole.select("path", "n", twice(kind > 0))), root))
+    cut(packed(whole.select("path", "n", twice(kind > 0)), root))
     day = E.day_of(F.col("ms"))
     days = t.where((kind == 2) & (F.dayofmonth(day) % 4 != 0)).select(path("daily", day.cast("string")), F.col("agg_id").alias("n"), "line")
-    offers = cut(zipped(whole.where(kind > 0).select("path", "n", twice(kind == 2)).unionByName(days)))
+    again = landing.copied(plan.where(kind == 2), root, source)  # as bad as before
+    offers = cut(packed(whole.where(kind == 1).select("path", "n", "line").unionByName(days), source).unionByName(again))
 
     def aside(months: DataFrame) -> None:
         for r in months.select("path").collect():  # a month for each symbol
             remove(spark, f"{root}/{r['path']}")
 
-    out = rounds.trade_repair_round(rounds.Lake(spark, root), plan, fetch_from(offers, root), aside)
+    out = rounds.trade_repair_round(rounds.Lake(spark, root), plan, fetch_from(offers, source, root), aside)
     after = out["after"]["summary"].drop("missing_keys", "invalid_keys")
     return out["before"]["summary"].select("request_id", F.col("complete").alias("complete_before")).join(after, "request_id")
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from archlake.functions import exprs as E
 
 #: Rows between two chunk borders of an archive; ordered checks run chunk by chunk.
-CHUNK_ROWS = 1_000_000
+CHUNK_ROWS = 1 << 18
 
 RAW_SCHEMA = (
     "path string, member string, member_idx int, member_size long, row_number long, ordinal long, chunk_id long, cells array<string>, csv_members int, error string"
@@ -301,6 +301,13 @@ def with_keys(raw: DataFrame) -> DataFrame:
     return named.select("*", *[v.alias(k) for k, v in parts.items()], F.substring(parts["key"], 1, 7).alias("month"))
 
 
+def new_file(root: str, path: str) -> pa.NativeFile:
+    """A stream that writes a file below root, in folders that it makes."""
+    system, place = opener(f"{root.rstrip('/')}/{path}")
+    system.create_dir(place.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(place)
+
+
 def put(archives: DataFrame, root: str) -> DataFrame:
     """Write archives (path below root, content) where tasks can open files; returns path and length. What a fetch step may do."""
 
@@ -308,10 +315,8 @@ def put(archives: DataFrame, root: str) -> DataFrame:
         for batch in batches:
             sizes = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                system, place = opener(f"{root.rstrip('/')}/{path}")
-                system.create_dir(place.rpartition("/")[0], recursive=True)
                 data = content.as_buffer()
-                with system.open_output_stream(place) as out:
+                with new_file(root, path) as out:
                     out.write(data)
                 sizes.append(data.size)
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64())], names=["path", "length"])
@@ -319,6 +324,24 @@ def put(archives: DataFrame, root: str) -> DataFrame:
     return archives.select("path", "content").mapInArrow(run, "path string, length long")
 
 
+def copied(paths: DataFrame, source: str, root: str) -> DataFrame:
+    """Copy the files of `path` from below source to below root, a part at a time, so that large ones are no task's memory;
+    returns path and length. What a fetch step may do where archives are files already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = []
+            for path in batch.column(0).to_pylist():
+                system, place = opener(f"{source.rstrip('/')}/{path}")
+                with system.open_input_stream(place) as read, new_file(root, path) as out:
+                    while data := read.read(BLOCK):
+                        out.write(data)
+                    sizes.append(out.tell())
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64())], names=["path", "length"])
+
+    return paths.select("path").repartition("path").mapInArrow(run, "path string, length long")
+
+
 def write_landed(raw: DataFrame, to: str) -> None:
     """Landed rows as Parquet, one folder per family, symbol and month of the archive's key."""
     raw.write.mode("append").partitionBy("dataset", "symbol", "month").parquet(to)

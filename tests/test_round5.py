@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from archlake import queries_store
 from archlake.operators import rounds, trades
 from archlake.sources import landing
 from archlake.sources.shared import shared_dir
@@ -72,3 +73,20 @@ def test_few_archives_are_a_task_each(spark, tmp_path):
         put(str(tmp_path), BASE.format(d), zipped(f"{d},1,1,1,1,5,true\n" * 3))
     landed = landing.land_lake(spark, str(tmp_path))
     assert landed.count() == 12 and landed.select("path", F.spark_partition_id().alias("p")).distinct().select("p").distinct().count() == 4
+
+
+def test_packed_archives_are_files(spark, tmp_path):
+    """Archives are packed into files and copied as files; their contents aren't values of a table."""
+    source, root = (str(tmp_path / x) for x in ("offers", "lake"))
+    rows = spark.range(30_000).select(F.concat(F.lit(BASE.format(1)[:-5]), F.col("id") % 3 + 1, F.lit(".zip")).alias("path"), (-F.col("id")).alias("n"), F.concat(F.lit("r"), "id").alias("line"))
+    made = queries_store.packed(rows, source)
+    assert made.columns == ["path", "length"]
+    made = {r.path: r.length for r in made.collect()}
+    here = {r.path: r.length for r in landing.copied(spark.createDataFrame([(p,) for p in made if not p.endswith("3.zip")], "path string"), source, root).collect()}
+    assert len(made) == 3 and len(here) == 2 and here.items() <= made.items()
+    for p in here:
+        with open(f"{source}/{p}", "rb") as a, open(f"{root}/{p}", "rb") as b:
+            data = b.read()
+            assert a.read() == data and len(data) == here[p]
+    landed = landing.land_lake(spark, source).collect()
+    assert len(landed) == 30_000 and all(r.cells == [f"r{29_999 - (29_999 - int(r.path[-5]) + 1) % 3 - 3 * (r.row_number - 1)}"] for r in landed)
